@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, tokens
+from . import gif, langid, packing, tokens
 
-QUERIES = {f.__name__: f for f in (packing.op2_best_fit_packing, tokens.op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (packing.op2_best_fit_packing, gif.op8_gif_media, tokens.op9_byte_bpe, langid.op10_language_id)}
 ORACLES: dict[str, str] = {}
