@@ -34,8 +34,7 @@ _open: dict[str, PartTable] = {}
 def word_table(path: str) -> PartTable:
     """The tokenizer at ``path`` drops white space, so that the parts between spaces encode alone."""
     if path not in _open:
-        tokenizer = load_tokenizer(path)
-        _open[path] = PartTable(lambda parts: [e.ids for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
+        _open[path] = PartTable(load_tokenizer(path), lower=True)
     return _open[path]
 
 

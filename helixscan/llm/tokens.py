@@ -17,7 +17,8 @@ import codecs
 import hashlib
 import os
 import re
-from collections.abc import Callable, Iterable, Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,10 @@ from .common import as_texts, documents, slices
 
 #: A space that is not between two characters other than white space.
 LOOSE_SPACE = re.compile(r"\s\s| \Z|\A ")
-KEEP = 400_000
+KEEP = 600_000
+#: A word of Latin letters, perhaps after a space, and the marks after it.  The pre-tokenizers cut
+#: such a part between letters and marks only, and no normaliser changes it but for its case.
+SIMPLE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%&$#*]*)\Z")
 
 
 def byte_table() -> dict[int, str]:
@@ -38,6 +42,10 @@ def byte_table() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: Latin-1 characters as the vocabulary files spell their bytes.
+SPELLED = {c: "".join(byte_table()[b] for b in chr(c).encode()) for c in range(256)}
+
+
 def load_tokenizer(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
@@ -48,22 +56,50 @@ def load_tokenizer(path: str):
 
 
 class PartTable:
-    """Ids of text parts as little-endian bytes; at most ``keep`` parts are remembered."""
+    """Ids of text parts as little-endian bytes.
+
+    Parts are remembered in two generations: a full newer one becomes the older one, which is
+    dropped then, so that at most ``keep`` parts are held and frequent ones stay.  A part that the
+    pre-tokenizer is sure to leave as one word, or as a word and the marks after it, goes straight
+    to the library's merges; the library takes every other part as a text.
+    """
 
-    def __init__(self, encode_batch: Callable[[list[str]], Iterable[list[int]]], keep: int = KEEP):
-        self.encode_batch, self.keep, self.known = encode_batch, keep, {}
+    def __init__(self, tokenizer, lower: bool = False, keep: int = KEEP):
+        self.tokenizer, self.lower, self.keep = tokenizer, lower, keep
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.merge = tokenizer.model.tokenize
+
+    def encoded(self, parts: list[str]) -> Iterator[bytes]:
+        hard = [p for p in parts if not SIMPLE.match(p)]
+        slow = iter(self.tokenizer.encode_batch_fast(hard, add_special_tokens=False) if hard else [])
+        for p in parts:
+            if m := SIMPLE.match(p):
+                word, marks = m.groups()
+                ids = [t.id for t in self.merge((word.lower() if self.lower else word).translate(SPELLED))]
+                if marks:
+                    ids += [t.id for t in self.merge(marks)]
+            else:
+                ids = next(slow).ids
+            yield array("I", ids).tobytes()
 
     def ids(self, texts: list[list[str]]) -> list[bytes]:
         """For each text, given as its parts, the ids of all its parts."""
-        known = self.known
-        new = [p for p in {p for parts in texts for p in parts} if p not in known]
-        if new and len(known) + len(new) > self.keep:
-            known = self.known = {p: known[p] for parts in texts for p in parts if p in known}
+        newer, older = self.newer, self.older
+        wanted = {p for parts in texts for p in parts if p not in newer}
+        if len(newer) + len(wanted) > self.keep // 2:
+            older, newer = newer | older if len(newer) < self.keep // 4 else newer, {}
+            wanted = {p for parts in texts for p in parts}
+        new = []
+        for p in wanted:
+            if (found := older.get(p)) is None:
+                new.append(p)
+            else:
+                newer[p] = found
         for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for p, ids in zip(part, self.encode_batch(part), strict=True):
-                known[p] = np.asarray(ids, "<u4").tobytes()
-        return [b"".join([known[p] for p in parts]) for parts in texts]
+            newer.update(zip(new[i : i + 4096], self.encoded(new[i : i + 4096]), strict=True))
+        self.newer, self.older = newer, older
+        return [b"".join([newer[p] for p in parts]) for parts in texts]
 
 
 def parts_of(text: str) -> list[str]:
@@ -91,7 +127,7 @@ class ByteBPE:
                 self.bytes_of[i] = bytes(from_char[c] for c in token)
         if any(self.bytes_of[i] != b for i, b in ranks.items()):
             raise ValueError("the vocabulary and the rank file differ")
-        self.table = PartTable(lambda parts: [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
+        self.table = PartTable(self.tokenizer)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
