@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,7 +45,7 @@ def as_texts(column: pa.Array) -> list[str]:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
     """Parts of a batch that hold about ``limit`` bytes of ``column`` each, so that memory is bounded."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = held = 0
     for i, n in enumerate(sizes):
         if held and held + n > limit:

@@ -14,7 +14,6 @@ from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import as_texts, slices
