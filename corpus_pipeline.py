@@ -1,12 +1,48 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again.
+
+All stages but the last return the columns of ``documents``:
+
+1. quality rules: documents that fail the base rules or are unlike every language go;
+2. language identification: documents without a letter, or whose language is not clear, go; a
+   missing ``lang`` is filled in;
+3. n-gram Jaccard join: one document of each cluster of near copies stays;
+4. personal data: spans are replaced by their kind in brackets;
+5. best-fit packing: one row for each piece of a document, placed in a sequence.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from helixscan.llm import packing
+from helixscan.llm import langid, neardup, packing, pii, quality
 from helixscan.llm.common import written
 
+#: Least mean probability of the predicted language.
+CLEAR = 0.5
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.quality(docs).where("kept").select(*docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.train(langid.training_rows(docs))
+    if model is None:  # nothing is labelled: no document can be judged
+        return docs
+    judged = langid.predicted(docs, model)
+    return judged.where(f"lang_pred != 'und' and score >= {CLEAR}").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(docs).where("stays").select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(docs)
+    text = pii.masked("text", F.col("found"))
+    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -14,7 +50,13 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("best-fit packing", best_fit_packing)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("language identification", language_id),
+    ("n-gram Jaccard join", near_duplicates),
+    ("personal data", personal_data),
+    ("best-fit packing", best_fit_packing),
+]
 
 #: The stages train models and pack greedily, which SQL doesn't express; tests hold them against brute force.
 ORACLE_SQL = None
@@ -23,5 +65,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
