@@ -2,32 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path below the folder that all executors share.
-
-    The cluster names the folder in ``spark.checkpoint.dir``.  Where that is unset, a local session
-    (as in tests) gets a temporary folder and a cluster the warehouse.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
-        root = tempfile.mkdtemp(prefix="helixscan-") if local else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/helixscan/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, and safe from lost executors."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from helixscan.sources.storage import shared_path, written  # noqa: F401
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
