@@ -84,7 +84,9 @@ def scored_block(refs: DataFrame, block: list, arrays: tuple[np.ndarray, np.ndar
 
 def ranked(scored: DataFrame, n: int, acgt: bool) -> DataFrame:
     order = Window.partitionBy("query_ordinal").orderBy(*[F.desc(c) for c in score_columns(acgt)], "ref_ordinal")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).withColumn("rank", F.col("rank").cast("long"))
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    more = [c for c in scored.columns if c not in ("query_ordinal", "query", "ref_ordinal", "reference", *score_columns(acgt))]
+    return best.select("query_ordinal", "query", "ref_ordinal", "reference", F.col("rank").cast("long").alias("rank"), *score_columns(acgt), *more)
 
 
 def clear_queries(queries: DataFrame, p: Parameters) -> DataFrame:
