@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from helixscan.sources.storage import shared_path, written  # noqa: F401
 
@@ -13,6 +14,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def set_aside(docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns ``needed`` and, as the struct ``_others``, all others, whose names can then clash with none."""
+    others = [c for c in docs.columns if c not in needed]
+    return docs.select(*needed, *([F.struct(*[docs[c] for c in others]).alias("_others")] if others else []))
+
+
+def restored(df: DataFrame, columns: list[str], *new: str) -> DataFrame:
+    """``columns`` as they were before ``set_aside``, but for those named like a new one, then the new ones."""
+    kept = [F.col(c) if c in df.columns else F.col("_others").getField(c).alias(c) for c in columns if c not in new]
+    return df.select(*kept, *new)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow column as UTF-8; null counts as the empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -257,7 +257,10 @@ FRAME = "struct<number:int,left:int,top:int,width:int,height:int,delay_ms:int,di
 def frame_columns(media: DataFrame) -> DataFrame:
     """Reads a ``media`` column of GIFs: adds ``frames`` (an array of timed frames with their colour
     histograms) and digests of the stored file and of the samples read back.  A null or damaged file
-    has null in the new columns."""
+    has null in the new columns; columns named like the new ones are replaced."""
+
+    new = ("frames", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
+    media = media.drop(*new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.struct([*((n, pa.int32()) for n in ("number", "left", "top", "width", "height", "delay_ms", "disposal")), ("histogram", pa.list_(pa.int32()))])
@@ -277,7 +280,7 @@ def frame_columns(media: DataFrame) -> DataFrame:
                 kept = [batch.column(c) for c in batch.schema.names if c != "media"]
                 yield pa.RecordBatch.from_arrays(
                     [*kept, *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))],
-                    names=[*(c for c in batch.schema.names if c != "media"), "frames", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"],
+                    names=[*(c for c in batch.schema.names if c != "media"), *new],
                 )
 
     kept = ", ".join(f"`{c}` {t}" for c, t in media.dtypes if c != "media")

@@ -15,8 +15,9 @@ from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import as_texts, slices
+from .common import as_texts, restored, set_aside, slices
 
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
@@ -233,17 +234,17 @@ def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """Adds ``text`` (the main text; empty if there is none) and ``n_chars`` (its code points) to the
     rows and leaves the html out.  A null html counts as empty.  Repeated rows repeat, an empty table
     gives an empty table, and columns named like the new ones are replaced."""
-    kept = [c for c in pages.columns if c not in (html, "text", "n_chars")]
+    df = set_aside(pages, html).withColumnRenamed(html, "_html")
+    schema = StructType([*(f for f in df.schema.fields if f.name != "_html"), StructField("text", StringType()), StructField("n_chars", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "_html"):
                 texts = [main_text(x) if x else "" for x in as_texts(batch.column("_html"))]
+                kept = [c for c in batch.schema.names if c != "_html"]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*kept, "text", "n_chars"])
 
-    types = dict(pages.dtypes)
-    schema = "".join(f"`{c}` {types[c]}, " for c in kept) + "text string, n_chars long"
-    return pages.select(*kept, pages[html].alias("_html")).mapInArrow(run, schema)
+    return restored(df.mapInArrow(run, schema), [c for c in pages.columns if c != html], "text", "n_chars")
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

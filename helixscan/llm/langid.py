@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import as_texts, documents, slices
+from .common import as_texts, documents, restored, set_aside, slices
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -166,7 +167,9 @@ def predicted(docs: DataFrame, model: Tables | None, text: str = "text") -> Data
     row was given, is ``und`` with score 0.  Repeated rows repeat; an empty table gives an empty table;
     columns named like the new ones are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    df = set_aside(docs, text)
+    df = df.withColumnRenamed(text, "_text")
+    schema = StructType([*df.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -182,11 +185,9 @@ def predicted(docs: DataFrame, model: Tables | None, text: str = "text") -> Data
                     mean = np.add.reduceat(p, first, 0) / np.add.reduceat(held, first)[:, None]
                     for i, k, v in zip(known, mean.argmax(1), mean.max(1), strict=True):
                         pred[i], score[i] = m.labels[k], min(1.0, float(v))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(pred), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    types = dict(docs.dtypes)
-    schema = "".join(f"`{c}` {types[c]}, " for c in kept) + "lang_pred string, score double"
-    return docs.select(*kept, docs[text].alias("_text")).mapInArrow(run, schema)
+    return restored(df.mapInArrow(run, schema).withColumnRenamed("_text", text), docs.columns, "lang_pred", "score")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import as_bytes, documents, slices, written
+from .common import as_bytes, documents, restored, set_aside, slices, written
 
 WORDS, THRESHOLD, RECALL, BLOCK = 5, 0.8, 0.9999, 512
 BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -113,7 +114,7 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                         found[i] = row.view(np.int64)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=[*batch.schema.names, "_key", "_bands"])
 
-    return docs.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", _key binary, _bands array<long>")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_key", BinaryType()), StructField("_bands", ArrayType(LongType()))]))
 
 
 def linked(texts: list[bytes], allowed: np.ndarray, threshold: float) -> np.ndarray:
@@ -226,8 +227,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     other.  Columns named like the new ones are replaced; an empty table gives an empty table."""
     bands, rows = banding(threshold, recall)
     new = ("class_id", "cluster_id", "n_links", "n_text_links", "stays")
-    docs = docs.drop(*new)
-    table = written(signatures(docs, bands, rows).withColumn("_row", F.monotonically_increasing_id()), "signatures")
+    table = written(signatures(set_aside(docs, "doc_id", "text"), bands, rows).withColumn("_row", F.monotonically_increasing_id()), "signatures")
     worded = table.where("_key is not null")
     lead = F.min(F.struct("doc_id", "_row"))
     classes = worded.groupBy("_key").agg(lead.alias("lead"), F.count("*").alias("n"), F.min("_row").alias("node"), F.any_value("_bands").alias("bands"))
@@ -254,10 +254,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         F.col("lead.doc_id").alias("class_id"), F.col("first.doc_id").alias("cluster_id"), F.col("first._row").alias("_first"),
         (F.coalesce("rows", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"),
     )
-    columns = list(docs.columns)
-    out = worded.join(named, "_key").select(*columns, "class_id", "cluster_id", "n_links", "n_text_links", (F.col("_row") == F.col("_first")).alias("stays"))
-    alone = table.where("_key is null").select(*columns, F.col("doc_id").alias("class_id"), F.col("doc_id").alias("cluster_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_text_links"), F.lit(True).alias("stays"))
-    return out.union(alone)
+    kept = [c for c in table.columns if c not in ("_key", "_bands", "_row")]
+    out = worded.join(named, "_key").select(*kept, "class_id", "cluster_id", "n_links", "n_text_links", (F.col("_row") == F.col("_first")).alias("stays"))
+    alone = table.where("_key is null").select(*kept, F.col("doc_id").alias("class_id"), F.col("doc_id").alias("cluster_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_text_links"), F.lit(True).alias("stays"))
+    return restored(out.union(alone), docs.columns, *new)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, restored, set_aside, written
 
 #: In each pattern, a match can only begin where its first run of characters begins or where the last
 #: match ended: elsewhere the match would have begun earlier.  Possessive loops need no way back.
@@ -178,8 +178,10 @@ def personal_data(docs: DataFrame, carry: tuple[str, ...] | None = None) -> Data
     gives an empty table; columns named like the new ones are replaced."""
     new = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "found")
     carried = [c for c in (carry or docs.columns) if c not in new]
+    df = set_aside(docs if carry is None else docs.select(*dict.fromkeys([*carry, "text"])), "text")
     spans = [F.transform(f"_{k}", _place).alias(f"_{k}") for k in KINDS]
-    table = written(with_candidates(docs).select(*carried, *spans, "_candidates"), "candidates")
+    own = [c for c in df.columns if c != "text" or "text" in carried]
+    table = written(with_candidates(df).select(*own, *spans, "_candidates"), "candidates")
     counts = table.select(F.explode("_candidates").alias("c")).groupBy("c.kind", "c.votes", "c.features").agg(F.count("*").alias("n")).collect()
     patterns = sorted((r["kind"], r["votes"], r["features"], r["n"]) for r in counts)
     weights = train(patterns) if patterns else {}
@@ -191,11 +193,12 @@ def personal_data(docs: DataFrame, carry: tuple[str, ...] | None = None) -> Data
     out = out.withColumn("_base", base)
     written_out = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     out = out.withColumn("found", F.concat("_base", "_more"))
-    return out.select(
-        *carried,
+    out = out.select(
+        *own,
         *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(written_out("_base"), 256).alias("base_sha256"), written_out("found").alias("spans"), "found",
     )
+    return restored(out, carried, *new)
 
 
 def _place(s: Column) -> Column:
