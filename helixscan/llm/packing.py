@@ -46,7 +46,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         for whole in batches:
             for batch in slices(whole, "text"):
                 rows, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(table.ids([t.split(" ") for t in as_texts(batch.column("text"))])):
+                for i, ids in enumerate(table.ids([t.replace("\n", " ").split(" ") for t in as_texts(batch.column("text"))])):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]

@@ -5,9 +5,9 @@ vocabulary file is written in.  ``ByteBPE`` encodes texts with the library and d
 reversing that table; ids that end inside a character give its first bytes, which ``decode_stream``
 holds back until the rest arrives.
 
-Texts are cut at single spaces between two characters that are not white space.  The pre-tokenizer
-always cuts there too (a space joins the word that follows it), so a part encodes alone as it does
-in its text, and parts that occur again come from a bounded table.
+Texts are cut at single spaces and around single line ends between two characters that are not white
+space.  The pre-tokenizer always cuts there too (a space joins the word that follows it), so a part encodes
+alone as it does in its text, and parts that occur again come from a bounded table.
 """
 
 from __future__ import annotations
@@ -69,36 +69,35 @@ class PartTable:
         self.older: dict[str, bytes] = {}
         self.merge = tokenizer.model.tokenize
 
-    def encoded(self, parts: list[str]) -> Iterator[bytes]:
-        hard = [p for p in parts if not SIMPLE.match(p)]
-        slow = iter(self.tokenizer.encode_batch_fast(hard, add_special_tokens=False) if hard else [])
+    def encode(self, parts: list[str], known: dict[str, bytes]) -> None:
+        """Adds the ids of new parts to ``known``."""
+        match, merge, lower, hard = SIMPLE.match, self.merge, self.lower, []
         for p in parts:
-            if m := SIMPLE.match(p):
-                word, marks = m.groups()
-                ids = [t.id for t in self.merge((word.lower() if self.lower else word).translate(SPELLED))]
-                if marks:
-                    ids += [t.id for t in self.merge(marks)]
-            else:
-                ids = next(slow).ids
-            yield array("I", ids).tobytes()
+            m = match(p)
+            if m is None:
+                hard.append(p)
+                continue
+            word, marks = m.groups()
+            ids = [t.id for t in merge((word.lower() if lower else word).translate(SPELLED))]
+            if marks:
+                ids += [t.id for t in merge(marks)]
+            known[p] = array("I", ids).tobytes()
+        for i in range(0, len(hard), 4096):
+            part = hard[i : i + 4096]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[p] = array("I", e.ids).tobytes()
 
     def ids(self, texts: list[list[str]]) -> list[bytes]:
         """For each text, given as its parts, the ids of all its parts."""
+        wanted = set().union(*texts)
+        new = [p for p in wanted if p not in self.newer]
+        if len(self.newer) + len(new) > self.keep // 2:
+            self.older, self.newer, new = self.newer, {}, list(wanted)
         newer, older = self.newer, self.older
-        wanted = {p for parts in texts for p in parts if p not in newer}
-        if len(newer) + len(wanted) > self.keep // 2:
-            older, newer = newer | older if len(newer) < self.keep // 4 else newer, {}
-            wanted = {p for parts in texts for p in parts}
-        new = []
-        for p in wanted:
-            if (found := older.get(p)) is None:
-                new.append(p)
-            else:
-                newer[p] = found
-        for i in range(0, len(new), 4096):
-            newer.update(zip(new[i : i + 4096], self.encoded(new[i : i + 4096]), strict=True))
-        self.newer, self.older = newer, older
-        return [b"".join([newer[p] for p in parts]) for parts in texts]
+        again = [p for p in new if p in older]
+        newer.update(zip(again, map(older.__getitem__, again), strict=True))
+        self.encode([p for p in new if p not in older] if again else new, newer)
+        return [b"".join(map(newer.__getitem__, parts)) for parts in texts]
 
 
 def parts_of(text: str) -> list[str]:
@@ -107,8 +106,14 @@ def parts_of(text: str) -> list[str]:
     if LOOSE_SPACE.search(text):
         # Cut only where a space stands between two characters that are not white space.
         return re.split(r"(?<=\S)(?= \S)", text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+    parts: list[str] = []
+    for line in text.split("\n"):
+        if parts:
+            parts.append("\n")
+        first, *rest = line.split(" ")
+        parts.append(first)
+        parts += [" " + x for x in rest]
+    return parts
 
 
 class ByteBPE:
