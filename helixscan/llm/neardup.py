@@ -37,7 +37,7 @@ def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 96
     """(bands, rows): the most rows a band for which at most ``most`` hashes reach the recall at the threshold."""
     best = (1, 1)
     for rows in range(1, most + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
+        bands = max(1, math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows))))
         if bands * rows <= most:
             best = (bands, rows)
     return best
