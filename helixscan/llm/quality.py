@@ -1,8 +1,8 @@
 """Quality rules by distribution divergence, with DataFrame functions only.
 
 Every language has a reference: the histogram of character classes and the histogram of its most
-frequent words, counted over all documents.  A document is compared with all references; it is kept
-if for some language both Jensen-Shannon distances are small enough.  Texts too short for a histogram
+frequent short words, counted over all documents.  A document is compared with the reference of its own
+language, then with all; it is kept if for some language both Jensen-Shannon distances are small enough.  Texts too short for a histogram
 to mean anything are not judged by it.
 """
 
@@ -11,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, restored, set_aside, written
 
 SPACE = r"[ \t-\r]+"
-#: Model sizes: languages with a reference and frequent words of each.
-LANGUAGES, WORDS = 64, 40
+#: Model sizes: languages with a reference, frequent words of each, and the most bytes of such a word
+#: (the words that make up every text of a language are short).
+LANGUAGES, WORDS, BYTES = 64, 40, 6
 #: Distances (0 to 1) up to which a document is like its language, and the least characters and words to judge by.
 #: and what is added for a short text (over the root of its length).
 MOST_CHARS, MOST_WORDS, LEAST_CHARS, LEAST_WORDS = 0.14, 0.34, 200, 40
@@ -27,7 +28,7 @@ ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
-    """Adds ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed``.
+    """Adds ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed`` and ``_words``.
 
     Words are runs of characters other than ASCII white space.  A null text has no words."""
     text = F.coalesce("text", F.lit(""))
@@ -39,15 +40,12 @@ def base_rules(docs: DataFrame) -> DataFrame:
         "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
         "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        # The window that begins at each word but the last two, as one string.
-        "_windows": F.when(
-            F.size("_words") >= 3,
-            F.slice(F.transform("_words", lambda w, i: F.concat_ws(" ", w, F.get("_words", i + 1), F.get("_words", i + 2))), F.lit(1), F.size("_words") - 2),
-        ).otherwise(F.array().cast("array<string>")),
+        # A hash for the window that begins at each word but the last two: where all differ, no window occurs twice.
+        "_hashes": F.when(F.size("_words") >= 3, F.slice(F.transform("_words", lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2))), F.lit(1), F.size("_words") - 2)),
     })
     # Equal windows stand side by side once sorted; a start covers three words, or fewer up to the next start.
-    placed = F.array_sort(F.transform("_windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    out = out.withColumn("_placed", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), placed))
+    placed = F.array_sort(F.transform(F.slice("_words", F.lit(1), F.size("_words") - 2), lambda w, i: F.struct(F.concat_ws(" ", w, F.get("_words", i + 1), F.get("_words", i + 2)).alias("w"), i.alias("i"))))
+    out = out.withColumn("_placed", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), placed))
     starts = F.array_sort(F.transform(F.filter("_placed", lambda x, k: (x["w"] == F.coalesce(F.get("_placed", k - 1)["w"], F.lit(""))) | (x["w"] == F.coalesce(F.get("_placed", k + 1)["w"], F.lit("")))), lambda x: x["i"]))
     out = out.withColumn("_starts", starts)
     covered = F.aggregate(
@@ -58,22 +56,22 @@ def base_rules(docs: DataFrame) -> DataFrame:
     )
     out = out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("_words", "_lines", "_windows", "_placed", "_starts")
+    return out.withColumn("base_failed", failed).drop("_lines", "_hashes", "_placed", "_starts")
 
 
 def vocabulary(docs: DataFrame) -> list[str]:
     """The ``WORDS`` most frequent words of each of the ``LANGUAGES`` most frequent labels, over all documents."""
     labelled = docs.where("lang is not null and text is not null")
     langs = [r["lang"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    words = labelled.where(F.col("lang").isin(langs)).select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
+    words = labelled.where(F.col("lang").isin(langs)).select("lang", F.explode(F.split("text", SPACE)).alias("word"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    top = words.where("word != ''").groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("rank", rank).where(F.col("rank") <= WORDS)
+    top = words.where("word != ''").where(F.octet_length("word") <= BYTES).groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("rank", rank).where(F.col("rank") <= WORDS)
     return sorted({r["word"] for r in top.collect()})
 
 
 def profiles(docs: DataFrame, words: list[str]) -> DataFrame:
-    """Adds ``_chars`` (counts by character class), ``_tokens`` (the number of words of letters) and
-    ``_bins`` (place in ``words`` and count of each frequent word that occurs)."""
+    """Adds ``_chars`` (counts by character class), ``_tokens`` (the number of words) and
+    ``_bins`` (place in ``words`` and count of each frequent word that occurs).  Needs ``_words``."""
     text = F.coalesce("text", F.lit(""))
     out = docs.withColumns({"_n": F.length(text), "_rest": F.regexp_replace(text, r"[a-z]+", "")})
     # Lower-case ASCII letters go first; the other classes are counted in the short rest.
@@ -86,13 +84,13 @@ def profiles(docs: DataFrame, words: list[str]) -> DataFrame:
     plain = F.col("_n") - F.length("_rest") + F.col("_c_small") + F.col("_c_digit")
     counts = [plain, *[F.col(f"_c_{k}") for k in classes if k not in ("small", "digit")], F.length("_rest") - known]
     out = out.withColumn("_chars", F.array(*[x.cast("double") for x in counts])).drop("_n", "_rest", *[f"_c_{k}" for k in classes])
-    out = out.withColumn("_list", F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != ""))
     place = F.array(*map(F.lit, words)).cast("array<string>")
-    out = out.withColumn("_seen", F.array_intersect("_list", place))
-    out = out.withColumn("_common", F.filter("_list", lambda w: F.array_contains(F.col("_seen"), w)))
+    out = out.withColumn("_short", F.filter("_words", lambda w: F.octet_length(w) <= BYTES))
+    out = out.withColumn("_seen", F.array_intersect("_short", place))
+    out = out.withColumn("_common", F.filter("_short", lambda w: F.array_contains(F.col("_seen"), w)))
     n = lambda w: F.size("_common") - F.size(F.array_remove("_common", w))
     bins = F.transform("_seen", lambda w: F.struct(F.array_position(place, w).cast("int").alias("k"), n(w).cast("double").alias("n")))
-    return out.withColumns({"_tokens": F.size("_list").cast("double"), "_bins": bins}).drop("_list", "_seen", "_common")
+    return out.withColumns({"_tokens": F.size("_words").cast("double"), "_bins": bins}).drop("_words", "_short", "_seen", "_common")
 
 
 def references(profiled: DataFrame) -> list[dict]:
@@ -121,30 +119,52 @@ def adding(q: Column):
     return lambda s, b: F.struct((s["d"] + term(share(b), F.get(q, b["k"] - 1))).alias("d"), (s["p"] + share(b)).alias("p"), (s["q"] + F.get(q, b["k"] - 1)).alias("q"))
 
 
+def like_classes(refs: list[dict]) -> Column:
+    """Whether the character classes are like those of some reference."""
+    total = F.aggregate("_chars", F.lit(0.0), lambda s, x: s + x)
+    return F.greatest(F.lit(False), F.lit(False), *[F.sqrt(F.greatest(F.lit(0.0), class_divergence(r, total))) <= MOST_CHARS + SPREAD_CHARS / F.sqrt(F.greatest(F.lit(1.0), total)) for r in refs])
+
+
+def class_divergence(ref: dict, total: Column) -> Column:
+    return sum((term(F.get("_chars", F.lit(k)) / F.greatest(total, F.lit(1.0)), F.lit(q)) for k, q in enumerate(ref["chars"])), F.lit(0.0))
+
+
+def word_divergence(ref: dict, words: int) -> Column:
+    """Jensen-Shannon divergence of the frequent words from a reference's."""
+    zero, known = F.lit(0.0), sum(ref["words"].values())
+    q = F.array(*[F.lit(float(ref["words"].get(k, 0.0))) for k in range(1, words + 1)]).cast("array<double>")
+    # Bins of frequent words that do not occur, then the bin of all other words.
+    whole = lambda s: s["d"] + F.greatest(zero, F.lit(known) - s["q"]) / 2 + term(F.greatest(zero, 1 - s["p"]), F.lit(max(0.0, 1 - known)))
+    return F.aggregate("_bins", F.struct(zero.alias("d"), zero.alias("p"), zero.alias("q")), adding(q), whole)
+
+
 def judged(profiled: DataFrame, refs: list[dict], words: int) -> DataFrame:
     """Adds ``like_language`` and the distances ``char_distance`` and ``word_distance`` of the nearest
-    reference.  The literals are bounded: at most ``LANGUAGES`` x (``LANGUAGES`` x ``WORDS`` + 8) numbers."""
+    reference for rows that pass the base rules: of the own language's, or if the text is not like
+    that (or has no such language) of all.  The literals are bounded: at most ``LANGUAGES`` x (``LANGUAGES`` x ``WORDS`` + 8) numbers."""
     if not refs:
         return profiled.withColumns({"like_language": F.lit(True), "char_distance": F.lit(None).cast("double"), "word_distance": F.lit(None).cast("double")})
-    out = profiled.withColumn("_total", F.aggregate("_chars", F.lit(0.0), lambda s, x: s + x))
+    one, zero, far = F.lit(1.0), F.lit(0.0), F.lit(float("inf"))
+    out = profiled.withColumn("_total", F.aggregate("_chars", zero, lambda s, x: s + x))
     long_enough, enough_words = F.col("_total") >= LEAST_CHARS, F.col("_tokens") >= LEAST_WORDS
     # Few words scatter: a limit is wider for a short text.
-    most_chars, most_words = MOST_CHARS + SPREAD_CHARS / F.sqrt("_total"), MOST_WORDS + SPREAD_WORDS / F.sqrt("_tokens")
-    pairs = []
-    for i, r in enumerate(refs):
-        chars = sum((term(F.get("_chars", F.lit(k)) / F.col("_total"), F.lit(q)) for k, q in enumerate(r["chars"])), F.lit(0.0))
-        q = F.array(*[F.lit(float(r["words"].get(k, 0.0))) for k in range(1, words + 1)]).cast("array<double>")
-        zero = F.lit(0.0)
-        out = out.withColumn(f"_s_{i}", F.aggregate("_bins", F.struct(zero.alias("d"), zero.alias("p"), zero.alias("q")), adding(q)))
-        s, known = F.col(f"_s_{i}"), sum(r["words"].values())
-        # Bins of frequent words that do not occur, then the bin of all other words.
-        apart = s["d"] + F.greatest(zero, F.lit(known) - s["q"]) / 2 + term(F.greatest(zero, 1 - s["p"]), F.lit(max(0.0, 1 - known)))
-        out = out.withColumns({f"_dc_{i}": F.sqrt(F.greatest(zero, chars)), f"_dw_{i}": F.sqrt(F.greatest(zero, apart))})
-        worst = F.greatest(F.when(long_enough, F.col(f"_dc_{i}") / most_chars).otherwise(0.0), F.when(enough_words, F.col(f"_dw_{i}") / most_words).otherwise(0.0))
-        pairs.append(F.struct(worst.alias("worst"), F.col(f"_dc_{i}").alias("char"), F.col(f"_dw_{i}").alias("word")))
-    out = out.withColumn("_best", F.array_min(F.array(*pairs)))
-    out = out.withColumns({"like_language": F.col("_best.worst") <= 1, "char_distance": F.when(long_enough, F.col("_best.char")), "word_distance": F.when(enough_words, F.col("_best.word"))})
-    return out.drop("_best", "_total", *[f"_{k}_{i}" for i in range(len(refs)) for k in ("s", "dc", "dw")])
+    most_chars, most_words = MOST_CHARS + SPREAD_CHARS / F.sqrt(F.greatest(one, "_total")), MOST_WORDS + SPREAD_WORDS / F.sqrt(F.greatest(one, "_tokens"))
+    labelled = F.coalesce(F.col("lang").isin([r["lang"] for r in refs]), F.lit(False))
+    out = out.withColumns({f"_dc_{i}": F.sqrt(F.greatest(zero, class_divergence(r, F.col("_total")))) for i, r in enumerate(refs)})
+
+    def worst(i: int) -> Column:
+        by_words = F.when(enough_words, F.coalesce(F.col(f"_dw_{i}") / most_words, far)).otherwise(zero)
+        return F.when(F.col(f"_dw_{i}").isNull(), far).otherwise(F.greatest(F.when(long_enough, F.col(f"_dc_{i}") / most_chars).otherwise(zero), by_words))
+
+    asked = {i: ~F.col("base_failed") & (~labelled | (F.col("lang") == r["lang"])) for i, r in enumerate(refs)}
+    out = out.withColumns({f"_dw_{i}": F.when(asked[i], F.sqrt(F.greatest(zero, word_divergence(r, words)))) for i, r in enumerate(refs)})
+    out = out.withColumn("_alike", F.least(far, *[worst(i) for i in range(len(refs))]) <= 1)
+    more = {i: ~F.col("base_failed") & labelled & ~F.col("_alike") & (F.col("lang") != r["lang"]) for i, r in enumerate(refs)}
+    out = out.withColumns({f"_dw_{i}": F.when(more[i], F.sqrt(F.greatest(zero, word_divergence(r, words)))).otherwise(F.col(f"_dw_{i}")) for i, r in enumerate(refs)})
+    out = out.withColumn("_best", F.array_min(F.array(*[F.struct(worst(i).alias("worst"), F.col(f"_dc_{i}").alias("char"), F.col(f"_dw_{i}").alias("word")) for i in range(len(refs))])))
+    known = ~F.col("base_failed")
+    out = out.withColumns({"like_language": F.col("_best.worst") <= 1, "char_distance": F.when(known & long_enough, F.col("_best.char")), "word_distance": F.when(known & enough_words, F.col("_best.word"))})
+    return out.drop("_best", "_total", "_alike", *[f"_{k}_{i}" for i in range(len(refs)) for k in ("dc", "dw")])
 
 
 def quality(docs: DataFrame, carry: tuple[str, ...] | None = None) -> DataFrame:
@@ -152,18 +172,19 @@ def quality(docs: DataFrame, carry: tuple[str, ...] | None = None) -> DataFrame:
 
     Keeps the columns ``carry`` (all by default) and adds the base counts, ``base_failed``, the two
     distances and ``kept``.  References are counted twice: over all documents that pass the base
-    rules, then over those of them that are like a first reference.  A null or empty text has no
+    rules, then over those of them whose character classes are like a first reference.  A null or empty text has no
     words and fails; repeated rows are judged alike; without any labelled language only the base
     rules count; an empty table gives an empty table.  Columns of the same names are replaced."""
     words = vocabulary(docs)
-    table = profiles(base_rules(docs), words)
+    df = docs if carry is None else docs.select(*dict.fromkeys([*carry, "text", "lang"]))
     carried = [c for c in (carry or docs.columns) if c not in ADDED]
-    own = [c for c in ("lang",) if c not in carried]
-    table = written(table.select(*carried, *own, *ADDED[:6], "_chars", "_tokens", "_bins"), "profiles")
+    df = set_aside(df, "text", "lang")
+    own = [c for c in df.columns if c != "text" or "text" in carried]
+    table = written(profiles(base_rules(df), words).select(*own, *ADDED[:6], "_chars", "_tokens", "_bins"), "profiles")
     passing = table.where("not base_failed")
-    refs = references(judged(passing, references(passing), len(words)).where("like_language"))
+    refs = references(passing.where(like_classes(references(passing))))
     out = judged(table, refs, len(words))
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("like_language")).select(*carried, *ADDED)
+    return restored(out.withColumn("kept", ~F.col("base_failed") & F.col("like_language")), carried, *ADDED)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
