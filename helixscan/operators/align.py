@@ -20,65 +20,92 @@ MISMATCH, OPEN, EXTEND = 4, 6, 2
 FAR = 1 << 28
 
 
-def _banded(ref: np.ndarray, seq: np.ndarray, low: int, high: int) -> tuple[int, str]:
-    """Cost and operations with ``low <= column - row <= high``."""
-    n, m, width = len(ref), len(seq), high - low + 1
-    moves = np.zeros((n + 1, width), np.uint8)  # 1, 2: deletion or insertion is best; 4, 8: they extend
+def _banded(ref: np.ndarray, seqs: list[np.ndarray], low: int, high: int) -> list[tuple[int, str]]:
+    """Cost and operations of each sequence with ``low <= column - row <= high``; rows are worked out for all at once."""
+    n, width = len(ref), high - low + 1
+    size = np.array([len(s) for s in seqs])
+    letters = np.zeros((len(seqs), int(size.max()) + 1), np.uint8)
+    for k, s in enumerate(seqs):
+        letters[k, : len(s)] = s
+    moves = np.zeros((n + 1, len(seqs), width), np.uint8)  # 1, 2: deletion or insertion is best; 4, 8: they extend
     step = EXTEND * np.arange(width, dtype=np.int64)
-    best = down = None
+    wall = np.full((len(seqs), 1), FAR)
+    best = down = np.full((len(seqs), width), FAR)
     for i in range(n + 1):
         column = i + low + np.arange(width)
-        inside = (column >= 0) & (column <= m)
+        inside = (column >= 0) & (column <= size[:, None])
         if i:
-            pair = best + np.where(inside & (column > 0), np.where(seq[np.clip(column - 1, 0, max(m - 1, 0))] == ref[i - 1], 0, MISMATCH) if m else FAR, FAR)
-            above, above_down = np.append(best[1:], FAR), np.append(down[1:], FAR)
+            at = np.clip(column - 1, 0, letters.shape[1] - 1)
+            pair = best + np.where(inside & (column > 0), np.where(letters[:, at] == ref[i - 1], 0, MISMATCH), FAR)
+            above, above_down = np.hstack([best[:, 1:], wall]), np.hstack([down[:, 1:], wall])
             extends = above_down + EXTEND <= above + OPEN + EXTEND
-            down = np.where(inside, np.minimum(above_down + EXTEND, above + OPEN + EXTEND), FAR)
+            down = np.where(inside, np.minimum(above_down, above + OPEN) + EXTEND, FAR)
         else:
-            pair, down, extends = np.where(column == 0, 0, FAR), np.full(width, FAR), np.zeros(width, bool)
+            pair, extends = np.where(inside & (column == 0), 0, FAR), np.zeros((len(seqs), width), bool)
         open_at = np.where(inside, np.minimum(pair, down), FAR)
         # An insertion that ends here began at the cheapest place to the left.
-        began = np.minimum.accumulate(open_at - step)
-        side = np.append(FAR, began[:-1] + step[1:] + OPEN)
-        side = np.where(inside, side, FAR)
+        began = np.minimum.accumulate(open_at - step, axis=1)
+        side = np.where(inside, np.hstack([wall, began[:, :-1] + step[1:] + OPEN]), FAR)
         best = np.minimum(open_at, side)
-        longer = np.append(False, side[1:] == side[:-1] + EXTEND)
-        moves[i] = np.where(best == pair, 0, np.where(best == down, 1, 2)) | np.where(extends, 4, 0) | np.where(longer, 8, 0)
-    i, j, state, out = n, m, 0, []
-    while i or j:
-        move = int(moves[i, j - i - low])
-        if state == 0:
-            state = move & 3
+        moves[i] = np.where(best == pair, 0, np.where(best == down, 1, 2)) | np.where(extends, 4, 0)
+        moves[i, :, 1:] |= np.where(side[:, 1:] == side[:, :-1] + EXTEND, 8, 0).astype(np.uint8)
+    out = []
+    for k, s in enumerate(seqs):
+        own, i, j, state, found = moves[:, k], n, len(s), 0, []
+        while i or j:
+            move = int(own[i, j - i - low])
             if state == 0:
-                out.append("M" if ref[i - 1] == seq[j - 1] else "X")
-                i, j = i - 1, j - 1
-        elif state == 1:
-            out.append("D")
-            state = 1 if move & 4 else 0
-            i -= 1
-        else:
-            out.append("I")
-            state = 2 if move & 8 else 0
-            j -= 1
-    return int(best[m - n - low]), "".join(reversed(out))
-
-
-def align_pair(ref: str, seq: str, band: int = 32) -> tuple[int, str]:
-    """Optimal cost and operations: M, X (pair), D (reference only), I (sequence only)."""
-    r, s = (np.frombuffer(x.encode(), np.uint8) for x in (ref, seq))
-    apart = len(s) - len(r)
-    while True:
-        low, high = min(0, apart) - band, max(0, apart) + band
-        cost, moves = _banded(r, s, low, high)
-        # A path that leaves the band has at least band + 1 gaps there and as many back.
-        if cost <= 2 * OPEN + EXTEND * (2 * (band + 1) + abs(apart)) or low <= -len(r) and high >= len(s):
-            return cost, moves
+                state = move & 3
+                if state == 0:
+                    found.append("M" if ref[i - 1] == s[j - 1] else "X")
+                    i, j = i - 1, j - 1
+            elif state == 1:
+                found.append("D")
+                state = 1 if move & 4 else 0
+                i -= 1
+            else:
+                found.append("I")
+                state = 2 if move & 8 else 0
+                j -= 1
+        out.append((int(best[k, len(s) - n - low]), "".join(reversed(found))))
+    return out
+
+
+def align_all(ref: str, seqs: list[str], band: int = 16, cells: int = 1 << 24) -> list[tuple[int, str]]:
+    """Optimal cost and operations of each sequence: M, X (pair), D (reference only), I (sequence only).
+
+    Sequences whose length differs alike from the reference's are aligned together, ``cells`` cells of the band at a time."""
+    r = np.frombuffer(ref.encode(), np.uint8)
+    codes = [np.frombuffer(s.encode(), np.uint8) for s in seqs]
+    out: list = [None] * len(seqs)
+    open_ones = list(range(len(seqs)))
+    while open_ones:
+        groups: dict[int, list[int]] = {}
+        for k in open_ones:
+            groups.setdefault((len(codes[k]) - len(r)) // 16, []).append(k)
+        open_ones = []
+        for group in groups.values():
+            apart = [len(codes[k]) - len(r) for k in group]
+            low, high = min(0, *apart, 0) - band, max(0, *apart, 0) + band
+            many = max(1, cells // ((len(r) + 1) * (high - low + 1)))
+            for at in range(0, len(group), many):
+                part = group[at : at + many]
+                for k, (cost, moves) in zip(part, _banded(r, [codes[k] for k in part], low, high), strict=True):
+                    # A path that leaves the band has at least band + 1 gaps there and as many back.
+                    if cost <= 2 * OPEN + EXTEND * (2 * (band + 1) + abs(len(codes[k]) - len(r))) or low <= -len(r) and high >= len(codes[k]):
+                        out[k] = cost, moves
+                    else:
+                        open_ones.append(k)
         band *= 2
+    return out
 
 
-def project(ref: str, seq: str) -> tuple[str, int, int, int]:
+def align_pair(ref: str, seq: str) -> tuple[int, str]:
+    return align_all(ref, [seq])[0]
+
+
+def projected(seq: str, cost: int, moves: str) -> tuple[str, int, int, int]:
     """The sequence in the reference's coordinates, the cost, matches and operations."""
-    cost, moves = align_pair(ref, seq)
     out, j = [], 0
     for move in moves:
         if move == "D":
@@ -90,6 +117,10 @@ def project(ref: str, seq: str) -> tuple[str, int, int, int]:
     return "".join(out), cost, moves.count("M"), len(moves)
 
 
+def project(ref: str, seq: str) -> tuple[str, int, int, int]:
+    return projected(seq, *align_pair(ref, seq))
+
+
 def align(unaligned: DataFrame, reference: str | Column, ambiguity: float = 0.5) -> DataFrame:
     """``ordinal, name, seq`` (as long as the reference) with ``cost`` and ``identity`` (matches per operation) for every
     record that fits.  ``reference``: one sequence, or a column with each record's."""
@@ -97,9 +128,12 @@ def align(unaligned: DataFrame, reference: str | Column, ambiguity: float = 0.5)
     df = df.where(filters.unaligned_is_clear(F.col("seq"), F.length("_ref"), ambiguity))
 
     @F.pandas_udf("struct<seq:string,cost:long,identity:double>")
-    def projected(seqs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def run(seqs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for s, r in seqs:
-            rows = [project(a, b) for a, b in zip(r, s, strict=True)]
+            rows: list = [None] * len(s)
+            for ref, group in s.groupby(r):  # all records of one reference together
+                for k, seq, (cost, moves) in zip(group.index, group, align_all(ref, list(group)), strict=True):
+                    rows[k] = projected(seq, cost, moves)
             yield pd.DataFrame({"seq": [x[0] for x in rows], "cost": [x[1] for x in rows], "identity": [round(x[2] / max(1, x[3]), 8) for x in rows]})
 
-    return df.withColumn("_p", projected("seq", "_ref")).select("ordinal", "name", F.col("_p.seq").alias("seq"), F.col("_p.cost").alias("cost"), F.col("_p.identity").alias("identity"))
+    return df.withColumn("_p", run("seq", "_ref")).select("ordinal", "name", F.col("_p.seq").alias("seq"), F.col("_p.cost").alias("cost"), F.col("_p.identity").alias("identity"))

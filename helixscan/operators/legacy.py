@@ -64,12 +64,12 @@ def legacy_scores(refs: DataFrame, queries: DataFrame, **options) -> DataFrame:
     return out if out is not None else refs.sparkSession.createDataFrame([], schema)
 
 
-def legacy_search(scores: DataFrame, n: int = 8, most: int | None = None) -> DataFrame:
+def legacy_search(scores: DataFrame, n: int = 8, most: int | None = None, total: int | None = None) -> DataFrame:
     """The references that are in a top list of a query: by ACGT matches; by the share of equal characters among the
     best eighth of all references; by weighted partial matches among the best sixteenth.  A list has ``n`` references, up
-    to ``most`` while they equal the best one.  Ties go by the reference's ordinal."""
+    to ``most`` while they equal the best one.  Ties go by the reference's ordinal.  ``total``: the number of references, if known."""
     most = max(n, most or 2 * n)
-    total = scores.select("ref_ordinal").distinct().count()
+    total = scores.select("ref_ordinal").distinct().count() if total is None else total
 
     def chosen(df: DataFrame, key: str, size: int, n: int, most: int) -> tuple[DataFrame, int, int]:
         """Marks the list of the best by ``key`` among the ``size`` best by ACGT matches."""
@@ -83,7 +83,8 @@ def legacy_search(scores: DataFrame, n: int = 8, most: int | None = None) -> Dat
         return df.withColumn("_chosen", F.col("_chosen") | listed), n, most
 
     by_acgt = Window.partitionBy("query_ordinal").orderBy(F.desc("ACGT_matches"), "ref_ordinal")
-    df = scores.withColumns({"_acgt": F.row_number().over(by_acgt), "_chosen": F.lit(False)})
+    # No list goes below the best eighth by ACGT matches, or below its own length.
+    df = scores.withColumn("_acgt", F.row_number().over(by_acgt)).where(F.col("_acgt") <= max(most, total // 8)).withColumn("_chosen", F.lit(False))
     df, n, most = chosen(df, "ACGT_matches", total, n, most)
     if total > 16:
         df, n, most = chosen(df, "prop_char_matches", total // 8, n, most)

@@ -302,14 +302,19 @@ def legacy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(scores(spark, sf_dir))
 
 
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = reference_records(spark, sf_dir).where(filters.query_is_clear(F.col("seq"))).count()
+    return legacy.legacy_search(scores(spark, sf_dir), total=total)
+
+
 @query
 def legacy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(legacy.legacy_search(scores(spark, sf_dir)))
+    return table(listed(spark, sf_dir))
 
 
 @query
 def legacy_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return legacy.legacy_chosen(legacy.legacy_search(scores(spark, sf_dir)), reference_records(spark, sf_dir)).select("ordinal", "name")
+    return legacy.legacy_chosen(listed(spark, sf_dir), reference_records(spark, sf_dir)).select("ordinal", "name")
 
 
 # Reference genome, alignment, clusters
