@@ -154,3 +154,16 @@ def cluster(records: DataFrame, reference: str, distance: int = 1, trim: int = 0
 
 def sizes(clusters: DataFrame) -> DataFrame:
     return clusters.groupBy("medoid", "medoid_name").agg(F.count("*").alias("n_members"))
+
+
+def table(clusters: DataFrame, per_line: int = 1000) -> DataFrame:
+    """``n_members, medoid, part, line``: text lines of a medoid's name and members' names.
+
+    A line holds about ``per_line`` names; a large cluster has several lines, so that none has to hold it whole.
+    Sorted by ``n_members`` descending, ``medoid`` and ``part`` they are the cluster table."""
+    n = sizes(clusters).select("medoid", "n_members")
+    parts = F.pmod(F.xxhash64("member"), F.ceil(F.col("n_members") / per_line)).alias("part")
+    rows = clusters.join(n, "medoid").select("medoid", "n_members", "medoid_name", "member", "member_name", parts)
+    names = F.transform(F.array_sort(F.collect_list(F.when(F.col("member") != F.col("medoid"), F.struct("member", "member_name")))), lambda x: x["member_name"])
+    lines = rows.groupBy("medoid", "n_members", "medoid_name", "part").agg(names.alias("names"))
+    return lines.select("n_members", "medoid", F.col("part").cast("long").alias("part"), F.concat_ws(",", "medoid_name", "names").alias("line"))

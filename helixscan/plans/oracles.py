@@ -185,3 +185,4 @@ SELECT id AS ordinal, CAST(n AS BIGINT) AS distance, CAST(coalesce(sites[1], -1)
 }
 ORACLES["stream_nn"] = ORACLES["nn_full"]
 ORACLES["stream_ball"] = ORACLES["ball_full"]
+ORACLES["sql_functions"] = ORACLES["pair_score_full"]

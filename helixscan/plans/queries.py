@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixscan.functions import chars
+from helixscan.functions import chars, sql
 from helixscan.operators import align as aligner
 from helixscan.operators import ball as balls
 from helixscan.operators import cluster as clusters
@@ -361,6 +361,20 @@ def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.sizes(clusters.cluster(reference_records(spark, sf_dir), backbone(spark, sf_dir), CLUSTER_DISTANCE))
 
 
+@query
+def cluster_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.table(clusters.cluster(reference_records(spark, sf_dir), backbone(spark, sf_dir), CLUSTER_DISTANCE))
+
+
+@query
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pair scores through the functions registered for SQL text."""
+    sql.register(spark)
+    q = query_records(spark, sf_dir).select("ordinal", F.col("seq").alias("q"))
+    both = q.join(reference_records(spark, sf_dir).select("ordinal", F.col("seq").alias("r")), "ordinal")
+    return both.selectExpr("ordinal", "seq_acgt_matches(q, r) AS acgt", "seq_text_matches(q, r) AS text", "seq_partial_matches(q, r) AS partial", "seq_valid_pairs(q, r) AS valid")
+
+
 # Files and streams
 
 

@@ -88,3 +88,24 @@ def test_merge_in_small_blocks_is_the_same(spark, monkeypatch):
     want = sorted(map(tuple, cluster.cluster(records, base, queues=4).collect()))
     monkeypatch.setattr(cluster, "BLOCK", 5)
     assert sorted(map(tuple, cluster.cluster(records, base, queues=4).collect())) == want
+
+
+def test_lines_of_the_table_hold_all_members(spark):
+    rows = [(i, f"s{i}", "ACGTACGTAC" if i % 3 else "TTTTTTTTTT") for i in range(40)]
+    found = cluster.cluster(spark.createDataFrame(rows, "ordinal long, name string, seq string"), "ACGTACGTAC", distance=1, queues=3)
+    lines = [r["line"].split(",") for r in cluster.table(found, per_line=4).collect()]
+    assert len(lines) > 2 and {x[0] for x in lines} == {r["medoid_name"] for r in found.collect()}
+    assert sorted({x for line in lines for x in line}) == sorted(r[1] for r in rows)
+
+
+def test_sql_functions_are_the_columns(spark):
+    from helixscan.functions import chars, sql
+
+    sql.register(spark)
+    g = np.random.default_rng(5)
+    pairs = [tuple("".join(g.choice(list("ACGTN-?.MRWKBZ"), 30)) for _ in range(2)) for _ in range(50)]
+    df = chars.with_pair_counts(spark.createDataFrame(pairs, "q string, r string"), "q", "r")
+    names = {"acgt_matches": "acgt", "text_matches": "text", "partial_matches": "partial", "valid_pairs": "valid", "acgt_pairs": "acgt_valid", "differences": "hamming"}
+    for row in df.selectExpr("*", *[f"seq_{k}(q, r) AS f_{k}" for k in names], "seq_acgt_mismatches(q, r) AS m", "seq_text_mismatches(q, r) AS t", "seq_count_valid(q) AS v").collect():
+        assert [row[f"f_{k}"] for k in names] == [row[v] for v in names.values()]
+        assert (row["m"], row["t"], row["v"]) == (row["acgt_valid"] - row["acgt"], row["valid"] - row["text"], sum(c not in chars.INVALID for c in row["q"]))
