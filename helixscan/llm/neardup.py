@@ -262,3 +262,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir).select("doc_id", "text")).drop("text", "stays")
+
+
+def oracle() -> str:
+    """The same in SQL, from all common n-grams."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""WITH RECURSIVE split AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[ \\t-\\r]+'), lambda w: w <> '') AS w FROM documents),
+classes AS (SELECT array_to_string(w, ' ') AS k, min(doc_id) AS c, count(*) AS n, any_value(w) AS w FROM split WHERE len(w) > 0 GROUP BY array_to_string(w, ' ')),
+grams AS (SELECT c, unnest(list_distinct(CASE WHEN len(w) < {WORDS} THEN [k] ELSE list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(list_slice(w, i, i + {WORDS - 1}), ' ')) END)) AS g FROM classes),
+sizes AS (SELECT c, count(*) AS s FROM grams GROUP BY c),
+both_have AS (SELECT x.c AS a, y.c AS b, count(*) AS i FROM grams x JOIN grams y ON x.g = y.g WHERE x.c <> y.c GROUP BY x.c, y.c),
+links AS (SELECT a, b, n FROM both_have JOIN sizes p ON p.c = a JOIN sizes q ON q.c = b JOIN classes ON classes.c = b WHERE i >= {THRESHOLD} * (p.s + q.s - i) - 1e-6),
+reach AS (SELECT c AS a, c AS b FROM classes UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+clusters AS (SELECT a, min(b) AS cluster_id FROM reach GROUP BY a),
+counts AS (SELECT a, CAST(sum(n) AS BIGINT) AS docs, count(*) AS texts FROM links GROUP BY a)
+SELECT doc_id, coalesce(classes.c, doc_id) AS class_id, coalesce(cluster_id, doc_id) AS cluster_id, CAST(coalesce(docs, 0) + coalesce(n, 1) - 1 AS BIGINT) AS n_links, CAST(coalesce(texts, 0) AS BIGINT) AS n_text_links
+FROM split LEFT JOIN classes ON len(split.w) > 0 AND classes.k = array_to_string(split.w, ' ') LEFT JOIN clusters ON clusters.a = classes.c LEFT JOIN counts ON counts.a = classes.c"""
