@@ -231,6 +231,18 @@ def test_ppm_and_base_scores(spark, docs, odd, monkeypatch, hot):
     assert not different and sum(want.values()) == sum(found.values())
 
 
+def test_ppm_keeps_all_contexts(spark, docs, odd, monkeypatch):
+    monkeypatch.setattr(ppm, "HOT_CONTEXTS", 50, raising=False)
+    rows = docs.select("doc_id", "text").limit(40).union(odd.where("doc_id > 3 and length(text) < 100").selectExpr("doc_id + 100000", "text").distinct()).collect()
+    df = spark.createDataFrame([*rows, (200000, None), (200001, "")], "doc_id long, text string")
+    train = [(r["text"] or "").encode() for r in df.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2]
+    score = brute_ppm(train)
+    found = ppm.language_model_scores(df, held_out(df)).collect()
+    assert len(found) == df.count()
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in df.collect()}
+    assert max(abs(r["score"] - score(texts[r["doc_id"]])) / (1 - r["score"]) for r in found) < 1e-5
+
+
 def test_ppm_without_rows(docs):
     assert ppm.language_model_scores(docs.limit(0), held_out(docs)).count() == 0
 
