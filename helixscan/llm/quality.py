@@ -1,7 +1,7 @@
 """Quality rules by distribution divergence, with DataFrame functions only.
 
 Every language has a reference: the histogram of character classes and the histogram of its most
-frequent short words, counted over all documents.  A document is compared with the reference of its own
+frequent words (lower-cased runs of letters), counted over all documents.  A document is compared with the reference of its own
 language, then with all; it is kept if for some language both Jensen-Shannon distances are small enough.  Texts too short for a histogram
 to mean anything are not judged by it.
 """
@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from .common import documents, restored, set_aside, written
 
 SPACE = r"[ \t-\r]+"
-#: Model sizes: languages with a reference, frequent words of each, and the most bytes of such a word
-#: (the words that make up every text of a language are short).
-LANGUAGES, WORDS, BYTES = 64, 40, 6
+#: What stands between the words that are counted.
+APART = r"[^\p{L}]+"
+#: Model sizes: languages with a reference and frequent words of each.
+LANGUAGES, WORDS = 64, 40
 #: Distances (0 to 1) up to which a document is like its language, and the least characters and words to judge by.
 #: and what is added for a short text (over the root of its length).
 MOST_CHARS, MOST_WORDS, LEAST_CHARS, LEAST_WORDS = 0.14, 0.34, 200, 40
@@ -28,7 +29,7 @@ ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
-    """Adds ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed`` and ``_words``.
+    """Adds ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed``.
 
     Words are runs of characters other than ASCII white space.  A null text has no words."""
     text = F.coalesce("text", F.lit(""))
@@ -56,22 +57,22 @@ def base_rules(docs: DataFrame) -> DataFrame:
     )
     out = out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("_lines", "_hashes", "_placed", "_starts")
+    return out.withColumn("base_failed", failed).drop("_words", "_lines", "_hashes", "_placed", "_starts")
 
 
 def vocabulary(docs: DataFrame) -> list[str]:
     """The ``WORDS`` most frequent words of each of the ``LANGUAGES`` most frequent labels, over all documents."""
     labelled = docs.where("lang is not null and text is not null")
     langs = [r["lang"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    words = labelled.where(F.col("lang").isin(langs)).select("lang", F.explode(F.split("text", SPACE)).alias("word"))
+    words = labelled.where(F.col("lang").isin(langs)).select("lang", F.explode(F.split(F.lower("text"), APART)).alias("word"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    top = words.where("word != ''").where(F.octet_length("word") <= BYTES).groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("rank", rank).where(F.col("rank") <= WORDS)
+    top = words.where("word != ''").groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("rank", rank).where(F.col("rank") <= WORDS)
     return sorted({r["word"] for r in top.collect()})
 
 
 def profiles(docs: DataFrame, words: list[str]) -> DataFrame:
-    """Adds ``_chars`` (counts by character class), ``_tokens`` (the number of words) and
-    ``_bins`` (place in ``words`` and count of each frequent word that occurs).  Needs ``_words``."""
+    """Adds ``_chars`` (counts by character class), ``_tokens`` (the number of words of letters) and
+    ``_bins`` (place in ``words`` and count of each frequent word that occurs)."""
     text = F.coalesce("text", F.lit(""))
     out = docs.withColumns({"_n": F.length(text), "_rest": F.regexp_replace(text, r"[a-z]+", "")})
     # Lower-case ASCII letters go first; the other classes are counted in the short rest.
@@ -85,12 +86,12 @@ def profiles(docs: DataFrame, words: list[str]) -> DataFrame:
     counts = [plain, *[F.col(f"_c_{k}") for k in classes if k not in ("small", "digit")], F.length("_rest") - known]
     out = out.withColumn("_chars", F.array(*[x.cast("double") for x in counts])).drop("_n", "_rest", *[f"_c_{k}" for k in classes])
     place = F.array(*map(F.lit, words)).cast("array<string>")
-    out = out.withColumn("_short", F.filter("_words", lambda w: F.octet_length(w) <= BYTES))
-    out = out.withColumn("_seen", F.array_intersect("_short", place))
-    out = out.withColumn("_common", F.filter("_short", lambda w: F.array_contains(F.col("_seen"), w)))
+    out = out.withColumn("_list", F.filter(F.split(F.lower(text), APART), lambda w: w != ""))
+    out = out.withColumn("_seen", F.array_intersect("_list", place))
+    out = out.withColumn("_common", F.filter("_list", lambda w: F.array_contains(F.col("_seen"), w)))
     n = lambda w: F.size("_common") - F.size(F.array_remove("_common", w))
     bins = F.transform("_seen", lambda w: F.struct(F.array_position(place, w).cast("int").alias("k"), n(w).cast("double").alias("n")))
-    return out.withColumns({"_tokens": F.size("_words").cast("double"), "_bins": bins}).drop("_words", "_short", "_seen", "_common")
+    return out.withColumns({"_tokens": F.size("_list").cast("double"), "_bins": bins}).drop("_list", "_seen", "_common")
 
 
 def references(profiled: DataFrame) -> list[dict]:
@@ -119,12 +120,6 @@ def adding(q: Column):
     return lambda s, b: F.struct((s["d"] + term(share(b), F.get(q, b["k"] - 1))).alias("d"), (s["p"] + share(b)).alias("p"), (s["q"] + F.get(q, b["k"] - 1)).alias("q"))
 
 
-def like_classes(refs: list[dict]) -> Column:
-    """Whether the character classes are like those of some reference."""
-    total = F.aggregate("_chars", F.lit(0.0), lambda s, x: s + x)
-    return F.greatest(F.lit(False), F.lit(False), *[F.sqrt(F.greatest(F.lit(0.0), class_divergence(r, total))) <= MOST_CHARS + SPREAD_CHARS / F.sqrt(F.greatest(F.lit(1.0), total)) for r in refs])
-
-
 def class_divergence(ref: dict, total: Column) -> Column:
     return sum((term(F.get("_chars", F.lit(k)) / F.greatest(total, F.lit(1.0)), F.lit(q)) for k, q in enumerate(ref["chars"])), F.lit(0.0))
 
@@ -172,7 +167,7 @@ def quality(docs: DataFrame, carry: tuple[str, ...] | None = None) -> DataFrame:
 
     Keeps the columns ``carry`` (all by default) and adds the base counts, ``base_failed``, the two
     distances and ``kept``.  References are counted twice: over all documents that pass the base
-    rules, then over those of them whose character classes are like a first reference.  A null or empty text has no
+    rules, then over those of them that are like a first reference.  A null or empty text has no
     words and fails; repeated rows are judged alike; without any labelled language only the base
     rules count; an empty table gives an empty table.  Columns of the same names are replaced."""
     words = vocabulary(docs)
@@ -182,7 +177,7 @@ def quality(docs: DataFrame, carry: tuple[str, ...] | None = None) -> DataFrame:
     own = [c for c in df.columns if c != "text" or "text" in carried]
     table = written(profiles(base_rules(df), words).select(*own, *ADDED[:6], "_chars", "_tokens", "_bins"), "profiles")
     passing = table.where("not base_failed")
-    refs = references(passing.where(like_classes(references(passing))))
+    refs = references(judged(passing, references(passing), len(words)).where("like_language"))
     out = judged(table, refs, len(words))
     return restored(out.withColumn("kept", ~F.col("base_failed") & F.col("like_language")), carried, *ADDED)
 

@@ -155,6 +155,28 @@ def test_quality_keeps_prose_and_drops_junk(spark):
     assert np.mean([not r["kept"] for r in rows if r["quality"] == 0]) > 0.9
 
 
+def test_quality_counts_words_of_any_length(spark):
+    df = spark.createDataFrame([("Который, который; (КОТОРЫЙ) The THE, the", "ru")], "text string, lang string")
+    words = quality.vocabulary(df)
+    assert words == ["the", "который"]
+    row = quality.profiles(df, words).first()
+    assert row["_tokens"] == 6 and sorted(tuple(b) for b in row["_bins"]) == [(1, 3.0), (2, 3.0)]
+
+
+def test_junk_of_normal_characters_shapes_no_reference(spark, monkeypatch):
+    g = random.Random(4)
+    common = [f"{a}{b}" for a in "bdfgk" for b in "aeiou"]
+    word = lambda: "".join(g.choice("abdefgikou") for _ in range(7))
+    rows = [(i, " ".join(g.choice(common) if g.random() < 0.6 or i >= 100 else word() for _ in range(120)), "en") for i in range(20, 160)]
+    rows += [(i, " ".join(word() for _ in range(120)), "en") for i in range(20)]
+    seen, counted = [], quality.references
+    monkeypatch.setattr(quality, "references", lambda df: (seen.append({r["doc_id"] for r in df.select("doc_id").collect()}), counted(df))[1])
+    monkeypatch.setattr(quality, "set_aside", lambda df, *names: df)
+    monkeypatch.setattr(quality, "restored", lambda df, columns, *new: df)
+    quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(seen) == 2 and set(range(20)) <= seen[0] and not set(range(20)) & seen[1]
+
+
 def test_divergence_is_jensen_shannon(spark):
     p, q = np.array([0.5, 0.5, 0.0]), np.array([0.2, 0.3, 0.5])
     m = (p + q) / 2
