@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -21,8 +21,10 @@ from .common import as_texts, documents, restored, set_aside, slices
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS, EMBED = 16, 12
-#: Bounds of the training sample: languages, rows of each, and characters of a row.
-LANGUAGES, ROWS_EACH, CHARS = 64, 1200, 700
+#: Bounds of the training sample of each language: rows, and characters of a row.
+ROWS_EACH, CHARS = 1200, 700
+#: Steps of training, enough for so many languages; with more languages they grow in proportion.
+STEPS, STEPS_FOR = 900, 64
 
 
 class ByteConvNet:
@@ -65,7 +67,7 @@ class ByteConvNet:
             d_filters.append(d_filter)
         return [d_embed, *d_filters, back.sum(0), hidden.T @ d, d.sum(0)]
 
-    def train(self, texts: list[bytes], y: np.ndarray, steps: int = 900, batch: int = 64, rate: float = 0.01, seed: int = 11) -> ByteConvNet:
+    def train(self, texts: list[bytes], y: np.ndarray, steps: int = STEPS, batch: int = 64, rate: float = 0.01, seed: int = 11) -> ByteConvNet:
         """Adam over windows cut from ``texts`` at random, a third of them shorter than a window."""
         g = np.random.default_rng(seed)
         by_label = [np.flatnonzero(y == k) for k in range(len(self.labels))]
@@ -140,15 +142,16 @@ def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def training_rows(docs: DataFrame) -> list[tuple[str, str]]:
-    """A bounded sample: of the ``LANGUAGES`` most frequent labels about ``ROWS_EACH`` rows each,
+    """A sample: of every label about ``ROWS_EACH`` rows (at most twice as many),
     chosen by a hash of the id, and of each row at most ``CHARS`` characters from its start and as many from its middle."""
     labelled = docs.where("text is not null and lang is not null and text rlike '\\\\p{L}'")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, ROWS_EACH / r["count"]))))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    least = (F.lit(1 << 20) * F.least(F.lit(1.0), F.lit(float(ROWS_EACH)) / F.col("count"))).cast("long")
+    likely = labelled.join(F.broadcast(labelled.groupBy("lang").count()), "lang").where(place < least)
+    # Ids that are null or repeated share a place.
+    chosen = likely.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy(place))).where(F.col("_rank") <= 2 * ROWS_EACH)
     parts = F.array(F.substring("text", 1, CHARS), F.expr(f"substring(text, greatest(1, int(length(text) / 2)), {CHARS})"))
-    rows = labelled.where(chosen).select("lang", F.explode(parts).alias("text")).limit(4 * LANGUAGES * ROWS_EACH).collect()
+    rows = chosen.select("lang", F.explode(parts).alias("text")).collect()
     return sorted((r["lang"], r["text"]) for r in rows)
 
 
@@ -158,7 +161,8 @@ def train(rows: list[tuple[str, str]]) -> Tables | None:
         return None
     labels = sorted({lang for lang, _ in rows})
     number = {lang: i for i, lang in enumerate(labels)}
-    return ByteConvNet(labels).train([t.encode().lower() for _, t in rows], np.array([number[lang] for lang, _ in rows])).tables()
+    steps = STEPS * max(1, -(-len(labels) // STEPS_FOR))
+    return ByteConvNet(labels).train([t.encode().lower() for _, t in rows], np.array([number[lang] for lang, _ in rows]), steps=steps).tables()
 
 
 def predicted(docs: DataFrame, model: Tables | None, text: str = "text") -> DataFrame:

@@ -277,6 +277,14 @@ def test_language_id(spark, odd):
     assert {r["lang_pred"] for r in langid.predicted(odd, None).collect()} == {"und"}
 
 
+def test_language_id_takes_all_labels(spark, monkeypatch):
+    monkeypatch.setattr(langid, "ROWS_EACH", 5)
+    rows = [(None if k == 0 else 100 * k + i, f"l{k:02}", f"text {k} {i}") for k in range(90) for i in range(3 if k else 40)]
+    found = langid.training_rows(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    each = collections.Counter(lang for lang, _ in found)
+    assert set(each) == {f"l{k:02}" for k in range(90)} and max(each.values()) <= 20 and each["l89"] == 6
+
+
 def test_gradients_are_slopes():
     g = np.random.default_rng(1)
     net = langid.ByteConvNet(["a", "b"], seed=3)
