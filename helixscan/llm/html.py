@@ -26,6 +26,8 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup; what they hold is not text of the page.
 RAW = frozenset("script style noscript template textarea select svg math iframe object title head audio video canvas button".split())
+#: Of these, the ones that end with the page if they aren't closed; the others are then markup like any.
+TO_END = frozenset("script style template textarea iframe title".split())
 OUTSIDE = frozenset("nav footer aside form menu dialog header fieldset".split())
 MAIN = frozenset("article main".split())
 #: Words in a class, an id or a role that name what is not the article.
@@ -38,6 +40,7 @@ MAIN_WORD = re.compile(r"^(article|main|post|entry|story|articlebody|maincontent
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>\"']*)([^<>\"']*)>")
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+WITH = re.compile(r"(^|[_\-])(has|no|with|without)[_\-].*$", re.I | re.S)
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"\w+")
 #: Frequent words of the languages that the pages are in (fixed values).
@@ -87,16 +90,19 @@ def tag_end(html: str, at: int, open_quotes: dict[str, bool]) -> int:
 
 
 def words_of(attributes: str) -> list[str]:
-    return [w.lower() for m in NAMED.finditer(attributes) for value in m.groups() if value for w in re.split(r"[\s_\-]+", value)]
+    """Parts of classes, ids and roles; what stands after has, no, with or without only tells what is near."""
+    values = [value for m in NAMED.finditer(attributes) for value in m.groups() if value]
+    return [w.lower() for value in values for name in value.split() for w in re.split(r"[_\-]+", WITH.sub("", name))]
 
 
 def page_blocks(html: str) -> list[Block]:
     """Blocks with text, in page order.  Unclosed and stray tags are allowed."""
     blocks: list[Block] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, outside, main
+    stack: list[tuple[str, int, bool, bool, bool]] = []  # open elements: name, what they add to outside, main, solid, classed
+    unclosed: set[str] = set()
     opened: Counter = Counter()
-    outside = main = links = linked = 0
+    outside = main = solid = classed = links = linked = 0
     heading = False
     quotes: dict[str, bool] = {}
 
@@ -138,11 +144,13 @@ def page_blocks(html: str) -> list[Block]:
         at = end
         if name in RAW and not closing:
             if not rest.rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(html, at)
+                close = None if name in unclosed else re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(html, at)
                 if close:
                     at = close.start()
-                elif name not in ("head", "button", "select", "object"):
+                elif name in TO_END:
                     at = n
+                else:
+                    unclosed.add(name)
             continue
         if name == "br":
             parts.append(" ")
@@ -159,22 +167,30 @@ def page_blocks(html: str) -> list[Block]:
                 heading = False
             if opened[name]:
                 while True:
-                    top, a, b = stack.pop()
+                    top, a, b, c, d = stack.pop()
                     opened[top] -= 1
                     outside -= a
                     main -= b
+                    solid -= c
+                    classed -= d
                     if top == name:
                         break
         elif name in BLOCK and name not in ("p", "html", "body") or name in ("span", "section"):
             if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 heading = True
             named = words_of(rest) if "=" in rest else []
-            a = any(map(OUTSIDE_WORD.match, named)) or name in OUTSIDE and not (name == "header" and main)
+            d = any(map(OUTSIDE_WORD.match, named))
+            c = name in OUTSIDE and name != "form" and not (name == "header" and main)
+            a = int(c or d or name == "form")
+            if not a and not solid and (name == "main" or name == "article" and not classed):
+                a = -outside  # the page's own element inside a form, and main inside a wrapper named otherwise
             b = name in MAIN or any(map(MAIN_WORD.match, named))
-            stack.append((name, a, b))
+            stack.append((name, a, b, c, d))
             opened[name] += 1
             outside += a
             main += b
+            solid += c
+            classed += d
     flush()
     return blocks
 
@@ -184,10 +200,12 @@ def decided(blocks: list[Block]) -> list[int]:
     has_main = any(b.main and not b.outside for b in blocks)
     out = []
     for b in blocks:
-        if b.outside or b.link_density() > LINKED:
+        if b.outside:
             out.append(BAD)
         elif has_main:
             out.append(GOOD if b.main else BAD)
+        elif b.link_density() > LINKED:
+            out.append(BAD)
         elif b.text.startswith(("©", "(c)")):
             out.append(BAD)
         elif len(b.text) < SHORT or b.heading:

@@ -69,6 +69,17 @@ def test_broken_pages_end(bad):
     assert isinstance(html.main_text(bad), str)
 
 
+@pytest.mark.parametrize("wrapper", ["<div class='layout has-sidebar'>%s</div>", "<div class='no-sidebar'>%s</div>", "<div class='post-with-comments'>%s</div>", "<form action=x>%s</form>", "<svg>%s", "<noscript>%s"])
+def test_wrappers_lose_no_article(wrapper):
+    page = wrapper % "<article><p>Text <b>here</b></p><p><a href=x>linked</a></p><ul><li><a href=y>item</a></ul></article>"
+    assert html.main_text(page) == "Text here\nlinked\nitem"
+
+
+def test_main_inside_a_named_wrapper():
+    assert html.main_text("<div class='search-result-page'><main><p>Text</p></main><p>no</p></div>") == "Text"
+    assert html.main_text("<main><p>Text</p></main><div class=comments><article><p>reply</p></article></div>") == "Text"
+
+
 def test_page_rows(spark):
     rows = [(1, "u", PAGE, "t", "h"), (None, None, None, None, None), (2, "u", "", "t", "h"), (1, "u", PAGE, "t", "h")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, _html string")
