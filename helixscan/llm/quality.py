@@ -16,9 +16,9 @@ from .common import documents, restored, set_aside, written
 SPACE = r"[ \t-\r]+"
 #: What stands between the words that are counted.
 APART = r"[^\p{L}]+"
-#: Model sizes: languages with a reference and frequent words of each.
-LANGUAGES, WORDS = 64, 40
-#: Distances (0 to 1) up to which a document is like its language, and the least characters and words to judge by.
+#: Model size: frequent words of each language.
+WORDS = 40
+#: Distances (0 to 1) up to which a document is like its language, the least characters and words to judge by,
 #: and what is added for a short text (over the root of its length).
 MOST_CHARS, MOST_WORDS, LEAST_CHARS, LEAST_WORDS = 0.14, 0.34, 200, 40
 SPREAD_CHARS, SPREAD_WORDS = 0.8, 1.0
@@ -38,16 +38,24 @@ def base_rules(docs: DataFrame) -> DataFrame:
     out = docs.withColumns({"_words": words, "_lines": lines})
     out = out.withColumns({
         "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
-        "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        # Small letters and blanks, most of a text, go first; symbols are counted in the rest.
+        "n_symbols": F.length(F.regexp_replace(F.regexp_replace(text, r"[a-z \t-\r]+", ""), r"[^#*$%&|<>]+", "")).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         # A hash for the window that begins at each word but the last two: where all differ, no window occurs twice.
         "_hashes": F.when(F.size("_words") >= 3, F.slice(F.transform("_words", lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2))), F.lit(1), F.size("_words") - 2)),
     })
-    # Equal windows stand side by side once sorted; a start covers three words, or fewer up to the next start.
-    placed = F.array_sort(F.transform(F.slice("_words", F.lit(1), F.size("_words") - 2), lambda w, i: F.struct(F.concat_ws(" ", w, F.get("_words", i + 1), F.get("_words", i + 2)).alias("w"), i.alias("i"))))
+    # Windows with equal hashes stand side by side once sorted; a start covers three words, or fewer up to the next start.
+    placed = F.array_sort(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     out = out.withColumn("_placed", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), placed))
-    starts = F.array_sort(F.transform(F.filter("_placed", lambda x, k: (x["w"] == F.coalesce(F.get("_placed", k - 1)["w"], F.lit(""))) | (x["w"] == F.coalesce(F.get("_placed", k + 1)["w"], F.lit("")))), lambda x: x["i"]))
+
+    def repeats(x: Column, k: Column) -> Column:
+        """Whether the window ``x`` is that of place ``k``: equal hashes, and then equal words."""
+        y = F.get("_placed", k)
+        same = [F.get("_words", x["i"] + j) == F.get("_words", y["i"] + j) for j in range(3)]
+        return F.coalesce((x["h"] == y["h"]) & same[0] & same[1] & same[2], F.lit(False))
+
+    starts = F.array_sort(F.transform(F.filter("_placed", lambda x, k: repeats(x, k - 1) | repeats(x, k + 1)), lambda x: x["i"]))
     out = out.withColumn("_starts", starts)
     covered = F.aggregate(
         "_starts",
@@ -60,52 +68,59 @@ def base_rules(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", failed).drop("_words", "_lines", "_hashes", "_placed", "_starts")
 
 
-def vocabulary(docs: DataFrame) -> list[str]:
-    """The ``WORDS`` most frequent words of each of the ``LANGUAGES`` most frequent labels, over all documents."""
-    labelled = docs.where("lang is not null and text is not null")
-    langs = [r["lang"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    words = labelled.where(F.col("lang").isin(langs)).select("lang", F.explode(F.split(F.lower("text"), APART)).alias("word"))
+def most_frequent(counts: DataFrame) -> DataFrame:
+    """The ``WORDS`` most frequent words of each language; ``counts``: ``lang, word, n``.  Ties go by the word."""
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    top = words.where("word != ''").groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("rank", rank).where(F.col("rank") <= WORDS)
-    return sorted({r["word"] for r in top.collect()})
+    return counts.withColumn("_rank", rank).where(F.col("_rank") <= WORDS).drop("_rank")
+
+
+def vocabulary(docs: DataFrame) -> list[str]:
+    """The most frequent words of every label, over all documents: at most ``WORDS`` for each language."""
+    words = docs.where("lang is not null and text is not null").select("lang", F.explode(F.split(F.lower("text"), APART)).alias("word"))
+    top = most_frequent(words.where("word != ''").groupBy("lang", "word").agg(F.count("*").alias("n")))
+    return sorted(r["word"] for r in top.select("word").distinct().collect())
 
 
 def profiles(docs: DataFrame, words: list[str]) -> DataFrame:
     """Adds ``_chars`` (counts by character class), ``_tokens`` (the number of words of letters) and
-    ``_bins`` (place in ``words`` and count of each frequent word that occurs)."""
+    ``_bins`` (each of ``words`` that occurs, with its count) to rows with ``word_chars``."""
     text = F.coalesce("text", F.lit(""))
-    out = docs.withColumns({"_n": F.length(text), "_rest": F.regexp_replace(text, r"[a-z]+", "")})
-    # Lower-case ASCII letters go first; the other classes are counted in the short rest.
+    out = docs.withColumns({"_n": F.length(text), "_rest": F.regexp_replace(text, r"[a-z \t-\r]+", "")})
+    # ASCII small letters and blanks go first; the other classes are counted in the short rest.
     count = lambda pattern: F.length("_rest") - F.length(F.regexp_replace("_rest", pattern, ""))
     classes = {
-        "upper": r"\p{Lu}+", "small": r"\p{Ll}+", "digit": r"[0-9]+", "blank": SPACE, "stop": r"[.,;:'\"()?-]+", "bar": r"[|/\\<>{}\[\]=]+", "symbol": r"[#*$%&!@^_+~`]+",
+        "upper": r"\p{Lu}+", "small": r"\p{Ll}+", "digit": r"[0-9]+", "stop": r"[.,;:'\"()?-]+", "bar": r"[|/\\<>{}\[\]=]+", "symbol": r"[#*$%&!@^_+~`]+",
     }
     out = out.withColumns({f"_c_{k}": count(v) for k, v in classes.items()})
     known = sum((F.col(f"_c_{k}") for k in classes), F.lit(0))
-    plain = F.col("_n") - F.length("_rest") + F.col("_c_small") + F.col("_c_digit")
-    counts = [plain, *[F.col(f"_c_{k}") for k in classes if k not in ("small", "digit")], F.length("_rest") - known]
+    plain = F.col("word_chars") - F.length("_rest") + F.col("_c_small") + F.col("_c_digit")
+    counts = [plain, F.col("_c_upper"), F.col("_n") - F.col("word_chars"), F.col("_c_stop"), F.col("_c_bar"), F.col("_c_symbol"), F.length("_rest") - known]
     out = out.withColumn("_chars", F.array(*[x.cast("double") for x in counts])).drop("_n", "_rest", *[f"_c_{k}" for k in classes])
-    place = F.array(*map(F.lit, words)).cast("array<string>")
     out = out.withColumn("_list", F.filter(F.split(F.lower(text), APART), lambda w: w != ""))
-    out = out.withColumn("_seen", F.array_intersect("_list", place))
-    out = out.withColumn("_common", F.filter("_list", lambda w: F.array_contains(F.col("_seen"), w)))
+    out = out.withColumn("_common", F.filter("_list", lambda w: w.isin(words)))
+    out = out.withColumn("_seen", F.array_distinct("_common"))
     n = lambda w: F.size("_common") - F.size(F.array_remove("_common", w))
-    bins = F.transform("_seen", lambda w: F.struct(F.array_position(place, w).cast("int").alias("k"), n(w).cast("double").alias("n")))
+    bins = F.transform("_seen", lambda w: F.struct(w.alias("w"), n(w).cast("double").alias("n")))
     return out.withColumns({"_tokens": F.size("_list").cast("double"), "_bins": bins}).drop("_list", "_seen", "_common")
 
 
-def references(profiled: DataFrame) -> list[dict]:
-    """Shares of classes and frequent words for each language: at most ``LANGUAGES`` rows."""
+def references(profiled: DataFrame) -> DataFrame:
+    """One row ``refs``: for every language the shares of the classes, its most frequent words, their
+    shares, and the sum of these.  A few dozen numbers for each label that occurs."""
     own = profiled.where("lang is not null")
-    sums = own.groupBy("lang").agg(F.array(*[F.sum(F.get("_chars", F.lit(i))) for i in range(CLASSES)]).alias("chars"), F.count("*").alias("n"), F.sum("_tokens").alias("tokens"))
-    langs = sums.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    counts = own.where(F.col("lang").isin([r["lang"] for r in langs])).select("lang", F.explode("_bins").alias("b")).groupBy("lang", "b.k").agg(F.sum("b.n").alias("n")).collect()
-    out = []
-    for r in langs:
-        total, tokens = sum(r["chars"]), r["tokens"]
-        if total and tokens:
-            out.append({"lang": r["lang"], "chars": [x / total for x in r["chars"]], "words": {c["k"]: c["n"] / tokens for c in counts if c["lang"] == r["lang"]}})
-    return out
+    sums = own.groupBy("lang").agg(F.array(*[F.sum(F.get("_chars", F.lit(i))) for i in range(CLASSES)]).alias("chars"), F.sum("_tokens").alias("tokens"))
+    total = F.aggregate("chars", F.lit(0.0), lambda s, x: s + x)
+    sums = sums.withColumn("total", total).where("total > 0 and tokens > 0")
+    counts = own.select("lang", F.explode("_bins").alias("b")).groupBy("lang", F.col("b.w").alias("word")).agg(F.sum("b.n").alias("n"))
+    words = most_frequent(counts).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("word", "n"))).alias("words"))
+    shares = F.transform("words", lambda x: x["n"] / F.col("tokens"))
+    one = sums.join(words, "lang", "left").select(
+        "lang", F.transform("chars", lambda x: x / F.col("total")).alias("chars"),
+        F.coalesce(F.transform("words", lambda x: x["word"]), F.expr("cast(array() as array<string>)")).alias("words"),
+        F.coalesce(shares, F.expr("cast(array() as array<double>)")).alias("shares"),
+        F.coalesce(F.aggregate(shares, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)).alias("known"),
+    )
+    return one.agg(F.array_sort(F.collect_list(F.struct("lang", "chars", "words", "shares", "known"))).alias("refs"))
 
 
 def term(p: Column, q: Column) -> Column:
@@ -114,52 +129,44 @@ def term(p: Column, q: Column) -> Column:
     return (half(p) + half(q)) / 2
 
 
-def adding(q: Column):
-    """Sums over the bins of frequent words: divergence and both shares; ``q``: the reference's shares."""
-    share = lambda b: b["n"] / F.col("_tokens")
-    return lambda s, b: F.struct((s["d"] + term(share(b), F.get(q, b["k"] - 1))).alias("d"), (s["p"] + share(b)).alias("p"), (s["q"] + F.get(q, b["k"] - 1)).alias("q"))
-
-
-def class_divergence(ref: dict, total: Column) -> Column:
-    return sum((term(F.get("_chars", F.lit(k)) / F.greatest(total, F.lit(1.0)), F.lit(q)) for k, q in enumerate(ref["chars"])), F.lit(0.0))
+def class_divergence(ref: Column) -> Column:
+    """Jensen-Shannon divergence of ``_chars`` from a reference's classes."""
+    terms = F.zip_with("_chars", ref["chars"], lambda n, q: term(n / F.greatest(F.lit(1.0), "_total"), q))
+    return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
 
 
-def word_divergence(ref: dict, words: int) -> Column:
-    """Jensen-Shannon divergence of the frequent words from a reference's."""
-    zero, known = F.lit(0.0), sum(ref["words"].values())
-    q = F.array(*[F.lit(float(ref["words"].get(k, 0.0))) for k in range(1, words + 1)]).cast("array<double>")
-    # Bins of frequent words that do not occur, then the bin of all other words.
-    whole = lambda s: s["d"] + F.greatest(zero, F.lit(known) - s["q"]) / 2 + term(F.greatest(zero, 1 - s["p"]), F.lit(max(0.0, 1 - known)))
-    return F.aggregate("_bins", F.struct(zero.alias("d"), zero.alias("p"), zero.alias("q")), adding(q), whole)
+def word_divergence(ref: Column) -> Column:
+    """Jensen-Shannon divergence over a reference's frequent words, and the bin of all other words."""
+    zero, one = F.lit(0.0), F.lit(1.0)
+    own = F.transform("_bins", lambda b: F.struct((b["n"] / F.col("_tokens")).alias("p"), F.get(ref["shares"], F.array_position(ref["words"], b["w"]).cast("int") - 1).alias("q")))
+    own = F.filter(own, lambda x: x["q"].isNotNull())
+    add = lambda s, x: F.struct((s["d"] + term(x["p"], x["q"])).alias("d"), (s["p"] + x["p"]).alias("p"), (s["q"] + x["q"]).alias("q"))
+    # Frequent words that do not occur, then the bin of all other words.
+    whole = lambda s: s["d"] + F.greatest(zero, ref["known"] - s["q"]) / 2 + term(F.greatest(zero, one - s["p"]), F.greatest(zero, one - ref["known"]))
+    return F.aggregate(own, F.struct(zero.alias("d"), zero.alias("p"), zero.alias("q")), add, whole)
 
 
-def judged(profiled: DataFrame, refs: list[dict], words: int) -> DataFrame:
+def judged(profiled: DataFrame, refs: DataFrame) -> DataFrame:
     """Adds ``like_language`` and the distances ``char_distance`` and ``word_distance`` of the nearest
     reference for rows that pass the base rules: of the own language's, or if the text is not like
-    that (or has no such language) of all.  The literals are bounded: at most ``LANGUAGES`` x (``LANGUAGES`` x ``WORDS`` + 8) numbers."""
-    if not refs:
-        return profiled.withColumns({"like_language": F.lit(True), "char_distance": F.lit(None).cast("double"), "word_distance": F.lit(None).cast("double")})
-    one, zero, far = F.lit(1.0), F.lit(0.0), F.lit(float("inf"))
-    out = profiled.withColumn("_total", F.aggregate("_chars", zero, lambda s, x: s + x))
+    that (or has no such language) of all.  Of references equally near, the one with the smaller distances counts."""
+    zero, one = F.lit(0.0), F.lit(1.0)
+    out = profiled.withColumns({"_refs": refs.scalar(), "_total": F.aggregate("_chars", zero, lambda s, x: s + x)})
     long_enough, enough_words = F.col("_total") >= LEAST_CHARS, F.col("_tokens") >= LEAST_WORDS
     # Few words scatter: a limit is wider for a short text.
     most_chars, most_words = MOST_CHARS + SPREAD_CHARS / F.sqrt(F.greatest(one, "_total")), MOST_WORDS + SPREAD_WORDS / F.sqrt(F.greatest(one, "_tokens"))
-    labelled = F.coalesce(F.col("lang").isin([r["lang"] for r in refs]), F.lit(False))
-    out = out.withColumns({f"_dc_{i}": F.sqrt(F.greatest(zero, class_divergence(r, F.col("_total")))) for i, r in enumerate(refs)})
+    root = lambda x: F.sqrt(F.greatest(zero, x))
 
-    def worst(i: int) -> Column:
-        by_words = F.when(enough_words, F.coalesce(F.col(f"_dw_{i}") / most_words, far)).otherwise(zero)
-        return F.when(F.col(f"_dw_{i}").isNull(), far).otherwise(F.greatest(F.when(long_enough, F.col(f"_dc_{i}") / most_chars).otherwise(zero), by_words))
+    def nearest(of: Column) -> Column:
+        apart = F.transform(of, lambda r: F.struct(F.when(long_enough, root(class_divergence(r))).alias("char"), F.when(enough_words, root(word_divergence(r))).alias("word")))
+        return F.array_min(F.transform(apart, lambda x: F.struct(F.greatest(F.coalesce(x["char"] / most_chars, zero), F.coalesce(x["word"] / most_words, zero)).alias("worst"), x["char"].alias("char"), x["word"].alias("word"))))
 
-    asked = {i: ~F.col("base_failed") & (~labelled | (F.col("lang") == r["lang"])) for i, r in enumerate(refs)}
-    out = out.withColumns({f"_dw_{i}": F.when(asked[i], F.sqrt(F.greatest(zero, word_divergence(r, words)))) for i, r in enumerate(refs)})
-    out = out.withColumn("_alike", F.least(far, *[worst(i) for i in range(len(refs))]) <= 1)
-    more = {i: ~F.col("base_failed") & labelled & ~F.col("_alike") & (F.col("lang") != r["lang"]) for i, r in enumerate(refs)}
-    out = out.withColumns({f"_dw_{i}": F.when(more[i], F.sqrt(F.greatest(zero, word_divergence(r, words)))).otherwise(F.col(f"_dw_{i}")) for i, r in enumerate(refs)})
-    out = out.withColumn("_best", F.array_min(F.array(*[F.struct(worst(i).alias("worst"), F.col(f"_dc_{i}").alias("char"), F.col(f"_dw_{i}").alias("word")) for i in range(len(refs))])))
-    known = ~F.col("base_failed")
-    out = out.withColumns({"like_language": F.col("_best.worst") <= 1, "char_distance": F.when(known & long_enough, F.col("_best.char")), "word_distance": F.when(known & enough_words, F.col("_best.word"))})
-    return out.drop("_best", "_total", "_alike", *[f"_{k}_{i}" for i in range(len(refs)) for k in ("dc", "dw")])
+    passes = ~F.col("base_failed")
+    out = out.withColumn("_own", F.when(passes, nearest(F.filter("_refs", lambda r: r["lang"] == F.col("lang")))))
+    alike = F.coalesce(F.col("_own.worst") <= 1, F.lit(False))
+    out = out.withColumn("_best", F.when(alike, F.col("_own")).when(passes, nearest(F.col("_refs"))))
+    like = F.when(F.size("_refs") == 0, True).otherwise(F.coalesce(F.col("_best.worst") <= 1, F.lit(False)))
+    return out.withColumns({"like_language": like, "char_distance": F.col("_best.char"), "word_distance": F.col("_best.word")}).drop("_refs", "_total", "_own", "_best")
 
 
 def quality(docs: DataFrame, carry: tuple[str, ...] | None = None) -> DataFrame:
@@ -177,8 +184,9 @@ def quality(docs: DataFrame, carry: tuple[str, ...] | None = None) -> DataFrame:
     own = [c for c in df.columns if c != "text" or "text" in carried]
     table = written(profiles(base_rules(df), words).select(*own, *ADDED[:6], "_chars", "_tokens", "_bins"), "profiles")
     passing = table.where("not base_failed")
-    refs = references(judged(passing, references(passing), len(words)).where("like_language"))
-    out = judged(table, refs, len(words))
+    first = written(references(passing), "references")
+    refs = written(references(judged(passing, first).where("like_language")), "references")
+    out = judged(table, refs)
     return restored(out.withColumn("kept", ~F.col("base_failed") & F.col("like_language")), carried, *ADDED)
 
 
