@@ -26,6 +26,25 @@ def restored(df: DataFrame, columns: list[str], *new: str) -> DataFrame:
     return df.select(*kept, *new)
 
 
+#: A key that has more than one in so many of all rows is joined by broadcast; there are at most so many.
+HOT = 1000
+
+
+def joined_by_key(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with ``right``, which has one row for each key and, as ``rows``, how many rows of ``left`` may have it.
+
+    The rows of a hot key stay where they are: at most ``HOT`` rows of ``right`` go to all tasks.  All others are
+    joined by shuffle, where no key has more than one in ``HOT`` of the rows."""
+    right = written(right, "keys")
+    total = right.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    hot, others = right.where(F.col("rows") * HOT > total), right.where(F.col("rows") * HOT <= total)
+    columns = [c for c in right.columns if c not in (*keys, "rows")]
+    near = left.join(F.broadcast(hot.drop("rows")), keys)
+    far = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(others.drop("rows"), keys)
+    out = [*keys, *(c for c in left.columns if c not in keys), *columns]
+    return near.select(*out).union(far.select(*out))
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow column as UTF-8; null counts as the empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

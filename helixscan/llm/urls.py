@@ -1,30 +1,39 @@
 """URL filter by a tree of path templates for each host, with DataFrame functions only.
 
-A path is a row of segments.  A segment that varies is a wildcard: by its look (digits, ids of
-letters and digits) or because its siblings under the same parent are many.  A template is the generalised path.
-Rules label the urls that they fit, and words that name spam label others as blocked.  From these
-labels every template gets a smoothed share of blocked urls: its own counts, or those of the labelled
-templates of its host that are statistically similar to the host (which are merged), drawn towards
-the host and towards all urls.  Urls that no rule fits are blocked where their template's share is
-above one half and enough of its urls are labelled; a template without labels is not rejected.
+A path is a row of segments, of any number.  A segment becomes a wildcard by its look (digits, ids of
+letters and digits), or because its siblings below the same parent are many; that is asked ``ROUNDS``
+times, since parents become the same when the segments above them do.  The generalised paths of a host, its
+templates, are the leaves of a tree of prefixes.
+
+Labels are what is known of some urls: the verdict of the rule that fits, or words that speak for
+spam.  A node's purity is the share of blocked urls below it, where a url without label counts by the share of its
+host.  Siblings whose purities a two-sample test cannot tell apart are merged and share their counts.
+From the host down, every node's purity is smoothed towards its parent's.  A url that no rule fits is blocked
+by the odds of its template and of its own words together: a template that is mostly blocked takes
+urls without any such word along, and a word in a clean branch is not enough.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import restored, set_aside
+from .common import joined_by_key, restored, set_aside, written
 
 #: (verdict, host, path prefix)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Siblings of a varying segment: at least so many, and so many for each url below their parent.
-SIBLINGS, SPREAD = 12, 0.2
-#: Weights of the next wider share; deviation from the host, in standard errors, up to which templates are pooled.
-PRIOR, SIMILAR, REJECT, COVERED = 4.0, 2.0, 0.5, 0.1
-#: Words in a host or path that name spam (fixed values).
-SPAM = r"(?i)(?:^|[^a-z])(?:spam|casino|poker|bets?|betting|pills?|viagra|cialis|porn|xxx|escorts?|payday|ads|adserver|track|tracker|malware|phishing|warez)(?:[^a-z]|$)"
-DEPTH = 3
+#: Siblings of a varying segment: at least so many, and so many for each url below their parent; how often that is asked.
+SIBLINGS, SPREAD, ROUNDS = 12, 0.2, 3
+#: Weight of the next wider share, and standard errors up to which siblings are merged.
+PRIOR, SIMILAR = 4.0, 2.0
+#: Siblings whose shares round to the same one of so many steps are merged without a test.
+STEPS = 64
+#: How often blocked and other urls have a word that speaks for spam; the odds above which a url is blocked.
+WORD_IF_BAD, WORD_IF_GOOD, REJECT = 0.6, 0.01, 1.0
+#: Words in a host or path that speak for spam (fixed values).
+SPAM = r"(?i)(?:^|[^a-z])(?:spam|casino|poker|bets?|betting|pills?|viagra|cialis|porn|xxx|escorts?|payday|adserver|malware|phishing|warez)(?:[^a-z]|$)"
 FROM, TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -56,61 +65,94 @@ def looks(segment: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(segment, "[0-9]+", "*"), r"(?:[A-Za-z]*\*){3,}[A-Za-z]*", "*")
 
 
-def share(bad: Column, n: Column, prior: Column, weight: float = PRIOR) -> Column:
-    return (bad + F.lit(weight) * prior) / (n + F.lit(weight))
+def share(bad: Column, n: Column, prior: Column) -> Column:
+    return (bad + F.lit(PRIOR) * prior) / (n + F.lit(PRIOR))
+
+
+def levels(paths: DataFrame, *keep: str) -> DataFrame:
+    """A row for every segment of every path: ``level`` (from 0), ``parent`` (a hash of the segments before) and ``segment``."""
+    return paths.select(*keep, "segs", F.posexplode("segs").alias("level", "segment")).select(*keep, "level", F.xxhash64(F.slice("segs", F.lit(1), F.col("level"))).alias("parent"), "segment")
+
+
+def generalised(paths: DataFrame) -> DataFrame:
+    """``paths`` (``id, host, segs, n`` and others) with wildcards for the segments that vary below their parent."""
+    nodes = levels(paths, "host", "n").groupBy("host", "level", "parent", "segment").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    below = nodes.groupBy("host", "level", "parent").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+    varies = below.where((F.col("kinds") >= SIBLINGS) & (F.col("kinds") >= SPREAD * F.col("n"))).select("host", "level", "parent", "rows")
+    found = joined_by_key(levels(paths, "id", "host").drop("segment"), varies, ["host", "level", "parent"])
+    wild = found.groupBy("id").agg(F.collect_set("level").alias("wild"))
+    segs = F.transform("segs", lambda s, i: F.when(F.array_contains("wild", i), "*").otherwise(s))
+    return paths.join(wild, "id", "left").withColumn("segs", F.when(F.col("wild").isNull(), F.col("segs")).otherwise(segs)).select(*paths.columns)
+
+
+def merged_siblings(nodes: DataFrame) -> DataFrame:
+    """``host, level, parent, segment, rows`` with the counts ``n`` and ``bad`` of the group of similar siblings that each is in.
+
+    Siblings in order of their shares: a step where two neighbours differ by more than the error of two
+    samples begins a new group.  Of siblings with nearly the same share, one row stands for all, so that
+    a parent has at most ``STEPS + 1`` rows to order."""
+    nodes = nodes.withColumn("step", F.round(F.col("bad") / F.col("n") * STEPS).cast("int"))
+    steps = nodes.groupBy("host", "level", "parent", "step").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count("*").alias("rows"))
+    order = Window.partitionBy("host", "level", "parent").orderBy("step")
+    before = {k: F.lag(k).over(order) for k in ("n", "bad")}
+    both = (F.col("bad") + before["bad"]) / (F.col("n") + before["n"])
+    error = F.sqrt(F.greatest(F.lit(0.0), both * (1 - both)) * (1 / F.col("n") + 1 / before["n"]))
+    apart = F.coalesce((F.col("bad") / F.col("n") - before["bad"] / before["n"] > SIMILAR * error + 1e-9).cast("int"), F.lit(0))
+    steps = steps.withColumn("apart", apart).withColumn("group", F.sum("apart").over(order))
+    whole = Window.partitionBy("host", "level", "parent", "group")
+    steps = steps.select("host", "level", "parent", "step", "rows", F.sum("n").over(whole).alias("n"), F.sum("bad").over(whole).alias("bad"))
+    own = nodes.select("host", "level", "parent", "segment", "step", F.col("rows").alias("below"))
+    return joined_by_key(own, steps, ["host", "level", "parent", "step"]).select("host", "level", "parent", "segment", "n", "bad", F.col("below").alias("rows"))
 
 
 def template_shares(rows: DataFrame) -> DataFrame:
-    """``host, s1, s2, tail`` with the blocked ``share`` of their template (null if too few are labelled).  ``rows``: ``host, s1, s2, tail, bad``
-    (1 blocked, 0 allowed, null not labelled)."""
-    paths = rows.groupBy("host", "s1", "s2", "tail").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
-    # Second level first, then the first level: a parent with many different children has a wildcard.
-    below = paths.groupBy("host", "s1").agg(F.countDistinct("s2").alias("kinds"), F.sum("n").alias("urls"))
-    varies = (F.col("kinds") >= SIBLINGS) & (F.col("kinds") >= SPREAD * F.col("urls"))
-    paths = paths.join(below.select("host", "s1", varies.alias("vary2")), ["host", "s1"])
-    top = paths.groupBy("host").agg(F.countDistinct("s1").alias("kinds"), F.sum("n").alias("urls"), F.sum("labelled").alias("host_labelled"), F.sum("bad").alias("host_bad"))
-    paths = paths.join(top.select("host", varies.alias("vary1"), "host_labelled", "host_bad"), "host")
-    paths = paths.withColumns({"t1": F.when(F.col("vary1"), "*").otherwise(F.col("s1")), "t2": F.when(F.col("vary2"), "*").otherwise(F.col("s2"))})
-    templates = paths.groupBy("host", "t1", "t2", "tail").agg(
-        F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.first("host_labelled").alias("host_labelled"), F.first("host_bad").alias("host_bad"), F.sum("n").alias("urls")
-    )
-    mean = F.lit(rows.agg(F.coalesce(F.avg("bad"), F.lit(0.0))).first()[0])  # one number
-    # Branches whose share lies within the error of their host's are pooled.
-    p = share(F.col("host_bad"), F.col("host_labelled"), mean)
-    error = F.sqrt(p * (1 - p) / F.greatest(F.col("labelled"), F.lit(1)))
-    templates = templates.withColumns({"host_share": p, "similar": (F.col("labelled") > 0) & (F.abs(F.col("bad") / F.col("labelled") - p) <= SIMILAR * error + 1e-9)})
-    pools = templates.where("similar").groupBy("host").agg(F.sum("labelled").alias("pool_labelled"), F.sum("bad").alias("pool_bad"))
-    templates = templates.join(pools, "host", "left")
-    own = F.when(F.col("similar"), share(F.col("pool_bad"), F.col("pool_labelled"), F.col("host_share"))).otherwise(share(F.col("bad"), F.col("labelled"), F.col("host_share")))
-    templates = templates.withColumn("share", F.when(F.col("labelled") > COVERED * F.col("urls"), own))
-    return paths.select("host", "s1", "s2", "tail", "t1", "t2").join(templates.select("host", "t1", "t2", "tail", "share"), ["host", "t1", "t2", "tail"]).select("host", "s1", "s2", "tail", "share")
-
-
-def judged_urls(pages: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
-    """Judges every url.  Adds ``host, path, rule`` (null if none fits), ``share`` (of its template; null if a
-    rule fits or too few of its urls are labelled) and ``verdict`` to the rows.
+    """``host, key, share, rows``: the smoothed purity of every path's template.  ``rows``: ``host, key, segs, bad`` for each url
+    (``key``: the path by its look; ``bad``: 1 blocked, 0 allowed, null not labelled)."""
+    paths = rows.groupBy("host", "key").agg(F.any_value("segs").alias("segs"), F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
+    paths = written(paths.withColumn("id", F.monotonically_increasing_id()), "paths")
+    total = paths.agg(F.coalesce(F.sum("bad") / F.sum("n"), F.lit(0.0))).first()[0]  # one number
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("bad").alias("host_bad"), F.count("*").alias("rows"))
+    hosts = hosts.select("host", share(F.col("host_bad"), F.col("host_n"), F.lit(total)).alias("host_share"), "rows")
+    for _ in range(ROUNDS):
+        paths = written(generalised(paths), "paths")
+    # A url without label counts by its host's share.
+    paths = joined_by_key(paths.withColumn("template", F.concat_ws("/", "segs")), hosts, ["host"])
+    paths = written(paths.withColumn("bad", F.col("bad") + (F.col("n") - F.col("labelled")) * F.col("host_share")), "paths")
+    templates = paths.groupBy("host", "template").agg(F.any_value("segs").alias("segs"), F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.any_value("host_share").alias("host_share"), F.count("*").alias("rows"))
+    templates = written(templates.withColumn("id", F.monotonically_increasing_id()), "templates")
+    nodes = levels(templates, "host", "n", "bad").groupBy("host", "level", "parent", "segment").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count("*").alias("rows"))
+    nodes = merged_siblings(written(nodes, "nodes"))
+    above = joined_by_key(levels(templates, "id", "host"), nodes, ["host", "level", "parent", "segment"])
+    above = above.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("level", "n", "bad"))).alias("above"))
+    smoothed = F.aggregate("above", F.col("host_share"), lambda s, x: share(x["bad"], x["n"], s))
+    shares = templates.join(above, "id", "left").select("host", "template", F.coalesce(smoothed, "host_share").alias("share"), "rows")
+    return joined_by_key(paths.select("host", "key", "n", "template"), shares, ["host", "template"]).select("host", "key", "share", F.col("n").alias("rows"))
+
+
+def judged_urls(pages: DataFrame, rules=RULES, url: str = "url", label: Column | None = None) -> DataFrame:
+    """Judges every url.  Adds ``host, path, rule`` (null if none fits), ``share`` (the purity of its template; null if a
+    rule fits) and ``verdict`` to the rows.  ``label``: what else is known of a row (1 blocked, 0 allowed, else null).
 
     A null url or one without ``://`` has an empty host and path and is judged like any other url
-    of that host.  Repeated rows repeat; an empty table gives an empty table; columns named like the
-    new ones are replaced."""
+    of that host.  Repeated rows repeat and count as often; an empty table gives an empty table; columns named like the
+    new ones are replaced; odds that are exactly even allow.  A path may have any number of segments."""
     new = ("host", "path", "rule", "share", "verdict")
-    df = set_aside(pages, url)
-    kept = df.columns
+    given = F.lit(None).cast("int") if label is None else label.cast("int")
+    df = set_aside(pages.withColumn("_label", given), url, "_label")
+    kept = [c for c in df.columns if c != "_label"]
     df = df.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     name, verdict = ruled(F.col("host"), F.col("path"), rules)
-    df = df.withColumns({"rule": name, "_verdict": verdict})
-    segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    df = df.withColumn("_s", F.transform(segments, looks))
-    level = lambda i: F.coalesce(F.get("_s", F.lit(i)), F.lit(""))
-    # Levels beyond the second are told apart by their number, up to a fixed depth.
-    df = df.withColumns({"_s1": level(0), "_s2": level(1), "_tail": F.least(F.size("_s"), F.lit(DEPTH))}).drop("_s")
-    rows = df.select("host", F.col("_s1").alias("s1"), F.col("_s2").alias("s2"), F.col("_tail").alias("tail"), F.when(F.col("_verdict") == "block", 1).when(F.col("_verdict") == "allow", 0).when(F.col("host").rlike(SPAM) | F.col("path").rlike(SPAM), 1).alias("bad"))
-    shares = template_shares(rows)
+    word = F.col("host").rlike(SPAM) | F.col("path").rlike(SPAM)
+    segs = F.filter(F.transform(F.split("path", "/"), looks), lambda s: s != "")
+    df = df.withColumns({"rule": name, "_verdict": verdict, "_word": word, "segs": segs})
+    bad = F.when(F.col("_verdict") == "block", 1).when(F.col("_verdict") == "allow", 0).otherwise(F.coalesce("_label", F.when(F.col("_word"), 1)))
+    df = written(df.withColumns({"key": F.concat_ws("/", "segs"), "bad": bad}).drop("_label"), "urls")
+    shares = template_shares(df.select("host", "key", "segs", "bad"))
     ready = df.where("_verdict is not null").select(*kept, "host", "path", "rule", F.lit(None).cast("double").alias("share"), F.col("_verdict").alias("verdict"))
-    rest = df.where("_verdict is null").join(
-        shares.select("host", F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), F.col("tail").alias("_tail"), "share"), ["host", "_s1", "_s2", "_tail"]
-    )
-    out = ready.union(rest.select(*kept, "host", "path", "rule", "share", F.when(F.col("share") > REJECT, "block").otherwise("allow").alias("verdict")))
+    rest = joined_by_key(df.where("_verdict is null").select(*kept, "host", "path", "rule", "key", "_word"), shares, ["host", "key"])
+    told = F.when(F.col("_word"), WORD_IF_BAD / WORD_IF_GOOD).otherwise((1 - WORD_IF_BAD) / (1 - WORD_IF_GOOD))
+    blocked = F.col("share") * told > REJECT * (1 - F.col("share"))
+    out = ready.union(rest.select(*kept, "host", "path", "rule", "share", F.when(blocked, "block").otherwise("allow").alias("verdict")))
     return restored(out, pages.columns, *new)
 
 
@@ -119,28 +161,43 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in SQL."""
+    """The same in SQL, node by node."""
     names, verdicts = [], []
     for verdict, host, path in sorted(RULES, key=lambda r: -len(r[1] + r[2])):
         fit = f"WHEN (host = '{host}' OR host LIKE '%.{host}') AND path LIKE '{path}%'"
         names.append(f"{fit} THEN '{host}{path}'")
         verdicts.append(f"{fit} THEN '{verdict}'")
-    seg = lambda i: f"coalesce(segs[{i}], '')"
-    return f"""WITH cut AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') AS rest FROM pages),
+    node = lambda table: f"SELECT host, key, n, labelled, bad, segs, unnest(range(1, len(segs) + 1)) AS level FROM {table}"
+    at = "array_to_string(list_slice(segs, 1, level - 1), '/')"
+
+    def a_round(k: int) -> str:
+        return f"""e{k} AS (SELECT *, {at} AS parent, segs[level] AS segment FROM ({node(f"p{k}")}) x),
+v{k} AS (SELECT host, level, parent FROM e{k} GROUP BY host, level, parent HAVING count(DISTINCT segment) >= {SIBLINGS} AND count(DISTINCT segment) >= {SPREAD} * sum(n)),
+w{k} AS (SELECT host, key, list(level) AS wild FROM e{k} JOIN v{k} USING (host, level, parent) GROUP BY host, key),
+p{k + 1} AS (SELECT p.host, p.key, n, labelled, bad, CASE WHEN wild IS NULL THEN segs ELSE list_transform(segs, lambda s, i: CASE WHEN list_contains(wild, i) THEN '*' ELSE s END) END AS segs FROM p{k} p LEFT JOIN w{k} w ON p.host = w.host AND p.key = w.key)"""
+
+    rounds = reduce(lambda sql, k: f"{sql},\n{a_round(k)}", range(1, ROUNDS), a_round(0))
+    share = lambda bad, n, prior: f"({bad} + {PRIOR} * {prior}) / ({n} + {PRIOR})"
+    return f"""WITH RECURSIVE cut AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') AS rest FROM pages),
 parts AS (SELECT page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), '{FROM}', '{TO}') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM cut),
-named AS (SELECT *, CASE {" ".join(names)} END AS rule, CASE {" ".join(verdicts)} END AS given,
- list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: regexp_replace(regexp_replace(s, '[0-9]+', '*', 'g'), '(?:[A-Za-z]*\\*){{3,}}[A-Za-z]*', '*', 'g')) AS segs FROM parts),
-r AS (SELECT *, {seg(1)} AS s1, {seg(2)} AS s2, least(len(segs), {DEPTH}) AS tail,
- CASE WHEN given = 'block' THEN 1 WHEN given = 'allow' THEN 0 WHEN regexp_matches(host, '{SPAM}') OR regexp_matches(path, '{SPAM}') THEN 1 END AS bad FROM named),
-paths AS (SELECT host, s1, s2, tail, count(*) AS n, count(bad) AS labelled, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad FROM r GROUP BY host, s1, s2, tail),
-below AS (SELECT host, s1, count(DISTINCT s2) >= {SIBLINGS} AND count(DISTINCT s2) >= {SPREAD} * sum(n) AS vary2 FROM paths GROUP BY host, s1),
-top AS (SELECT host, count(DISTINCT s1) >= {SIBLINGS} AND count(DISTINCT s1) >= {SPREAD} * sum(n) AS vary1, sum(labelled) AS host_labelled, sum(bad) AS host_bad FROM paths GROUP BY host),
-t AS (SELECT p.*, CASE WHEN vary1 THEN '*' ELSE p.s1 END AS t1, CASE WHEN vary2 THEN '*' ELSE p.s2 END AS t2, host_labelled, host_bad FROM paths p JOIN below b ON p.host = b.host AND p.s1 = b.s1 JOIN top ON p.host = top.host),
-templates AS (SELECT host, t1, t2, tail, sum(labelled) AS labelled, sum(bad) AS bad, max(host_labelled) AS hl, max(host_bad) AS hb, sum(n) AS urls FROM t GROUP BY host, t1, t2, tail),
-p AS (SELECT *, (hb + {PRIOR} * (SELECT coalesce(avg(bad), 0.0) FROM r)) / (hl + {PRIOR}) AS p FROM templates),
-near AS (SELECT *, labelled > 0 AND abs(bad / CASE WHEN labelled = 0 THEN 1 ELSE labelled END - p) <= {SIMILAR} * sqrt(p * (1 - p) / greatest(labelled, 1)) + 1e-9 AS alike FROM p),
-pools AS (SELECT host, sum(labelled) AS pl, sum(bad) AS pb FROM near WHERE alike GROUP BY host),
-shares AS (SELECT s.host, t1, t2, tail, CASE WHEN labelled > {COVERED} * urls THEN CASE WHEN alike THEN (pb + {PRIOR} * p) / (pl + {PRIOR}) ELSE (bad + {PRIOR} * p) / (labelled + {PRIOR}) END END AS share FROM near s LEFT JOIN pools ON s.host = pools.host),
-own AS (SELECT t.host, t.s1, t.s2, t.tail, share FROM t JOIN shares s ON t.host = s.host AND t.t1 = s.t1 AND t.t2 = s.t2 AND t.tail = s.tail)
-SELECT page_id, r.host, path, rule, CASE WHEN given IS NOT NULL THEN given WHEN share > {REJECT} THEN 'block' ELSE 'allow' END AS verdict
-FROM r JOIN own ON r.host = own.host AND r.s1 = own.s1 AND r.s2 = own.s2 AND r.tail = own.tail"""
+named AS (SELECT *, CASE {" ".join(names)} END AS rule, CASE {" ".join(verdicts)} END AS given, regexp_matches(host, '{SPAM}') OR regexp_matches(path, '{SPAM}') AS word,
+ list_filter(list_transform(string_split(path, '/'), lambda s: regexp_replace(regexp_replace(s, '[0-9]+', '*', 'g'), '(?:[A-Za-z]*\\*){{3,}}[A-Za-z]*', '*', 'g')), lambda s: s <> '') AS segs FROM parts),
+r AS (SELECT *, array_to_string(segs, '/') AS key, CASE WHEN given = 'block' THEN 1 WHEN given = 'allow' THEN 0 WHEN word THEN 1 END AS bad FROM named),
+p0 AS (SELECT host, key, count(*) AS n, count(bad) AS labelled, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad, any_value(segs) AS segs FROM r GROUP BY host, key),
+{rounds},
+whole AS (SELECT coalesce(sum(bad) / sum(n), 0.0) AS g FROM p0),
+hosts AS (SELECT host, {share("sum(bad)", "sum(n)", "(SELECT g FROM whole)")} AS host_share FROM p0 GROUP BY host),
+q AS (SELECT p.host, key, n, bad + (n - labelled) * host_share AS bad, host_share, segs, array_to_string(segs, '/') AS template FROM p{ROUNDS} p JOIN hosts USING (host)),
+t AS (SELECT host, template, any_value(segs) AS segs, sum(n) AS n, sum(bad) AS bad, any_value(host_share) AS host_share FROM q GROUP BY host, template),
+te AS (SELECT *, {at} AS parent, segs[level] AS segment FROM (SELECT *, unnest(range(1, len(segs) + 1)) AS level FROM t) x),
+nodes AS (SELECT host, level, parent, segment, sum(n) AS n, sum(bad) AS bad, CAST(round(sum(bad) / sum(n) * {STEPS}) AS INTEGER) AS step FROM te GROUP BY host, level, parent, segment),
+steps AS (SELECT host, level, parent, step, sum(n) AS n, sum(bad) AS bad FROM nodes GROUP BY host, level, parent, step),
+beside AS (SELECT *, lag(n) OVER o AS n0, lag(bad) OVER o AS b0 FROM steps WINDOW o AS (PARTITION BY host, level, parent ORDER BY step)),
+parted AS (SELECT *, CASE WHEN bad / n - b0 / n0 > {SIMILAR} * sqrt(greatest(0.0, (bad + b0) / (n + n0) * (1 - (bad + b0) / (n + n0))) * (1 / n + 1 / n0)) + 1e-9 THEN 1 ELSE 0 END AS apart FROM beside),
+grouped AS (SELECT *, sum(apart) OVER (PARTITION BY host, level, parent ORDER BY step) AS grp FROM parted),
+pooled AS (SELECT host, level, parent, step, sum(n) OVER g AS n, sum(bad) OVER g AS bad FROM grouped WINDOW g AS (PARTITION BY host, level, parent, grp)),
+above AS (SELECT te.host, te.template, te.level, pooled.n, pooled.bad FROM te JOIN nodes USING (host, level, parent, segment) JOIN pooled ON pooled.host = te.host AND pooled.level = te.level AND pooled.parent = te.parent AND pooled.step = nodes.step),
+down AS (SELECT host, template, len(segs) AS depth, 0 AS level, host_share AS share FROM t
+ UNION ALL SELECT d.host, d.template, d.depth, d.level + 1, {share("a.bad", "a.n", "d.share")} FROM down d JOIN above a ON a.host = d.host AND a.template = d.template AND a.level = d.level + 1)
+SELECT page_id, r.host, path, rule, CASE WHEN given IS NOT NULL THEN given WHEN share * CASE WHEN word THEN {WORD_IF_BAD / WORD_IF_GOOD} ELSE {(1 - WORD_IF_BAD) / (1 - WORD_IF_GOOD)} END > {REJECT} * (1 - share) THEN 'block' ELSE 'allow' END AS verdict
+FROM r JOIN q ON r.host = q.host AND r.key = q.key JOIN down d ON d.host = q.host AND d.template = q.template AND d.level = d.depth"""

@@ -114,11 +114,53 @@ def test_urls(spark):
     assert urls.judged_urls(pages.limit(0)).count() == 0
 
 
-def test_templates_with_mostly_blocked_urls_are_rejected(spark):
-    rows = [(i, f"https://h.test/casino/{i}") for i in range(40)] + [(100 + i, f"https://h.test/news/{i}.html") for i in range(40)]
-    rows += [(200 + i, f"https://g.test/x/slug{'abc'[i % 3]}{i}") for i in range(30)]
-    verdict = {r["page_id"]: r["verdict"] for r in urls.judged_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
-    assert all(verdict[i] == "block" for i in range(40)) and all(v == "allow" for k, v in verdict.items() if k >= 100)
+def verdicts(spark, rows, **options):
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    return [r["verdict"] for r in urls.judged_urls(df, **options).orderBy("page_id").collect()]
+
+
+def test_the_tree_decides_urls_without_words(spark):
+    """Most slugs of a branch speak for spam: the others go along; a few words in a clean branch block only themselves."""
+    g = random.Random(2)
+    slug = lambda: "".join(g.choice("bcdfgh") for _ in range(8))
+    worded = [f"https://h.test/a/go/casino-{slug()}" for _ in range(40)]
+    along = [f"https://h.test/a/go/{slug()}" for _ in range(8)]
+    clean = [f"https://h.test/a/read/{slug()}" for _ in range(90)] + [f"https://k.test/{slug()}" for _ in range(90)]
+    few = [f"https://k.test/poker-{slug()}" for _ in range(10)]
+    one = [f"https://big.test/news/{slug()}" for _ in range(300)] + ["https://big.test/news/the-poker-face"]
+    found = verdicts(spark, worded + along + clean + few + one)
+    assert found[:48] == ["block"] * 48
+    assert found[48:228] == ["allow"] * 180
+    assert found[228:238] == ["block"] * 10
+    assert found[238:] == ["allow"] * 301  # one word in a large clean branch
+
+
+def test_segments_below_the_second_decide(spark):
+    """Labels of other sources; both branches differ in the fifth segment alone."""
+    rows = [f"https://h.test/blog/2024/{m}/x/{k}/page{i}" for m in ("may", "june") for k in ("offers", "recipes") for i in range(30)]
+    df = spark.createDataFrame([(i, u, 1 if "offers" in u and i % 3 else 0 if "recipes" in u and i % 3 else None) for i, u in enumerate(rows)], "page_id long, url string, known int")
+    found = {r["url"]: r["verdict"] for r in urls.judged_urls(df, label=F.col("known")).collect()}
+    assert all((v == "block") == ("offers" in u) for u, v in found.items())
+
+
+def test_parents_are_the_same_once_generalised(spark):
+    """Names vary, so that what is below them is counted together."""
+    rows = [(i, "h", [f"u{'abcdefghijklmnopqrstuvwxyz'[i]}", f"s{'abcdefghijklmnopqrstuvwxyz'[i]}x", "end"], 1) for i in range(26)]
+    paths = spark.createDataFrame(rows, "id long, host string, segs array<string>, n long")
+    once = urls.generalised(paths)
+    assert {tuple(r["segs"][:1]) for r in once.collect()} == {("*",)}
+    assert {tuple(r["segs"]) for r in urls.generalised(once).collect()} == {("*", "*", "end")}
+
+
+def test_similar_siblings_share_counts(spark):
+    rows = [("h", 0, 1, "a", 100, 5.0, 1), ("h", 0, 1, "b", 100, 9.0, 1), ("h", 0, 1, "c", 100, 90.0, 1), ("h", 0, 2, "a", 10, 1.0, 1)]
+    nodes = spark.createDataFrame(rows, "host string, level int, parent long, segment string, n long, bad double, rows long")
+    found = {(r["parent"], r["segment"]): (r["n"], r["bad"]) for r in urls.merged_siblings(nodes).collect()}
+    assert found == {(1, "a"): (200, 14.0), (1, "b"): (200, 14.0), (1, "c"): (100, 90.0), (2, "a"): (10, 1.0)}
+
+
+def test_very_long_urls(spark):
+    assert verdicts(spark, ["https://h.test/" + "a/" * 3000, "https://h.test/" + "b" * 50000, "https://h.test/x"]) == ["allow"] * 3
 
 
 def test_varying_segments_are_wildcards(spark):
