@@ -21,8 +21,10 @@ from .common import as_texts, documents, restored, set_aside, slices
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS, EMBED = 16, 12
-#: Bounds of the training sample of each language: rows, and characters of a row.
-ROWS_EACH, CHARS = 1200, 700
+#: Bounds of the training sample of each label: rows, and pieces of a row, of so many characters each.
+ROWS_EACH, PARTS, CHARS = 1200, 3, 512
+#: Steps of a hash as a number between 0 and 1.
+FINE = 1 << 53
 #: Steps of training, enough for so many languages; with more languages they grow in proportion.
 STEPS, STEPS_FOR = 900, 64
 
@@ -142,16 +144,16 @@ def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def training_rows(docs: DataFrame) -> list[tuple[str, str]]:
-    """A sample: of every label about ``ROWS_EACH`` rows (at most twice as many),
-    chosen by a hash of the id, and of each row at most ``CHARS`` characters from its start and as many from its middle."""
+    """A sample: of every label ``ROWS_EACH`` rows (all if there are no more), those with the least hashes of id and text,
+    and of each row ``PARTS`` pieces of ``CHARS`` characters that begin at hashed places of the whole text."""
     labelled = docs.where("text is not null and lang is not null and text rlike '\\\\p{L}'")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    least = (F.lit(1 << 20) * F.least(F.lit(1.0), F.lit(float(ROWS_EACH)) / F.col("count"))).cast("long")
-    likely = labelled.join(F.broadcast(labelled.groupBy("lang").count()), "lang").where(place < least)
-    # Ids that are null or repeated share a place.
-    chosen = likely.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy(place))).where(F.col("_rank") <= 2 * ROWS_EACH)
-    parts = F.array(F.substring("text", 1, CHARS), F.expr(f"substring(text, greatest(1, int(length(text) / 2)), {CHARS})"))
-    rows = chosen.select("lang", F.explode(parts).alias("text")).collect()
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(FINE)) / FINE
+    # First what is likely among the least: twice as many as asked for and some more, of any number of rows.
+    likely = labelled.join(F.broadcast(labelled.groupBy("lang").count()), "lang").withColumn("_place", place).where(F.col("_place") * F.col("count") < 2 * ROWS_EACH + 50)
+    chosen = likely.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_place", "doc_id"))).where(F.col("_rank") <= ROWS_EACH)
+    begin = lambda k: 1 + F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.lit(1), F.length("text") - CHARS + 1))
+    parts = F.array(*[F.substring("text", begin(k).cast("int"), F.lit(CHARS)) for k in range(PARTS)])
+    rows = chosen.select("lang", F.explode(F.array_distinct(parts)).alias("text")).collect()
     return sorted((r["lang"], r["text"]) for r in rows)
 
 
@@ -168,7 +170,7 @@ def train(rows: list[tuple[str, str]]) -> Tables | None:
 def predicted(docs: DataFrame, model: Tables | None, text: str = "text") -> DataFrame:
     """Adds ``lang_pred`` and ``score`` (the mean probability over all windows of the whole text,
     by length) to the rows.  A text that is null or has no letter, and every text where no labelled
-    row was given, is ``und`` with score 0.  Repeated rows repeat; an empty table gives an empty table;
+    row was given, is ``und`` with score 0; of labels equally likely the first by name counts.  Repeated rows repeat; an empty table gives an empty table;
     columns named like the new ones are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     df = set_aside(docs, text)
