@@ -23,7 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import as_bytes, documents, slices
 
 WIDTH, ROWS, DELAY_MS, BINS = 64, 256, 100, 8
+#: A file that asks for a larger canvas, in pixels, is not decoded: its frames would not fit a task.
+LARGEST = 1 << 24
 GREY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
+#: The palette of stored payloads: three bits of a sample are red, three green and two blue.
+_n = np.arange(256)
+COLOURS = np.stack([(_n >> 5) * 255 // 7, (_n >> 2 & 7) * 255 // 7, (_n & 3) * 85], axis=1).astype(np.uint8)
 FULL = 4096
 
 
@@ -90,7 +95,9 @@ def lzw_encode(data: bytes) -> bytes:
 
 
 def lzw_decode(stream: bytes, size: int) -> bytes:
-    """Samples of a code stream; one that breaks off gives what came before."""
+    """Samples of a code stream; one that breaks off gives what came before, and an impossible code is an error."""
+    if not 2 <= size <= 8:
+        raise ValueError(f"codes for samples of {size} bits")
     clear, end = 1 << size, (1 << size) + 1
     data = np.frombuffer(stream + bytes(4), np.uint8).astype(np.int64)
     total = 8 * len(stream)
@@ -113,8 +120,10 @@ def lzw_decode(stream: bytes, size: int) -> bytes:
         stops = np.flatnonzero((code == clear) | (code == end))
         k = int(stops[0]) if len(stops) else n
         for c in code[:k].tolist():
+            if c > len(table) or prev is None and c >= clear:
+                raise ValueError(f"code {c} before it is known")
             if prev is None:
-                entry = table[c] if c < len(table) else b""
+                entry = table[c]
             else:
                 entry = table[c] if c < len(table) else prev + prev[:1]
                 if len(table) < FULL:
@@ -137,10 +146,10 @@ def blocks(stream: bytes) -> bytes:
 
 
 def write_gif(samples: bytes, width: int = WIDTH, rows: int = ROWS, delay_ms: int = DELAY_MS) -> bytes:
-    """``samples`` (a positive multiple of ``width``) as frames of at most ``rows`` rows in greys."""
+    """``samples`` (a positive multiple of ``width``) as frames of at most ``rows`` rows, a fixed colour for each value."""
     height = min(len(samples) // width, rows)
     size = lambda a, b: a.to_bytes(2, "little") + b.to_bytes(2, "little")
-    out = [b"GIF89a", size(width, height), b"\xf7\0\0", GREY.tobytes()]
+    out = [b"GIF89a", size(width, height), b"\xf7\0\0", COLOURS.tobytes()]
     for i in range(0, len(samples), width * rows):
         part = samples[i : i + width * rows]
         out += [b"!\xf9\x04\x04", (delay_ms // 10).to_bytes(2, "little"), b"\0\0", b",\0\0\0\0", size(width, len(part) // width), b"\0\x08", blocks(lzw_encode(part))]
@@ -164,22 +173,28 @@ class Frame:
         return np.concatenate([np.bincount(level[:, c], minlength=bins) for c in range(3)]).tolist()
 
 
-def read_gif(data: bytes) -> list[Frame]:
-    """The frames of a GIF as shown one after the other."""
-    if data[:6] not in (b"GIF87a", b"GIF89a"):
+def frames_of(data: bytes) -> Iterator[Frame]:
+    """The frames of a GIF as shown, one after the other; raises ``ValueError`` if the file is damaged or cut off."""
+    if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     word = lambda i: int.from_bytes(data[i : i + 2], "little")
     width, height, flags, back = word(6), word(8), data[10], data[11]
     at = 13
-    palette = GREY
-    if flags & 0x80:
-        n = 2 << (flags & 7)
-        palette = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
+    if width * height > LARGEST:
+        raise ValueError(f"a canvas of {width} x {height}")
+
+    def colour_table(bits: int) -> np.ndarray:
+        nonlocal at
+        n = 2 << bits
         at += 3 * n
+        if at > len(data):
+            raise ValueError("cut off")
+        return np.frombuffer(data, np.uint8, 3 * n, at - 3 * n).reshape(n, 3)
+
+    palette = colour_table(flags & 7) if flags & 0x80 else GREY
     ground = palette[back] if back < len(palette) else np.zeros(3, np.uint8)
     canvas = np.empty((height, width, 3), np.uint8)
     canvas[:] = ground
-    frames: list[Frame] = []
     delay, disposal, clear_colour = 0, 0, -1
 
     def sub_blocks() -> bytes:
@@ -188,11 +203,17 @@ def read_gif(data: bytes) -> list[Frame]:
         while at < len(data) and (n := data[at]):
             parts.append(data[at + 1 : at + 1 + n])
             at += 1 + n
+        if at >= len(data):
+            raise ValueError("cut off")
         at += 1
         return b"".join(parts)
 
-    while at < len(data) and data[at] != 0x3B:
-        kind, label = data[at], data[at + 1]
+    while True:
+        if at >= len(data):
+            raise ValueError("cut off")
+        if data[at] == 0x3B:
+            return
+        kind, label = data[at], data[at + 1] if at + 1 < len(data) else 0
         if kind == 0x21:
             at += 2
             body = sub_blocks()
@@ -202,16 +223,21 @@ def read_gif(data: bytes) -> list[Frame]:
             continue
         if kind != 0x2C:
             raise ValueError(f"unknown block {kind}")
+        if at + 11 > len(data):
+            raise ValueError("cut off")
         left, top, w, h, local = word(at + 1), word(at + 3), word(at + 5), word(at + 7), data[at + 9]
+        if w * h > LARGEST:
+            raise ValueError(f"a frame of {w} x {h}")
         at += 10
-        colours = palette
-        if local & 0x80:
-            n = 2 << (local & 7)
-            colours = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
-            at += 3 * n
+        colours = colour_table(local & 7) if local & 0x80 else palette
+        if at >= len(data):
+            raise ValueError("cut off")
         size = data[at]
         at += 1
-        samples = np.frombuffer(lzw_decode(sub_blocks(), size)[: w * h].ljust(w * h, b"\0"), np.uint8).reshape(h, w)
+        found = lzw_decode(sub_blocks(), size)
+        if len(found) < w * h:
+            raise ValueError("samples are missing")
+        samples = np.frombuffer(found[: w * h], np.uint8).reshape(h, w)
         if local & 0x40:  # interlaced: every 8th row, the 8ths from 4 on, the 4ths from 2 on, the rest
             order = np.concatenate([np.arange(a, h, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
             straight = np.empty_like(samples)
@@ -222,13 +248,16 @@ def read_gif(data: bytes) -> list[Frame]:
         seen = samples[: area.shape[0], : area.shape[1]]
         new = colours[np.minimum(seen, len(colours) - 1)]
         area[:] = new if clear_colour < 0 else np.where((seen == clear_colour)[..., None], area, new)
-        frames.append(Frame(left, top, w, h, delay, disposal, samples, canvas.copy()))
+        yield Frame(left, top, w, h, delay, disposal, samples, canvas.copy())
         if disposal == 2:
             area[:] = ground
         elif disposal == 3:
             canvas = before
         delay, disposal, clear_colour = 0, 0, -1
-    return frames
+
+
+def read_gif(data: bytes) -> list[Frame]:
+    return list(frames_of(data))
 
 
 def padded(data: bytes, unit: int = WIDTH) -> bytes:
@@ -256,8 +285,9 @@ FRAME = "struct<number:int,left:int,top:int,width:int,height:int,delay_ms:int,di
 
 def frame_columns(media: DataFrame) -> DataFrame:
     """Reads a ``media`` column of GIFs: adds ``frames`` (an array of timed frames with their colour
-    histograms) and digests of the stored file and of the samples read back.  A null or damaged file
-    has null in the new columns; columns named like the new ones are replaced."""
+    histograms) and digests of the stored file and of the samples read back.  A file that is null, damaged, cut off
+    or larger than ``LARGEST`` pixels has null in the new columns; repeated files repeat; an empty table gives an empty
+    table; columns named like the new ones are replaced."""
 
     new = ("frames", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
     media = media.drop(*new)
@@ -268,13 +298,15 @@ def frame_columns(media: DataFrame) -> DataFrame:
             for batch in slices(whole, "media"):
                 rows: list[tuple] = []
                 for x in batch.column("media").to_pylist():
+                    listed, stored = [], []
                     try:
-                        frames = read_gif(x or b"")
-                    except (ValueError, IndexError):
+                        for i, f in enumerate(frames_of(x or b"")):
+                            stored.append(f.samples.tobytes())
+                            listed.append({"number": i, "left": f.left, "top": f.top, "width": f.width, "height": f.height, "delay_ms": f.delay_ms, "disposal": f.disposal, "histogram": f.histogram()})
+                    except ValueError:
                         rows.append((None,) * 6)
                         continue
-                    payload = b"".join(f.samples.tobytes() for f in frames)
-                    listed = [{"number": i, "left": f.left, "top": f.top, "width": f.width, "height": f.height, "delay_ms": f.delay_ms, "disposal": f.disposal, "histogram": f.histogram()} for i, f in enumerate(frames)]
+                    payload = b"".join(stored)
                     rows.append((listed, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(x), hashlib.sha256(x).hexdigest()))
                 types = [pa.list_(kinds), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
                 kept = [batch.column(c) for c in batch.schema.names if c != "media"]
