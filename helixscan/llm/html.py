@@ -1,8 +1,9 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at its block tags.  Pass 1 decides blocks by what encloses them, by link
-density, length and stop-word density; blocks too short to tell stay open.  Pass 2 gives an open
-block the label of its nearest decided neighbours.
+A page is cut into blocks at its block tags.  Pass 1 decides blocks by what encloses them (menus and
+the like are bad), by link density, length and stop-word density; blocks too short to tell, headings, and long ones without
+stop words stay open.  Pass 2 gives an open block the label of its nearest decided neighbours in the same
+region; the page's own article element, and what stands inside it that is no article, are regions.
 """
 
 from __future__ import annotations
@@ -36,10 +37,18 @@ OUTSIDE_WORD = re.compile(
     r"sidebar|side|aside|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|toolbar|comments?|replies|reply|respond|discussion|disqus|related|recommend\w*|"
     r"share|sharing|social|widget|pagination|pager|search|skip|complementary|contentinfo|form|disclaimer|copyright|tags)$"
 )
+#: Of these, the ones that other names may also be made of: they count if no other kind of word stands beside them.
+WEAK_WORD = re.compile(r"^(form|side|search|alert|register|skip|tags)$")
 MAIN_WORD = re.compile(r"^(article|main|post|entry|story|articlebody|maincontent)$")
+#: Words that say where or how a part stands, not what it is.
+NEUTRAL_WORD = re.compile(
+    r"^(|[0-9]+(x[0-9]+)?|wrap(per)?|container|holder|box|block|section|area|panel|bar|list|items?|unit|slot|body|content|inner|outer|text|group|row|col(umn)?|left|right|top|bottom|"
+    r"site|page|global|primary|secondary|js|the|my|buttons?|links?|module|component|region)$"
+)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>\"']*)([^<>\"']*)>")
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+HREF = re.compile(r"\bhref\b", re.I)
 WITH = re.compile(r"(^|[_\-])(has|no|with|without)[_\-].*$", re.I | re.S)
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"\w+")
@@ -51,7 +60,13 @@ STOP = frozenset(
     "aber als am auch auf aus bei bin bis da das dass dem den der die dies du durch ein eine einem einen einer es für hat hatte ich ihr im ist ja kann mein mit nach nicht noch nur oder sein sich sie sind so über um und uns von vor war was wenn wie wir wird zu zum zur "
     "al como con cuando del desde donde dos el ella ellos entre era es esa ese eso esta este esto fue ha hasta hay la las le lo los más mi muy ni nos o para pero por porque que quien se ser si sin sobre su sus también todo un una uno y ya".split()
 )
-LINKED, DENSE, LONG, SHORT = 0.33, 0.25, 140, 60
+#: Share of linked characters above which a block is a menu; stop-word densities of good blocks, and of good blocks
+#: that are long; least characters of a long block and of one that is not too short to tell.
+LINKED, DENSE, SPARSE, LONG, SHORT = 0.33, 0.25, 0.1, 140, 60
+#: So many linked list items one after the other are a menu wherever they stand.
+LINK_RUN = 3
+#: The page's own element counts if it has at least this share of what is good outside of it.
+TEASER = 0.125
 GOOD, BAD, OPEN = 1, 0, -1
 
 
@@ -62,6 +77,8 @@ class Block:
     outside: bool  # enclosed by a menu, header, footer, sidebar, notice, advert, form or comments
     main: bool  # enclosed by the article's own element
     heading: bool
+    item: bool = False  # of a list
+    region: int = 0  # number of the innermost element that is main or outside
 
     def link_density(self) -> float:
         return self.linked / max(1, len(self.text))
@@ -89,28 +106,40 @@ def tag_end(html: str, at: int, open_quotes: dict[str, bool]) -> int:
         i = close + 1
 
 
-def words_of(attributes: str) -> list[str]:
-    """Parts of classes, ids and roles; what stands after has, no, with or without only tells what is near."""
-    values = [value for m in NAMED.finditer(attributes) for value in m.groups() if value]
-    return [w.lower() for value in values for name in value.split() for w in re.split(r"[_\-]+", WITH.sub("", name))]
+def kind_of(name: str) -> str:
+    """``outside``, ``main`` or nothing, by the words of a class, an id or a role.
+
+    What stands after has, no, with or without only tells what is near.  The last word that says what
+    something is decides: comments of a post are comments, a form of a post is a post's."""
+    words = [w for w in re.split(r"[_\-]+", WITH.sub("", name.lower())) if not NEUTRAL_WORD.match(w)]
+    if words and OUTSIDE_WORD.match(words[-1]) and (not WEAK_WORD.match(words[-1]) or all(map(OUTSIDE_WORD.match, words))):
+        return "outside"
+    return "main" if words and all(map(MAIN_WORD.match, words)) else ""
+
+
+def kinds_of(attributes: str) -> set[str]:
+    return {kind_of(name) for m in NAMED.finditer(attributes) for value in m.groups() if value for name in value.split()}
 
 
 def page_blocks(html: str) -> list[Block]:
     """Blocks with text, in page order.  Unclosed and stray tags are allowed."""
     blocks: list[Block] = []
     parts: list[str] = []
-    stack: list[tuple[str, int, bool, bool, bool]] = []  # open elements: name, what they add to outside, main, solid, classed
+    stack: list[tuple[str, int, bool, bool, bool, int]] = []  # open elements: name, what they add to outside, main, solid, classed, region before
     unclosed: set[str] = set()
     opened: Counter = Counter()
     outside = main = solid = classed = links = linked = 0
-    heading = False
+    heading = item = False
+    region = regions = 0
     quotes: dict[str, bool] = {}
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, links
         if parts and (text := SPACE.sub(" ", "".join(parts)).strip()):
-            blocks.append(Block(text, min(linked, len(text)), outside > 0, main > 0, heading))
+            blocks.append(Block(text, min(linked, len(text)), outside > 0, main > 0, heading, item, region))
         parts.clear()
+        if linked:  # a link around blocks goes on, one with text of its own ends with its block
+            links = 0
         linked = 0
 
     at, n = 0, len(html)
@@ -158,8 +187,10 @@ def page_blocks(html: str) -> list[Block]:
         if name in BLOCK:
             flush()
         if name == "a":
-            links = 0 if closing else 1
+            links = int(not closing and bool(HREF.search(rest)))  # without an address it is a mark in the text
             continue
+        if name == "li":
+            item = not closing
         if name in VOID or rest.rstrip().endswith("/") and not closing:
             continue
         if closing:
@@ -167,7 +198,7 @@ def page_blocks(html: str) -> list[Block]:
                 heading = False
             if opened[name]:
                 while True:
-                    top, a, b, c, d = stack.pop()
+                    top, a, b, c, d, region = stack.pop()
                     opened[top] -= 1
                     outside -= a
                     main -= b
@@ -178,14 +209,17 @@ def page_blocks(html: str) -> list[Block]:
         elif name in BLOCK and name not in ("p", "html", "body") or name in ("span", "section"):
             if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 heading = True
-            named = words_of(rest) if "=" in rest else []
-            d = any(map(OUTSIDE_WORD.match, named))
+            named = kinds_of(rest) if "=" in rest else set()
+            d = "outside" in named
             c = name in OUTSIDE and name != "form" and not (name == "header" and main)
             a = int(c or d or name == "form")
             if not a and not solid and (name == "main" or name == "article" and not classed):
                 a = -outside  # the page's own element inside a form, and main inside a wrapper named otherwise
-            b = name in MAIN or any(map(MAIN_WORD.match, named))
-            stack.append((name, a, b, c, d))
+            b = name in MAIN or "main" in named
+            stack.append((name, a, b, c, d, region))
+            if a or b:
+                regions += 1
+                region = regions
             opened[name] += 1
             outside += a
             main += b
@@ -197,48 +231,70 @@ def page_blocks(html: str) -> list[Block]:
 
 def decided(blocks: list[Block]) -> list[int]:
     """Pass 1."""
-    has_main = any(b.main and not b.outside for b in blocks)
     out = []
     for b in blocks:
+        dense = b.stop_density()
         if b.outside:
             out.append(BAD)
-        elif has_main:
-            out.append(GOOD if b.main else BAD)
         elif b.link_density() > LINKED:
-            out.append(BAD)
+            out.append(OPEN if b.main else BAD)  # a linked paragraph of the article, or a menu
         elif b.text.startswith(("©", "(c)")):
-            out.append(BAD)
+            out.append(OPEN if b.main else BAD)
         elif len(b.text) < SHORT or b.heading:
             out.append(OPEN)
-        elif b.stop_density() >= DENSE or len(b.text) >= LONG:
-            out.append(GOOD)
         else:
-            out.append(OPEN)
+            out.append(GOOD if dense >= (SPARSE if len(b.text) >= LONG else DENSE) else OPEN)
+    run: list[int] = []
+    for i, b in enumerate([*blocks, Block("", 0, False, False, False)]):
+        if b.item and b.link_density() > 0.9:
+            run.append(i)
+            continue
+        if len(run) >= LINK_RUN:
+            for k in run:
+                out[k] = BAD
+        run = []
+    own = sum(len(b.text) for b, label in zip(blocks, out, strict=True) if b.main and label != BAD)
+    others = sum(len(b.text) for b, label in zip(blocks, out, strict=True) if not b.main and label == GOOD)
+    if own and own >= TEASER * others:  # the page says itself where its article is
+        out = [label if b.main else BAD for b, label in zip(blocks, out, strict=True)]
     return out
 
 
+def nearest_decided(labels: list[int], places: list[int]) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """For each of ``places`` the label of the decided one before and its distance, and the same after; OPEN if there is none."""
+    out: list[list[tuple[int, int]]] = []
+    for order in (places, places[::-1]):
+        last, side = (OPEN, len(labels)), []
+        for i in order:
+            last = (labels[i], 0) if labels[i] != OPEN else (last[0], last[1] + 1)
+            side.append(last)
+        out.append(side)
+    return list(zip(out[0], out[1][::-1], strict=True))
+
+
 def inherited(blocks: list[Block], labels: list[int]) -> list[int]:
-    """Pass 2: an open block gets the label that its decided neighbours share; where they differ a
+    """Pass 2: an open block gets the label that its nearest decided neighbours of the same region share; where they differ a
     heading follows the block after it, and any other block the nearer one, the one before on a tie.
-    A page where nothing is decided consists of open blocks alone; they are its text."""
-    n = len(labels)
+    In a region where nothing is decided, open blocks of the article's own element are good, others follow the whole page's
+    neighbours.  A page where nothing is decided consists of open blocks alone; they are its text."""
     if all(label == OPEN for label in labels):
-        return [GOOD] * n
-    before, after = [(BAD, n)] * n, [(BAD, n)] * n
-    last = (BAD, n)
-    for i in range(n):
-        last = (labels[i], 0) if labels[i] != OPEN else (last[0], last[1] + 1)
-        before[i] = last
-    last = (BAD, n)
-    for i in reversed(range(n)):
-        last = (labels[i], 0) if labels[i] != OPEN else (last[0], last[1] + 1)
-        after[i] = last
-    out = []
-    for i, label in enumerate(labels):
-        if label == OPEN:
-            (a, da), (b, db) = before[i], after[i]
-            label = a if a == b else b if blocks[i].heading else a if da <= db else b
-        out.append(label)
+        return [GOOD] * len(labels)
+    regions: dict[int, list[int]] = {}
+    for i, b in enumerate(blocks):
+        regions.setdefault(b.region, []).append(i)
+    everywhere = nearest_decided(labels, list(range(len(labels))))
+    out = list(labels)
+    for places in regions.values():
+        for i, near in zip(places, nearest_decided(labels, places), strict=True):
+            if labels[i] != OPEN:
+                continue
+            if near[0][0] == near[1][0] == OPEN:
+                if blocks[i].main:
+                    out[i] = GOOD
+                    continue
+                near = everywhere[i]
+            (a, da), (b, db) = near
+            out[i] = b if a == OPEN else a if b == OPEN or a == b else b if blocks[i].heading else a if da <= db else b
     return out
 
 
@@ -250,7 +306,7 @@ def main_text(html: str) -> str:
 
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """Adds ``text`` (the main text; empty if there is none) and ``n_chars`` (its code points) to the
-    rows and leaves the html out.  A null html counts as empty.  Repeated rows repeat, an empty table
+    rows and leaves the html out.  A null html counts as empty; of neighbours equally near the one before decides.  Repeated rows repeat, an empty table
     gives an empty table, and columns named like the new ones are replaced."""
     df = set_aside(pages, html).withColumnRenamed(html, "_html")
     schema = StructType([*(f for f in df.schema.fields if f.name != "_html"), StructField("text", StringType()), StructField("n_chars", LongType())])
