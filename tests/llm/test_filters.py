@@ -51,6 +51,97 @@ def test_open_blocks_take_the_label_of_their_neighbours():
     assert html.inherited(rows, [html.OPEN] * 4) == [html.GOOD] * 4
 
 
+def plain_labels(blocks):
+    """Both passes written out: every open block looks for its neighbours anew."""
+    out = []
+    for b in blocks:
+        words = re.findall(r"\w+", b.text.lower())
+        dense = sum(w in html.STOP for w in words) / max(1, len(words))
+        n, links = len(b.text), b.linked / max(1, len(b.text))
+        if b.outside or not b.main and (links > 0.33 or b.text[:1] == "©"):
+            out.append(0)
+        elif links > 0.33 or b.text[:1] == "©" or n < 60 or b.heading:
+            out.append(-1)
+        else:
+            out.append(1 if dense >= (0.1 if n >= 140 else 0.25) else -1)
+    menu = [b.item and b.linked > 0.9 * len(b.text) for b in blocks]
+    for i in range(len(blocks)):
+        a, z = i, i
+        while a > 0 and menu[a - 1]:
+            a -= 1
+        while z < len(blocks) and menu[z]:
+            z += 1
+        if menu[i] and z - a >= 3:
+            out[i] = 0
+    own = sum(len(b.text) for b, x in zip(blocks, out, strict=True) if b.main and x)
+    if own and own >= sum(len(b.text) for b, x in zip(blocks, out, strict=True) if not b.main and x == 1) / 8:
+        out = [x if b.main else 0 for b, x in zip(blocks, out, strict=True)]
+    if set(out) <= {-1}:
+        return [1] * len(out)
+    final = []
+    for i, b in enumerate(blocks):
+        label = out[i]
+        for same in ([k for k in range(len(blocks)) if blocks[k].region == b.region], range(len(blocks))):
+            same = list(same)
+            before = [k for k in same if k < i and out[k] >= 0][-1:]
+            after = [k for k in same if k > i and out[k] >= 0][:1]
+            if label < 0 and (before or after):
+                near = before + after
+                if b.heading:
+                    label = out[near[-1]]
+                else:  # steps within the region
+                    label = out[min(near, key=lambda k: (abs(same.index(k) - same.index(i)), k))]
+            if label < 0 and b.main:
+                label = 1
+        final.append(label)
+    return final
+
+
+def test_two_passes_are_the_plain_ones(spark):
+    g = random.Random(12)
+    words = ["the", "and", "of", "house", "river", "stone", "was", "glass"]
+    text = lambda: " ".join(g.choice(words if g.random() < 0.7 else words[3:6]) for _ in range(g.choice([2, 5, 12, 30])))
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    for _ in range(300):
+        parts = []
+        for _ in range(g.randrange(1, 14)):
+            tag = g.choice(["p", "p", "h2", "li", "div class=ad", "article", "div class='post-body'", "nav", "div", "/div", "/article"])
+            parts.append(f"<{tag}>" if tag[0] == "/" else f"<{tag}>{text()}" if g.random() < 0.7 else f"<{tag}><a href=x>{text()}</a>")
+        pages.append("".join(parts))
+    seen = collections.Counter()
+    for page in pages:
+        blocks = html.page_blocks(page)
+        first = html.decided(blocks)
+        assert html.inherited(blocks, first) == plain_labels(blocks)
+        seen.update((b.main, x) for b, x in zip(blocks, first, strict=True))
+    assert all(seen[main, x] for main in (True, False) for x in (html.GOOD, html.BAD, html.OPEN))
+
+
+def test_open_blocks_occur_on_the_pages(spark):
+    labels = [x for r in spark.read.parquet(f"{SF}/pages.parquet").collect() for x in html.decided(html.page_blocks(r["html"]))]
+    assert all(labels.count(x) > 50 for x in (html.GOOD, html.BAD, html.OPEN))
+
+
+LONG = "This is the text of the page and it is long enough to be decided by the words that are in it, of which most are frequent ones in the language."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article><a name='top'><p>{LONG}</p><p>Short.</p></article>", f"{LONG}\nShort."),
+        (f"<article><p>x <a href=1>unclosed</p><p>{LONG}</p></article>", f"x unclosed\n{LONG}"),
+        (f"<article><div class='post-form'><p>{LONG}</p></div></article>", LONG),
+        (f"<article><p>{LONG}</p></article><div class='post-comments'><p>{LONG} No.</p></div>", LONG),
+        (f"<div>{LONG}</div><div>{'river stone glass ' * 20}</div><ul><li><a href=1>a</a><li><a href=2>b</a></ul>", f"{LONG}\n{('river stone glass ' * 20).strip()}"),
+        (f"<ul><li><a href=1>a</a></ul><p>{'river stone glass ' * 20}</p><ul><li><a href=1>a</a></ul><p>{LONG}</p>", LONG),
+        (f"<main><p>{LONG}</p><ul><li><a href=1>a</a><li><a href=2>b</a><li><a href=3>c</a></ul></main>", LONG),
+        (f"<article>Teaser</article><p>{LONG}</p>", f"Teaser\n{LONG}"),
+    ],
+)
+def test_blocks_are_decided_by_their_text(page, want):
+    assert html.main_text(page) == want
+
+
 def test_article_of_every_page(spark):
     from html import unescape
 

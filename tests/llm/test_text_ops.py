@@ -135,7 +135,6 @@ def test_gif_round_trip(docs, odd):
             payload = data + bytes(max(1, -(-len(data) // 64)) * 64 - len(data))
             assert (r["n_bytes"], r["payload_bytes"]) == (len(data), len(payload))
             assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
-            assert sum(f["histogram"][0] for f in r["frames"]) <= len(payload) + 64 * 256
     assert gif.frame_columns(gif.gif_column(docs.limit(0))).count() == 0
 
 
@@ -170,6 +169,49 @@ def test_disposal_transparency_palettes_and_interlacing():
         gif.read_gif(b"PNG")
 
 
+def plain_feature(data):
+    """Frames, time and histogram of a payload, pixel by pixel."""
+    height = min(len(data) // 64, 256)
+    canvas, counts, frames = [(0, 0, 0)] * (64 * height), [0] * 24, 0
+    for at in range(0, len(data), 64 * 256):
+        for i, b in enumerate(data[at : at + 64 * 256]):
+            canvas[i] = ((b >> 5) * 255 // 7, (b >> 2 & 7) * 255 // 7, (b & 3) * 85)
+        frames += 1
+        for colour, n in collections.Counter(canvas).items():
+            for c in range(3):
+                counts[8 * c + colour[c] // 32] += n
+    return f"{frames}:{100 * frames}:{','.join(map(str, counts))}"
+
+
+def test_gif_features(spark):
+    texts = by_id(spark.read.parquet(f"{SF}/documents.parquet"))
+    for r in gif.op8_gif_media(spark, SF).collect():
+        assert r["feature"] == plain_feature(gif.padded((texts[r["doc_id"]][0] or "").encode()))
+
+
+def test_damaged_files_are_null(spark):
+    whole = gif.write_gif(bytes(range(256)) * 300)
+    header = b"GIF89a" + b"\xff\xff\xff\xff" + b"\0\0\0"
+    at = 13 + 768 + 8 + 10  # the first frame's code size
+    bad = [None, b"", b"GIF89a", header, header + b";", whole[:-200], whole[:-1], whole[:700], whole[:at] + b"\xff" + whole[at + 1 :], whole[:at] + b"\x01" + whole[at + 1 :]]
+    bad += [whole[: at + 2] + b"\xff" * 200 + whole[at + 202 :], b"GIF89a\1\0\1\0\0\0\0,\0\0\0\0\xff\xff\xff\xff\0\x08\0;"]
+    rows = [(i, x, "other") for i, x in enumerate(bad + [whole, whole])]
+    found = {r["n"]: r for r in gif.frame_columns(spark.createDataFrame(rows, "n int, media binary, frames string")).collect()}
+    assert len(found) == len(rows)
+    assert all(found[i]["frames"] is None and found[i]["payload_sha256"] is None for i in range(len(bad)))
+    assert found[len(bad)]["payload_bytes"] == 256 * 300 and len(found[len(bad)]["frames"]) == 5
+    g = random.Random(7)
+    small = gif.write_gif(b"abcdefgh" * 40)
+    for _ in range(3000):  # any damage is an error or a reading, nothing else
+        x = bytearray(small)
+        for _ in range(g.randrange(1, 4)):
+            x[g.randrange(len(x))] = g.randrange(256)
+        try:
+            gif.read_gif(bytes(x[: g.randrange(len(x))] if g.random() < 0.3 else x))
+        except ValueError:
+            pass
+
+
 def brute_ppm(train, order=4, most=10**9):
     count = [collections.defaultdict(collections.Counter) for _ in range(order + 1)]
     for t in train:
@@ -282,7 +324,37 @@ def test_language_id_takes_all_labels(spark, monkeypatch):
     rows = [(None if k == 0 else 100 * k + i, f"l{k:02}", f"text {k} {i}") for k in range(90) for i in range(3 if k else 40)]
     found = langid.training_rows(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
     each = collections.Counter(lang for lang, _ in found)
-    assert set(each) == {f"l{k:02}" for k in range(90)} and max(each.values()) <= 20 and each["l89"] == 6
+    assert set(each) == {f"l{k:02}" for k in range(90)} and set(each.values()) == {3, 5}
+
+
+def test_training_rows_are_spread_over_rows_and_texts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(langid, "ROWS_EACH", 40)
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("lang"), F.concat(F.lit("x"), F.col("id").cast("string"), F.lit(" "), F.array_join(F.sequence(F.lit(1000), F.lit(1999)), " ")).alias("text"))
+    found = langid.training_rows(df)
+    assert collections.Counter(lang for lang, _ in found) == {"a": 40 * langid.PARTS, "b": 40 * langid.PARTS}
+    assert {len(t) for _, t in found} == {langid.CHARS}
+    first = [int(t.split()[2]) for _, t in found]
+    assert 1350 < np.mean(first) < 1550 and min(first) < 1100 and max(first) > 1800  # places are spread over the whole text
+    least = df.withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(langid.FINE))).where("lang = 'a'").orderBy("h").limit(40)
+    assert sorted(langid.training_rows(least)) == [x for x in found if x[0] == "a"]
+
+
+def test_network_is_the_plain_one():
+    """Embedding, filters, maximum, layer and softmax, position by position."""
+    g = np.random.default_rng(5)
+    net = langid.ByteConvNet(["a", "b", "c"], seed=9)
+    net.bias[:] = g.normal(0, 0.2, len(net.bias))
+    x = g.integers(0, 256, (3, langid.WINDOW)).astype(np.uint8)
+    for row, p in zip(x, net.tables().probabilities(x), strict=True):
+        pooled = []
+        for w, f in net.filters.items():
+            values = [[sum(float(net.embed[row[at + k]] @ f[k][:, j]) for k in range(w)) for j in range(langid.FILTERS)] for at in range(langid.WINDOW - w + 1)]
+            pooled += [max(v[j] for v in values) for j in range(langid.FILTERS)]
+        hidden = np.maximum(np.array(pooled) + net.bias, 0)
+        e = np.exp(hidden @ net.dense + net.offset)
+        assert np.allclose(p, e / e.sum(), atol=1e-4)
 
 
 def test_gradients_are_slopes():
