@@ -6,7 +6,8 @@ meet on equal band hashes, and pairs that meet are verified on their full sets.
 * Documents with the same words are one class; only one of each class is compared.
 * Buckets with the same members, in whatever band, are one group, so that its pairs are verified once.
   A pair that shares several groups belongs to the one with the smallest id.
-* A group of more than ``BLOCK`` members is cut into blocks; pairs of blocks are the units of work.
+* A group of more than ``BLOCK`` members or ``BLOCK_BYTES`` of text is cut into blocks; pairs of blocks are the units of
+  work, which hold at most about two blocks.  The larger a group, the larger its blocks, up to ``LARGEST`` members.
 * A unit gives a row for each linked member: its links, and one link to a representative.  The
   representatives make a forest, from which rounds of joins find the clusters.
 """
@@ -23,9 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import as_bytes, documents, restored, set_aside, slices, written
+from .common import as_bytes, documents, joined_by_key, restored, set_aside, slices, written
 
-WORDS, THRESHOLD, RECALL, BLOCK = 5, 0.8, 0.9999, 512
+WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
+BLOCK, LARGEST, BLOCK_BYTES = 512, 2048, 8 << 20
 BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _g = np.random.default_rng(20250101)
 BYTE = _g.integers(1, 2**63, 256, dtype=np.uint64)
@@ -34,12 +36,17 @@ PLACE = _g.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 96) -> tuple[int, int]:
-    """(bands, rows): the most rows a band for which at most ``most`` hashes reach the recall at the threshold."""
-    best = (1, 1)
+    """(bands, rows): the most rows a band for which at most ``most`` hashes reach the recall at the threshold;
+    ``ValueError`` if so many cannot."""
+    if not (0 < threshold < 1 and 0 < recall < 1):
+        raise ValueError(f"threshold {threshold} and recall {recall} must lie between 0 and 1")
+    best = None
     for rows in range(1, most + 1):
         bands = max(1, math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows))))
         if bands * rows <= most:
             best = (bands, rows)
+    if best is None:
+        raise ValueError(f"{most} hashes do not reach a recall of {recall} at {threshold}")
     return best
 
 
@@ -207,8 +214,8 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
         mark = state
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("rows"))
+        large = joined_by_key(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         now = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
@@ -224,22 +231,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     * ``stays``: true for one row of each cluster.
 
     Texts that are null or have no word link to nothing and stay.  Repeated rows are copies of each
-    other.  Columns named like the new ones are replaced; an empty table gives an empty table."""
+    other; of rows with the least ``doc_id`` of a cluster, or without any id, one stays.  Columns named like the new ones are replaced; an empty table gives an empty table."""
     bands, rows = banding(threshold, recall)
     new = ("class_id", "cluster_id", "n_links", "n_text_links", "stays")
     table = written(signatures(set_aside(docs, "doc_id", "text"), bands, rows).withColumn("_row", F.monotonically_increasing_id()), "signatures")
     worded = table.where("_key is not null")
     lead = F.min(F.struct("doc_id", "_row"))
-    classes = worded.groupBy("_key").agg(lead.alias("lead"), F.count("*").alias("n"), F.min("_row").alias("node"), F.any_value("_bands").alias("bands"))
+    classes = worded.groupBy("_key").agg(lead.alias("lead"), F.count("*").alias("n"), F.min("_row").alias("node"), F.any_value("_bands").alias("bands"), F.max(F.octet_length("text")).cast("long").alias("size"))
     classes = written(classes, "classes")
 
-    banded = classes.select("node", F.posexplode("bands").alias("band", "h"))
-    buckets = banded.groupBy("band", "h").agg(F.count("*").alias("m"), F.min("node").alias("a"), F.max("node").alias("z"), F.bit_xor(F.xxhash64("node")).alias("x")).where("m > 1")
-    buckets = buckets.select("band", "h", "m", F.xxhash64("m", "a", "z", "x").alias("gid"))
-    groups = written(banded.join(buckets, ["band", "h"]).select("node", "gid", "m").distinct(), "groups")
+    banded = classes.select("node", "size", F.posexplode("bands").alias("band", "h"))
+    buckets = banded.groupBy("band", "h").agg(F.count("*").alias("m"), F.sum("size").alias("bytes"), F.min("node").alias("a"), F.max("node").alias("z"), F.bit_xor(F.xxhash64("node")).alias("x")).where("m > 1")
+    buckets = buckets.select("band", "h", F.col("m").alias("rows"), "m", "bytes", F.xxhash64("m", "a", "z", "x").alias("gid"))
+    groups = written(joined_by_key(banded.select("node", "band", "h"), buckets, ["band", "h"]).select("node", "gid", "m", "bytes").distinct(), "groups")
     own = groups.groupBy("node").agg(F.collect_set("gid").alias("gids"))  # at most one for each band
     compared = own.join(classes.select("node", "n"), "node").join(table.select(F.col("_row").alias("node"), F.col("text").cast("binary").alias("text")), "node")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    members = F.least(F.lit(LARGEST), F.greatest(F.lit(BLOCK), F.ceil(F.col("m") / 64)))
+    blocks = F.greatest(F.ceil(F.col("m") / members), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     placed = groups.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "gid"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("gid", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node")
@@ -248,14 +256,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     links = found.groupBy("node").agg(F.sum("rows").alias("rows"), F.sum("texts").alias("texts"))
     label = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     named = classes.select("_key", "node", "n", "lead").join(links, "node", "left").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    first = named.groupBy("label").agg(F.min("lead").alias("first"))
-    named = named.join(first, "label").select(
-        "_key",
+    named = written(named, "labels")
+    first = named.groupBy("label").agg(F.min("lead").alias("first"), F.count("*").alias("rows"))
+    named = joined_by_key(named, first, ["label"]).select(
+        "_key", F.col("n").alias("rows"),
         F.col("lead.doc_id").alias("class_id"), F.col("first.doc_id").alias("cluster_id"), F.col("first._row").alias("_first"),
         (F.coalesce("rows", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"),
     )
     kept = [c for c in table.columns if c not in ("_key", "_bands", "_row")]
-    out = worded.join(named, "_key").select(*kept, "class_id", "cluster_id", "n_links", "n_text_links", (F.col("_row") == F.col("_first")).alias("stays"))
+    out = joined_by_key(worded, named, ["_key"]).select(*kept, "class_id", "cluster_id", "n_links", "n_text_links", (F.col("_row") == F.col("_first")).alias("stays"))
     alone = table.where("_key is null").select(*kept, F.col("doc_id").alias("class_id"), F.col("doc_id").alias("cluster_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_text_links"), F.lit(True).alias("stays"))
     return restored(out.union(alone), docs.columns, *new)
 
