@@ -428,9 +428,10 @@ def corpus():
     return texts + [" ".join(new(60)) for _ in range(40)]
 
 
-@pytest.mark.parametrize("block", [512, 16])
-def test_links_and_clusters(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "size"), [(512, 8 << 20), (16, 8 << 20), (512, 9000)])
+def test_links_and_clusters(spark, monkeypatch, block, size):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", size)
     texts = corpus()
     g = random.Random(9)
     ids = list(range(len(texts)))
@@ -465,6 +466,9 @@ def test_bands_reach_the_recall():
     for threshold, recall in ((0.8, 0.9999), (0.6, 0.99), (0.9, 0.999)):
         bands, rows = neardup.banding(threshold, recall)
         assert 1 - (1 - threshold**rows) ** bands >= recall
+    for threshold, recall in ((0.05, 0.9999), (0, 0.9), (0.8, 1)):
+        with pytest.raises(ValueError):
+            neardup.banding(threshold, recall)
 
 
 # Pipeline
