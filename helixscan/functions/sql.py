@@ -22,11 +22,30 @@ FUNCTIONS = {
     "seq_text_matches": ("a STRING, b STRING", _SITES.format(test=f"{_VALID} AND x = y")),
     "seq_text_mismatches": ("a STRING, b STRING", _SITES.format(test=f"{_VALID} AND x <> y")),
     "seq_partial_matches": ("a STRING, b STRING", _SITES.format(test=f"{_VALID} AND (x = y OR ({_MASK.format(c='x')} & {_MASK.format(c='y')}) <> 0)")),
+    "seq_left_only": ("a STRING, b STRING", _SITES.format(test="instr('NXO-?.', x) = 0 AND instr('NXO-?.', y) > 0")),
+    "seq_left_acgt_only": ("a STRING, b STRING", _SITES.format(test="instr('ACGT', x) > 0 AND instr('ACGT', y) = 0")),
     "seq_differences": ("a STRING, b STRING", _SITES.format(test="x <> y")),
 }
 
 
+_BITS = "bit_count({m})"
+_M1, _M2 = _MASK.format(c="x"), _MASK.format(c="y")
+_SNPS = f"filter(transform(zip_with(split(a, ''), split(b, ''), (x, y) -> {_VALID} AND x <> y), (z, i) -> if(z, CAST(i AS BIGINT), NULL)), z -> z IS NOT NULL)"
+#: Functions with other results: name, arguments, type and body.
+OTHERS = {
+    # -1: the left one knows more sites, 1: the right one, 0: the same sites, 255: each knows sites of its own.
+    "seq_resolution": ("a STRING, b STRING", "BIGINT", "CASE WHEN seq_left_only(a, b) > 0 AND seq_left_only(b, a) > 0 THEN 255 WHEN seq_left_only(a, b) > 0 THEN -1 WHEN seq_left_only(b, a) > 0 THEN 1 ELSE 0 END"),
+    "seq_resolution_acgt": ("a STRING, b STRING", "BIGINT", "CASE WHEN seq_left_acgt_only(a, b) > 0 AND seq_left_acgt_only(b, a) > 0 THEN 255 WHEN seq_left_acgt_only(a, b) > 0 THEN -1 WHEN seq_left_acgt_only(b, a) > 0 THEN 1 ELSE 0 END"),
+    # Sites that differ from a reference.
+    "seq_snp_sites": ("a STRING, b STRING", "ARRAY<BIGINT>", _SNPS),
+    # Partial matches by the share of equal base pairs among those that both letters stand for.
+    "seq_weighted_matches": ("a STRING, b STRING", "DOUBLE", f"aggregate(zip_with(split(a, ''), split(b, ''), (x, y) -> CASE WHEN {_M1} > 0 AND {_M2} > 0 THEN {_BITS.format(m=f'({_M1} & {_M2})')} / CAST({_BITS.format(m=_M1)} * {_BITS.format(m=_M2)} AS DOUBLE) ELSE 0D END), 0D, (s, z) -> s + z)"),
+}
+
+
 def register(spark: SparkSession) -> None:
-    """Makes ``FUNCTIONS`` temporary functions of the session; Catalyst sees their bodies."""
+    """Makes ``FUNCTIONS`` and ``OTHERS`` temporary functions of the session; Catalyst sees their bodies."""
     for name, (arguments, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS BIGINT RETURN CAST({body} AS BIGINT)")
+    for name, (arguments, kind, body) in OTHERS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")

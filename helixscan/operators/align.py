@@ -121,10 +121,28 @@ def project(ref: str, seq: str) -> tuple[str, int, int, int]:
     return projected(seq, *align_pair(ref, seq))
 
 
+def projections(rows: list[tuple[str, int, int, int]]) -> pd.DataFrame:
+    return pd.DataFrame({"seq": [x[0] for x in rows], "cost": [x[1] for x in rows], "identity": [round(x[2] / max(1, x[3]), 8) for x in rows]})
+
+
+def aligned(df: DataFrame) -> DataFrame:
+    return df.select("ordinal", "name", F.col("_p.seq").alias("seq"), F.col("_p.cost").alias("cost"), F.col("_p.identity").alias("identity"))
+
+
 def align(unaligned: DataFrame, reference: str | Column, ambiguity: float = 0.5) -> DataFrame:
     """``ordinal, name, seq`` (as long as the reference) with ``cost`` and ``identity`` (matches per operation) for every
     record that fits.  ``reference``: one sequence, or a column with each record's."""
-    df = unaligned.withColumn("_ref", F.lit(reference) if isinstance(reference, str) else reference)
+    if isinstance(reference, str):  # sent to the tasks once, not with every record
+        df = unaligned.where(filters.unaligned_is_clear(F.col("seq"), len(reference), ambiguity))
+
+        @F.pandas_udf("struct<seq:string,cost:long,identity:double>")
+        def run_one(seqs: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for s in seqs:
+                yield projections([projected(seq, *found) for seq, found in zip(s, align_all(reference, list(s)), strict=True)])
+
+        return aligned(df.withColumn("_p", run_one("seq")))
+
+    df = unaligned.withColumn("_ref", reference)
     df = df.where(filters.unaligned_is_clear(F.col("seq"), F.length("_ref"), ambiguity))
 
     @F.pandas_udf("struct<seq:string,cost:long,identity:double>")
@@ -134,6 +152,6 @@ def align(unaligned: DataFrame, reference: str | Column, ambiguity: float = 0.5)
             for ref, group in s.groupby(r):  # all records of one reference together
                 for k, seq, (cost, moves) in zip(group.index, group, align_all(ref, list(group)), strict=True):
                     rows[k] = projected(seq, cost, moves)
-            yield pd.DataFrame({"seq": [x[0] for x in rows], "cost": [x[1] for x in rows], "identity": [round(x[2] / max(1, x[3]), 8) for x in rows]})
+            yield projections(rows)
 
-    return df.withColumn("_p", run("seq", "_ref")).select("ordinal", "name", F.col("_p.seq").alias("seq"), F.col("_p.cost").alias("cost"), F.col("_p.identity").alias("identity"))
+    return aligned(df.withColumn("_p", run("seq", "_ref")))

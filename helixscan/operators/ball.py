@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import filters, kernels
 from .filters import Parameters
-from .nearest import clear_queries, profile_arrays, query_blocks, spread
+from .nearest import clear_queries, over_blocks, profile_arrays, spread
 from .profile import site_profile
 from .redundancy import keep_less_resolved
 
@@ -31,22 +32,25 @@ def distances(refs: DataFrame, queries: DataFrame, p: Parameters, mode: str) ->
     refs = spread(refs)
     fixed = np.flatnonzero(classes == ord("c") if mode == PAIR else np.isin(classes, [ord("c"), ord("m")]))
     own = np.flatnonzero(np.isin(classes, [ord("m"), ord("p")]) if mode == PAIR else classes == ord("p"))
-    out = None
-    for block in query_blocks(queries):
+
+    def scored(block: list) -> tuple[DataFrame, Broadcast]:
         shared = refs.sparkSession.sparkContext.broadcast(kernels.matrix([r["seq"].encode() for r in block]))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inner, outer = kernels.QueryMatrix(shared.value[:, own]), kernels.QueryMatrix(consensus[None, fixed])
             for batch in batches:
                 r = kernels.matrix(batch.column("seq").cast(pa.binary()).to_pylist())
                 found = [mismatches(outer, r[:, fixed], p.acgt)[0], mismatches(inner, r[:, own], p.acgt).min(0)]
                 yield pa.RecordBatch.from_arrays([batch.column("ordinal"), batch.column("name"), batch.column("seq"), *(pa.array(x.astype(np.int64)) for x in found)], names=["ordinal", "name", "seq", "outer", "inner"])
 
-        part = refs.select("ordinal", "name", "seq").mapInArrow(run, "ordinal long, name string, seq string, outer long, inner long")
-        out = part if out is None else out.union(part)
+        return refs.select("ordinal", "name", "seq").mapInArrow(run, "ordinal long, name string, seq string, outer long, inner long"), shared
+
+    out, several = over_blocks(queries, scored, "distances", "ordinal", "outer", "inner")
     if out is None:
         return refs.select("ordinal", "name", "seq", F.lit(0).cast("long").alias("outer"), F.lit(0).cast("long").alias("inner")).limit(0)
-    return out
+    if several:  # the nearest query of all blocks; sequences are looked up afterwards
+        out = refs.join(out.groupBy("ordinal").agg(F.max("outer").alias("outer"), F.min("inner").alias("inner")), "ordinal")
+    return out.select("ordinal", "name", "seq", "outer", "inner")
 
 
 def ball(refs: DataFrame, queries: DataFrame, mode: str = PAIR, redundant: bool = True, **options) -> DataFrame:
@@ -62,10 +66,10 @@ def ball(refs: DataFrame, queries: DataFrame, mode: str = PAIR, redundant: bool
     queries = clear_queries(queries, p)
     if redundant:
         queries = keep_less_resolved(queries, p.acgt, p.trim)
+    refs = filters.of_length(refs, length)
     d = distances(refs.where(filters.reference_is_clear(F.col("seq"), p.ref_ambiguity)), queries, p, mode)
     keep = F.col("distance") <= p.distance
     if mode == AS_WRITTEN:
         keep = (F.col("_outer") <= p.distance) & ((2 * F.col("_outer") <= p.distance) | keep)
     found = d.withColumns({"distance": F.col("outer") + F.col("inner"), "_outer": F.col("outer")}).where(keep)
-    # With several blocks of queries a reference can be found in several.
-    return found.groupBy("ordinal", "name", "seq").agg(F.min("distance").alias("distance"))
+    return found.select("ordinal", "name", "seq", "distance")

@@ -64,6 +64,14 @@ def aligned_length(df: DataFrame) -> int:
     return lo or 0
 
 
+def of_length(df: DataFrame, length: int, what: str = "reference") -> DataFrame:
+    """The same records; one with another length stops the search, by its name, whatever its quality.  A ``length`` of 0 asks nothing."""
+    if not length:
+        return df
+    told = F.concat(F.lit(f"{what} "), F.coalesce("name", F.lit("without a name")), F.lit(" has "), F.length("seq").cast("string"), F.lit(f" sites instead of {length}"))
+    return df.withColumn("seq", F.when(F.length("seq") == length, F.col("seq")).otherwise(F.raise_error(told)))
+
+
 def without_names(refs: DataFrame, queries: DataFrame) -> DataFrame:
     """References whose name is no query's."""
     return refs.join(queries.select("name").distinct(), "name", "left_anti").select(*refs.columns)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from helixscan.functions.chars import MASK
 
 from . import filters, kernels
 from .filters import Parameters
-from .nearest import clear_queries, query_blocks, spread
+from .nearest import clear_queries, over_blocks, spread
 
 _share = np.zeros((256, 256), np.float32)
 for _a, _x in MASK.items():
@@ -32,13 +33,13 @@ def legacy_scores(refs: DataFrame, queries: DataFrame, **options) -> DataFrame:
     asked = Parameters(**options)
     length = filters.aligned_length(clear_queries(queries, asked))
     p = asked.clamped(length)
-    refs = spread(refs.where(filters.query_is_clear(F.col("seq"), p.ref_ambiguity)))
-    out = None
+    refs = spread(filters.of_length(refs, length).where(filters.query_is_clear(F.col("seq"), p.ref_ambiguity)))
     schema = "query_ordinal long, query string, ref_ordinal long, reference string, valid_sites long, ACGT_matches long, prop_char_matches double, partial_matches double"
-    for block in query_blocks(clear_queries(queries, p)):
+
+    def scored(block: list) -> tuple[DataFrame, Broadcast]:
         shared = refs.sparkSession.sparkContext.broadcast((kernels.matrix([r["seq"].encode() for r in block]), [r["ordinal"] for r in block], [r["name"] for r in block]))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q, ordinal, names = shared.value
             matrix = kernels.QueryMatrix(q[:, p.trim : q.shape[1] - p.trim])
             step = max(1, (1 << 20) // max(1, len(q)))
@@ -59,8 +60,9 @@ def legacy_scores(refs: DataFrame, queries: DataFrame, **options) -> DataFrame:
                         names=[x.split()[0] for x in schema.split(", ")],
                     )
 
-        part = refs.select("ordinal", "name", "seq").mapInArrow(run, schema)
-        out = part if out is None else out.union(part)
+        return refs.select("ordinal", "name", "seq").mapInArrow(run, schema), shared
+
+    out, _ = over_blocks(clear_queries(queries, p), scored, "scores")
     return out if out is not None else refs.sparkSession.createDataFrame([], schema)
 
 

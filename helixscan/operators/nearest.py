@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixscan.sources.storage import written
+
 from . import filters, kernels
 from .filters import Parameters
 from .profile import site_profile
@@ -16,8 +20,9 @@ from .redundancy import keep_resolved
 
 FULL = ("ACGT_matches", "text_matches", "partial_matches", "valid_pair_comparisons", "ACGT_matches_unique", "valid_ref_sites")
 ONLY_ACGT = ("ACGT_matches", "valid_ACGT_comparisons", "ACGT_matches_unique", "valid_ref_sites", "dist_consensus", "dist_unique")
-#: Bytes of query sequences that are sent to all tasks at once; more queries go in blocks.
-RESIDENT = 64 << 20
+#: Bytes of query sequences that are sent to all tasks at once; more queries go in blocks.  A task's matrices take about
+#: twelve times as much: one number for each letter that a site has, and two for what is known.
+RESIDENT = 16 << 20
 
 
 def score_columns(acgt: bool) -> tuple[str, ...]:
@@ -25,16 +30,32 @@ def score_columns(acgt: bool) -> tuple[str, ...]:
 
 
 def query_blocks(queries: DataFrame, resident: int = RESIDENT) -> Iterator[list]:
-    """The queries in blocks of about ``resident`` bytes, by ordinal."""
-    held, size = [], 0
-    for row in queries.select("ordinal", "name", "seq").orderBy("ordinal").toLocalIterator():
-        held.append(row)
-        size += len(row["seq"])
-        if size >= resident:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+    """The queries in blocks of about ``resident`` bytes, dealt by a hash of the ordinal and read one by one from a written table."""
+    table = written(queries.select("ordinal", "name", "seq"), "queries")
+    total = table.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // resident))
+    for k in range(blocks):
+        own = table.where(F.pmod(F.xxhash64("ordinal"), F.lit(blocks)) == k) if blocks > 1 else table
+        if rows := own.orderBy("ordinal").collect():
+            yield rows
+
+
+def over_blocks(queries: DataFrame, scored: Callable[[list], tuple[DataFrame, Broadcast]], label: str, *kept: str) -> tuple[DataFrame | None, bool]:
+    """The union of what ``scored`` gives for each block of queries, and whether there are several.
+
+    The result of one block is left to be worked out; those of several are written (their columns ``kept``, all by default), each
+    before the next block is read, so that the driver and the tasks hold two blocks at most."""
+    blocks = query_blocks(queries)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
+        return (None if first is None else scored(first)[0]), False
+    out = None
+    for block in chain((first, second), blocks):
+        df, shared = scored(block)
+        part = written(df.select(*kept) if kept else df, label)
+        shared.unpersist()
+        out = part if out is None else out.union(part)
+    return out, True
 
 
 def profile_arrays(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -49,8 +70,8 @@ def spread(refs: DataFrame) -> DataFrame:
     return refs.repartition(least) if refs.rdd.getNumPartitions() < least else refs
 
 
-def scored_block(refs: DataFrame, block: list, arrays: tuple[np.ndarray, np.ndarray], n: int, acgt: bool) -> DataFrame:
-    """The ``n`` best references of each query of a block within each partition."""
+def scored_block(refs: DataFrame, block: list, arrays: tuple[np.ndarray, np.ndarray], n: int, acgt: bool) -> tuple[DataFrame, Broadcast]:
+    """The ``n`` best references of each query of a block within each partition, and what the tasks were sent."""
     names = score_columns(acgt)
     shared = refs.sparkSession.sparkContext.broadcast((kernels.matrix([r["seq"].encode() for r in block]), [r["ordinal"] for r in block], [r["name"] for r in block], *arrays))
 
@@ -79,7 +100,7 @@ def scored_block(refs: DataFrame, block: list, arrays: tuple[np.ndarray, np.ndar
                 names=["query_ordinal", "query", "ref_ordinal", "reference", *names],
             )
 
-    return refs.select("ordinal", "name", "seq").mapInArrow(run, "query_ordinal long, query string, ref_ordinal long, reference string, " + ", ".join(f"{c} long" for c in names))
+    return refs.select("ordinal", "name", "seq").mapInArrow(run, "query_ordinal long, query string, ref_ordinal long, reference string, " + ", ".join(f"{c} long" for c in names)), shared
 
 
 def ranked(scored: DataFrame, n: int, acgt: bool) -> DataFrame:
@@ -94,12 +115,13 @@ def clear_queries(queries: DataFrame, p: Parameters) -> DataFrame:
 
 
 def prepared(refs: DataFrame, queries: DataFrame, options: Parameters) -> tuple[DataFrame, DataFrame, Parameters]:
-    """Filtered references and queries, and the clamped options."""
+    """Filtered references and queries, and the clamped options.  References must be as long as the queries, also those that a filter drops."""
     length = filters.aligned_length(clear_queries(queries, options))
     p = options.clamped(length)
     queries = clear_queries(queries, p)
     if p.keep_resolved:
         queries = keep_resolved(queries, p.acgt, p.trim)
+    refs = filters.of_length(refs, length)
     if p.exclude_self:
         refs = filters.without_names(refs, queries)
     return refs.where(filters.reference_is_clear(F.col("seq"), p.ref_ambiguity)), queries, p
@@ -114,10 +136,7 @@ def nearest(refs: DataFrame, queries: DataFrame, **options) -> DataFrame:
     refs, queries, p = prepared(refs, queries, Parameters(**options))
     arrays = profile_arrays(site_profile(queries, p.acgt, p.trim))
     refs = spread(refs)
-    out = None
-    for block in query_blocks(queries):
-        part = scored_block(refs, block, arrays, p.n, p.acgt)
-        out = part if out is None else out.union(part)
+    out, _ = over_blocks(queries, lambda block: scored_block(refs, block, arrays, p.n, p.acgt), "scored")
     if out is None:
         names = ", ".join(f"{c} long" for c in score_columns(p.acgt))
         out = refs.sparkSession.createDataFrame([], f"query_ordinal long, query string, ref_ordinal long, reference string, {names}")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixscan.functions import chars
+from helixscan.sources.storage import numbered
 
 UNUSED, CONSTANT, MISSING, SEGREGATING = "u", "c", "m", "p"
 
@@ -44,12 +45,7 @@ def class_counts(profile: DataFrame) -> DataFrame:
 def query_order(queries: DataFrame, acgt: bool = False, trim: int = 0) -> DataFrame:
     """``resolution_order`` from 1: least resolved queries first, then by ordinal.
 
-    Ranks are counted in ranges of the known sites, of which there are at most as many as sites."""
+    Ranks are counted in the ranges of a distributed sort, so that many queries with the same number of sites don't meet in a task."""
     seq = chars.trimmed(F.col("seq"), trim)
     known = queries.select("ordinal", "name", (chars.count_acgt(seq) if acgt else chars.count_valid(seq)).alias("n_known"))
-    from pyspark.sql import Window
-
-    sizes = known.groupBy("n_known").agg(F.count("*").alias("n"))
-    before = sizes.select("n_known", (F.sum("n").over(Window.orderBy("n_known")) - F.col("n")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("n_known").orderBy("ordinal"))
-    return known.withColumn("own", own).join(before, "n_known").select("ordinal", "name", "n_known", (F.col("before") + F.col("own")).cast("long").alias("resolution_order"))
+    return numbered(known, "resolution_order", "n_known", "ordinal").withColumn("resolution_order", F.col("resolution_order") + 1)

@@ -12,12 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixscan.functions import chars
+from helixscan.sources.storage import written
 
-from . import kernels
+from . import filters, kernels
 
 
 def signature(seq: Column, acgt: bool, trim: int) -> Column:
@@ -26,16 +28,18 @@ def signature(seq: Column, acgt: bool, trim: int) -> Column:
 
 
 def _kept(records: DataFrame, acgt: bool, trim: int, more: bool) -> DataFrame:
-    from .nearest import query_blocks
+    from .nearest import over_blocks
 
-    first = F.row_number().over(Window.partitionBy("_sign").orderBy("ordinal"))
-    own = records.withColumn("_sign", signature(F.col("seq"), acgt, trim)).withColumn("_first", first).where("_first = 1").drop("_first")
+    records = filters.of_length(records, (records.select(F.length("seq")).first() or [0])[0], "query")
+    # The first of each signature, found before the shuffle: copies of one record don't meet in a task.
+    first = records.withColumn("_sign", signature(F.col("seq"), acgt, trim)).groupBy("_sign").agg(F.min(F.struct("ordinal", *[c for c in records.columns if c != "ordinal"])).alias("_r"))
+    own = written(first.select("_sign", *[F.col(f"_r.{c}") for c in records.columns]), "signatures")
     other = own.select("ordinal", "name", F.col("_sign").alias("seq"))
-    dropped = None
-    for block in query_blocks(other):  # of bounded size, against all records where they are
+
+    def lost_to(block: list) -> tuple[DataFrame, Broadcast]:  # of bounded size, against all records where they are
         shared = records.sparkSession.sparkContext.broadcast((kernels.matrix([r["seq"].encode() for r in block]), np.array([r["ordinal"] for r in block])))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q, ordinal = shared.value
             matrix = kernels.QueryMatrix(q)
             known = matrix.valid.sum(1)
@@ -50,8 +54,9 @@ def _kept(records: DataFrame, acgt: bool, trim: int, more: bool) -> DataFrame:
                 lost = (covers if more else covered).any(0)
                 yield pa.RecordBatch.from_arrays([batch.column("ordinal").filter(pa.array(lost))], names=["ordinal"])
 
-        part = other.mapInArrow(run, "ordinal long")
-        dropped = part if dropped is None else dropped.union(part)
+        return other.mapInArrow(run, "ordinal long"), shared
+
+    dropped, _ = over_blocks(other, lost_to, "dropped")
     if dropped is None:
         return own.select(*records.columns)
     return own.join(dropped.distinct(), "ordinal", "left_anti").select(*records.columns)

@@ -107,8 +107,9 @@ def legacy_chosen(n: int = 8) -> str:
 ranks AS (SELECT *, {", ".join(ranks)} FROM o), chosen AS (SELECT * FROM ranks WHERE {" OR ".join(listed)})"""
 
 
-PAIRS = f"""WITH {SITES}, pairs AS (SELECT q.id AS ordinal, q.site, q.c AS qc, r.c AS rc, q.m AS qm, r.m AS rm, q.v AS qv, r.v AS rv, q.a AS qa, r.a AS ra FROM qs q JOIN rs r ON q.id = r.id AND q.site = r.site)
-SELECT ordinal, """
+PAIRS = f"""WITH {SITES}, nq AS (SELECT count(DISTINCT id) AS n FROM qs), pairs AS (SELECT q.id AS query_ordinal, r.id AS ordinal, q.site, q.c AS qc, r.c AS rc, q.m AS qm, r.m AS rm, q.v AS qv, r.v AS rv, q.a AS qa, r.a AS ra FROM qs q JOIN rs r ON q.id % (SELECT n FROM nq) = r.id % (SELECT n FROM nq) AND q.site = r.site)
+SELECT query_ordinal, ordinal, """
+BY_PAIR = "GROUP BY query_ordinal, ordinal"
 INNER = f"WHERE site >= {TRIM} AND site < 120 - {TRIM} "
 
 
@@ -149,12 +150,12 @@ SELECT count(*) AS n_read, {total('same = 1')} AS n_same_name, {total('same = 0
     "consensus": f"WITH {SITES}, {QUERIES}, {profile()} SELECT string_agg(consensus, '' ORDER BY site) AS consensus FROM prof",
     "site_class_counts": f"WITH {SITES}, {QUERIES}, {profile()} SELECT class, count(*) AS n_sites FROM prof GROUP BY class",
     "query_order": f"WITH {SITES}, {QUERIES}, k AS (SELECT id, CAST(sum(v) AS BIGINT) AS n_known FROM qp GROUP BY id) SELECT id AS ordinal, 'query' || id AS name, n_known, row_number() OVER (ORDER BY n_known, id) AS resolution_order FROM k",
-    "pair_score_full": PAIRS + f"{total('qa = 1 AND qc = rc')} AS acgt, {total('qv = 1 AND qc = rc')} AS text, {total('qv * rv = 1 AND (qc = rc OR (qm & rm) <> 0)')} AS partial, {total('qv * rv = 1')} AS valid FROM pairs GROUP BY ordinal",
-    "pair_score_acgt": PAIRS + f"{total('qa * ra = 1 AND qc <> rc')} AS mismatches, {total('qa * ra = 1')} AS acgt_valid FROM pairs GROUP BY ordinal",
-    "pair_acgt_dist": PAIRS + f"{total('qa * ra = 1 AND qc <> rc')} AS distance FROM pairs {INNER}GROUP BY ordinal",
-    "pair_text_dist": PAIRS + f"{total('qv * rv = 1 AND qc <> rc')} AS distance FROM pairs {INNER}GROUP BY ordinal",
-    "pair_hamming": PAIRS + f"{total('qc <> rc')} AS distance FROM pairs {INNER}GROUP BY ordinal",
-    "resolution_order": PAIRS + f"{resolution('v')} AS known, {resolution('a')} AS acgt FROM pairs GROUP BY ordinal",
+    "pair_score_full": PAIRS + f"{total('qa = 1 AND qc = rc')} AS acgt, {total('qv = 1 AND qc = rc')} AS text, {total('qv * rv = 1 AND (qc = rc OR (qm & rm) <> 0)')} AS partial, {total('qv * rv = 1')} AS valid FROM pairs {BY_PAIR}",
+    "pair_score_acgt": PAIRS + f"{total('qa * ra = 1 AND qc <> rc')} AS mismatches, {total('qa * ra = 1')} AS acgt_valid FROM pairs {BY_PAIR}",
+    "pair_acgt_dist": PAIRS + f"{total('qa * ra = 1 AND qc <> rc')} AS distance FROM pairs {INNER}{BY_PAIR}",
+    "pair_text_dist": PAIRS + f"{total('qv * rv = 1 AND qc <> rc')} AS distance FROM pairs {INNER}{BY_PAIR}",
+    "pair_hamming": PAIRS + f"{total('qc <> rc')} AS distance FROM pairs {INNER}{BY_PAIR}",
+    "resolution_order": PAIRS + f"{resolution('v')} AS known, {resolution('a')} AS acgt FROM pairs {BY_PAIR}",
     "nn_full": WITH_NEAREST + named(FULL),
     "nn_acgt": f"{BASE}, {profile('a')}, {NEAREST_ACGT} " + named(ONLY_ACGT),
     "nn_exclude_self": f"WITH {SHARED}, {profile()}, {nearest_full()} SELECT qid AS query_ordinal, rid AS ref_ordinal, rank, {FULL} FROM nn",
@@ -181,8 +182,13 @@ SELECT id AS ordinal, CAST(n AS BIGINT) AS distance, CAST(coalesce(sites[1], -1)
     "snp_sites": SNPS + "SELECT site FROM snp GROUP BY site HAVING sum(snp) > 0",
     "fasta_roundtrip": f"WITH {SITES}, {REF_TEXT} SELECT 'ref' || id AS name, seq FROM rt",
     "fasta_codecs": f"WITH {SITES}, {REF_TEXT} SELECT 'ref' || id AS name, seq FROM rt",
-    "fasta_multi": f"WITH {SITES}, {REF_TEXT} SELECT 'ref' || id AS name, seq FROM rt UNION ALL SELECT 'query' || id, string_agg(c, '' ORDER BY site) FROM qs GROUP BY id",
+    "fasta_multi": f"WITH {SITES}, {REF_TEXT}, both_files AS (SELECT 0 AS f, id, 'ref' || id AS name, seq FROM rt UNION ALL SELECT 1, id, 'query' || id, string_agg(c, '' ORDER BY site) FROM qs GROUP BY id) SELECT row_number() OVER (ORDER BY f, id) - 1 AS ordinal, name, seq FROM both_files",
+    "nn_table": f"{BASE}, {profile()}, {nearest_full()}, k AS (SELECT id, sum(v) AS n_known FROM qp GROUP BY id), o AS (SELECT id, row_number() OVER (ORDER BY n_known, id) AS resolution_order FROM k) SELECT 'query' || qid AS query, 'ref' || rid AS reference, rank, {FULL}, resolution_order FROM nn JOIN o ON o.id = nn.qid",
+    "sql_weighted": PAIRS + f"round(sum(CASE WHEN qm > 0 AND rm > 0 THEN bit_count(qm & rm) / CAST(bit_count(qm) * bit_count(rm) AS DOUBLE) ELSE 0 END), 3) AS partial_matches FROM pairs {BY_PAIR}",
+    "sql_snps": f"""WITH {SITES}, base AS (SELECT site, c, v FROM rs WHERE id = (SELECT min(id) FROM rs)), d AS (SELECT r.id, r.site FROM rs r JOIN base b ON r.site = b.site WHERE r.v = 1 AND b.v = 1 AND r.c <> b.c)
+SELECT x.id AS ordinal, count(d.site) AS distance, coalesce(min(d.site), -1) AS snp_1 FROM (SELECT DISTINCT id FROM rs) x LEFT JOIN d ON d.id = x.id GROUP BY x.id""",
 }
 ORACLES["stream_nn"] = ORACLES["nn_full"]
 ORACLES["stream_ball"] = ORACLES["ball_full"]
 ORACLES["sql_functions"] = ORACLES["pair_score_full"]
+ORACLES["sql_resolution"] = ORACLES["resolution_order"]

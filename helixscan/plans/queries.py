@@ -12,7 +12,7 @@ from helixscan.operators import align as aligner
 from helixscan.operators import ball as balls
 from helixscan.operators import cluster as clusters
 from helixscan.operators import filters, legacy, nearest, profile, redundancy, reference
-from helixscan.sources import fasta
+from helixscan.sources import fasta, sinks
 from helixscan.sources.storage import shared_path
 from helixscan.streaming import search
 
@@ -41,10 +41,15 @@ def clear_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str, trim: int = 0) -> DataFrame:
-    """Each query with the reference of the same number."""
-    q = query_records(spark, sf_dir).select("ordinal", F.col("seq").alias("q"))
-    r = reference_records(spark, sf_dir).select("ordinal", F.col("seq").alias("r"))
-    return chars.with_pair_counts(q.join(r, "ordinal"), "q", "r", trim)
+    """Every reference with a query: the one of the same number, modulo the number of queries."""
+    return chars.with_pair_counts(partners(spark, sf_dir), "q", "r", trim)
+
+
+def partners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = query_records(spark, sf_dir)
+    n = F.lit(q.count())
+    q = q.select(F.pmod("ordinal", n).alias("_n"), F.col("ordinal").alias("query_ordinal"), F.col("seq").alias("q"))
+    return reference_records(spark, sf_dir).select(F.pmod("ordinal", n).alias("_n"), "ordinal", F.col("seq").alias("r")).join(q, "_n").drop("_n")
 
 
 def unaligned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,33 +167,33 @@ def query_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pair_score_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).select("ordinal", "acgt", "text", "partial", "valid")
+    return pairs(spark, sf_dir).select("query_ordinal", "ordinal", "acgt", "text", "partial", "valid")
 
 
 @query
 def pair_score_acgt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).select("ordinal", (F.col("acgt_valid") - F.col("acgt")).alias("mismatches"), "acgt_valid")
+    return pairs(spark, sf_dir).select("query_ordinal", "ordinal", (F.col("acgt_valid") - F.col("acgt")).alias("mismatches"), "acgt_valid")
 
 
 @query
 def pair_acgt_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir, TRIM).select("ordinal", (F.col("acgt_valid") - F.col("acgt")).alias("distance"))
+    return pairs(spark, sf_dir, TRIM).select("query_ordinal", "ordinal", (F.col("acgt_valid") - F.col("acgt")).alias("distance"))
 
 
 @query
 def pair_text_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir, TRIM).select("ordinal", (F.col("valid") - F.col("text")).alias("distance"))
+    return pairs(spark, sf_dir, TRIM).select("query_ordinal", "ordinal", (F.col("valid") - F.col("text")).alias("distance"))
 
 
 @query
 def pair_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir, TRIM).select("ordinal", F.col("hamming").alias("distance"))
+    return pairs(spark, sf_dir, TRIM).select("query_ordinal", "ordinal", F.col("hamming").alias("distance"))
 
 
 @query
 def resolution_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pairs(spark, sf_dir)
-    return p.select("ordinal", chars.resolution(F.col("left_only"), F.col("right_only")).alias("known"), chars.resolution(F.col("left_acgt_only"), F.col("right_acgt_only")).alias("acgt"))
+    return p.select("query_ordinal", "ordinal", chars.resolution(F.col("left_only"), F.col("right_only")).alias("known"), chars.resolution(F.col("left_acgt_only"), F.col("right_acgt_only")).alias("acgt"))
 
 
 # Nearest references
@@ -370,9 +375,28 @@ def cluster_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pair scores through the functions registered for SQL text."""
     sql.register(spark)
-    q = query_records(spark, sf_dir).select("ordinal", F.col("seq").alias("q"))
-    both = q.join(reference_records(spark, sf_dir).select("ordinal", F.col("seq").alias("r")), "ordinal")
-    return both.selectExpr("ordinal", "seq_acgt_matches(q, r) AS acgt", "seq_text_matches(q, r) AS text", "seq_partial_matches(q, r) AS partial", "seq_valid_pairs(q, r) AS valid")
+    return partners(spark, sf_dir).selectExpr("query_ordinal", "ordinal", "seq_acgt_matches(q, r) AS acgt", "seq_text_matches(q, r) AS text", "seq_partial_matches(q, r) AS partial", "seq_valid_pairs(q, r) AS valid")
+
+
+@query
+def sql_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql.register(spark)
+    return partners(spark, sf_dir).selectExpr("query_ordinal", "ordinal", "seq_resolution(q, r) AS known", "seq_resolution_acgt(q, r) AS acgt")
+
+
+@query
+def sql_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql.register(spark)
+    return partners(spark, sf_dir).selectExpr("query_ordinal", "ordinal", "round(seq_weighted_matches(q, r), 3) AS partial_matches")
+
+
+@query
+def sql_snps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance to the first record of the references and the first SNP site, in SQL text."""
+    sql.register(spark)
+    _, first = fasta.first_record(reference_records(spark, sf_dir))
+    sites = reference_records(spark, sf_dir).selectExpr("ordinal", f"seq_snp_sites(seq, '{first}') AS sites")
+    return sites.selectExpr("ordinal", "CAST(size(sites) AS BIGINT) AS distance", "coalesce(get(sites, 0), -1L) AS snp_1")
 
 
 # Files and streams
@@ -382,16 +406,25 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "fasta")
     fasta.fasta_text(reference_records(spark, sf_dir)).write.option("compression", "gzip").text(path)
-    return fasta.read_fasta_text(spark, path)
+    return fasta.read_fasta_text(spark, path).select("name", "seq")
 
 
 @query
 def fasta_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Several files, plain and bzip2, read together."""
+    """Several files, plain and bzip2, read together; records are numbered over all of them."""
     path = shared_path(spark, "fasta")
-    fasta.fasta_text(reference_records(spark, sf_dir)).write.text(f"{path}/a")
-    fasta.fasta_text(query_records(spark, sf_dir)).write.option("compression", "bzip2").text(f"{path}/b")
-    return fasta.read_fasta_text(spark, f"{path}/a").union(fasta.read_fasta_text(spark, f"{path}/b"))
+    sinks.write_alignment(reference_records(spark, sf_dir), f"{path}/a", "none")
+    sinks.write_alignment(query_records(spark, sf_dir), f"{path}/b", "bzip2")
+    return fasta.read_fasta_text(spark, [f"{path}/a", f"{path}/b"])
+
+
+@query
+def nn_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search's table written as CSV in the order of resolution, and read again with the order of its queries."""
+    path = shared_path(spark, "table")
+    order = profile.query_order(clear_queries(spark, sf_dir))
+    sinks.write_table(found(spark, sf_dir), order, path)
+    return sinks.read_table(spark, path).join(order.select(F.col("name").alias("query"), "resolution_order"), "query")
 
 
 @query

@@ -15,10 +15,12 @@ import os
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from .storage import written
+
 SCHEMA = "file string, file_number int, number long, name string, seq string"
 OPEN = {b"\x1f\x8b": gzip.open, b"BZ": bz2.open, b"\xfd7": lzma.open}
 
@@ -138,9 +140,33 @@ def fasta_text(df: DataFrame) -> DataFrame:
     return df.select(F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("value"))
 
 
-def read_fasta_text(spark: SparkSession, path: str) -> DataFrame:
-    """``name, seq`` from a path that any Spark file system reads, split at lines that begin with ``>``."""
-    raw = spark.read.option("lineSep", "\n>").text(path)
-    lines = F.split(F.regexp_replace("value", "^>|\r", ""), "\n")
-    joined = F.upper(F.regexp_replace(F.array_join(F.slice(lines, F.lit(2), F.greatest(F.lit(0), F.size(lines) - 1)), ""), r"\s", ""))
-    return raw.select(F.trim(F.get(lines, F.lit(0))).alias("name"), joined.alias("seq")).where("seq != ''")
+def first_record(records: DataFrame) -> tuple[str, str]:
+    """Name and sequence of the first record, as for a reference genome; ``ValueError`` if there is none."""
+    row = records.orderBy("ordinal").select("name", "seq").first()
+    if row is None or not row["seq"]:
+        raise ValueError("the reference has no sequence")
+    return row["name"], row["seq"]
+
+
+def read_fasta_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``ordinal, name, seq`` from paths that any Spark file system reads, plain files in splits.
+
+    The same rules as in ``records``: the first ``>`` of a line begins a header, in whatever place.  Files count in the order
+    given, those of a folder by name, and splits by their place in the file.  Codecs are Spark's (xz is not among them)."""
+    paths = [paths] if isinstance(paths, str) else paths
+    raw = None
+    for i, path in enumerate(paths):
+        part = spark.read.option("lineSep", "\n>").text(path).select("value", F.lit(i).alias("given"), F.input_file_name().alias("file"), F.input_file_block_start().alias("block"))
+        raw = part if raw is None else raw.union(part)
+    # A chunk goes from one line that begins with > to the next; other lines may hold further headers.
+    value = F.regexp_replace(F.regexp_replace("value", "\r", ""), "^>", "")
+    chunks = raw.select("given", "file", "block", F.explode(F.split(F.regexp_replace(value, r"\n[^>\n]*>", "\u0001"), "\u0001")).alias("value"))
+    lines = F.split("value", "\n")
+    seq = F.upper(F.regexp_replace(F.array_join(F.slice(lines, F.lit(2), F.greatest(F.lit(0), F.size(lines) - 1)), ""), r"\s", ""))
+    found = chunks.select("given", "file", "block", F.trim(F.get(lines, F.lit(0))).alias("name"), seq.alias("seq")).where("seq != ''")
+    table = written(found.withColumn("_at", F.monotonically_increasing_id()), "fasta")
+    # Records of a split stand together; what is before a split is one number for each.
+    splits = table.groupBy("given", "file", "block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    splits = splits.withColumn("_before", F.sum("_n").over(Window.orderBy("given", "file", "block")) - F.col("_n"))
+    placed = table.join(F.broadcast(splits.drop("_n")), ["given", "file", "block"])
+    return placed.select((F.col("_before") + F.col("_at") - F.col("_first")).cast("long").alias("ordinal"), "name", "seq")

@@ -29,17 +29,17 @@ def stream_nearest(refs: DataFrame, queries: DataFrame, **options) -> DataFrame:
     profile = written(site_profile(queries, p.acgt, p.trim), "profile")
     queries = written(queries, "queries")
     arrays = nearest.profile_arrays(profile)
+    length = len(arrays[0])
     best: list[DataFrame] = []
 
     def step(batch: DataFrame, number: int) -> None:
-        own = filters.without_names(batch, queries) if p.exclude_self else batch
+        own = filters.of_length(batch, length)
+        own = filters.without_names(own, queries) if p.exclude_self else own
         own = nearest.spread(own.where(filters.reference_is_clear(F.col("seq"), p.ref_ambiguity)))
-        new = None
-        for block in nearest.query_blocks(queries):
-            part = nearest.scored_block(own, block, arrays, p.n, p.acgt).withColumn("entered_at_batch", F.lit(number).cast("long"))
-            new = part if new is None else new.union(part)
+        new, _ = nearest.over_blocks(queries, lambda block: nearest.scored_block(own, block, arrays, p.n, p.acgt), "scored")
         if new is None:
             return
+        new = new.withColumn("entered_at_batch", F.lit(number).cast("long"))
         # The table of a batch that is run again is written anew, from the same table before it.
         both = new if not best else best[-1].drop("rank").unionByName(new)
         best.append(written(nearest.ranked(both, p.n, p.acgt), "best"))
