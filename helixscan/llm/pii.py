@@ -1,11 +1,11 @@
 """Personal data by weak supervision, with DataFrame functions only.
 
 Base spans come from patterns and checks.  Further candidates (keys and tokens, local phone numbers)
-are judged by labelers that vote yes, no or nothing: the shape of the string, a gazetteer of words
+are judged by labelers that vote yes, no or nothing: the shape of the string, gazetteers that hold the words
 before it, what stands around it, its variety, and its length.  Expectation-maximisation over the
 counts of vote patterns estimates how reliable each labeler is; a logistic classifier of a span's
-votes and features is trained on the result and decides.  Patterns have a fixed number of
-values, so that what comes to the driver does not grow with the corpus.
+votes, and of features that no labeler saw, is trained on the result and decides; a span for which it finds even odds is taken.  Patterns have
+a fixed number of values, so that what comes to the driver does not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -28,12 +28,20 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 KINDS = ("email", "ip", "card", "phone")
 KEY = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*[0-9])[A-Za-z0-9_+/=-]{16,}+"
 LOCAL = r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
-#: Words that name what follows them (fixed values).
+#: Words that name what follows them, in English, German, French and Spanish, and words of what looks alike (fixed values).
 GAZETTEER = {
-    "secret": r"(?i)\b(?:token|key|secret|password|passwd|pwd|bearer|auth|authorization|credential|apikey|session)\b",
-    "number": r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax|whatsapp|contact|telefon|handy|t[ée]l[ée]phone|tel[ée]fono|m[óo]vil)\b",
+    "secret": "access api apikey auth authorization bearer client cookie credential credentials key login passphrase passwd password private pwd secret session sha signature token webhook "
+    "geheim geheimnis kennwort passwort schlüssel zugang zugangsdaten clé jeton mot passe secrète clave contraseña ficha llave secreto",
+    "number": "call cell cellphone contact fax hotline mobile phone sms tel telephone text whatsapp anruf anrufen durchwahl handy mobil rufnummer telefon telefonnummer "
+    "appeler appelez fixe mobile numéro portable téléphone celular contacto llama llamar móvil número teléfono",
+}
+NOT_GAZETTEER = {
+    "secret": "commit doi http https isbn md path revision url uuid www",
+    "number": "artikel article bestellung commande doi invoice isbn issn item order page pedido ref reference rechnung sku version",
 }
 LABELERS = ("shape", "gazetteer", "context", "variety", "size")
+#: Characters before a span that labelers see, and words of them that the gazetteers are asked for.
+AROUND, NEAR = 32, 4
 SPAN = "array<struct<start:int,end:int,text:string>>"
 ROUNDS = 40
 
@@ -87,7 +95,7 @@ def vote(yes: Column, no: Column) -> Column:
 
 def candidate(kind: str, span: Column) -> Column:
     """A candidate with its votes and features."""
-    m, before = span["text"], F.substring(F.col("_text"), F.greatest(F.lit(1), span["start"] - 23), F.least(F.lit(24), span["start"]))
+    m, before = span["text"], F.substring(F.col("_text"), F.greatest(F.lit(1), span["start"] - AROUND + 1), F.least(F.lit(AROUND), span["start"]))
     after = F.substring(F.col("_text"), span["end"] + 1, F.lit(1))
     n, kinds = F.length(m), F.size(F.array_distinct(F.split(m, "")))
     n_digits = F.length(digits(m))
@@ -99,9 +107,13 @@ def candidate(kind: str, span: Column) -> Column:
         shape = vote(m.rlike(r"^\([0-9]{3}\)|^[0-9]{3}-[0-9]{3}-[0-9]{4}$"), m.rlike(r"\."))
         variety, size = vote(kinds >= 6, kinds < 4), vote(n_digits == 10, n_digits != 10)
         context = vote(before.rlike(r"[:(]\s*$"), before.rlike(r"[0-9][ .-]?$") | after.rlike(r"[%€$]"))
-    gazetteer = vote(before.rlike(GAZETTEER[kind]), before.rlike(r"(?i)https?:|\bisbn\b|\bdoi\b"))
+    words = F.slice(F.reverse(F.filter(F.split(F.lower(before), r"[^\p{L}]+"), lambda w: w != "")), F.lit(1), F.lit(NEAR))
+    listed = lambda names: F.arrays_overlap(words, F.array(*map(F.lit, names[kind].split())))
+    gazetteer = vote(listed(GAZETTEER), listed(NOT_GAZETTEER))
     votes = F.concat_ws(",", *[v.cast("string") for v in (shape, gazetteer, context, variety, size)])
-    features = F.concat_ws(",", F.least(F.lit(4), F.floor(n / 12)).cast("string"), F.floor(F.lit(4) * n_digits / n).cast("string"), after.isin('"', "'").cast("string"))
+    beside = F.when(before.rlike(r"\p{L}$"), "letter").when(before.rlike("[0-9]$"), "digit").when(before.rlike(r"\s$") | (span["start"] == 0), "blank").otherwise("mark")
+    begins = F.when(m.rlike("^[0-9]"), "digit").when(m.rlike("^[a-z]"), "small").when(m.rlike("^[A-Z]"), "capital").otherwise("mark")
+    features = F.concat_ws(",", beside, begins, F.least(F.lit(4), F.floor(n / 12)).cast("string"), F.floor(F.lit(4) * n_digits / n).cast("string"), after.isin('"', "'").cast("string"))
     return F.struct(F.lit(kind).alias("kind"), span["start"].alias("start"), span["end"].alias("end"), votes.alias("votes"), features.alias("features"))
 
 
