@@ -1,10 +1,11 @@
 """Clustering of near-identical records around medoids.
 
-Records are dealt to queues of bounded size.  In a queue, each record in turn joins the first medoid
+Records are dealt to queues of bounded size, by their numbers.  In a queue, each record in turn joins the first medoid
 within the distance, or becomes one.  Then half of the queues take in the other half, round by round: each medoid joins
 the first medoid of the other queue within the distance, or moves over.  A round is a
 join on rings around the reference (records within ``d`` of each other differ by ``d`` at most in their
-distance to it), compared block by block, so that no queue has to fit a task.
+distance to it), compared block by block, so that no queue has to fit a task.  All sites are compared: two records that
+differ at a site can't both agree with the reference there, so that the sites with a SNP in some queue give the same distances.
 """
 
 from __future__ import annotations
@@ -14,17 +15,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixscan.functions import chars
-from helixscan.sources.storage import written
+from helixscan.sources.storage import numbered, written
 
-from . import kernels
+from . import filters, kernels
 from .reference import snps
 
 #: Records of a queue, and medoids of a block.
 QUEUE, BLOCK = 1000, 1024
+#: What orders medoids, all descending: distance to the reference, place of the first SNP, known sites.
+SCORES = ("d_ref", "snp", "known")
 
 
 def differences(a: np.ndarray, b: np.ndarray, raw: bool = False) -> np.ndarray:
@@ -37,17 +40,18 @@ def differences(a: np.ndarray, b: np.ndarray, raw: bool = False) -> np.ndarray:
 
 
 def described(records: DataFrame, reference: str, trim: int = 0) -> DataFrame:
-    """Adds ``d_ref`` (distance to the reference) and ``known`` (valid sites)."""
-    return snps(records, reference, trim).withColumns({"d_ref": F.size("snp_sites").cast("long"), "known": chars.count_valid(F.col("seq"))}).drop("snp_sites")
+    """Adds ``d_ref`` (distance to the reference), ``snp`` (place of the first SNP; -1 if there is none) and ``known`` (valid sites)."""
+    records = snps(filters.of_length(records, len(reference), "record"), reference, trim)
+    return records.withColumns({"d_ref": F.size("snp_sites").cast("long"), "snp": F.coalesce(F.get("snp_sites", F.lit(0)), F.lit(-1)).cast("long"), "known": chars.count_valid(F.col("seq"))}).drop("snp_sites")
 
 
 def leader(records: DataFrame, reference: str, distance: int = 1, trim: int = 0, queues: int | None = None, ring: bool = True, raw: bool = False) -> DataFrame:
-    """``queue, medoid, member, medoid_name, member_name, seq, d_ref, known``: each record with its medoid (ordinals).
+    """``queue, medoid, member, medoid_name, member_name, seq, d_ref, snp, known``: each record with its medoid (ordinals).
 
     ``queues``: by default as many as give ``QUEUE`` records each.  A record that equals its medoid and knows more sites (then: is further from the
     reference) takes its place."""
     queues = queues or max(1, -(-records.count() // QUEUE))
-    df = described(records, reference, trim).withColumn("queue", F.pmod(F.xxhash64("ordinal"), F.lit(queues)).cast("int"))
+    df = described(records, reference, trim).withColumn("queue", F.pmod("ordinal", F.lit(queues)).cast("int"))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ordinal", ignore_index=True)
@@ -76,10 +80,10 @@ def leader(records: DataFrame, reference: str, distance: int = 1, trim: int = 0,
                     medoid[found] = i
         chosen = rows.iloc[np.array(medoid)[of]].reset_index(drop=True)
         return pd.DataFrame({
-            "queue": key[0], "medoid": chosen["ordinal"], "member": rows["ordinal"], "medoid_name": chosen["name"], "member_name": rows["name"], "seq": chosen["seq"], "d_ref": chosen["d_ref"], "known": chosen["known"],
+            "queue": key[0], "medoid": chosen["ordinal"], "member": rows["ordinal"], "medoid_name": chosen["name"], "member_name": rows["name"], "seq": chosen["seq"], "d_ref": chosen["d_ref"], "snp": chosen["snp"], "known": chosen["known"],
         })
 
-    return df.groupBy("queue").applyInPandas(run, "queue int, medoid long, member long, medoid_name string, member_name string, seq string, d_ref long, known long")
+    return df.groupBy("queue").applyInPandas(run, "queue int, medoid long, member long, medoid_name string, member_name string, seq string, d_ref long, snp long, known long")
 
 
 def first_matches(left: DataFrame, right: DataFrame, distance: int, trim: int, ring: bool, raw: bool) -> DataFrame:
@@ -117,25 +121,22 @@ def first_matches(left: DataFrame, right: DataFrame, distance: int, trim: int, r
 
 
 def merged(clusters: DataFrame, distance: int = 1, trim: int = 0, ring: bool = True, raw: bool = False) -> DataFrame:
-    """One set of clusters from those of all queues: ``medoid, member, medoid_name, member_name``."""
-    medoid_columns = ("medoid", "medoid_name", "seq", "d_ref", "known")
+    """One set of clusters from those of all queues: ``medoid, member, medoid_name, member_name`` and the medoid's ``SCORES``."""
+    medoid_columns = ("medoid", "medoid_name", "seq", *SCORES)
     members = written(clusters.select("queue", *medoid_columns, "member", "member_name"), "clusters")
     medoids = members.where("medoid = member").select("queue", *medoid_columns)
     joined = members.select("medoid", "member", "member_name")
     count = (medoids.agg(F.max("queue")).first()[0] or 0) + 1
     while count > 1:
         half = -(-count // 2)
-        # Order within a queue: furthest from the reference first, then by known sites and ordinal.
-        spread = medoids.withColumn("place", (F.row_number().over(Window.partitionBy("queue", "d_ref").orderBy(F.desc("known"), "medoid")) - 1).cast("long"))
-        sizes = medoids.groupBy("queue", "d_ref").agg(F.count("*").alias("n"))
-        sizes = sizes.select("queue", "d_ref", (F.sum("n").over(Window.partitionBy("queue").orderBy(F.desc("d_ref"))) - F.col("n")).alias("before"))
-        placed = written(spread.join(sizes, ["queue", "d_ref"]).withColumn("place", F.col("place") + F.col("before")).drop("before"), "medoids")
+        # Order within a queue: by the scores, then by ordinal.
+        placed = written(numbered(medoids, "place", "queue", *map(F.desc, SCORES), "medoid"), "medoids")
         left = placed.where(F.col("queue") < half).withColumn("pair", F.col("queue"))
         right = placed.where(F.col("queue") >= half).withColumn("pair", F.col("queue") - half)
         into = written(first_matches(left, right, distance, trim, ring, raw), "into")
         better = right.join(into, "medoid").select("into", "medoid", *[F.col(c).alias(f"r_{c}") for c in medoid_columns[1:]])
         # A medoid that came in and knows more sites takes the place of the one it joined.
-        best = better.groupBy("into").agg(F.max(F.struct("r_known", "r_d_ref", (-F.col("medoid")).alias("m"), "r_medoid_name", "r_seq")).alias("b"))
+        best = better.groupBy("into").agg(F.max(F.struct("r_known", "r_d_ref", (-F.col("medoid")).alias("m"), "r_medoid_name", "r_seq", "r_snp")).alias("b"))
         kept = left.join(best, left["medoid"] == best["into"], "left")
         wins = F.coalesce(F.col("b.r_known") > F.col("known"), F.lit(False))
         old = kept.select("queue", F.col("medoid").alias("was"), F.when(wins, -F.col("b.m")).otherwise(F.col("medoid")).alias("medoid"), *[F.when(wins, F.col(f"b.r_{c}")).otherwise(F.col(c)).alias(c) for c in medoid_columns[1:]])
@@ -145,7 +146,7 @@ def merged(clusters: DataFrame, distance: int = 1, trim: int = 0, ring: bool = T
         medoids = written(old.drop("was").unionByName(moved.drop("was")), "medoids")
         joined = written(joined.join(names, joined["medoid"] == names["was"]).select(F.col("now").alias("medoid"), "member", "member_name"), "members")
         count = half
-    return joined.join(medoids.select("medoid", "medoid_name"), "medoid").select("medoid", "member", "medoid_name", "member_name")
+    return joined.join(medoids.select("medoid", "medoid_name", *SCORES), "medoid").select("medoid", "member", "medoid_name", "member_name", *SCORES)
 
 
 def cluster(records: DataFrame, reference: str, distance: int = 1, trim: int = 0, queues: int | None = None, ring: bool = True, raw: bool = False) -> DataFrame:
@@ -156,14 +157,26 @@ def sizes(clusters: DataFrame) -> DataFrame:
     return clusters.groupBy("medoid", "medoid_name").agg(F.count("*").alias("n_members"))
 
 
+def final_order(clusters: DataFrame) -> DataFrame:
+    """``place`` (from 0), ``medoid``, ``medoid_name``, ``n_members``: the largest clusters first, then by the medoid's scores and ordinal."""
+    medoids = clusters.groupBy("medoid", "medoid_name", *SCORES).agg(F.count("*").alias("n_members"))
+    return numbered(medoids, "place", F.desc("n_members"), *map(F.desc, SCORES), "medoid").drop(*SCORES)
+
+
+def medoid_alignment(clusters: DataFrame, records: DataFrame) -> DataFrame:
+    """The medoids' sequences as ``ordinal, name, seq``, numbered in the final order."""
+    order = final_order(clusters)
+    return records.select(F.col("ordinal").alias("medoid"), "name", "seq").join(order, "medoid").select(F.col("place").alias("ordinal"), "name", "seq")
+
+
 def table(clusters: DataFrame, per_line: int = 1000) -> DataFrame:
-    """``n_members, medoid, part, line``: text lines of a medoid's name and members' names.
+    """``place, n_members, medoid, part, line``: text lines of a medoid's name and members' names.
 
     A line holds about ``per_line`` names; a large cluster has several lines, so that none has to hold it whole.
-    Sorted by ``n_members`` descending, ``medoid`` and ``part`` they are the cluster table."""
-    n = sizes(clusters).select("medoid", "n_members")
+    Sorted by ``place`` and ``part`` they are the cluster table."""
+    n = final_order(clusters).select("medoid", "n_members", "place")
     parts = F.pmod(F.xxhash64("member"), F.ceil(F.col("n_members") / per_line)).alias("part")
-    rows = clusters.join(n, "medoid").select("medoid", "n_members", "medoid_name", "member", "member_name", parts)
+    rows = clusters.join(n, "medoid").select("place", "medoid", "n_members", "medoid_name", "member", "member_name", parts)
     names = F.transform(F.array_sort(F.collect_list(F.when(F.col("member") != F.col("medoid"), F.struct("member", "member_name")))), lambda x: x["member_name"])
-    lines = rows.groupBy("medoid", "n_members", "medoid_name", "part").agg(names.alias("names"))
-    return lines.select("n_members", "medoid", F.col("part").cast("long").alias("part"), F.concat_ws(",", "medoid_name", "names").alias("line"))
+    lines = rows.groupBy("place", "medoid", "n_members", "medoid_name", "part").agg(names.alias("names"))
+    return lines.select("place", "n_members", "medoid", F.col("part").cast("long").alias("part"), F.concat_ws(",", "medoid_name", "names").alias("line"))

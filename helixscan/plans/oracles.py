@@ -128,6 +128,60 @@ BACKBONE = "base AS (SELECT site, coalesce(arg_min(c, id) FILTER (WHERE a = 1),
 SNPS = f"WITH {SITES}, {BACKBONE}, snp AS (SELECT r.id, r.site, CASE WHEN r.v = 1 AND r.c <> b.base THEN 1 ELSE 0 END AS snp FROM rs r JOIN base b ON r.site = b.site) "
 SHARED = f"""{SITES}, {QUERIES}, rx AS (SELECT * FROM rs WHERE id % 400 NOT IN (SELECT id % 40 FROM qp)), rp AS (SELECT * FROM rx WHERE id IN (SELECT id FROM rx GROUP BY id HAVING sum(v) >= floor(count(*) * 0.5)))"""
 
+#: Leader clustering record by record, then rounds in which half of the queues take in the others; four rounds serve up to 16 queues.
+CLUSTER_ROUNDS = 4
+
+
+def merge_round(k: int) -> str:
+    """From the medoids ``m{k}`` and members ``a{k}`` to those of half as many queues."""
+    return f"""h{k} AS (SELECT (max(queue) + 2) // 2 AS half FROM m{k}),
+s{k} AS (SELECT m.*, row_number() OVER (ORDER BY d_ref DESC, snp DESC, known DESC, medoid) AS place, CASE WHEN queue < half THEN queue ELSE queue - half END AS pair, queue >= half AS moves FROM m{k} m, h{k}),
+i{k} AS (SELECT r.medoid, arg_min(l.medoid, l.place) AS into_ FROM s{k} r JOIN near n ON n.a = r.medoid JOIN s{k} l ON l.medoid = n.b AND l.pair = r.pair AND NOT l.moves WHERE r.moves GROUP BY r.medoid),
+b{k} AS (SELECT into_, medoid, d_ref, snp, known FROM (SELECT i.into_, s.*, row_number() OVER (PARTITION BY i.into_ ORDER BY known DESC, d_ref DESC, s.medoid) AS rn FROM i{k} i JOIN s{k} s ON s.medoid = i.medoid) x WHERE rn = 1),
+o{k} AS (SELECT l.pair AS queue, l.medoid AS was, CASE WHEN b.known > l.known THEN b.medoid ELSE l.medoid END AS medoid, CASE WHEN b.known > l.known THEN b.d_ref ELSE l.d_ref END AS d_ref,
+ CASE WHEN b.known > l.known THEN b.snp ELSE l.snp END AS snp, CASE WHEN b.known > l.known THEN b.known ELSE l.known END AS known FROM s{k} l LEFT JOIN b{k} b ON b.into_ = l.medoid WHERE NOT l.moves
+ UNION ALL SELECT pair, medoid, medoid, d_ref, snp, known FROM s{k} WHERE moves AND medoid NOT IN (SELECT medoid FROM i{k})),
+n{k} AS (SELECT was, medoid FROM o{k} UNION ALL SELECT i.medoid, o.medoid FROM i{k} i JOIN o{k} o ON o.was = i.into_),
+m{k + 1} AS (SELECT queue, medoid, d_ref, snp, known FROM o{k}),
+a{k + 1} AS (SELECT n.medoid, a.member FROM a{k} a JOIN n{k} n ON n.was = a.medoid)"""
+
+
+def clusters(distance: int = 1, queue: int = 1000) -> str:
+    ranked = "(r.known > m.known OR r.known = m.known AND r.d_ref > m.d_ref)"
+    return f"""WITH RECURSIVE {SITES}, {BACKBONE}, marked AS (SELECT r.id, r.site, r.v, CASE WHEN r.v = 1 AND r.c <> b.base THEN 1 ELSE 0 END AS snp FROM rs r JOIN base b ON r.site = b.site),
+nqueues AS (SELECT greatest(1, (count(DISTINCT id) + {queue - 1}) // {queue}) AS n FROM rs),
+rec AS (SELECT id, id % (SELECT n FROM nqueues) AS queue, CAST(sum(snp) AS BIGINT) AS d_ref, CAST(coalesce(min(CASE WHEN snp = 1 THEN site END), -1) AS BIGINT) AS snp, CAST(sum(v) AS BIGINT) AS known FROM marked GROUP BY id),
+half AS (SELECT x.id AS a, y.id AS b, sum(CASE WHEN x.v = 1 AND y.v = 1 AND x.c <> y.c THEN 1 ELSE 0 END) AS d FROM rec r JOIN rec m ON r.id < m.id AND abs(r.d_ref - m.d_ref) <= {distance}
+ JOIN rs x ON x.id = r.id JOIN rs y ON y.id = m.id AND y.site = x.site GROUP BY x.id, y.id HAVING sum(CASE WHEN x.v = 1 AND y.v = 1 AND x.c <> y.c THEN 1 ELSE 0 END) <= {distance}),
+near AS MATERIALIZED (SELECT a, b, d FROM half UNION ALL SELECT b, a, d FROM half),
+cand AS MATERIALIZED (SELECT r.id, r.queue, row_number() OVER (PARTITION BY r.queue ORDER BY r.id) AS pos, coalesce(list(m.id) FILTER (WHERE m.id IS NOT NULL), []) AS close_to, coalesce(list(m.id) FILTER (WHERE n.d = 0 AND {ranked}), []) AS better_than
+ FROM rec r LEFT JOIN near n ON n.a = r.id LEFT JOIN rec m ON m.id = n.b AND m.queue = r.queue GROUP BY r.id, r.queue),
+lead_ AS (SELECT DISTINCT queue, CAST(0 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS medoids, CAST(0 AS BIGINT) AS at, CAST(NULL AS BIGINT) AS id FROM rec
+ UNION ALL SELECT queue, pos, CASE WHEN f = 0 THEN list_append(medoids, id) WHEN list_contains(better_than, medoids[f]) THEN list_transform(medoids, lambda m, i: CASE WHEN i = f THEN id ELSE m END) ELSE medoids END,
+  CASE WHEN f = 0 THEN len(medoids) + 1 ELSE f END, id
+ FROM (SELECT l.queue, c.pos, l.medoids, c.id, c.better_than, CAST(coalesce(list_position(list_transform(l.medoids, lambda m: list_contains(c.close_to, m)), true), 0) AS BIGINT) AS f FROM lead_ l JOIN cand c ON c.queue = l.queue AND c.pos = l.pos + 1) x),
+last_ AS (SELECT queue, arg_max(medoids, pos) AS medoids FROM lead_ GROUP BY queue),
+a0 AS MATERIALIZED (SELECT last_.medoids[l.at] AS medoid, l.id AS member, l.queue FROM lead_ l JOIN last_ ON last_.queue = l.queue WHERE l.id IS NOT NULL),
+m0 AS MATERIALIZED (SELECT r.queue, r.id AS medoid, r.d_ref, r.snp, r.known FROM rec r WHERE r.id IN (SELECT medoid FROM a0)),
+{", ".join(merge_round(k) for k in range(CLUSTER_ROUNDS))}, final_ AS (SELECT medoid, count(*) AS n_members FROM a{CLUSTER_ROUNDS} GROUP BY medoid),
+ordered AS (SELECT f.medoid, n_members, row_number() OVER (ORDER BY n_members DESC, d_ref DESC, snp DESC, known DESC, f.medoid) - 1 AS place FROM final_ f JOIN rec r ON r.id = f.medoid) """
+
+
+CLUSTERS = clusters()
+#: Costs row by row of the reference; ``b``, ``d``, ``s``: least cost of all paths, of those that end in a deletion, in an insertion.
+ALIGN = f"""WITH RECURSIVE {SITES}, {BACKBONE}, edits AS (SELECT id, site, CASE WHEN c IN ('N', '-') OR (id * 13 + site) % 97 = 0 THEN '' WHEN (id * 11 + site) % 101 = 0 THEN c || 'T' ELSE c END AS t FROM rs),
+whole AS (SELECT id, string_agg(t, '' ORDER BY site) AS w FROM edits GROUP BY id),
+cut AS (SELECT id, CASE WHEN id % 9 = 4 THEN substr(w, 31) WHEN id % 11 = 5 THEN w || reverse(w) ELSE w END AS s FROM whole),
+fit AS MATERIALIZED (SELECT id, s, length(s) AS n FROM cut WHERE 3 * length(s) >= 240 AND 2 * length(s) <= 360 AND length(regexp_replace(s, '[^ACGT]', '', 'g')) / CAST(length(s) AS DOUBLE) >= 1 - 1.1 * 0.5),
+cells AS MATERIALIZED (SELECT id, j, substr(s, CAST(j AS INTEGER), 1) AS c FROM (SELECT id, s, unnest(range(0, n + 1)) AS j FROM fit) x),
+ref_ AS MATERIALIZED (SELECT site, base FROM base),
+dp AS (SELECT CAST(-1 AS BIGINT) AS i, id, j, CAST(CASE WHEN j = 0 THEN 0 ELSE 6 + 2 * j END AS BIGINT) AS b, CAST(1000000 AS BIGINT) AS d FROM cells
+ UNION ALL SELECT i, id, j, least(o, CAST(coalesce(min(o - 2 * j) OVER (PARTITION BY id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2 * j + 6, 1000000) AS BIGINT)), d
+ FROM (SELECT i, id, j, least(d, diagonal) AS o, d FROM (SELECT p.i + 1 AS i, p.id, p.j, least(p.d, p.b + 6) + 2 AS d,
+  CAST(coalesce(lag(p.b) OVER (PARTITION BY p.id ORDER BY p.j) + CASE WHEN c.c = r.base THEN 0 ELSE 4 END, 1000000) AS BIGINT) AS diagonal
+  FROM dp p JOIN cells c ON c.id = p.id AND c.j = p.j JOIN ref_ r ON r.site = p.i + 1) x) y)
+SELECT dp.id AS ordinal, CAST(b AS BIGINT) AS cost FROM dp JOIN fit ON fit.id = dp.id AND fit.n = dp.j WHERE i = 119"""
+
 ORACLES = {
     "normalise": f"WITH {SITES}, {REF_TEXT} SELECT id AS ordinal, seq FROM rt",
     "trim": f"WITH {SITES} SELECT id AS ordinal, string_agg(c, '' ORDER BY site) AS seq FROM rs {INNER}GROUP BY id",
@@ -188,6 +242,15 @@ SELECT id AS ordinal, CAST(n AS BIGINT) AS distance, CAST(coalesce(sites[1], -1)
     "sql_snps": f"""WITH {SITES}, base AS (SELECT site, c, v FROM rs WHERE id = (SELECT min(id) FROM rs)), d AS (SELECT r.id, r.site FROM rs r JOIN base b ON r.site = b.site WHERE r.v = 1 AND b.v = 1 AND r.c <> b.c)
 SELECT x.id AS ordinal, count(d.site) AS distance, coalesce(min(d.site), -1) AS snp_1 FROM (SELECT DISTINCT id FROM rs) x LEFT JOIN d ON d.id = x.id GROUP BY x.id""",
 }
+ORACLES |= {
+    "align_cost": ALIGN,
+    "cluster_leader": f"{CLUSTERS} SELECT CAST(queue AS INTEGER) AS queue, medoid, member FROM a0",
+    "cluster_merge": f"{CLUSTERS} SELECT medoid, member FROM a{CLUSTER_ROUNDS}",
+    "cluster_sizes": f"{CLUSTERS} SELECT medoid, 'ref' || medoid AS medoid_name, n_members FROM final_",
+    "cluster_medoids": f"{CLUSTERS}, {REF_TEXT} SELECT place AS ordinal, 'ref' || medoid AS name, seq FROM ordered JOIN rt ON rt.id = ordered.medoid",
+    # Lines of up to 1000 names: larger clusters are cut by a hash that SQL lacks.
+    "cluster_table": f"{CLUSTERS} SELECT place, n_members, o.medoid, CAST(0 AS BIGINT) AS part, concat_ws(',', 'ref' || o.medoid, string_agg('ref' || member, ',' ORDER BY member) FILTER (WHERE member <> o.medoid)) AS line FROM ordered o JOIN a{CLUSTER_ROUNDS} a ON a.medoid = o.medoid GROUP BY place, n_members, o.medoid",
+}
 ORACLES["stream_nn"] = ORACLES["nn_full"]
 ORACLES["stream_ball"] = ORACLES["ball_full"]
 ORACLES["sql_functions"] = ORACLES["pair_score_full"]

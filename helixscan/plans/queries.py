@@ -350,6 +350,12 @@ def align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligner.align(nearest.spread(unaligned(spark, sf_dir)), backbone(spark, sf_dir))
 
 
+@query
+def align_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least cost of every alignment."""
+    return align(spark, sf_dir).select("ordinal", "cost")
+
+
 @query
 def cluster_leader(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = clusters.leader(reference_records(spark, sf_dir), backbone(spark, sf_dir), CLUSTER_DISTANCE)
@@ -371,6 +377,14 @@ def cluster_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.table(clusters.cluster(reference_records(spark, sf_dir), backbone(spark, sf_dir), CLUSTER_DISTANCE))
 
 
+@query
+def cluster_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alignment of the medoids, written in the final order and read again."""
+    records, path = reference_records(spark, sf_dir), shared_path(spark, "medoids")
+    sinks.write_alignment(clusters.medoid_alignment(clusters.cluster(records, backbone(spark, sf_dir), CLUSTER_DISTANCE), records), path)
+    return fasta.read_fasta_text(spark, path)
+
+
 @query
 def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pair scores through the functions registered for SQL text."""

@@ -33,7 +33,7 @@ def test_query_gives_what_sql_gives(spark, db, name):
 
 def test_every_oracle_has_a_query():
     assert set(oracles.ORACLES) <= set(queries.QUERIES)
-    assert set(queries.QUERIES) - set(oracles.ORACLES) == {"align", "cluster_leader", "cluster_merge", "cluster_sizes", "cluster_table"}
+    assert set(queries.QUERIES) - set(oracles.ORACLES) == {"align"}  # its least costs have SQL, the choice among equal ones has not
 
 
 def test_entry(spark):

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from helixscan.functions import chars
-from helixscan.operators import ball, filters, kernels, legacy, nearest, profile, redundancy
+from helixscan.operators import ball, cluster, filters, kernels, legacy, nearest, profile, redundancy
 from helixscan.plans import fixtures
 
 LETTERS = "ACGTACGTACGTNXO-?.MRWSYKBDHVUZ*a"
@@ -109,6 +109,36 @@ def test_unequal_lengths_are_an_error(spark):
         filters.aligned_length(records(spark, ["ACGTA", "ACGT"]))
 
 
+@pytest.mark.parametrize("seq", ["ACGTACGTAC", "ACGTACG", "NNNNNNNNNNN"])
+def test_references_of_another_length_stop_the_search_by_name(spark, seq):
+    """Also those that would be dropped as ambiguous."""
+    q = records(spark, ["ACGTACGTA", "ACGTACGTT"])
+    r = spark.createDataFrame([(0, "fine", "ACGTACGTA"), (1, "odd one", seq)], "ordinal long, name string, seq string")
+    for search in (nearest.nearest, ball.ball, legacy.legacy_scores):
+        with pytest.raises(Exception, match=f"odd one has {len(seq)} sites instead of 9"):
+            search(r, q).collect()
+    with pytest.raises(Exception, match="odd one has"):
+        redundancy.keep_resolved(r).collect()
+    with pytest.raises(Exception, match="odd one has"):
+        cluster.cluster(r, "ACGTACGTA").collect()
+
+
+def test_order_of_many_equal_queries(spark):
+    """All know the same number of sites; no window holds them together."""
+    n = 3000
+    df = spark.range(n).select(F.col("id").alias("ordinal"), F.concat(F.lit("q"), F.col("id").cast("string")).alias("name"), F.lit("ACGTAC").alias("seq")).repartition(7)
+    found = profile.query_order(df)
+    assert sorted((r["ordinal"], r["resolution_order"]) for r in found.collect()) == [(i, i + 1) for i in range(n)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(n_known" not in plan
+
+
+def test_one_block_shuffles_no_sequences(spark):
+    q, r = fixtures.queries(spark, SF), fixtures.references(spark, SF)
+    plan = ball.ball(r, q)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+
+
 def test_parameters_are_clamped():
     p = filters.Parameters(n=0, trim=999, distance=99, ref_ambiguity=7.0, query_ambiguity=0.0).clamped(100)
     assert (p.n, p.trim, p.distance, p.ref_ambiguity, p.query_ambiguity) == (1, 47, 0, 1.0, 0.001)
