@@ -321,6 +321,66 @@ def test_junk_of_normal_characters_shapes_no_reference(spark, monkeypatch):
     assert len(seen) == 2 and set(range(20)) <= seen[0] and not set(range(20)) & seen[1]
 
 
+def plain_kept(rows):
+    """The verdict of every row (text, lang), with references counted twice."""
+    import regex
+
+    words = lambda t: [w for w in regex.split(r"[^\p{L}]+", t.lower()) if w]
+    classes = (r"[a-z0-9\p{Ll}]", r"\p{Lu}", r"[ \t-\r]", r"[.,;:'\"()?-]", r"[|/\\<>{}\[\]=]", r"[#*$%&!@^_+~`]")
+    texts = [t or "" for t, _ in rows]
+    tokens = [words(t) for t in texts]
+    chars = [[len(regex.findall(c, t)) for c in classes] for t in texts]
+    chars = [[*c, len(t) - sum(c)] for c, t in zip(chars, texts, strict=True)]
+    top = lambda count: [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[: quality.WORDS]]
+    by_lang = collections.defaultdict(collections.Counter)
+    for (t, lang), w in zip(rows, tokens, strict=True):
+        if lang is not None and t is not None:
+            by_lang[lang].update(w)
+    vocabulary = {w for count in by_lang.values() for w in top(count)}
+    failed = [base_of(t)[5] for t in texts]
+
+    def references(chosen):
+        out = []
+        for lang in {rows[i][1] for i in chosen} - {None}:
+            own = [i for i in chosen if rows[i][1] == lang]
+            n, total = np.sum([chars[i] for i in own], axis=0), sum(len(tokens[i]) for i in own)
+            count = collections.Counter(w for i in own for w in tokens[i] if w in vocabulary)
+            if n.sum() and total:
+                out.append((lang, n / n.sum(), {w: count[w] / total for w in top(count)}))
+        return out
+
+    def divergence(p, q):
+        return sum((x * np.log2(2 * x / (x + y)) if x > 0 else 0) / 2 + (y * np.log2(2 * y / (x + y)) if y > 0 else 0) / 2 for x, y in zip(p, q, strict=True))
+
+    def worst(i, ref):
+        n, total, out = len(tokens[i]), sum(chars[i]), 0.0
+        if total >= quality.LEAST_CHARS:
+            out = np.sqrt(max(0, divergence(np.array(chars[i]) / total, ref[1]))) / (quality.MOST_CHARS + quality.SPREAD_CHARS / np.sqrt(total))
+        if n >= quality.LEAST_WORDS:
+            count = collections.Counter(tokens[i])
+            p = [count[w] / n for w in ref[2]]
+            d = divergence([*p, max(0, 1 - sum(p))], [*ref[2].values(), max(0, 1 - sum(ref[2].values()))])
+            out = max(out, np.sqrt(max(0, d)) / (quality.MOST_WORDS + quality.SPREAD_WORDS / np.sqrt(n)))
+        return out
+
+    def like(i, refs):
+        return not failed[i] and (not refs or min(worst(i, r) for r in refs) <= 1)
+
+    passing = [i for i in range(len(rows)) if not failed[i]]
+    first = references(passing)
+    refs = references([i for i in passing if like(i, first)])
+    return [like(i, refs) for i in range(len(rows))]
+
+
+def test_quality_verdicts_are_the_plain_ones(spark, docs):
+    g = random.Random(11)
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    rows += [(10**6 + i, " ".join("".join(g.choice("abcdefgh ABC19.,|") for _ in range(7)) for _ in range(90)), g.choice(["en", "xx", None])) for i in range(12)]
+    found = {r["doc_id"]: r["kept"] for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    want = plain_kept([(t, lang) for _, t, lang in rows])
+    assert [found[i] for i, _, _ in rows] == want and 0 < sum(want) < len(want)
+
+
 def test_divergence_is_jensen_shannon(spark):
     p, q = np.array([0.5, 0.5, 0.0]), np.array([0.2, 0.3, 0.5])
     m = (p + q) / 2
@@ -508,3 +568,31 @@ def test_pipeline(spark):
     used, least = check_packing(p.STAGES[-1][1](spark, now, SF).collect(), by_id(now), 2048)
     assert used <= least + 1 and public_tokenizers
     assert p.run(spark, SF).count() == p.STAGES[-1][1](spark, now, SF).count()
+
+
+def test_pipeline_stages_take_odd_rows(spark):
+    import corpus_pipeline as p
+
+    pytest.importorskip("public_tokenizers")
+    g = random.Random(14)
+    prose = [" ".join(g.choice("the of and river stone house was glass in on".split()) for _ in range(400)) for _ in range(6)]
+    texts = [*ODD, *prose, "long " + " ".join(prose * 40)]
+    rows = [(i if i % 5 else None, t, None if i % 3 else "en", None, None if i % 2 else 7, "k", f"w{i}") for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, _text string"
+    odd = spark.createDataFrame(rows + rows[-3:], schema)
+    for name, stage in p.STAGES[:-1]:
+        after = stage(spark, odd, SF)
+        assert after.columns == odd.columns and after.count() <= odd.count(), name
+        assert stage(spark, odd.limit(0), SF).count() == 0, name
+    kept = p.quality_rules(spark, odd, SF).collect()
+    assert not any(base_of(r["text"])[5] for r in kept)
+    assert all(any(map(str.isalpha, r["text"])) for r in p.language_id(spark, odd, SF).collect())
+    copies = p.near_duplicates(spark, odd, SF).collect()
+    assert len([r for r in copies if not (r["text"] or "").split()]) == sum(not (t or "").split() for t in texts)
+    assert len([r for r in copies if r["text"] in prose]) == len(prose)
+    masked = p.personal_data(spark, odd, SF).collect()
+    assert {r["text"] for r in masked} >= {None, "", "[EMAIL]"}
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert p.language_id(spark, unlabelled, SF).count() == odd.count()
+    assert p.best_fit_packing(spark, odd, SF).count() >= odd.count()
+    assert p.best_fit_packing(spark, odd.limit(0), SF).count() == 0

@@ -254,7 +254,7 @@ def held_out(df):
 def test_ppm_and_base_scores(spark, docs, odd, monkeypatch, hot):
     monkeypatch.setattr(ppm, "HOT_WORDS", hot)
     monkeypatch.setattr(ppm, "CONTEXTS", 300)
-    df = docs.select("doc_id", "text").limit(60).union(odd.select("doc_id", "text").where("doc_id is null or doc_id > 3 and length(text) < 100")).union(spark.createDataFrame([(900, None), (901, "")], "doc_id long, text string"))
+    df = docs.select("doc_id", "text").limit(60).union(odd.select("doc_id", "text").where("doc_id is null or doc_id > 3 and length(text) < 100 or doc_id = 15")).union(spark.createDataFrame([(900, None), (901, "")], "doc_id long, text string"))
     df = spark.createDataFrame(df.collect(), df.schema)
     rows = [(r["doc_id"], (r["text"] or "").encode()) for r in df.collect()]
     out_of = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 == 2
