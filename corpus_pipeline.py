@@ -8,6 +8,14 @@ All stages but the last return the columns of ``documents``:
 3. n-gram Jaccard join: one document of each cluster of near copies stays;
 4. personal data: spans are replaced by their kind in brackets;
 5. best-fit packing: one row for each piece of a document, placed in a sequence.
+
+What the stages make of odd rows: a null or empty text, and any other of fewer than 50 words, goes in stage 1, so that
+later stages of ``run`` don't meet it; met alone, stage 2 drops a text without a letter, stage 3 keeps it, stage 4 leaves it as it is and
+stage 5 packs its end token.  Very long texts are judged, scored, compared, masked and packed whole.  Rows whose ``doc_id``,
+``lang`` or other columns are null are treated like others; without any labelled row stages 1 and 2 judge by the base rules
+alone.  Repeated rows are judged alike, and one of them stays in stage 3.  An empty table gives an empty table.  Extra columns are
+kept up to stage 4, whatever their names.  Ties: the least ``doc_id`` of a cluster stays, else the first row; of
+languages equally likely the first by name is taken.
 """
 
 from __future__ import annotations
@@ -41,7 +49,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = pii.personal_data(docs)
     text = pii.masked("text", F.col("found"))
-    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+    found = found.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return found.select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
