@@ -28,8 +28,6 @@ from .common import as_bytes, documents, slices, written
 ORDER = 4
 #: Contexts of 3 and of 4 bytes that all tasks get: so many of the most frequent of each.
 HOT_CONTEXTS = 16_384
-#: A smaller model: so many contexts of 3 and of 4 bytes at most (None: all).
-CONTEXTS: int | None = None
 #: Stands before a text and at its end; it does not occur in UTF-8.
 EDGE = 255
 #: Words whose counts all tasks get: so many of the most frequent, of at most so many bytes.
@@ -212,15 +210,10 @@ def train(docs: DataFrame) -> Model:
     """At most 256**k contexts for k up to 2 and ``HOT_CONTEXTS`` for a longer k come to the driver."""
     spark = docs.sparkSession
     grams = written(context_counts(docs), "grams")
-    levels, rest, kept, hot = [fetched(level(grams, k)) for k in range(3)], {}, None, None
+    levels, rest, hot = [fetched(level(grams, k)) for k in range(3)], {}, None
     partial = [np.zeros(0, np.int64) for _ in range(ORDER + 1)]
     for k in range(3, ORDER + 1):
-        rows = level(grams, k)
-        if CONTEXTS is not None:
-            rows = rows.join(most_frequent(rows, CONTEXTS), "c")
-            rows = rows if kept is None else rows.join(F.broadcast(kept), suffix_of(k) == kept["shorter"], "left_semi")
-        rows = written(rows, f"contexts{k}")
-        kept = rows.select(F.col("c").alias("shorter")).distinct()
+        rows = written(level(grams, k), f"contexts{k}")
         # A context is reached through the shorter one.
         inside = rows if hot is None else rows.join(hot, suffix_of(k) == hot["shorter"], "left_semi")
         levels.append(fetched(inside.join(most_frequent(inside, HOT_CONTEXTS), "c")))

@@ -212,20 +212,19 @@ def test_damaged_files_are_null(spark):
             pass
 
 
-def brute_ppm(train, order=4, most=10**9):
+def brute_ppm(train, order=4):
     count = [collections.defaultdict(collections.Counter) for _ in range(order + 1)]
     for t in train:
         x = b"\xff" * order + t + b"\xff"
         for p in range(order, len(x)):
             for k in range(order + 1):
                 count[k][x[p - k : p]][x[p]] += 1
-    kept = [set(c) if k <= 2 else set(sorted(c, key=lambda z, c=c: (-sum(c[z].values()), z))[:most]) for k, c in enumerate(count)]
 
     def score(t):
         x, total = b"\xff" * order + t + b"\xff", 0.0
         for p in range(order, len(x)):
             k = 0
-            while k < order and x[p - k - 1 : p] in kept[k + 1]:
+            while k < order and x[p - k - 1 : p] in count[k + 1]:
                 k += 1
             known, left = set(), 1.0
             for j in range(k, -1, -1):
@@ -253,7 +252,7 @@ def held_out(df):
 @pytest.mark.parametrize("hot", [3, 1000])
 def test_ppm_and_base_scores(spark, docs, odd, monkeypatch, hot):
     monkeypatch.setattr(ppm, "HOT_WORDS", hot)
-    monkeypatch.setattr(ppm, "CONTEXTS", 300)
+    monkeypatch.setattr(ppm, "HOT_CONTEXTS", 300)
     df = docs.select("doc_id", "text").limit(60).union(odd.select("doc_id", "text").where("doc_id is null or doc_id > 3 and length(text) < 100 or doc_id = 15")).union(spark.createDataFrame([(900, None), (901, "")], "doc_id long, text string"))
     df = spark.createDataFrame(df.collect(), df.schema)
     rows = [(r["doc_id"], (r["text"] or "").encode()) for r in df.collect()]
@@ -262,7 +261,7 @@ def test_ppm_and_base_scores(spark, docs, odd, monkeypatch, hot):
     count = collections.Counter(w for t in train for w in t.lower().split())
     count["end"] = len(train)
     n, v = sum(count.values()), len(count)
-    score = brute_ppm(train, most=300)
+    score = brute_ppm(train)
     want = collections.Counter()
     for i, t in rows:
         words = [*t.lower().split(), "end"]
