@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixscan.operators.nearest import spread
+from helixscan.sources.storage import written
+
 SITES = 120
 QUERY_OFFSET = 100_000
 
@@ -35,12 +38,17 @@ def sequences(df: DataFrame, key: str, offset: int, prefix: str) -> DataFrame:
     return e.select("ordinal", F.concat(F.lit(prefix), F.col("ordinal").cast("string")).alias("name"), seq.alias("seq"))
 
 
+def records(keys: DataFrame, key: str, offset: int, prefix: str) -> DataFrame:
+    """The sequences as a table, so that a search that reads its records several times does not make them again."""
+    return written(sequences(spread(keys.select(key)), key, offset, prefix), "records")
+
+
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_custkey", 0, "ref")
+    return records(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_custkey", 0, "ref")
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences(spark.read.parquet(f"{sf_dir}/supplier.parquet"), "s_suppkey", QUERY_OFFSET, "query")
+    return records(spark.read.parquet(f"{sf_dir}/supplier.parquet"), "s_suppkey", QUERY_OFFSET, "query")
 
 
 def duck_sites(table: str, key: str, offset: int) -> str:
