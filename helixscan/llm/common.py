@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixscan.sources.storage import shared_path, written  # noqa: F401
@@ -14,15 +14,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def set_aside(docs: DataFrame, *needed: str) -> DataFrame:
-    """The columns ``needed`` and, as the struct ``_others``, all others, whose names can then clash with none."""
-    others = [c for c in docs.columns if c not in needed]
-    return docs.select(*needed, *([F.struct(*[docs[c] for c in others]).alias("_others")] if others else []))
+def named(column: str) -> Column:
+    """The column of just this name, whatever characters the name has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def unlike(columns: list[str], new: tuple[str, ...]) -> list[str]:
+    """Those of ``columns`` that are not named like a new one, in whatever case."""
+    taken = {c.lower() for c in new}
+    return [c for c in columns if c.lower() not in taken]
+
+
+def set_aside(docs: DataFrame, *needed: str, **computed: Column) -> DataFrame:
+    """The columns ``needed``, the ``computed`` ones and, as the struct ``_others``, all others, whose names can then clash with none."""
+    others = [named(c) for c in docs.columns if c not in needed]
+    return docs.select(*map(named, needed), *[c.alias(name) for name, c in computed.items()], *([F.struct(*others).alias("_others")] if others else []))
 
 
 def restored(df: DataFrame, columns: list[str], *new: str) -> DataFrame:
     """``columns`` as they were before ``set_aside``, but for those named like a new one, then the new ones."""
-    kept = [F.col(c) if c in df.columns else F.col("_others").getField(c).alias(c) for c in columns if c not in new]
+    aside = df.schema["_others"].dataType.names if "_others" in df.columns else []
+    kept = [F.col("_others").getField(c).alias(c) if c in aside else named(c) for c in unlike(columns, new)]
     return df.select(*kept, *new)
 
 

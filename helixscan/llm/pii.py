@@ -16,7 +16,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, restored, set_aside, written
+from .common import documents, named, restored, set_aside, unlike, written
 
 #: In each pattern, a match can only begin where its first run of characters begins or where the last
 #: match ended: elsewhere the match would have begun earlier.  Possessive loops need no way back.
@@ -189,8 +189,8 @@ def personal_data(docs: DataFrame, carry: tuple[str, ...] | None = None) -> Data
     ``found`` (the spans as structs).  A null or empty text has none; repeated rows are treated alike; an empty table
     gives an empty table; columns named like the new ones are replaced."""
     new = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "found")
-    carried = [c for c in (carry or docs.columns) if c not in new]
-    df = set_aside(docs if carry is None else docs.select(*dict.fromkeys([*carry, "text"])), "text")
+    carried = unlike(list(carry or docs.columns), new)
+    df = set_aside(docs if carry is None else docs.select(*map(named, dict.fromkeys([*carry, "text"]))), "text")
     spans = [F.transform(f"_{k}", _place).alias(f"_{k}") for k in KINDS]
     own = [c for c in df.columns if c != "text" or "text" in carried]
     table = written(with_candidates(df).select(*own, *spans, "_candidates"), "candidates")

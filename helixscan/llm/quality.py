@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, restored, set_aside, written
+from .common import documents, named, restored, set_aside, unlike, written
 
 SPACE = r"[ \t-\r]+"
 #: What stands between the words that are counted.
@@ -178,8 +178,8 @@ def quality(docs: DataFrame, carry: tuple[str, ...] | None = None) -> DataFrame:
     words and fails; repeated rows are judged alike; without any labelled language only the base
     rules count; an empty table gives an empty table.  Columns of the same names are replaced."""
     words = vocabulary(docs)
-    df = docs if carry is None else docs.select(*dict.fromkeys([*carry, "text", "lang"]))
-    carried = [c for c in (carry or docs.columns) if c not in ADDED]
+    df = docs if carry is None else docs.select(*map(named, dict.fromkeys([*carry, "text", "lang"])))
+    carried = unlike(list(carry or docs.columns), ADDED)
     df = set_aside(df, "text", "lang")
     own = [c for c in df.columns if c != "text" or "text" in carried]
     table = written(profiles(base_rules(df), words).select(*own, *ADDED[:6], "_chars", "_tokens", "_bins"), "profiles")

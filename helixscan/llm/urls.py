@@ -138,7 +138,7 @@ def judged_urls(pages: DataFrame, rules=RULES, url: str = "url", label: Column |
     new ones are replaced; odds that are exactly even allow.  A path may have any number of segments."""
     new = ("host", "path", "rule", "share", "verdict")
     given = F.lit(None).cast("int") if label is None else label.cast("int")
-    df = set_aside(pages.withColumn("_label", given), url, "_label")
+    df = set_aside(pages, url, _label=given)
     kept = [c for c in df.columns if c != "_label"]
     df = df.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     name, verdict = ruled(F.col("host"), F.col("path"), rules)

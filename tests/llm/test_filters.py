@@ -570,6 +570,26 @@ def test_pipeline(spark):
     assert p.run(spark, SF).count() == p.STAGES[-1][1](spark, now, SF).count()
 
 
+#: Names that operators give to columns of their own, in another case, or that need quotes; each holds its name.
+CLASHING = ("Kept", "a.b", "a`b", "_text", "_others", "score", "count", "rows", "n", "_row", "_label", "_chars", "key", "spans", "Stays", "host", "segs", "_place")
+
+
+def test_operators_take_any_extra_column(spark):
+    from helixscan.llm import langid
+
+    for table, name, op, new in (
+        ("documents", "text", quality.quality, quality.ADDED), ("documents", "text", neardup.near_duplicates, ("class_id", "cluster_id", "n_links", "n_text_links", "stays")),
+        ("documents", "text", pii.personal_data, ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "found")), ("documents", "text", lambda d: langid.predicted(d, None), ("lang_pred", "score")),
+        ("pages", "html", html.extract_text, ("text", "n_chars")), ("pages", "url", urls.judged_urls, ("host", "path", "rule", "share", "verdict")),
+    ):
+        plain = spark.read.parquet(f"{SF}/{table}.parquet").limit(20)
+        out = op(plain.select("*", *[F.lit(c).alias(c) for c in CLASHING]))
+        kept = [c for c in CLASHING if c.lower() not in new]
+        assert len({c.lower() for c in out.columns}) == len(out.columns) and set(kept) < set(out.columns), name
+        rows = out.collect()
+        assert len(rows) == 20 and all(r[c] == c for r in rows for c in kept), name
+
+
 def test_pipeline_stages_take_odd_rows(spark):
     import corpus_pipeline as p
 
@@ -577,13 +597,16 @@ def test_pipeline_stages_take_odd_rows(spark):
     g = random.Random(14)
     prose = [" ".join(g.choice("the of and river stone house was glass in on".split()) for _ in range(400)) for _ in range(6)]
     texts = [*ODD, *prose, "long " + " ".join(prose * 40)]
-    rows = [(i if i % 5 else None, t, None if i % 3 else "en", None, None if i % 2 else 7, "k", f"w{i}") for i, t in enumerate(texts)]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, _text string"
+    rows = [(i if i % 5 else None, t, None if i % 3 else "en", None, None if i % 2 else 7, *CLASHING) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join("`" + c.replace("`", "``") + "` string" for c in CLASHING)
     odd = spark.createDataFrame(rows + rows[-3:], schema)
     for name, stage in p.STAGES[:-1]:
         after = stage(spark, odd, SF)
         assert after.columns == odd.columns and after.count() <= odd.count(), name
+        assert {tuple(r)[5:] for r in after.collect()} <= {CLASHING}, name  # quality rules keep none of these texts
         assert stage(spark, odd.limit(0), SF).count() == 0, name
+    prose_docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20).select("*", *[F.lit(c).alias(c) for c in CLASHING])
+    assert {tuple(r)[5:] for r in p.quality_rules(spark, prose_docs, SF).collect()} == {CLASHING}
     kept = p.quality_rules(spark, odd, SF).collect()
     assert not any(base_of(r["text"])[5] for r in kept)
     assert all(any(map(str.isalpha, r["text"])) for r in p.language_id(spark, odd, SF).collect())
