@@ -14,7 +14,7 @@ later stages of ``run`` don't meet it; met alone, stage 2 drops a text without a
 stage 5 packs its end token.  Very long texts are judged, scored, compared, masked and packed whole.  Rows whose ``doc_id``,
 ``lang`` or other columns are null are treated like others; without any labelled row stages 1 and 2 judge by the base rules
 alone.  Repeated rows are judged alike, and one of them stays in stage 3.  An empty table gives an empty table.  Extra columns are
-kept up to stage 4, whatever their names.  Ties: the least ``doc_id`` of a cluster stays, else the first row; of
+kept up to stage 4 as they are, whatever their names: every stage sets aside what it doesn't use.  Ties: the least ``doc_id`` of a cluster stays, else the first row; of
 languages equally likely the first by name is taken.
 """
 
@@ -24,35 +24,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixscan.llm import langid, neardup, packing, pii, quality
-from helixscan.llm.common import written
+from helixscan.llm.common import restored, set_aside, written
 
 #: Least mean probability of the predicted language.
 CLEAR = 0.5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.quality(docs).where("kept").select(*docs.columns)
+    return restored(quality.quality(set_aside(docs, "text", "lang")).where("kept"), docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = langid.train(langid.training_rows(docs))
+    used = set_aside(docs, "doc_id", "text", "lang")
+    model = langid.train(langid.training_rows(used))
     if model is None:  # nothing is labelled: no document can be judged
         return docs
-    judged = langid.predicted(docs, model)
-    return judged.where(f"lang_pred != 'und' and score >= {CLEAR}").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    judged = langid.predicted(used, model).where(f"lang_pred != 'und' and score >= {CLEAR}")
+    return restored(judged.withColumn("lang", F.coalesce("lang", "lang_pred")), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(docs).where("stays").select(*docs.columns)
+    return restored(neardup.near_duplicates(set_aside(docs, "doc_id", "text")).where("stays"), docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = pii.personal_data(docs)
-    text = pii.masked("text", F.col("found"))
-    found = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return found.select(*docs.columns)
+    counted = [c for c in docs.columns if c == "n_chars"]
+    found = pii.personal_data(set_aside(docs, "text", *counted))
+    found = found.withColumn("text", pii.masked("text", F.col("found")))
+    found = found.withColumns({c: F.length("text").cast(dict(docs.dtypes)[c]) for c in counted})
+    return restored(found, docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
