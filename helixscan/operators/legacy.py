@@ -11,11 +11,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixscan.functions.chars import MASK
+from helixscan.sources.storage import written
 
 from . import filters, kernels
 from .filters import Parameters
 from .nearest import clear_queries, over_blocks, spread
 
+#: Rows, of one for each query, that go to all tasks; ordinals of a block of references that tie.
+FEW, TIED = 100_000, 1024
+
 _share = np.zeros((256, 256), np.float32)
 for _a, _x in MASK.items():
     for _b, _y in MASK.items():
@@ -66,33 +70,57 @@ def legacy_scores(refs: DataFrame, queries: DataFrame, **options) -> DataFrame:
     return out if out is not None else refs.sparkSession.createDataFrame([], schema)
 
 
+def limits(scores: DataFrame, size: int) -> DataFrame:
+    """``query_ordinal, cut, last``: a pair is among the ``size`` best of its query by ACGT matches if it has more than ``cut``, or as
+    many and a reference up to ``last``.  A query with fewer pairs has no row.
+
+    Pairs are counted by matches, those at the cut by blocks of ordinals: only one block of each query is ranked."""
+    counts = scores.groupBy("query_ordinal", F.col("ACGT_matches").alias("cut")).agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.partitionBy("query_ordinal").orderBy(F.desc("cut"))) - F.col("rows")
+    cuts = counts.withColumn("left", size - before).where("left > 0 and left <= rows").drop("rows")
+    tied = by_query(scores.select("query_ordinal", "ACGT_matches", "ref_ordinal"), cuts).where("ACGT_matches = cut").withColumn("block", F.floor(F.col("ref_ordinal") / TIED))
+    blocks = tied.groupBy("query_ordinal", "block").agg(F.count("*").alias("rows"), F.any_value("left").alias("left"))
+    before = F.sum("rows").over(Window.partitionBy("query_ordinal").orderBy("block")) - F.col("rows")
+    last_block = blocks.withColumn("place", F.col("left") - before).where("place > 0 and place <= rows").select("query_ordinal", F.col("block").alias("last_block"), "place")
+    edge = by_query(tied.drop("left"), last_block).where("block = last_block")
+    rank = F.row_number().over(Window.partitionBy("query_ordinal").orderBy("ref_ordinal"))
+    return edge.withColumn("rank", rank).where("rank = place").select("query_ordinal", "cut", F.col("ref_ordinal").alias("last"))
+
+
+def by_query(pairs: DataFrame, queries: DataFrame) -> DataFrame:
+    """Left join with a row for each query.  Up to ``FEW`` such rows go to all tasks; beyond that, where a query
+    has a small part of all pairs, both sides are shuffled."""
+    queries = written(queries, "limits")
+    return pairs.join(F.broadcast(queries) if queries.count() <= FEW else queries.hint("shuffle_merge"), "query_ordinal", "left")
+
+
 def legacy_search(scores: DataFrame, n: int = 8, most: int | None = None, total: int | None = None) -> DataFrame:
     """The references that are in a top list of a query: by ACGT matches; by the share of equal characters among the
     best eighth of all references; by weighted partial matches among the best sixteenth.  A list has ``n`` references, up
-    to ``most`` while they equal the best one.  Ties go by the reference's ordinal.  ``total``: the number of references, if known."""
+    to ``most`` while they equal the best one.  Ties go by the reference's ordinal.  ``total``: the number of references, if known.
+
+    Each task keeps its ``most`` best pairs of a query before the shuffle; no task holds all pairs of one."""
+    scores = written(scores, "scores")
     most = max(n, most or 2 * n)
     total = scores.select("ref_ordinal").distinct().count() if total is None else total
-
-    def chosen(df: DataFrame, key: str, size: int, n: int, most: int) -> tuple[DataFrame, int, int]:
-        """Marks the list of the best by ``key`` among the ``size`` best by ACGT matches."""
-        n, most = min(n, size), min(most, size)
-        inside = F.col("_acgt") <= size
-        order = Window.partitionBy("query_ordinal").orderBy(F.desc(F.when(inside, 1).otherwise(0)), F.desc(key), "_acgt")
-        best = F.max(F.when(inside, F.col(key))).over(Window.partitionBy("query_ordinal"))
-        rank = F.row_number().over(order)
-        df = df.withColumn(f"_rank_{key}", rank).withColumn(f"_best_{key}", best)
-        listed = inside & ((F.col(f"_rank_{key}") <= n) | (F.col(f"_rank_{key}") <= most) & (F.col(f"_best_{key}") - F.col(key) < 1e-15))
-        return df.withColumn("_chosen", F.col("_chosen") | listed), n, most
-
-    by_acgt = Window.partitionBy("query_ordinal").orderBy(F.desc("ACGT_matches"), "ref_ordinal")
-    # No list goes below the best eighth by ACGT matches, or below its own length.
-    df = scores.withColumn("_acgt", F.row_number().over(by_acgt)).where(F.col("_acgt") <= max(most, total // 8)).withColumn("_chosen", F.lit(False))
-    df, n, most = chosen(df, "ACGT_matches", total, n, most)
+    lists = [("ACGT_matches", total)]
     if total > 16:
-        df, n, most = chosen(df, "prop_char_matches", total // 8, n, most)
+        lists.append(("prop_char_matches", total // 8))
     if total > 32:
-        df, n, most = chosen(df, "partial_matches", total // 16, n, most)
-    return df.where("_chosen").select(*scores.columns)
+        lists.append(("partial_matches", total // 16))
+    found = None
+    for key, size in lists:
+        n, most = min(n, size), min(most, size)
+        inside = scores
+        if size < total:
+            among = F.col("cut").isNull() | (F.col("ACGT_matches") > F.col("cut")) | (F.col("ACGT_matches") == F.col("cut")) & (F.col("ref_ordinal") <= F.col("last"))
+            inside = by_query(scores, limits(scores, size)).where(among).select(*scores.columns)
+        order = Window.partitionBy("query_ordinal").orderBy(F.desc(key), F.desc("ACGT_matches"), "ref_ordinal")
+        best = inside.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most)
+        first = F.max(key).over(Window.partitionBy("query_ordinal"))  # of at most `most` rows
+        part = best.withColumn("_first", first).where((F.col("_rank") <= n) | (F.col("_first") - F.col(key) < 1e-15)).select(*scores.columns)
+        found = part if found is None else found.union(part)
+    return found.distinct()
 
 
 def legacy_chosen(found: DataFrame, refs: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Kernels against a loop over sites and against column expressions; examples worked out by hand."""
 
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -152,3 +154,31 @@ def test_profile_of_classes(spark):
 def test_weights_of_partial_letters():
     w = legacy.weighted(kernels.QueryMatrix(bytes_of("TWA")), bytes_of("WWA"))
     assert w.tolist() == [[2.0]]
+
+
+def plain_lists(rows, n, total):
+    """Pairs of query and reference that are in a top list, from all scores of each query."""
+    found = set()
+    for query in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == query), key=lambda r: (-r[5], r[2]))
+        few, most = n, 2 * n
+        for column, size, least in ((5, total, 0), (6, total // 8, 17), (7, total // 16, 33)):
+            if total < least:
+                continue
+            few, most = min(few, size), min(most, size)
+            best = sorted(own[:size], key=lambda r: (-r[column], -r[5], r[2]))
+            found |= {(query, r[2]) for i, r in enumerate(best[:most]) if i < few or best[0][column] - r[column] < 1e-15}
+    return found
+
+
+@pytest.mark.parametrize(("total", "kinds", "few"), [(300, 3, 100_000), (300, 1, 0), (40, 50, 0), (20, 2, 100_000), (5, 2, 0)])
+def test_older_search_ranks_no_query_whole(spark, monkeypatch, total, kinds, few):
+    monkeypatch.setattr(legacy, "TIED", 8)
+    monkeypatch.setattr(legacy, "FEW", few)
+    g = random.Random(total)
+    ordinals = g.sample(range(3000), total)
+    rows = [(q, f"q{q}", r, f"r{r}", 100, g.randrange(kinds), g.randrange(4) / 4, float(g.randrange(6))) for q in range(4) for r in ordinals]
+    columns = "query_ordinal long, query string, ref_ordinal long, reference string, valid_sites long, ACGT_matches long, prop_char_matches double, partial_matches double"
+    found = legacy.legacy_search(spark.createDataFrame(rows, columns), n=3).collect()
+    pairs = [(r["query_ordinal"], r["ref_ordinal"]) for r in found]
+    assert len(set(pairs)) == len(pairs) and set(pairs) == plain_lists(rows, 3, total)
