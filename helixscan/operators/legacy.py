@@ -108,13 +108,15 @@ def legacy_search(scores: DataFrame, n: int = 8, most: int | None = None, total:
         lists.append(("prop_char_matches", total // 8))
     if total > 32:
         lists.append(("partial_matches", total // 16))
+    tables = [scores]  # each within the one before
+    for _, size in lists[1:]:
+        among = F.col("cut").isNull() | (F.col("ACGT_matches") > F.col("cut")) | (F.col("ACGT_matches") == F.col("cut")) & (F.col("ref_ordinal") <= F.col("last"))
+        tables.append(written(by_query(tables[-1], limits(tables[-1], size)).where(among).select(*scores.columns), "best"))
     found = None
-    for key, size in lists:
+    for place, (key, size) in enumerate(lists):
         n, most = min(n, size), min(most, size)
-        inside = scores
-        if size < total:
-            among = F.col("cut").isNull() | (F.col("ACGT_matches") > F.col("cut")) | (F.col("ACGT_matches") == F.col("cut")) & (F.col("ref_ordinal") <= F.col("last"))
-            inside = by_query(scores, limits(scores, size)).where(among).select(*scores.columns)
+        # The best by matches alone are in the next table, too, if that holds so many.
+        inside = tables[1] if place == 0 and len(lists) > 1 and most <= lists[1][1] else tables[place]
         order = Window.partitionBy("query_ordinal").orderBy(F.desc(key), F.desc("ACGT_matches"), "ref_ordinal")
         best = inside.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most)
         first = F.max(key).over(Window.partitionBy("query_ordinal"))  # of at most `most` rows
