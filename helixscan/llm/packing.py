@@ -33,10 +33,14 @@ _open: dict[str, PartTable] = {}
 def word_table(path: str) -> PartTable:
     """The tokenizer at ``path`` drops white space, so that the parts between spaces encode alone."""
     if path not in _open:
-        _open[path] = PartTable(load_tokenizer(path), lower=True)
+        _open[path] = PartTable(load_tokenizer(path, special_as_text=False), lower=True)
     return _open[path]
 
 
+def words(text: str) -> list[str]:
+    return text.replace("\n", " ").split(" ")
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """Pieces of every document: ``doc_id, piece, start, length, ids_crc32``."""
     end = np.asarray([end_id], "<u4").tobytes()
@@ -46,7 +50,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         for whole in batches:
             for batch in slices(whole, "text"):
                 rows, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(table.ids([t.replace("\n", " ").split(" ") for t in as_texts(batch.column("text"))])):
+                for i, ids in enumerate(table.ids([table.parts(t, words) for t in as_texts(batch.column("text"))])):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]

@@ -28,6 +28,8 @@ from .common import as_texts, documents, slices
 
 #: A space that is not between two characters other than white space.
 LOOSE_SPACE = re.compile(r"\s\s| \Z|\A ")
+#: Before a space that is.
+SAFE = re.compile(r"(?<=\S)(?= \S)")
 KEEP = 600_000
 #: A word of Latin letters, perhaps after a space, and the marks after it.  The pre-tokenizers cut
 #: such a part between letters and marks only, and no normaliser changes it but for its case.
@@ -45,12 +47,13 @@ def byte_table() -> dict[int, str]:
 SPELLED = {c: "".join(byte_table()[b] for b in chr(c).encode()) for c in range(256)}
 
 
-def load_tokenizer(path: str):
+def load_tokenizer(path: str, special_as_text: bool = True):
+    """``special_as_text``: the strings of special tokens are ordinary text (the library by itself makes their ids of them)."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = special_as_text
     return tokenizer
 
 
@@ -68,6 +71,14 @@ class PartTable:
         self.newer: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.merge = tokenizer.model.tokenize
+        own = [] if tokenizer.encode_special_tokens else [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(f"({'|'.join(own)})") if own else None
+
+    def parts(self, text: str, cut) -> list[str]:
+        """``cut(text)``, where the strings of special tokens, which the library takes out first, are parts of their own."""
+        if self.special is None or not self.special.search(text):
+            return cut(text)
+        return [p for i, x in enumerate(self.special.split(text)) for p in ([x] if i % 2 else cut(x))]
 
     def encode(self, parts: list[str], known: dict[str, bytes]) -> None:
         """Adds the ids of new parts to ``known``."""
@@ -116,6 +127,22 @@ def parts_of(text: str) -> list[str]:
     return parts
 
 
+#: Characters of a text that are cut into parts at once.
+LONG = 1 << 20
+
+
+def segments(text: str, size: int = LONG) -> Iterator[str]:
+    """A long text in pieces of about ``size`` characters that encode alone: they end between a character and a space before another one."""
+    start = 0
+    while len(text) - start > size:
+        found = SAFE.search(text, start + size)
+        if not found:
+            break
+        yield text[start : found.start()]
+        start = found.start()
+    yield text[start:] if start else text
+
+
 class ByteBPE:
     """The vocabulary at ``json_path`` with the ids of the rank file at ``ranks_path``."""
 
