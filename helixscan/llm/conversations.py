@@ -394,7 +394,7 @@ def hashes(rows: DataFrame, edited: DataFrame) -> DataFrame:
     ordered = texts.unionByName(marks).repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "tail", "kind", "text", "before", "named")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state, empty, waits = None, None, True, None
+        now, state, empty, waits, kept = None, None, True, None, None
 
         def add(line: str) -> None:
             nonlocal empty
@@ -402,7 +402,7 @@ def hashes(rows: DataFrame, edited: DataFrame) -> DataFrame:
             empty = False
 
         for batch in batches:
-            done = []
+            done, kept = [], batch.schema.field("conv_id").type
             for conv_id, tail, kind, text, before, named in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if state is None or conv_id != now:
                     if state is not None:
@@ -415,9 +415,9 @@ def hashes(rows: DataFrame, edited: DataFrame) -> DataFrame:
                 elif waits is not None:
                     add(f"{waits}:{text}")
                     waits = None
-            yield batch_of(batch.schema.field("conv_id").type, done)
+            yield batch_of(kept, done)
         if state is not None:
-            yield batch_of(pa.infer_type([now]) if now is not None else pa.null(), [(now, state.hexdigest())])
+            yield batch_of(kept, [(now, state.hexdigest())])
 
     def batch_of(kind: pa.DataType, done: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], kind), pa.array([x[1] for x in done], pa.string())], names=["conv_id", "repaired_sha256"])

@@ -71,12 +71,12 @@ class PartTable:
         self.newer: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.merge = tokenizer.model.tokenize
-        own = [] if tokenizer.encode_special_tokens else [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile(f"({'|'.join(own)})") if own else None
+        own = [] if tokenizer.encode_special_tokens else [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.special, self.mark = re.compile(f"({'|'.join(map(re.escape, own))})") if own else None, os.path.commonprefix(own)
 
     def parts(self, text: str, cut) -> list[str]:
         """``cut(text)``, where the strings of special tokens, which the library takes out first, are parts of their own."""
-        if self.special is None or not self.special.search(text):
+        if self.special is None or self.mark not in text or not self.special.search(text):
             return cut(text)
         return [p for i, x in enumerate(self.special.split(text)) for p in ([x] if i % 2 else cut(x))]
 
