@@ -29,8 +29,8 @@ from .common import as_texts, documents, slices
 from .packing import CAPACITY
 from .tokens import PartTable, load_tokenizer, parts_of, segments
 
-#: Tails of a block.
-BLOCK = 1024
+#: Tails of a block; parts of texts whose ids a worker remembers (about 200 bytes each).
+BLOCK, PARTS = 1024, 1_400_000
 #: A window: its sum and the numbers of its items.
 Window = tuple[int, tuple]
 
@@ -123,7 +123,7 @@ _open: dict[str, PartTable] = {}
 def byte_table_of(path: str) -> PartTable:
     """One per Python worker."""
     if path not in _open:
-        _open[path] = PartTable(load_tokenizer(path, special_as_text=False))
+        _open[path] = PartTable(load_tokenizer(path, special_as_text=False), keep=PARTS)
     return _open[path]
 
 

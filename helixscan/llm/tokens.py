@@ -31,6 +31,8 @@ LOOSE_SPACE = re.compile(r"\s\s| \Z|\A ")
 #: Before a space that is.
 SAFE = re.compile(r"(?<=\S)(?= \S)")
 KEEP = 600_000
+#: Different runs of marks after words whose ids are remembered.
+MARKS = 1000
 #: A word of Latin letters, perhaps after a space, and the marks after it.  The pre-tokenizers cut
 #: such a part between letters and marks only, and no normaliser changes it but for its case.
 SIMPLE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%&$#*]*)\Z")
@@ -70,6 +72,7 @@ class PartTable:
         self.tokenizer, self.lower, self.keep = tokenizer, lower, keep
         self.newer: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
         self.merge = tokenizer.model.tokenize
         own = [] if tokenizer.encode_special_tokens else [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.special, self.mark = re.compile(f"({'|'.join(map(re.escape, own))})") if own else None, os.path.commonprefix(own)
@@ -82,17 +85,21 @@ class PartTable:
 
     def encode(self, parts: list[str], known: dict[str, bytes]) -> None:
         """Adds the ids of new parts to ``known``."""
-        match, merge, lower, hard = SIMPLE.match, self.merge, self.lower, []
+        match, merge, lower, hard, ends = SIMPLE.match, self.merge, self.lower, [], self.ends
         for p in parts:
             m = match(p)
             if m is None:
                 hard.append(p)
                 continue
             word, marks = m.groups()
-            ids = [t.id for t in merge((word.lower() if lower else word).translate(SPELLED))]
+            own = array("I", [t.id for t in merge((word.lower() if lower else word).translate(SPELLED))]).tobytes()
             if marks:
-                ids += [t.id for t in merge(marks)]
-            known[p] = array("I", ids).tobytes()
+                if marks not in ends:
+                    if len(ends) >= MARKS:
+                        ends.clear()
+                    ends[marks] = array("I", [t.id for t in merge(marks)]).tobytes()
+                own += ends[marks]
+            known[p] = own
         for i in range(0, len(hard), 4096):
             part = hard[i : i + 4096]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
