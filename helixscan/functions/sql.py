@@ -31,11 +31,22 @@ FUNCTIONS = {
 _BITS = "bit_count({m})"
 _M1, _M2 = _MASK.format(c="x"), _MASK.format(c="y")
 _SNPS = f"filter(transform(zip_with(split(a, ''), split(b, ''), (x, y) -> {_VALID} AND x <> y), (z, i) -> if(z, CAST(i AS BIGINT), NULL)), z -> z IS NOT NULL)"
+_RUNS = r"zip_with(regexp_extract_all(c, '(\\d+)([MXID])', 1), regexp_extract_all(c, '(\\d+)([MXID])', 2), (n, op) -> named_struct('n', CAST(n AS BIGINT), 'op', op))"
+_OVER_RUNS = f"aggregate({_RUNS}, 0L, (s, r) -> s + {{weight}})"
+_COUNT = lambda ops: _OVER_RUNS.format(weight=f"if(instr('{ops}', r.op) > 0, r.n, 0L)")
+_PROJECTED = f"""array_join(aggregate({_RUNS}, named_struct('at', 1L, 'parts', CAST(array() AS ARRAY<STRING>)), (s, r) -> named_struct('at', s.at + if(r.op = 'D', 0L, r.n), 'parts',
+ concat(s.parts, array(CASE r.op WHEN 'D' THEN repeat('-', CAST(r.n AS INT)) WHEN 'I' THEN '' ELSE substring(a, CAST(s.at AS INT), CAST(r.n AS INT)) END)))).parts, '')"""
 #: Functions with other results: name, arguments, type and body.
 OTHERS = {
     # -1: the left one knows more sites, 1: the right one, 0: the same sites, 255: each knows sites of its own.
     "seq_resolution": ("a STRING, b STRING", "BIGINT", "CASE WHEN seq_left_only(a, b) > 0 AND seq_left_only(b, a) > 0 THEN 255 WHEN seq_left_only(a, b) > 0 THEN -1 WHEN seq_left_only(b, a) > 0 THEN 1 ELSE 0 END"),
     "seq_resolution_acgt": ("a STRING, b STRING", "BIGINT", "CASE WHEN seq_left_acgt_only(a, b) > 0 AND seq_left_acgt_only(b, a) > 0 THEN 255 WHEN seq_left_acgt_only(a, b) > 0 THEN -1 WHEN seq_left_acgt_only(b, a) > 0 THEN 1 ELSE 0 END"),
+    # What follows from an alignment's operations.
+    "seq_cigar_cost": ("c STRING", "BIGINT", _OVER_RUNS.format(weight="CASE r.op WHEN 'X' THEN 4 * r.n WHEN 'M' THEN 0L ELSE 6 + 2 * r.n END")),
+    "seq_cigar_ref_sites": ("c STRING", "BIGINT", _COUNT("MXD")),
+    "seq_cigar_letters": ("c STRING", "BIGINT", _COUNT("MXI")),
+    "seq_cigar_identity": ("c STRING", "DOUBLE", f"round({_COUNT('M')} / greatest(1L, {_COUNT('MXID')}), 8)"),
+    "seq_cigar_projected": ("a STRING, c STRING", "STRING", _PROJECTED),
     # Sites that differ from a reference.
     "seq_snp_sites": ("a STRING, b STRING", "ARRAY<BIGINT>", _SNPS),
     # Partial matches by the share of equal base pairs among those that both letters stand for.

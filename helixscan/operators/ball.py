@@ -1,22 +1,32 @@
-"""All references within a SNP distance of any query."""
+"""All references within a SNP distance of any query.
+
+Mismatches with the consensus on sites that all queries share are counted first: most references are too far away by these alone.  Queries
+that fit one block are sent to all tasks, where the other sites are compared run by run of sites, as long as some query is near enough.  More
+queries than that meet the references on the pigeonhole index of sparse records, in one join.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import filters, kernels
+from helixscan.sources.storage import written
+
+from . import filters, kernels, nearest, sparse
 from .filters import Parameters
 from .nearest import clear_queries, over_blocks, profile_arrays, spread
 from .profile import site_profile
 from .redundancy import keep_less_resolved
 
 PAIR, CONSENSUS, AS_WRITTEN = "pair", "consensus", "as_written"
+#: Runs of sites that are compared one after the other.
+RUNS = 8
 
 
 def mismatches(q: kernels.QueryMatrix, r: np.ndarray, acgt: bool) -> np.ndarray:
@@ -25,23 +35,57 @@ def mismatches(q: kernels.QueryMatrix, r: np.ndarray, acgt: bool) -> np.ndarray:
     return s["acgt_valid"] - s["acgt"] if acgt else s["valid"] - s["text"]
 
 
+class Sites:
+    """Which sites are compared with the consensus (``fixed``) and which with the queries (``own``)."""
+
+    def __init__(self, queries: DataFrame, p: Parameters, mode: str):
+        classes, self.consensus = profile_arrays(site_profile(queries, p.acgt, p.trim))
+        self.fixed = np.flatnonzero(classes == ord("c") if mode == PAIR else np.isin(classes, [ord("c"), ord("m")]))
+        self.own = np.flatnonzero(np.isin(classes, [ord("m"), ord("p")]) if mode == PAIR else classes == ord("p"))
+
+    def outer(self, r: np.ndarray, acgt: bool) -> np.ndarray:
+        """Mismatches of each reference with the consensus."""
+        r, c = r[:, self.fixed], self.consensus[self.fixed]
+        known = kernels.IS_ACGT if acgt else kernels.IS_VALID
+        return ((r != c) & known[r] & known[c]).sum(1)
+
+
+def within(matrices: list[tuple[np.ndarray, kernels.QueryMatrix]], r: np.ndarray, outer: np.ndarray, p: Parameters, mode: str) -> tuple[np.ndarray, np.ndarray]:
+    """References that may be within the distance, and the least mismatches of each with a query."""
+    free = 2 * outer <= p.distance if mode == AS_WRITTEN else np.zeros(len(r), bool)  # accepted whatever the other sites are
+    left = np.flatnonzero(outer <= p.distance)
+    total = None
+    for sites, q in matrices:
+        new = mismatches(q, r[np.ix_(left, sites)], p.acgt)
+        total = new if total is None else total + new
+        near = (total.min(0) + outer[left] <= p.distance) | free[left]
+        left, total = left[near], total[:, near]
+    return left, np.zeros(len(left), np.int64) if total is None else total.min(0)
+
+
 def distances(refs: DataFrame, queries: DataFrame, p: Parameters, mode: str) -> DataFrame:
-    """``ordinal, name, seq, outer, inner`` for every reference: mismatches with the consensus on constant
+    """``ordinal, name, seq, outer, inner`` of references that may be within the distance: mismatches with the consensus on constant
     sites (and, but for ``pair``, on sites where some query misses it), and the least over the queries of the others."""
-    classes, consensus = profile_arrays(site_profile(queries, p.acgt, p.trim))
+    sites = Sites(queries, p, mode)
     refs = spread(refs)
-    fixed = np.flatnonzero(classes == ord("c") if mode == PAIR else np.isin(classes, [ord("c"), ord("m")]))
-    own = np.flatnonzero(np.isin(classes, [ord("m"), ord("p")]) if mode == PAIR else classes == ord("p"))
+    if mode != AS_WRITTEN and nearest.total_sites(queries) > nearest.RESIDENT:
+        return refs.join(joined(refs, queries, sites, p), "ordinal").select("ordinal", "name", "seq", "outer", "inner")
 
     def scored(block: list) -> tuple[DataFrame, Broadcast]:
         shared = refs.sparkSession.sparkContext.broadcast(kernels.matrix([r["seq"].encode() for r in block]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            inner, outer = kernels.QueryMatrix(shared.value[:, own]), kernels.QueryMatrix(consensus[None, fixed])
-            for batch in batches:
-                r = kernels.matrix(batch.column("seq").cast(pa.binary()).to_pylist())
-                found = [mismatches(outer, r[:, fixed], p.acgt)[0], mismatches(inner, r[:, own], p.acgt).min(0)]
-                yield pa.RecordBatch.from_arrays([batch.column("ordinal"), batch.column("name"), batch.column("seq"), *(pa.array(x.astype(np.int64)) for x in found)], names=["ordinal", "name", "seq", "outer", "inner"])
+            q = shared.value
+            matrices = [(run, kernels.QueryMatrix(q[:, run])) for run in np.array_split(sites.own, RUNS) if len(run)]
+            step = max(16, sparse.BYTES // max(1, q.shape[1]))
+            for whole in batches:
+                for at in range(0, whole.num_rows, step):
+                    batch = whole.slice(at, step)
+                    r = kernels.matrix(batch.column("seq").cast(pa.binary()).to_pylist())
+                    outer = sites.outer(r, p.acgt)
+                    left, inner = within(matrices, r, outer, p, mode)
+                    take = pa.array(left)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("ordinal", "name", "seq")), *(pa.array(x.astype(np.int64)) for x in (outer[left], inner))], names=["ordinal", "name", "seq", "outer", "inner"])
 
         return refs.select("ordinal", "name", "seq").mapInArrow(run, "ordinal long, name string, seq string, outer long, inner long"), shared
 
@@ -53,6 +97,46 @@ def distances(refs: DataFrame, queries: DataFrame, p: Parameters, mode: str) ->
     return out.select("ordinal", "name", "seq", "outer", "inner")
 
 
+def sparse_sites(df: DataFrame, sites: Sites, p: Parameters, base: bytes, most: int | None) -> DataFrame:
+    """``id, outer, d_ref`` and sparse records of the sites that are compared with queries; ``most``: without records of more mismatches with the consensus."""
+    known = kernels.IS_ACGT if p.acgt else kernels.IS_VALID
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(16, sparse.BYTES // max(1, len(sites.consensus)))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                r = kernels.matrix(batch.column("seq").cast(pa.binary()).to_pylist())
+                outer = sites.outer(r, p.acgt)
+                left = np.flatnonzero(outer <= most) if most is not None else np.arange(len(r))
+                own = r[np.ix_(left, sites.own)]
+                own = np.where(known[own], own, ord("N")).astype(np.uint8)
+                d_ref, _, _, *found = sparse.described([bytes(x) for x in own], base, 0, False)
+                yield pa.RecordBatch.from_arrays([batch.column("ordinal").take(pa.array(left)), pa.array(outer[left].astype(np.int64)), d_ref, *found], names=["id", "outer", "d_ref", *sparse.COLUMNS])
+
+    return df.select("ordinal", "seq").mapInArrow(run, "id long, outer long, d_ref long, sites array<int>, letters binary, unknown array<int>")
+
+
+def joined(refs: DataFrame, queries: DataFrame, sites: Sites, p: Parameters) -> DataFrame:
+    """``ordinal, outer, inner`` of the references within the distance of a query, by the index."""
+    first = queries.orderBy("ordinal").select("seq").first()["seq"]
+    base = bytes(np.frombuffer(first.encode(), np.uint8)[sites.own])
+    q = sparse_sites(queries, sites, p, base, None)
+    r = sparse_sites(refs, sites, p, base, p.distance)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        side = rows["is_left"].to_numpy()
+        if side.all() or not side.any():
+            return pd.DataFrame({"ordinal": [], "outer": [], "inner": []})
+        letters, outer = sparse.columns(rows, base), rows["outer"].to_numpy()[~side]
+        inner = sparse.differences(letters[side], letters[~side]).min(0)
+        near = inner + outer <= p.distance
+        return pd.DataFrame({"ordinal": rows["id"].to_numpy()[~side][near], "outer": outer[near], "inner": inner[near]})
+
+    found = sparse.units(written(q, "sparse"), written(r, "sparse"), p.distance).groupBy("unit").applyInPandas(run, "ordinal long, outer long, inner long")
+    return found.groupBy("ordinal").agg(F.max("outer").alias("outer"), F.min("inner").alias("inner"))
+
+
 def ball(refs: DataFrame, queries: DataFrame, mode: str = PAIR, redundant: bool = True, **options) -> DataFrame:
     """References (``ordinal, name, seq, distance``) at most ``distance`` away from some query.
 

@@ -2,145 +2,130 @@
 
 Records are dealt to queues of bounded size, by their numbers.  In a queue, each record in turn joins the first medoid
 within the distance, or becomes one.  Then half of the queues take in the other half, round by round: each medoid joins
-the first medoid of the other queue within the distance, or moves over.  A round is a
-join on rings around the reference (records within ``d`` of each other differ by ``d`` at most in their
-distance to it), compared block by block, so that no queue has to fit a task.  All sites are compared: two records that
-differ at a site can't both agree with the reference there, so that the sites with a SNP in some queue give the same distances.
+the first medoid of the other queue within the distance, or moves over.  A round is a join of sparse records
+on the pigeonhole index of their SNP sites, so that no queue has to fit a task and no sequence is shuffled.  Only pairs whose distances to the
+reference differ by ``d`` at most are within reach of each other (the ring).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixscan.functions import chars
 from helixscan.sources.storage import numbered, written
 
-from . import filters, kernels
-from .reference import snps
+from . import sparse
 
-#: Records of a queue, and medoids of a block.
-QUEUE, BLOCK = 1000, 1024
+#: Records of a queue, unless a number of queues is given.
+QUEUE = 1000
 #: What orders medoids, all descending: distance to the reference, place of the first SNP, known sites.
 SCORES = ("d_ref", "snp", "known")
-
-
-def differences(a: np.ndarray, b: np.ndarray, raw: bool = False) -> np.ndarray:
-    """Sites that differ, for all pairs of rows; sites where one side tells nothing only count if ``raw``."""
-    if raw:
-        q = a.shape[1] - sum((a == c).astype(np.float32) @ (b == c).astype(np.float32).T for c in np.unique(a))
-        return q.astype(np.int32)
-    s = kernels.QueryMatrix(a).scores(b)
-    return s["valid"] - s["text"]
-
-
-def described(records: DataFrame, reference: str, trim: int = 0) -> DataFrame:
-    """Adds ``d_ref`` (distance to the reference), ``snp`` (place of the first SNP; -1 if there is none) and ``known`` (valid sites)."""
-    records = snps(filters.of_length(records, len(reference), "record"), reference, trim)
-    return records.withColumns({"d_ref": F.size("snp_sites").cast("long"), "snp": F.coalesce(F.get("snp_sites", F.lit(0)), F.lit(-1)).cast("long"), "known": chars.count_valid(F.col("seq"))}).drop("snp_sites")
+MEDOID = ("medoid", "medoid_name", *sparse.COLUMNS, *SCORES)
+
+
+class Queue:
+    """Medoids of one queue, by the rows of its records' letters."""
+
+    def __init__(self, letters: np.ndarray, d_ref: np.ndarray, known: np.ndarray, distance: int, ring: bool):
+        self.letters, self.d_ref, self.known, self.distance, self.ring = letters, d_ref, known, distance, ring
+        self.held = np.empty_like(letters)  # the medoids' letters and distances, side by side
+        self.held_ref = np.empty(len(letters), np.int64)
+        self.medoid: list[int] = []
+
+    def add(self, i: int) -> int:
+        """The cluster that row ``i`` joins or begins."""
+        n = len(self.medoid)
+        near = np.flatnonzero(np.abs(self.held_ref[:n] - self.d_ref[i]) <= self.distance) if self.ring else np.arange(n)
+        if len(near):
+            d = sparse.differences(self.letters[i : i + 1], self.held[near] if len(near) < n else self.held[:n])[0]
+            hit = np.flatnonzero(d <= self.distance)
+            if len(hit):
+                found, apart = int(near[hit[0]]), int(d[hit[0]])
+                m = self.medoid[found]
+                if not apart and (self.known[i], self.d_ref[i]) > (self.known[m], self.d_ref[m]):
+                    self.put(found, i)
+                return found
+        self.medoid.append(i)
+        self.put(n, i)
+        return n
+
+    def put(self, place: int, i: int) -> None:
+        self.medoid[place], self.held[place], self.held_ref[place] = i, self.letters[i], self.d_ref[i]
 
 
 def leader(records: DataFrame, reference: str, distance: int = 1, trim: int = 0, queues: int | None = None, ring: bool = True, raw: bool = False) -> DataFrame:
-    """``queue, medoid, member, medoid_name, member_name, seq, d_ref, snp, known``: each record with its medoid (ordinals).
+    """``queue, medoid, member, medoid_name, member_name, d_ref, snp, known``: each record with its medoid (ordinals), and
+    the medoid as a sparse record in its own row (null in those of the others).
 
-    ``queues``: by default as many as give ``QUEUE`` records each.  A record that equals its medoid and knows more sites (then: is further from the
-    reference) takes its place."""
-    queues = queues or max(1, -(-records.count() // QUEUE))
-    df = described(records, reference, trim).withColumn("queue", F.pmod("ordinal", F.lit(queues)).cast("int"))
+    ``queues``: how many, dealt in turn; without it, ``QUEUE`` records in a row are a queue, so that later records don't move earlier ones.  A record that
+    equals its medoid and knows more sites (then: is further from the reference) takes its place."""
+    queue = F.pmod("ordinal", F.lit(queues)) if queues else F.floor(F.col("ordinal") / QUEUE)
+    df = sparse.records(records, reference, trim, raw).withColumn("queue", queue.cast("int"))
+    base = reference.encode()[trim : len(reference) - trim]
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ordinal", ignore_index=True)
-        seq = kernels.matrix([s.encode() for s in rows["seq"]])
-        inner = seq[:, trim : seq.shape[1] - trim]
-        d_ref, known = rows["d_ref"].to_numpy(), rows["known"].to_numpy()
-        medoid: list[int] = []  # row of each cluster's medoid
-        of = np.empty(len(rows), np.int64)
-        for i in range(len(rows)):
-            found = -1
-            if medoid:
-                held = np.array(medoid)
-                near = np.flatnonzero(np.abs(d_ref[held] - d_ref[i]) <= distance) if ring else np.arange(len(held))
-                if len(near):
-                    d = differences(inner[i : i + 1], inner[held[near]], raw)[0]
-                    hit = np.flatnonzero(d <= distance)
-                    if len(hit):
-                        found, apart = int(near[hit[0]]), int(d[hit[0]])
-            if found < 0:
-                of[i] = len(medoid)
-                medoid.append(i)
-            else:
-                of[i] = found
-                m = medoid[found]
-                if not apart and (known[i], d_ref[i]) > (known[m], d_ref[m]):
-                    medoid[found] = i
-        chosen = rows.iloc[np.array(medoid)[of]].reset_index(drop=True)
+        own = Queue(sparse.columns(rows, base), rows["d_ref"].to_numpy(), rows["known"].to_numpy(), distance, ring)
+        of = np.array([own.add(i) for i in range(len(rows))])
+        medoid = np.array(own.medoid)[of]
+        chosen, alone = rows.iloc[medoid].reset_index(drop=True), medoid == np.arange(len(rows))
         return pd.DataFrame({
-            "queue": key[0], "medoid": chosen["ordinal"], "member": rows["ordinal"], "medoid_name": chosen["name"], "member_name": rows["name"], "seq": chosen["seq"], "d_ref": chosen["d_ref"], "snp": chosen["snp"], "known": chosen["known"],
+            "queue": key[0], "medoid": chosen["ordinal"], "member": rows["ordinal"], "medoid_name": chosen["name"], "member_name": rows["name"],
+            **{c: rows[c].where(alone, None) for c in sparse.COLUMNS}, **{c: chosen[c] for c in SCORES},
         })
 
-    return df.groupBy("queue").applyInPandas(run, "queue int, medoid long, member long, medoid_name string, member_name string, seq string, d_ref long, snp long, known long")
+    return df.groupBy("queue").applyInPandas(run, "queue int, medoid long, member long, medoid_name string, member_name string, sites array<int>, letters binary, unknown array<int>, d_ref long, snp long, known long")
 
 
-def first_matches(left: DataFrame, right: DataFrame, distance: int, trim: int, ring: bool, raw: bool) -> DataFrame:
+def first_matches(left: DataFrame, right: DataFrame, base: bytes, distance: int, ring: bool) -> DataFrame:
     """``medoid, into``: for medoids of ``right`` the first of ``left`` (by ``place``) in the same ``pair`` within the distance.
 
-    Both: ``pair, medoid, place, seq, d_ref``.  Blocks of both sides meet on their ring, so that a task holds two blocks."""
-    blocked = lambda df: df.withColumns({"block": F.floor(F.col("place") / BLOCK), "ring": F.floor(F.col("d_ref") / (distance + 1)) if ring else F.lit(0).cast("long")})
-    left, right = blocked(left), blocked(right)
-    blocks = left.groupBy("pair", "ring").agg(F.collect_set("block").alias("others"))  # numbers of blocks
-    reach = F.explode(F.array(*[F.col("ring") + k for k in ((-1, 0, 1) if ring else (0,))]))
-    asked = right.withColumn("at", reach).join(blocks.withColumnRenamed("ring", "at"), ["pair", "at"]).withColumn("other", F.explode("others"))
-    own = right.select("pair", F.explode(F.array(*[F.col("ring") + k for k in ((-1, 0, 1) if ring else (0,))])).alias("at"), F.col("block").alias("mine")).distinct()
-    given = left.withColumnRenamed("ring", "at").join(own, ["pair", "at"])
-    unit = ["pair", "at", "other", "mine"]
-    a = given.select("pair", "at", F.col("block").alias("other"), "mine", "medoid", "place", "seq", "d_ref", F.lit(True).alias("is_left"))
-    b = asked.select("pair", "at", "other", F.col("block").alias("mine"), "medoid", "place", "seq", "d_ref", F.lit(False).alias("is_left"))
+    Both: ``pair, medoid, place, d_ref`` and a sparse record."""
+    sides = [df.select("pair", F.col("medoid").alias("id"), "place", "d_ref", *sparse.COLUMNS) for df in (left, right)]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["is_left", "place"], ignore_index=True)
-        seq = kernels.matrix([s.encode() for s in rows["seq"]])
-        seq = seq[:, trim : seq.shape[1] - trim]
         side = rows["is_left"].to_numpy()
         if side.all() or not side.any():
             return pd.DataFrame({"medoid": [], "into": [], "place": []})
-        d_ref = rows["d_ref"].to_numpy()
-        close = differences(seq[~side], seq[side], raw) <= distance
+        rows = rows.sort_values(["is_left", "place"], ignore_index=True)
+        side = rows["is_left"].to_numpy()
+        letters, d_ref = sparse.columns(rows, base), rows["d_ref"].to_numpy()
+        close = sparse.differences(letters[~side], letters[side]) <= distance
         if ring:
             close &= np.abs(d_ref[~side][:, None] - d_ref[side][None]) <= distance
         some = close.any(1)
         at = close.argmax(1)[some]
-        return pd.DataFrame({"medoid": rows["medoid"].to_numpy()[~side][some], "into": rows["medoid"].to_numpy()[side][at], "place": rows["place"].to_numpy()[side][at]})
+        return pd.DataFrame({"medoid": rows["id"].to_numpy()[~side][some], "into": rows["id"].to_numpy()[side][at], "place": rows["place"].to_numpy()[side][at]})
 
-    found = a.union(b).groupBy(*unit).applyInPandas(run, "medoid long, into long, place long")
+    near = ["d_ref"] if ring else None
+    found = sparse.units(sides[0], sides[1], distance, ["pair"], near).groupBy("unit").applyInPandas(run, "medoid long, into long, place long")
     return found.groupBy("medoid").agg(F.min_by("into", "place").alias("into"))
 
 
-def merged(clusters: DataFrame, distance: int = 1, trim: int = 0, ring: bool = True, raw: bool = False) -> DataFrame:
+def merged(clusters: DataFrame, reference: str, distance: int = 1, trim: int = 0, ring: bool = True) -> DataFrame:
     """One set of clusters from those of all queues: ``medoid, member, medoid_name, member_name`` and the medoid's ``SCORES``."""
-    medoid_columns = ("medoid", "medoid_name", "seq", *SCORES)
-    members = written(clusters.select("queue", *medoid_columns, "member", "member_name"), "clusters")
-    medoids = members.where("medoid = member").select("queue", *medoid_columns)
+    base = reference.encode()[trim : len(reference) - trim]
+    members = written(clusters.select("queue", *MEDOID, "member", "member_name"), "clusters")
+    medoids = members.where("medoid = member").select("queue", *MEDOID)
     joined = members.select("medoid", "member", "member_name")
     count = (medoids.agg(F.max("queue")).first()[0] or 0) + 1
     while count > 1:
         half = -(-count // 2)
         # Order within a queue: by the scores, then by ordinal.
-        placed = written(numbered(medoids, "place", "queue", *map(F.desc, SCORES), "medoid"), "medoids")
+        placed = numbered(medoids, "place", "queue", *map(F.desc, SCORES), "medoid")
         left = placed.where(F.col("queue") < half).withColumn("pair", F.col("queue"))
         right = placed.where(F.col("queue") >= half).withColumn("pair", F.col("queue") - half)
-        into = written(first_matches(left, right, distance, trim, ring, raw), "into")
-        better = right.join(into, "medoid").select("into", "medoid", *[F.col(c).alias(f"r_{c}") for c in medoid_columns[1:]])
+        into = written(first_matches(left, right, base, distance, ring), "into")
+        better = right.join(into, "medoid").select("into", "medoid", *[F.col(c).alias(f"r_{c}") for c in MEDOID[1:]])
         # A medoid that came in and knows more sites takes the place of the one it joined.
-        best = better.groupBy("into").agg(F.max(F.struct("r_known", "r_d_ref", (-F.col("medoid")).alias("m"), "r_medoid_name", "r_seq", "r_snp")).alias("b"))
+        order = F.struct("r_known", "r_d_ref", -F.col("medoid"))
+        best = better.groupBy("into").agg(F.max_by(F.struct("medoid", *[f"r_{c}" for c in MEDOID[1:]]), order).alias("b"))
         kept = left.join(best, left["medoid"] == best["into"], "left")
         wins = F.coalesce(F.col("b.r_known") > F.col("known"), F.lit(False))
-        old = kept.select("queue", F.col("medoid").alias("was"), F.when(wins, -F.col("b.m")).otherwise(F.col("medoid")).alias("medoid"), *[F.when(wins, F.col(f"b.r_{c}")).otherwise(F.col(c)).alias(c) for c in medoid_columns[1:]])
-        moved = right.join(into, "medoid", "left_anti").select(F.col("pair").alias("queue"), F.col("medoid").alias("was"), *medoid_columns)
+        old = kept.select("queue", F.col("medoid").alias("was"), F.when(wins, F.col("b.medoid")).otherwise(F.col("medoid")).alias("medoid"), *[F.when(wins, F.col(f"b.r_{c}")).otherwise(F.col(c)).alias(c) for c in MEDOID[1:]])
+        moved = right.join(into, "medoid", "left_anti").select(F.col("pair").alias("queue"), F.col("medoid").alias("was"), *MEDOID)
         gone = into.join(old.select(F.col("was").alias("into"), F.col("medoid").alias("now")), "into").select(F.col("medoid").alias("was"), "now")
         names = written(old.select("was", F.col("medoid").alias("now")).union(moved.select("was", F.col("medoid").alias("now"))).union(gone), "names")
         medoids = written(old.drop("was").unionByName(moved.drop("was")), "medoids")
@@ -150,7 +135,7 @@ def merged(clusters: DataFrame, distance: int = 1, trim: int = 0, ring: bool = T
 
 
 def cluster(records: DataFrame, reference: str, distance: int = 1, trim: int = 0, queues: int | None = None, ring: bool = True, raw: bool = False) -> DataFrame:
-    return merged(leader(records, reference, distance, trim, queues, ring, raw), distance, trim, ring, raw)
+    return merged(leader(records, reference, distance, trim, queues, ring, raw), reference, distance, trim, ring)
 
 
 def sizes(clusters: DataFrame) -> DataFrame:

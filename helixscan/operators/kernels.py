@@ -26,13 +26,10 @@ class QueryMatrix:
 
     def __init__(self, q: np.ndarray):
         self.q = q
-        site, letter = [], []
-        for i in range(q.shape[1]):
-            for c in np.unique(q[:, i]):
-                if IS_VALID[c]:
-                    site.append(i)
-                    letter.append(c)
-        self.site, self.letter = np.array(site, np.int64), np.array(letter, np.uint8)
+        letters = np.array([c for c in np.flatnonzero(np.bincount(q.ravel(), minlength=256)) if IS_VALID[c]], np.uint8)
+        held = np.array([(q == c).any(0) for c in letters]).reshape(len(letters), q.shape[1])
+        self.site, which = np.nonzero(held.T)
+        self.letter = letters[which]
         self.one_hot = (q[:, self.site] == self.letter).astype(np.float32)
         self.acgt_column = IS_ACGT[self.letter]
         self.valid = IS_VALID[q].astype(np.float32)

@@ -29,10 +29,14 @@ def score_columns(acgt: bool) -> tuple[str, ...]:
     return ONLY_ACGT if acgt else FULL
 
 
+def total_sites(queries: DataFrame) -> int:
+    return queries.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0]
+
+
 def query_blocks(queries: DataFrame, resident: int = RESIDENT) -> Iterator[list]:
     """The queries in blocks of about ``resident`` bytes, dealt by a hash of the ordinal and read one by one from a written table."""
     table = written(queries.select("ordinal", "name", "seq"), "queries")
-    total = table.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0]
+    total = total_sites(table)
     blocks = max(1, -(-total // resident))
     for k in range(blocks):
         own = table.where(F.pmod(F.xxhash64("ordinal"), F.lit(blocks)) == k) if blocks > 1 else table

@@ -8,18 +8,16 @@ same known sites and letters, the one with the least ordinal stays.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark import Broadcast
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixscan.functions import chars
 from helixscan.sources.storage import written
 
-from . import filters, kernels
+from . import filters, sparse
+from .reference import backbone
 
 
 def signature(seq: Column, acgt: bool, trim: int) -> Column:
@@ -28,37 +26,27 @@ def signature(seq: Column, acgt: bool, trim: int) -> Column:
 
 
 def _kept(records: DataFrame, acgt: bool, trim: int, more: bool) -> DataFrame:
-    from .nearest import over_blocks
-
     records = filters.of_length(records, (records.select(F.length("seq")).first() or [0])[0], "query")
     # The first of each signature, found before the shuffle: copies of one record don't meet in a task.
     first = records.withColumn("_sign", signature(F.col("seq"), acgt, trim)).groupBy("_sign").agg(F.min(F.struct("ordinal", *[c for c in records.columns if c != "ordinal"])).alias("_r"))
     own = written(first.select("_sign", *[F.col(f"_r.{c}") for c in records.columns]), "signatures")
-    other = own.select("ordinal", "name", F.col("_sign").alias("seq"))
-
-    def lost_to(block: list) -> tuple[DataFrame, Broadcast]:  # of bounded size, against all records where they are
-        shared = records.sparkSession.sparkContext.broadcast((kernels.matrix([r["seq"].encode() for r in block]), np.array([r["ordinal"] for r in block])))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q, ordinal = shared.value
-            matrix = kernels.QueryMatrix(q)
-            known = matrix.valid.sum(1)
-            for batch in batches:
-                r = kernels.matrix(batch.column("seq").cast(pa.binary()).to_pylist())
-                s = matrix.scores(r)
-                size = kernels.IS_VALID[r].sum(1)
-                agree = s["text"] == s["valid"]
-                # A block record that agrees and has all the known sites of the other, and more; or the reverse.
-                covers = agree & (s["valid"] == size[None]) & (known[:, None] > size[None])
-                covered = agree & (s["valid"] == known[:, None]) & (known[:, None] < size[None])
-                lost = (covers if more else covered).any(0)
-                yield pa.RecordBatch.from_arrays([batch.column("ordinal").filter(pa.array(lost))], names=["ordinal"])
-
-        return other.mapInArrow(run, "ordinal long"), shared
-
-    dropped, _ = over_blocks(other, lost_to, "dropped")
-    if dropped is None:
-        return own.select(*records.columns)
+    signs = own.select("ordinal", "name", F.col("_sign").alias("seq"))
+    base = backbone(signs)
+    rows = written(sparse.records(signs, base, what="query").select(F.col("ordinal").alias("id"), "known", *sparse.COLUMNS), "sparse")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        side = rows["is_left"].to_numpy()
+        if side.all() or not side.any():
+            return pd.DataFrame({"ordinal": []})
+        letters, known, name = sparse.columns(rows, base.encode()), rows["known"].to_numpy(), rows["id"].to_numpy()
+        a, b = np.flatnonzero(side), np.flatnonzero(~side)
+        covers = sparse.differences(letters[a], letters[b]) == 0
+        # The left one knows more, and all that the right one knows.
+        missing = sparse.unknown_cells(rows["unknown"]).astype(np.float32)
+        covers &= (known[a][:, None] > known[b][None]) & (missing[a] @ (1 - missing[b]).T == 0)
+        return pd.DataFrame({"ordinal": name[b][covers.any(0)] if more else name[a][covers.any(1)]})
+
+    dropped = sparse.units(rows, rows, 0).groupBy("unit").applyInPandas(run, "ordinal long")
     return own.join(dropped.distinct(), "ordinal", "left_anti").select(*records.columns)
 
 

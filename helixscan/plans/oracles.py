@@ -149,8 +149,7 @@ a{k + 1} AS (SELECT n.medoid, a.member FROM a{k} a JOIN n{k} n ON n.was = a.medo
 def clusters(distance: int = 1, queue: int = 1000) -> str:
     ranked = "(r.known > m.known OR r.known = m.known AND r.d_ref > m.d_ref)"
     return f"""WITH RECURSIVE {SITES}, {BACKBONE}, marked AS (SELECT r.id, r.site, r.v, CASE WHEN r.v = 1 AND r.c <> b.base THEN 1 ELSE 0 END AS snp FROM rs r JOIN base b ON r.site = b.site),
-nqueues AS (SELECT greatest(1, (count(DISTINCT id) + {queue - 1}) // {queue}) AS n FROM rs),
-rec AS (SELECT id, id % (SELECT n FROM nqueues) AS queue, CAST(sum(snp) AS BIGINT) AS d_ref, CAST(coalesce(min(CASE WHEN snp = 1 THEN site END), -1) AS BIGINT) AS snp, CAST(sum(v) AS BIGINT) AS known FROM marked GROUP BY id),
+rec AS (SELECT id, id // {queue} AS queue, CAST(sum(snp) AS BIGINT) AS d_ref, CAST(coalesce(min(CASE WHEN snp = 1 THEN site END), -1) AS BIGINT) AS snp, CAST(sum(v) AS BIGINT) AS known FROM marked GROUP BY id),
 half AS (SELECT x.id AS a, y.id AS b, sum(CASE WHEN x.v = 1 AND y.v = 1 AND x.c <> y.c THEN 1 ELSE 0 END) AS d FROM rec r JOIN rec m ON r.id < m.id AND abs(r.d_ref - m.d_ref) <= {distance}
  JOIN rs x ON x.id = r.id JOIN rs y ON y.id = m.id AND y.site = x.site GROUP BY x.id, y.id HAVING sum(CASE WHEN x.v = 1 AND y.v = 1 AND x.c <> y.c THEN 1 ELSE 0 END) <= {distance}),
 near AS MATERIALIZED (SELECT a, b, d FROM half UNION ALL SELECT b, a, d FROM half),
@@ -244,6 +243,8 @@ SELECT x.id AS ordinal, count(d.site) AS distance, coalesce(min(d.site), -1) AS
 }
 ORACLES |= {
     "align_cost": ALIGN,
+    # What must hold for any alignment of the least cost.
+    "align_cigar": ALIGN.replace("SELECT dp.id AS ordinal, CAST(b AS BIGINT) AS cost FROM", "SELECT dp.id AS ordinal, CAST(b AS BIGINT) AS cost, CAST(120 AS BIGINT) AS ref_sites, CAST(fit.n AS BIGINT) AS seq_letters, CAST(120 AS BIGINT) AS projected, true AS agrees FROM"),
     "cluster_leader": f"{CLUSTERS} SELECT CAST(queue AS INTEGER) AS queue, medoid, member FROM a0",
     "cluster_merge": f"{CLUSTERS} SELECT medoid, member FROM a{CLUSTER_ROUNDS}",
     "cluster_sizes": f"{CLUSTERS} SELECT medoid, 'ref' || medoid AS medoid_name, n_members FROM final_",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixscan.functions import chars, sql
+from helixscan.functions import chars, cigar, sql
 from helixscan.operators import align as aligner
 from helixscan.operators import ball as balls
 from helixscan.operators import cluster as clusters
@@ -61,7 +61,7 @@ def unaligned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def backbone(spark: SparkSession, sf_dir: str) -> str:
-    return reference.reference_string(reference.synthesised(reference_records(spark, sf_dir)))
+    return reference.backbone(reference_records(spark, sf_dir))
 
 
 # Text and counts
@@ -356,6 +356,21 @@ def align_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(spark, sf_dir).select("ordinal", "cost")
 
 
+@query
+def align_cigar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the operations of every alignment say what its letters are, and the cost and lengths that follow from them."""
+    base, rows = backbone(spark, sf_dir), nearest.spread(unaligned(spark, sf_dir))
+    found = aligner.align(rows, base).select("ordinal", F.col("seq").alias("projection"), "cigar")
+    c, seq = F.col("cigar"), F.col("seq")
+    whole = found.join(rows.select("ordinal", "seq"), "ordinal")
+    # Letters of pairs, gaps left out on both sides: in the reference where the projection has none, and the sequence with its insertions.
+    pairs = F.aggregate(F.zip_with(F.split("projection", ""), F.split(F.lit(base), ""), lambda a, b: F.when(a == "-", 0).when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+    return whole.select(
+        "ordinal", cigar.cost(c).alias("cost"), cigar.ref_sites(c).alias("ref_sites"), cigar.seq_letters(c).alias("seq_letters"), F.length("projection").cast("long").alias("projected"),
+        (cigar.is_cigar(c) & (pairs == cigar.count(c, "M")) & (F.length(F.translate("projection", "-", "")) == cigar.count(c, "MX")) & (F.length(seq) == cigar.count(c, "MXI"))).alias("agrees"),
+    )
+
+
 @query
 def cluster_leader(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = clusters.leader(reference_records(spark, sf_dir), backbone(spark, sf_dir), CLUSTER_DISTANCE)

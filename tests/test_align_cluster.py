@@ -1,8 +1,13 @@
 """Alignment by cost and length, clusters by what must hold."""
 
+import re
+
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from helixscan.operators import align, cluster, reference
+from helixscan.functions import cigar, sql
+from helixscan.operators import align, cluster, reference, sparse
 from helixscan.plans import fixtures, queries
 
 SF = "/root/testdata/sf0.001"
@@ -24,29 +29,74 @@ def plain_cost(ref, seq):
     return best[n, m]
 
 
-def cost_of(moves):
-    gaps = [len(run) for k in "DI" for run in "".join(c if c == k else " " for c in moves).split()]
-    return 4 * moves.count("X") + sum(6 + 2 * n for n in gaps)
+def checked(ref, seq, cigar):
+    """The cost of an alignment whose letters are what its operations say."""
+    i = j = cost = 0
+    for n, op in re.findall(r"(\d+)([MXID])", cigar):
+        n = int(n)
+        assert op in "ID" or all((x == y) == (op == "M") for x, y in zip(ref[i : i + n], seq[j : j + n], strict=True))
+        cost += {"M": 0, "X": 4 * n, "I": 6 + 2 * n, "D": 6 + 2 * n}[op]
+        i, j = i + n * (op in "MXD"), j + n * (op in "MXI")
+    assert (i, j) == (len(ref), len(seq))
+    return cost
+
+
+def edited(g, ref, edits):
+    seq = list(ref)
+    for _ in range(edits):
+        at = int(g.integers(0, len(seq) + 1))
+        seq[at : at + int(g.integers(0, 4))] = list(g.choice(list("ACGTN"), int(g.integers(0, 4))))
+    return "".join(seq)
 
 
-def test_alignment_has_the_least_cost():
+@pytest.mark.parametrize("kept", [align.KEPT, 0])  # side by side; each on its own, from kept wavefronts
+def test_alignments_have_the_least_cost(monkeypatch, kept):
+    monkeypatch.setattr(align, "STRIDE", 5)
     g = np.random.default_rng(3)
-    for _ in range(60):
+    for _ in range(40):
         ref = "".join(g.choice(list("ACGT"), int(g.integers(1, 40))))
-        seq = list(ref)
-        for _ in range(int(g.integers(0, 8))):
-            at = int(g.integers(0, len(seq) + 1))
-            seq[at : at + int(g.integers(0, 4))] = list(g.choice(list("ACGTN"), int(g.integers(0, 4))))
-        seq = "".join(seq)
-        cost, moves = align.align_pair(ref, seq)
-        assert cost == cost_of(moves) == plain_cost(ref, seq)
-        assert len(align.project(ref, seq)[0]) == len(ref)
+        seqs = [edited(g, ref, int(g.integers(0, 8))) for _ in range(3)] + ["".join(g.choice(list("ACGT"), int(g.integers(0, 30)))), ref]
+        found = align.cigars(ref, seqs, kept=kept)
+        assert [checked(ref, s, c) for s, c in zip(seqs, found, strict=True)] == [plain_cost(ref, s) for s in seqs]
+        assert found[-1] == f"{len(ref)}M"
+    assert align.cigars("ACGT", []) == [] and align.cigars("ACGT", [""]) == ["4D"]
 
 
-def test_band_is_widened():
-    ref = "ACGT" * 60
-    seq = "G" * 70 + ref[:-70]
-    assert align.align_pair(ref, seq)[0] == align._banded(np.frombuffer(ref.encode(), np.uint8), [np.frombuffer(seq.encode(), np.uint8)], -240, 240)[0][0]
+def test_whole_genomes_align_in_little_time_and_memory():
+    import time
+    import tracemalloc
+
+    g = np.random.default_rng(5)
+    ref = "".join(g.choice(list("ACGT"), 29_903))
+    near = ref
+    for at in g.integers(0, 29_000, 30):
+        near = near[:at] + g.choice([c for c in "ACGT" if c != near[at]]) + near[at + 1 :]
+    align.cigars(ref, [near])
+    began = time.process_time()
+    cost = checked(ref, near, align.cigars(ref, [near])[0])
+    assert cost == 120 and time.process_time() - began < 0.15  # about 0.03 s on an idle core
+    far = list(ref)
+    for at in g.choice(29_903, 2990, replace=False):  # a tenth of all letters
+        far[at] = g.choice([c for c in "ACGT" if c != far[at]])
+    far = "".join(far)
+    tracemalloc.start()
+    found = align.cigars(ref, [far])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert checked(ref, far, found) <= 4 * 2990 and peak < 150 << 20
+    assert checked(ref, far, align.cigars(ref, [far], adaptive=512)[0]) >= checked(ref, far, found)
+
+
+def test_cigar_columns(spark):
+    rows = [("ACGT", "ACGT", "4M"), ("ACT", "ACGT", "2M1D1M"), ("AACGTT", "ACGT", "1I4M1I"), ("", "AC", "2D"), ("TG", "CG", "1X1M"), ("", "", "")]
+    df = spark.createDataFrame(rows, "seq string, ref string, c string")
+    c = F.col("c")
+    found = df.select(cigar.cost(c), cigar.ref_sites(c), cigar.seq_letters(c), cigar.identity(c), cigar.projected(F.col("seq"), c), cigar.is_cigar(c), F.size(cigar.runs(c))).collect()
+    assert [tuple(r) for r in found] == [(0, 4, 4, 1.0, "ACGT", True, 1), (8, 4, 3, 0.75, "AC-T", True, 3), (16, 4, 6, 0.66666667, "ACGT", True, 3), (10, 2, 0, 0.0, "--", True, 1), (4, 2, 2, 0.5, "TG", True, 2), (0, 0, 0, 0.0, "", True, 0)]
+    sql.register(spark)
+    again = df.selectExpr("seq_cigar_cost(c)", "seq_cigar_ref_sites(c)", "seq_cigar_letters(c)", "seq_cigar_identity(c)", "seq_cigar_projected(seq, c)").collect()
+    assert [tuple(r) for r in again] == [tuple(r)[:5] for r in found]
+    assert not spark.range(1).select(cigar.is_cigar(F.lit("4M3"))).first()[0]
 
 
 def test_equal_sequence_is_unchanged(spark):
@@ -62,7 +112,7 @@ def test_all_alignments_have_the_length_of_the_reference(spark):
 
 def test_clusters_divide_the_records(spark):
     records = fixtures.references(spark, SF)
-    base = reference.reference_string(reference.synthesised(records))
+    base = reference.backbone(records)
     seqs = {r["ordinal"]: r["seq"] for r in records.collect()}
     alone = cluster.leader(records, base, distance=1, queues=1).collect()
     for found in (alone, cluster.cluster(records, base, distance=1, queues=1).collect(), cluster.cluster(records, base, distance=1, queues=5).collect()):
@@ -82,11 +132,11 @@ def test_equal_records_are_one_cluster(spark):
     assert len({r["medoid"] for r in found}) == 2 and len(found) == 40
 
 
-def test_merge_in_small_blocks_is_the_same(spark, monkeypatch):
+def test_merge_in_small_units_is_the_same(spark, monkeypatch):
     records = fixtures.references(spark, SF)
-    base = reference.reference_string(reference.synthesised(records))
+    base = reference.backbone(records)
     want = sorted(map(tuple, cluster.cluster(records, base, queues=4).collect()))
-    monkeypatch.setattr(cluster, "BLOCK", 5)
+    monkeypatch.setattr(sparse.units, "__defaults__", (None, None, 0, 5))  # fewer records for the index, small units
     assert sorted(map(tuple, cluster.cluster(records, base, queues=4).collect())) == want
 
 
@@ -99,7 +149,7 @@ def test_lines_of_the_table_hold_all_members(spark):
 
 
 def test_sql_functions_are_the_columns(spark):
-    from helixscan.functions import chars, sql
+    from helixscan.functions import chars
 
     sql.register(spark)
     g = np.random.default_rng(5)
