@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixscan.sources.storage import numbered, written
@@ -34,6 +34,13 @@ class Queue:
         self.held_ref = np.empty(len(letters), np.int64)
         self.medoid: list[int] = []
 
+    def begin(self, n: int) -> Queue:
+        """The first ``n`` rows are medoids from before."""
+        for i in range(n):
+            self.medoid.append(i)
+            self.put(i, i)
+        return self
+
     def add(self, i: int) -> int:
         """The cluster that row ``i`` joins or begins."""
         n = len(self.medoid)
@@ -55,14 +62,17 @@ class Queue:
         self.medoid[place], self.held[place], self.held_ref[place] = i, self.letters[i], self.d_ref[i]
 
 
+def queue_of(ordinal: Column, queues: int | None) -> Column:
+    """``queues``: how many, dealt in turn; without it, ``QUEUE`` records in a row are a queue, so that later records don't move earlier ones."""
+    return (F.pmod(ordinal, F.lit(queues)) if queues else F.floor(ordinal / QUEUE)).cast("int")
+
+
 def leader(records: DataFrame, reference: str, distance: int = 1, trim: int = 0, queues: int | None = None, ring: bool = True, raw: bool = False) -> DataFrame:
     """``queue, medoid, member, medoid_name, member_name, d_ref, snp, known``: each record with its medoid (ordinals), and
     the medoid as a sparse record in its own row (null in those of the others).
 
-    ``queues``: how many, dealt in turn; without it, ``QUEUE`` records in a row are a queue, so that later records don't move earlier ones.  A record that
-    equals its medoid and knows more sites (then: is further from the reference) takes its place."""
-    queue = F.pmod("ordinal", F.lit(queues)) if queues else F.floor(F.col("ordinal") / QUEUE)
-    df = sparse.records(records, reference, trim, raw).withColumn("queue", queue.cast("int"))
+    ``queues``: see ``queue_of``.  A record that equals its medoid and knows more sites (then: is further from the reference) takes its place."""
+    df = sparse.records(records, reference, trim, raw).withColumn("queue", queue_of(F.col("ordinal"), queues))
     base = reference.encode()[trim : len(reference) - trim]
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

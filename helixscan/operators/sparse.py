@@ -194,6 +194,10 @@ def units(left: DataFrame, right: DataFrame, distance: int, by: list[str] | None
     Both: ``id``, ``COLUMNS``, ``by`` and further columns.  ``near``: further columns that both sides have, for pairs that also
     have ``d_ref`` within ``distance``: records that the index can't take meet only those on the same or a neighbouring ring.  A pair may meet several times."""
     by, once = by or [], left is right
+    plain = lambda df: df.drop("keys", "vague")
+    sizes = [df.agg(F.count("*")).first()[0] for df in ((left,) if once else (left, right))]
+    if sum(sizes) <= 2 * side:  # no more than the index would bring together in a unit
+        return meeting(*(df.withColumn("_all", F.lit(0)) for df in (left, right)), ["_all", *by], side, "all")
     blocks = distance + 1 + 2 * wild
     found = left if once else left.select("sites").unionByName(right.select("sites"))
     sites, block = snp_blocks(found.select(F.explode("sites").alias("site")).groupBy("site").agg(F.count("*").alias("n")), blocks)
@@ -216,7 +220,6 @@ def units(left: DataFrame, right: DataFrame, distance: int, by: list[str] | None
     named = both.withColumn("_small", small).join(bins, [*by, "block"], "left").select(*by, "block", "key", F.when(F.col("_small"), F.pmod("key", "_bins")).otherwise(F.col("key")).alias("group"))
     a, b = (df.join(named, [*by, "block", "key"]).drop("key") for df in (a, b))
     out = meeting(a, b, [*by, "block", "group"], side, "clear", once)
-    plain = lambda df: df.drop("keys", "vague")
     for label, x, y in (("vague", own.where("vague"), other), ("other", own.where("NOT vague"), other.where("vague"))):
         x, y = plain(x), plain(y)
         if near is not None:

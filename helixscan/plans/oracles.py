@@ -254,5 +254,6 @@ ORACLES |= {
 }
 ORACLES["stream_nn"] = ORACLES["nn_full"]
 ORACLES["stream_ball"] = ORACLES["ball_full"]
+ORACLES["stream_cluster"] = ORACLES["cluster_leader"]
 ORACLES["sql_functions"] = ORACLES["pair_score_full"]
 ORACLES["sql_resolution"] = ORACLES["resolution_order"]

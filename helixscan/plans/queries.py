@@ -14,6 +14,7 @@ from helixscan.operators import cluster as clusters
 from helixscan.operators import filters, legacy, nearest, profile, redundancy, reference
 from helixscan.sources import fasta, sinks
 from helixscan.sources.storage import shared_path
+from helixscan.streaming import cluster as stream_clusters
 from helixscan.streaming import search
 
 from .fixtures import queries as query_records
@@ -482,3 +483,9 @@ def stream_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.stream_ball(reference_stream(spark, sf_dir), query_records(spark, sf_dir), distance=RADIUS).select("ordinal", "name", "distance")
+
+
+@query
+def stream_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leader clustering with the state of each queue kept from batch to batch."""
+    return stream_clusters.stream_cluster(reference_stream(spark, sf_dir), backbone(spark, sf_dir), CLUSTER_DISTANCE).select("queue", "medoid", "member")

@@ -16,9 +16,9 @@ from helixscan.operators.profile import site_profile
 from helixscan.sources.storage import shared_path, written
 
 
-def drained(refs: DataFrame, step) -> None:
+def drained(refs: DataFrame, step, checkpoint: str | None = None) -> None:
     """Runs ``step(batch, number)`` on all micro-batches that are there."""
-    query = refs.writeStream.foreachBatch(step).option("checkpointLocation", shared_path(refs.sparkSession, "stream")).trigger(availableNow=True).start()
+    query = refs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint or shared_path(refs.sparkSession, "stream")).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
