@@ -235,6 +235,7 @@ SELECT id AS ordinal, CAST(n AS BIGINT) AS distance, CAST(coalesce(sites[1], -1)
     "snp_sites": SNPS + "SELECT site FROM snp GROUP BY site HAVING sum(snp) > 0",
     "fasta_roundtrip": f"WITH {SITES}, {REF_TEXT} SELECT 'ref' || id AS name, seq FROM rt",
     "fasta_codecs": f"WITH {SITES}, {REF_TEXT} SELECT 'ref' || id AS name, seq FROM rt",
+    "fasta_xz": f"WITH {SITES}, {REF_TEXT} SELECT row_number() OVER (ORDER BY id) - 1 AS ordinal, 'ref' || id AS name, seq FROM rt",
     "fasta_multi": f"WITH {SITES}, {REF_TEXT}, both_files AS (SELECT 0 AS f, id, 'ref' || id AS name, seq FROM rt UNION ALL SELECT 1, id, 'query' || id, string_agg(c, '' ORDER BY site) FROM qs GROUP BY id) SELECT row_number() OVER (ORDER BY f, id) - 1 AS ordinal, name, seq FROM both_files",
     "nn_table": f"{BASE}, {profile()}, {nearest_full()}, k AS (SELECT id, sum(v) AS n_known FROM qp GROUP BY id), o AS (SELECT id, row_number() OVER (ORDER BY n_known, id) AS resolution_order FROM k) SELECT 'query' || qid AS query, 'ref' || rid AS reference, rank, {FULL}, resolution_order FROM nn JOIN o ON o.id = nn.qid",
     "sql_weighted": PAIRS + f"round(sum(CASE WHEN qm > 0 AND rm > 0 THEN bit_count(qm & rm) / CAST(bit_count(qm) * bit_count(rm) AS DOUBLE) ELSE 0 END), 3) AS partial_matches FROM pairs {BY_PAIR}",
@@ -253,6 +254,7 @@ ORACLES |= {
     "cluster_table": f"{CLUSTERS} SELECT place, n_members, o.medoid, CAST(0 AS BIGINT) AS part, concat_ws(',', 'ref' || o.medoid, string_agg('ref' || member, ',' ORDER BY member) FILTER (WHERE member <> o.medoid)) AS line FROM ordered o JOIN a{CLUSTER_ROUNDS} a ON a.medoid = o.medoid GROUP BY place, n_members, o.medoid",
 }
 ORACLES["stream_nn"] = ORACLES["nn_full"]
+ORACLES["stream_fasta_nn"] = ORACLES["nn_full"]
 ORACLES["stream_ball"] = ORACLES["ball_full"]
 ORACLES["stream_cluster"] = ORACLES["cluster_leader"]
 ORACLES["sql_functions"] = ORACLES["pair_score_full"]

@@ -12,7 +12,7 @@ from helixscan.operators import align as aligner
 from helixscan.operators import ball as balls
 from helixscan.operators import cluster as clusters
 from helixscan.operators import filters, legacy, nearest, profile, redundancy, reference
-from helixscan.sources import fasta, sinks
+from helixscan.sources import fasta, files, sinks
 from helixscan.sources.storage import shared_path
 from helixscan.streaming import cluster as stream_clusters
 from helixscan.streaming import search
@@ -459,12 +459,18 @@ def nn_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fasta_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written as xz by the FASTA sink and read by the FASTA source, for shared folders that are mounted."""
-    from pathlib import Path
-
-    path = shared_path(spark, "fasta").removeprefix("file://")
+    """Written as xz by the FASTA sink and read by the FASTA source."""
+    path = shared_path(spark, "fasta")
     fasta.write_fasta(nearest.spread(reference_records(spark, sf_dir)), path, "xz")
-    return fasta.read_fasta(spark, sorted(map(str, Path(path).glob("*.aln.xz")))).select("name", "seq")
+    return fasta.read_fasta(spark, [p for p, _ in files.listed(path)]).select("name", "seq")
+
+
+@query
+def fasta_xz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """xz files of several blocks, each read in several tasks; records are numbered over all of them."""
+    path = shared_path(spark, "fasta")
+    fasta.write_fasta(reference_records(spark, sf_dir).orderBy("ordinal"), path, "xz", block_size=5_000)
+    return fasta.read_fasta(spark, [p for p, _ in files.listed(path)], part_size=12_000)
 
 
 def reference_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -480,6 +486,14 @@ def stream_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(search.stream_nearest(reference_stream(spark, sf_dir), query_records(spark, sf_dir), n=BEST)).drop("entered_at_batch")
 
 
+@query
+def stream_fasta_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search over FASTA files as they arrive."""
+    path = shared_path(spark, "fasta")
+    sinks.write_alignment(nearest.spread(reference_records(spark, sf_dir)), path)
+    return table(search.stream_nearest(fasta.stream_fasta(spark, path), query_records(spark, sf_dir), n=BEST)).drop("entered_at_batch")
+
+
 @query
 def stream_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.stream_ball(reference_stream(spark, sf_dir), query_records(spark, sf_dir), distance=RADIUS).select("ordinal", "name", "distance")

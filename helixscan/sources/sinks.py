@@ -6,12 +6,14 @@ A run's files are named by a prefix, which is the program's name unless one is g
 from __future__ import annotations
 
 import sys
+import uuid
 from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fasta import fasta_text
+from . import files
+from .fasta import Lines, fasta_text
 
 
 def output_names(program: str, prefix: str | None = None) -> dict[str, str]:
@@ -50,5 +52,14 @@ def print_alignment(records: DataFrame, out: TextIO | None = None) -> int:
 
 
 def write_lines(lines: DataFrame, path: str, *order, compression: str = "gzip") -> None:
-    """A column ``line`` as text in ``order``; what is there already is replaced, as for partial results of a run."""
-    lines.orderBy(*order).select("line").write.mode("overwrite").option("compression", compression).text(path)
+    """A column ``line`` as text in ``order``; what is there already is replaced, as for partial results of a run.  ``compression``: Spark's, or xz."""
+    ordered = lines.orderBy(*order)
+    if compression != "xz":
+        ordered.select("line").write.mode("overwrite").option("compression", compression).text(path)
+        return
+    lines.sparkSession.dataSource.register(Lines)
+    old = files.listed(path)
+    ordered.select(F.col("line").alias("value")).write.format("lines").option("compression", "xz").option("prefix", uuid.uuid4().hex).mode("append").save(path)
+    for name, _ in old:
+        system, at = files.located(name)
+        system.delete_file(at)
