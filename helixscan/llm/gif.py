@@ -19,8 +19,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import as_bytes, documents, slices
+from .common import as_bytes, documents, restored, set_aside, slices
 
 WIDTH, ROWS, DELAY_MS, BINS = 64, 256, 100, 8
 #: A file that asks for a larger canvas, in pixels, is not decoded: its frames would not fit a task.
@@ -280,7 +281,12 @@ def gif_column(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", docs[text].alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 
 
-FRAME = "struct<number:int,left:int,top:int,width:int,height:int,delay_ms:int,disposal:int,histogram:array<int>>"
+NUMBERS = ("number", "left", "top", "width", "height", "delay_ms", "disposal")
+FRAME = StructType([*(StructField(n, IntegerType()) for n in NUMBERS), StructField("histogram", ArrayType(IntegerType()))])
+READ = [
+    StructField("frames", ArrayType(FRAME)), StructField("payload_bytes", LongType()), StructField("payload_sha256", StringType()), StructField("tail_crc32", LongType()),
+    StructField("media_bytes", LongType()), StructField("media_sha256", StringType()),
+]
 
 
 def frame_columns(media: DataFrame) -> DataFrame:
@@ -289,11 +295,11 @@ def frame_columns(media: DataFrame) -> DataFrame:
     or larger than ``LARGEST`` pixels has null in the new columns; repeated files repeat; an empty table gives an empty
     table; columns named like the new ones are replaced."""
 
-    new = ("frames", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
-    media = media.drop(*new)
+    new = [f.name for f in READ]
+    df = set_aside(media, "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.struct([*((n, pa.int32()) for n in ("number", "left", "top", "width", "height", "delay_ms", "disposal")), ("histogram", pa.list_(pa.int32()))])
+        kinds = pa.struct([*((n, pa.int32()) for n in NUMBERS), ("histogram", pa.list_(pa.int32()))])
         for whole in batches:
             for batch in slices(whole, "media"):
                 rows: list[tuple] = []
@@ -315,8 +321,8 @@ def frame_columns(media: DataFrame) -> DataFrame:
                     names=[*(c for c in batch.schema.names if c != "media"), *new],
                 )
 
-    kept = ", ".join(f"`{c}` {t}" for c, t in media.dtypes if c != "media")
-    return media.mapInArrow(run, f"{kept}, frames array<{FRAME}>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string")
+    schema = StructType([*(f for f in df.schema.fields if f.name != "media"), *READ])
+    return restored(df.mapInArrow(run, schema), [c for c in media.columns if c != "media"], *new)
 
 
 def op8_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:

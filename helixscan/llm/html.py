@@ -26,7 +26,9 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup; what they hold is not text of the page.
-RAW = frozenset("script style noscript template textarea select svg math iframe object title head audio video canvas button".split())
+RAW = frozenset("script style noscript template textarea select svg iframe object title head audio video canvas".split())
+#: Of these, the ones that hold what is shown in their place: inside the article's own element that is text like any.
+FALLBACK = frozenset("noscript object audio video canvas".split())
 #: Of these, the ones that end with the page if they aren't closed; the others are then markup like any.
 TO_END = frozenset("script style template textarea iframe title".split())
 OUTSIDE = frozenset("nav footer aside form menu dialog header fieldset".split())
@@ -63,7 +65,7 @@ STOP = frozenset(
 #: Share of linked characters above which a block is a menu; stop-word densities of good blocks, and of good blocks
 #: that are long; least characters of a long block and of one that is not too short to tell.
 LINKED, DENSE, SPARSE, LONG, SHORT = 0.33, 0.25, 0.1, 140, 60
-#: So many linked list items one after the other are a menu wherever they stand.
+#: So many linked list items one after the other are a menu, but for those inside the article's own element, such as its sources.
 LINK_RUN = 3
 #: The page's own element counts if it has at least this share of what is good outside of it.
 TEASER = 0.125
@@ -171,7 +173,7 @@ def page_blocks(html: str) -> list[Block]:
             at += 1
             continue
         at = end
-        if name in RAW and not closing:
+        if name in RAW and not closing and not (main and name in FALLBACK):
             if not rest.rstrip().endswith("/"):
                 close = None if name in unclosed else re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(html, at)
                 if close:
@@ -251,7 +253,7 @@ def decided(blocks: list[Block]) -> list[int]:
             continue
         if len(run) >= LINK_RUN:
             for k in run:
-                out[k] = BAD
+                out[k] = out[k] if blocks[k].main else BAD
         run = []
     own = sum(len(b.text) for b, label in zip(blocks, out, strict=True) if b.main and label != BAD)
     others = sum(len(b.text) for b, label in zip(blocks, out, strict=True) if not b.main and label == GOOD)

@@ -1,8 +1,8 @@
 """URL filter by a tree of path templates for each host, with DataFrame functions only.
 
 A path is a row of segments, of any number.  A segment becomes a wildcard by its look (digits, ids of
-letters and digits), or because its siblings below the same parent are many; that is asked ``ROUNDS``
-times, since parents become the same when the segments above them do.  The generalised paths of a host, its
+letters and digits), or because its siblings below the same parent are many; that is asked until no segment
+changes, since parents become the same when the segments above them do.  The generalised paths of a host, its
 templates, are the leaves of a tree of prefixes.
 
 Labels are what is known of some urls: the verdict of the rule that fits, or words that speak for
@@ -15,8 +15,6 @@ urls without any such word along, and a word in a clean branch is not enough.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +22,12 @@ from .common import joined_by_key, restored, set_aside, written
 
 #: (verdict, host, path prefix)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Siblings of a varying segment: at least so many, and so many for each url below their parent; how often that is asked.
-SIBLINGS, SPREAD, ROUNDS = 12, 0.2, 3
+#: Siblings of a varying segment: at least so many, and so many for each url below their parent.
+SIBLINGS, SPREAD = 12, 0.2
 #: Weight of the next wider share, and standard errors up to which siblings are merged.
 PRIOR, SIMILAR = 4.0, 2.0
-#: Siblings whose shares round to the same one of so many steps are merged without a test.
-STEPS = 64
+#: Digits to which shares are equal: of siblings with equal shares, which no test can tell apart, one row stands for all.
+DIGITS = 12
 #: How often blocked and other urls have a word that speaks for spam; the odds above which a url is blocked.
 WORD_IF_BAD, WORD_IF_GOOD, REJECT = 0.6, 0.01, 1.0
 #: Words in a host or path that speak for spam (fixed values).
@@ -71,27 +69,32 @@ def share(bad: Column, n: Column, prior: Column) -> Column:
 
 def levels(paths: DataFrame, *keep: str) -> DataFrame:
     """A row for every segment of every path: ``level`` (from 0), ``parent`` (a hash of the segments before) and ``segment``."""
-    return paths.select(*keep, "segs", F.posexplode("segs").alias("level", "segment")).select(*keep, "level", F.xxhash64(F.slice("segs", F.lit(1), F.col("level"))).alias("parent"), "segment")
+    start = F.struct(F.lit(0).cast("long").alias("hash"), F.array().cast("array<long>").alias("before"))
+    before = F.aggregate("segs", start, lambda s, x: F.struct(F.xxhash64(s["hash"], x).alias("hash"), F.array_append(s["before"], s["hash"]).alias("before")))["before"]
+    rows = paths.select(*keep, F.posexplode(F.arrays_zip(before.alias("before"), F.col("segs").alias("segs"))).alias("level", "at"))
+    return rows.select(*keep, "level", F.col("at.before").alias("parent"), F.col("at.segs").alias("segment"))
 
 
-def generalised(paths: DataFrame) -> DataFrame:
-    """``paths`` (``id, host, segs, n`` and others) with wildcards for the segments that vary below their parent."""
+def generalised(paths: DataFrame) -> tuple[DataFrame, bool]:
+    """``paths`` (``id, host, segs, n`` and others) with wildcards for the segments that vary below their parent, and whether there are any."""
     nodes = levels(paths, "host", "n").groupBy("host", "level", "parent", "segment").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
     below = nodes.groupBy("host", "level", "parent").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.sum("rows").alias("rows"))
-    varies = below.where((F.col("kinds") >= SIBLINGS) & (F.col("kinds") >= SPREAD * F.col("n"))).select("host", "level", "parent", "rows")
+    varies = written(below.where((F.col("kinds") >= SIBLINGS) & (F.col("kinds") >= SPREAD * F.col("n"))).select("host", "level", "parent", "rows"), "varies")
+    if varies.isEmpty():  # a segment that has become a wildcard is alone below its parent
+        return paths, False
     found = joined_by_key(levels(paths, "id", "host").drop("segment"), varies, ["host", "level", "parent"])
     wild = found.groupBy("id").agg(F.collect_set("level").alias("wild"))
     segs = F.transform("segs", lambda s, i: F.when(F.array_contains("wild", i), "*").otherwise(s))
-    return paths.join(wild, "id", "left").withColumn("segs", F.when(F.col("wild").isNull(), F.col("segs")).otherwise(segs)).select(*paths.columns)
+    return paths.join(wild, "id", "left").withColumn("segs", F.when(F.col("wild").isNull(), F.col("segs")).otherwise(segs)).select(*paths.columns), True
 
 
 def merged_siblings(nodes: DataFrame) -> DataFrame:
     """``host, level, parent, segment, rows`` with the counts ``n`` and ``bad`` of the group of similar siblings that each is in.
 
     Siblings in order of their shares: a step where two neighbours differ by more than the error of two
-    samples begins a new group.  Of siblings with nearly the same share, one row stands for all, so that
-    a parent has at most ``STEPS + 1`` rows to order."""
-    nodes = nodes.withColumn("step", F.round(F.col("bad") / F.col("n") * STEPS).cast("int"))
+    samples begins a new group.  Of siblings with equal shares one row stands for all, so that a parent has no more rows
+    to order than its siblings have different shares; those with few urls, which are most, have few."""
+    nodes = nodes.withColumn("step", F.round(F.col("bad") / F.col("n"), DIGITS))
     steps = nodes.groupBy("host", "level", "parent", "step").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count("*").alias("rows"))
     order = Window.partitionBy("host", "level", "parent").orderBy("step")
     before = {k: F.lag(k).over(order) for k in ("n", "bad")}
@@ -113,8 +116,10 @@ def template_shares(rows: DataFrame) -> DataFrame:
     total = paths.agg(F.coalesce(F.sum("bad") / F.sum("n"), F.lit(0.0))).first()[0]  # one number
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("bad").alias("host_bad"), F.count("*").alias("rows"))
     hosts = hosts.select("host", share(F.col("host_bad"), F.col("host_n"), F.lit(total)).alias("host_share"), "rows")
-    for _ in range(ROUNDS):
-        paths = written(generalised(paths), "paths")
+    changed = True
+    while changed:  # as often as varying segments are nested
+        paths, changed = generalised(paths)
+        paths = written(paths, "paths") if changed else paths
     # A url without label counts by its host's share.
     paths = joined_by_key(paths.withColumn("template", F.concat_ws("/", "segs")), hosts, ["host"])
     paths = written(paths.withColumn("bad", F.col("bad") + (F.col("n") - F.col("labelled")) * F.col("host_share")), "paths")
@@ -167,16 +172,15 @@ def oracle() -> str:
         fit = f"WHEN (host = '{host}' OR host LIKE '%.{host}') AND path LIKE '{path}%'"
         names.append(f"{fit} THEN '{host}{path}'")
         verdicts.append(f"{fit} THEN '{verdict}'")
-    node = lambda table: f"SELECT host, key, n, labelled, bad, segs, unnest(range(1, len(segs) + 1)) AS level FROM {table}"
     at = "array_to_string(list_slice(segs, 1, level - 1), '/')"
-
-    def a_round(k: int) -> str:
-        return f"""e{k} AS (SELECT *, {at} AS parent, segs[level] AS segment FROM ({node(f"p{k}")}) x),
-v{k} AS (SELECT host, level, parent FROM e{k} GROUP BY host, level, parent HAVING count(DISTINCT segment) >= {SIBLINGS} AND count(DISTINCT segment) >= {SPREAD} * sum(n)),
-w{k} AS (SELECT host, key, list(level) AS wild FROM e{k} JOIN v{k} USING (host, level, parent) GROUP BY host, key),
-p{k + 1} AS (SELECT p.host, p.key, n, labelled, bad, CASE WHEN wild IS NULL THEN segs ELSE list_transform(segs, lambda s, i: CASE WHEN list_contains(wild, i) THEN '*' ELSE s END) END AS segs FROM p{k} p LEFT JOIN w{k} w ON p.host = w.host AND p.key = w.key)"""
-
-    rounds = reduce(lambda sql, k: f"{sql},\n{a_round(k)}", range(1, ROUNDS), a_round(0))
+    below = "(PARTITION BY host, level, parent)"
+    # A segment is counted once for each parent; rounds go on as long as one varies.
+    rounds = f"""turns AS (SELECT 0 AS turn, host, key, n, labelled, bad, segs FROM p0 WHERE len(segs) > 0
+ UNION ALL SELECT turn + 1, host, key, any_value(n), any_value(labelled), any_value(bad), list(CASE WHEN varies THEN '*' ELSE segment END ORDER BY level) FROM (
+  SELECT *, bool_or(varies) OVER () AS changes FROM (SELECT *, sum(once) OVER {below} >= {SIBLINGS} AND sum(once) OVER {below} >= {SPREAD} * sum(n) OVER {below} AS varies FROM (
+   SELECT *, CASE WHEN row_number() OVER (PARTITION BY host, level, parent, segment) = 1 THEN 1 ELSE 0 END AS once FROM (
+    SELECT *, {at} AS parent, segs[level] AS segment FROM (SELECT *, unnest(range(1, len(segs) + 1)) AS level FROM turns) a) b) c) d) e WHERE changes GROUP BY turn, host, key),
+done AS (SELECT host, key, n, labelled, bad, segs FROM turns WHERE turn = (SELECT max(turn) FROM turns) UNION ALL SELECT host, key, n, labelled, bad, segs FROM p0 WHERE len(segs) = 0)"""
     share = lambda bad, n, prior: f"({bad} + {PRIOR} * {prior}) / ({n} + {PRIOR})"
     return f"""WITH RECURSIVE cut AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') AS rest FROM pages),
 parts AS (SELECT page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), '{FROM}', '{TO}') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM cut),
@@ -187,10 +191,10 @@ p0 AS (SELECT host, key, count(*) AS n, count(bad) AS labelled, CAST(coalesce(su
 {rounds},
 whole AS (SELECT coalesce(sum(bad) / sum(n), 0.0) AS g FROM p0),
 hosts AS (SELECT host, {share("sum(bad)", "sum(n)", "(SELECT g FROM whole)")} AS host_share FROM p0 GROUP BY host),
-q AS (SELECT p.host, key, n, bad + (n - labelled) * host_share AS bad, host_share, segs, array_to_string(segs, '/') AS template FROM p{ROUNDS} p JOIN hosts USING (host)),
+q AS (SELECT p.host, key, n, bad + (n - labelled) * host_share AS bad, host_share, segs, array_to_string(segs, '/') AS template FROM done p JOIN hosts USING (host)),
 t AS (SELECT host, template, any_value(segs) AS segs, sum(n) AS n, sum(bad) AS bad, any_value(host_share) AS host_share FROM q GROUP BY host, template),
 te AS (SELECT *, {at} AS parent, segs[level] AS segment FROM (SELECT *, unnest(range(1, len(segs) + 1)) AS level FROM t) x),
-nodes AS (SELECT host, level, parent, segment, sum(n) AS n, sum(bad) AS bad, CAST(round(sum(bad) / sum(n) * {STEPS}) AS INTEGER) AS step FROM te GROUP BY host, level, parent, segment),
+nodes AS (SELECT host, level, parent, segment, sum(n) AS n, sum(bad) AS bad, round(sum(bad) / sum(n), {DIGITS}) AS step FROM te GROUP BY host, level, parent, segment),
 steps AS (SELECT host, level, parent, step, sum(n) AS n, sum(bad) AS bad FROM nodes GROUP BY host, level, parent, step),
 beside AS (SELECT *, lag(n) OVER o AS n0, lag(bad) OVER o AS b0 FROM steps WINDOW o AS (PARTITION BY host, level, parent ORDER BY step)),
 parted AS (SELECT *, CASE WHEN bad / n - b0 / n0 > {SIMILAR} * sqrt(greatest(0.0, (bad + b0) / (n + n0) * (1 - (bad + b0) / (n + n0))) * (1 / n + 1 / n0)) + 1e-9 THEN 1 ELSE 0 END AS apart FROM beside),

@@ -71,7 +71,7 @@ def plain_labels(blocks):
             a -= 1
         while z < len(blocks) and menu[z]:
             z += 1
-        if menu[i] and z - a >= 3:
+        if menu[i] and z - a >= 3 and not blocks[i].main:
             out[i] = 0
     own = sum(len(b.text) for b, x in zip(blocks, out, strict=True) if b.main and x)
     if own and own >= sum(len(b.text) for b, x in zip(blocks, out, strict=True) if not b.main and x == 1) / 8:
@@ -97,6 +97,18 @@ def plain_labels(blocks):
     return final
 
 
+def test_content_inside_the_article_stays():
+    body = "<p>" + "The house was of stone and it was in the river, as they say. " * 4
+    page = "<nav><a href=x>Menu</a></nav><noscript>Turn scripts on</noscript><article>{}</article>"
+    assert "Let x be a number" in html.main_text(page.format(body + "Let <math><mi>x</mi></math> be a number</p>"))
+    assert "Press Save to go on" in html.main_text(page.format(body + "Press <button>Save</button> to go on</p>"))
+    for name in ("noscript", "object", "canvas", "video", "audio"):
+        assert "see the chart" in html.main_text(page.format(body + f"</p><p>Here <{name} id=c>see the chart</{name}> again</p>"))
+    text = html.main_text(page.format(body + "</p><h2>Sources</h2><ul>" + "".join(f"<li><a href=x>Source {i}</a>" for i in range(5)) + "</ul>"))
+    assert all(f"Source {i}" in text for i in range(5)) and "Menu" not in text and "scripts" not in text
+    assert "Source" not in html.main_text("<div>" + body + "</p><ul>" + "".join(f"<li><a href=x>Source {i}</a>" for i in range(5)) + "</ul></div>")
+
+
 def test_two_passes_are_the_plain_ones(spark):
     g = random.Random(12)
     words = ["the", "and", "of", "house", "river", "stone", "was", "glass"]
@@ -574,13 +586,39 @@ def test_pipeline(spark):
 CLASHING = ("Kept", "a.b", "a`b", "_text", "_others", "score", "count", "rows", "n", "_row", "_label", "_chars", "key", "spans", "Stays", "host", "segs", "_place")
 
 
+def test_segments_that_vary_below_varying_ones_are_one_template(spark):
+    g = random.Random(3)
+    word = lambda: "".join(g.choice("abcdefghijk") for _ in range(9))
+    rows = [(f"https://h.example/{'/'.join(word() for _ in range(6))}",) for _ in range(60)]
+    paths = spark.createDataFrame([(i, "h", u.split("/")[3:], 1) for i, (u,) in enumerate(rows)], "id long, host string, segs array<string>, n long")
+    changed, rounds = True, 0
+    while changed:
+        paths, changed = urls.generalised(paths)
+        rounds += changed
+    assert rounds == 6 and paths.select("segs").distinct().count() == 1
+
+
+def test_siblings_of_nearly_the_same_share_are_told_apart_by_their_numbers(spark):
+    nodes = [("h", 0, 1, "a", 10**6, 1000.0, 5), ("h", 0, 1, "b", 10**6, 2000.0, 7), ("h", 0, 1, "c", 50, 0.1, 1), ("h", 0, 1, "d", 100, 0.2, 1), ("h", 0, 2, "e", 10, 9.0, 1)]
+    df = spark.createDataFrame(nodes, "host string, level int, parent long, segment string, n long, bad double, rows long")
+    found = {r["segment"]: (r["n"], round(r["bad"], 6), r["rows"]) for r in urls.merged_siblings(df).collect()}
+    # a and b differ by a thousandth, 25 standard errors; c and d have the same share, which is b's within the error of so few.
+    assert found == {"a": (10**6, 1000.0, 5), "b": (10**6 + 150, 2000.3, 7), "c": (10**6 + 150, 2000.3, 1), "d": (10**6 + 150, 2000.3, 1), "e": (10, 9.0, 1)}
+
+
+def test_long_paths_take_time_by_their_length(spark):
+    df = spark.createDataFrame([("https://h.example/" + "/".join("ab" for _ in range(20_000)), 1), (None, 2), ("://", 3)], "url string, page_id long")
+    assert {r["page_id"]: r["verdict"] for r in urls.judged_urls(df).collect()} == {1: "allow", 2: "allow", 3: "allow"}
+
+
 def test_operators_take_any_extra_column(spark):
-    from helixscan.llm import langid
+    from helixscan.llm import gif, langid
 
     for table, name, op, new in (
         ("documents", "text", quality.quality, quality.ADDED), ("documents", "text", neardup.near_duplicates, ("class_id", "cluster_id", "n_links", "n_text_links", "stays")),
         ("documents", "text", pii.personal_data, ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "found")), ("documents", "text", lambda d: langid.predicted(d, None), ("lang_pred", "score")),
         ("pages", "html", html.extract_text, ("text", "n_chars")), ("pages", "url", urls.judged_urls, ("host", "path", "rule", "share", "verdict")),
+        ("documents", "media", lambda d: gif.frame_columns(d.withColumn("media", F.lit(gif.write_gif(bytes(64))))), ("media", *(f.name for f in gif.READ))),
     ):
         plain = spark.read.parquet(f"{SF}/{table}.parquet").limit(20)
         out = op(plain.select("*", *[F.lit(c).alias(c) for c in CLASHING]))
