@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from helixscan.functions import chars
@@ -77,10 +77,28 @@ def without_names(refs: DataFrame, queries: DataFrame) -> DataFrame:
     return refs.join(queries.select("name").distinct(), "name", "left_anti").select(*refs.columns)
 
 
+def marked(refs: DataFrame, queries: DataFrame | None) -> DataFrame:
+    """References with ``_same``: whether a query has the name; ``None``: names don't matter."""
+    if queries is None:
+        return refs.withColumn("_same", F.lit(False))
+    names = queries.select("name").distinct().withColumn("_same", F.lit(True))
+    return refs.join(names, "name", "left").select(*refs.columns, F.coalesce("_same", F.lit(False)).alias("_same"))
+
+
+def counts(ambiguity: float) -> list[Column]:
+    """References read, of a query's name, too ambiguous, and left, of ``marked`` ones."""
+    same, clear = F.col("_same"), reference_is_clear(F.col("seq"), ambiguity)
+    return [F.count(F.lit(1)).alias("n_read"), F.count_if(same).alias("n_same_name"), F.count_if(~same & ~clear).alias("n_ambiguous"), F.count_if(~same & clear).alias("n_kept")]
+
+
+def kept_references(refs: DataFrame, queries: DataFrame | None, ambiguity: float = 0.5, counters: Observation | None = None) -> DataFrame:
+    """Clear references of which no query (if given) has the name.  ``counters`` gets ``counts`` when they have been read for the first time."""
+    clear = reference_is_clear(F.col("seq"), ambiguity)
+    if counters is None:
+        return (refs if queries is None else without_names(refs, queries)).where(clear)
+    return marked(refs, queries).observe(counters, *counts(ambiguity)).where(~F.col("_same") & clear).drop("_same")
+
+
 def run_counters(refs: DataFrame, queries: DataFrame, ambiguity: float = 0.5) -> DataFrame:
     """One row: references read, of a query's name, too ambiguous, and left."""
-    marked = refs.join(queries.select("name").distinct().withColumn("same", F.lit(True)), "name", "left")
-    same, clear = F.coalesce("same", F.lit(False)), reference_is_clear(F.col("seq"), ambiguity)
-    return marked.agg(
-        F.count("*").alias("n_read"), F.count_if(same).alias("n_same_name"), F.count_if(~same & ~clear).alias("n_ambiguous"), F.count_if(~same & clear).alias("n_kept")
-    )
+    return marked(refs, queries).agg(*counts(ambiguity))

@@ -52,25 +52,80 @@ class QueryMatrix:
         return {k: v.astype(np.int32) for k, v in out.items()}
 
 
+class Consensus:
+    """One query, of letters that tell something, against references that mostly have the same letters."""
+
+    def __init__(self, letters: np.ndarray):
+        self.letters, self.acgt = letters, IS_ACGT[letters]
+        self.only_acgt = bool(self.acgt.all())
+
+    def scores(self, r: np.ndarray, acgt_only: bool = False) -> dict[str, np.ndarray]:
+        """Counts as ``QueryMatrix`` gives them, in one row."""
+        same = r == self.letters
+        text = same.sum(1)
+        acgt = text if self.only_acgt else same[:, self.acgt].sum(1)
+        row, site = np.nonzero(~same)  # few
+        other, own, acgt_there = r[row, site], self.letters[site], self.acgt[site]
+        count = lambda on: np.bincount(row[on], minlength=len(r))
+        if acgt_only:
+            out = {"acgt": acgt, "acgt_valid": acgt + count(acgt_there & IS_ACGT[other])}
+        else:
+            known = IS_VALID[other]
+            out = {"acgt": acgt, "text": text, "partial": text + count(known & ((_code[other] & _code[own]) != 0)), "valid": text + count(known)}
+        return {k: v.astype(np.int32)[None] for k, v in out.items()}
+
+
+#: Runs of segregating sites that are scored one after the other.
+RUNS = 4
+
+
 class Scorer:
-    """Six sort keys of each pair.  Constant sites are scored once for each reference, against the consensus."""
+    """Six sort keys of each pair.  Constant sites are scored once for each reference, against the consensus.
+
+    Given the least first key (ACGT matches) that still counts for each query, references are left out as soon as they can't reach it for any
+    query: by the matches so far and the letters that both have on the other sites.  ``seen`` and ``scored`` count references, before and after."""
 
     def __init__(self, q: np.ndarray, classes: np.ndarray, consensus: np.ndarray, acgt_only: bool):
         self.acgt_only = acgt_only
-        self.parts = {k: np.flatnonzero(classes == ord(k)) for k in "cmp"}
-        self.constant = QueryMatrix(consensus[None, self.parts["c"]])
-        self.own = {k: QueryMatrix(q[:, self.parts[k]]) for k in "mp"}
-
-    def keys(self, r: np.ndarray) -> list[np.ndarray]:
+        parts = {k: np.flatnonzero(classes == ord(k)) for k in "cmp"}
+        self.constant_sites, self.constant = parts["c"], Consensus(consensus[parts["c"]])
+        # The sites where some query misses the others' letter, then the segregating ones in runs.
+        runs = [parts["m"], *np.array_split(parts["p"], RUNS)]
+        self.runs = [(kind, sites, QueryMatrix(q[:, sites])) for kind, sites in zip("m" + "p" * RUNS, runs, strict=True)]
+        left = [m.acgt.sum(1).astype(np.int32) for _, _, m in self.runs]
+        self.ahead = [sum(left[k:]) for k in range(len(left))]  # ACGT letters of each query from a run on
+        self.seen = self.scored = 0
+
+    def keys(self, r: np.ndarray, least: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+        """The keys (queries x references) and the references, by number, that were scored to the end."""
         known = IS_VALID[r].sum(1).astype(np.int32)
-        c, m, p = (x.scores(r[:, self.parts[k]], self.acgt_only) for k, x in (("c", self.constant), *self.own.items()))
+        rows = np.arange(len(r))
+        c = self.constant.scores(r[:, self.constant_sites], self.acgt_only)
+        letters = [IS_ACGT[r[:, sites]].sum(1).astype(np.int32) for _, sites, _ in self.runs]
+        after = [sum(letters[k:]) for k in range(len(letters))]
+        shape = (len(self.ahead[0]), len(r))
+        sums = {k: {name: np.zeros(shape, np.int32) for name in c} for k in "mp"}
+        for at, (kind, sites, matrix) in enumerate(self.runs):
+            if least is not None and len(rows):
+                so_far = c["acgt"] + sums["m"]["acgt"] + sums["p"]["acgt"]
+                on = (so_far + np.minimum(self.ahead[at][:, None], after[at][rows][None]) >= least[:, None]).any(0)
+                if not on.all():
+                    rows = rows[on]
+                    c = {k: x[:, on] for k, x in c.items()}
+                    sums = {k: {name: x[:, on] for name, x in s.items()} for k, s in sums.items()}
+            if len(sites):
+                for name, x in matrix.scores(r[np.ix_(rows, sites)], self.acgt_only).items():
+                    sums[kind][name] += x
+        self.seen += len(r)
+        self.scored += len(rows)
+        m, p = sums["m"], sums["p"]
         shape = p["acgt"].shape
-        total = {k: np.broadcast_to(c[k] + m[k] + p[k], shape) for k in c}
-        known = np.broadcast_to(known, shape)
+        total = {k: c[k] + m[k] + p[k] for k in c}
+        known = np.broadcast_to(known[rows], shape)
         if self.acgt_only:
             apart = {k: x["acgt_valid"] - x["acgt"] for k, x in (("c", c), ("m", m), ("p", p))}
-            return [total["acgt"], total["acgt_valid"], m["acgt"] + p["acgt"], known, np.broadcast_to(apart["c"] + apart["m"], shape), apart["p"]]
-        return [total["acgt"], total["text"], total["partial"], total["valid"], m["acgt"] + p["acgt"], known]
+            return [total["acgt"], total["acgt_valid"], m["acgt"] + p["acgt"], known, np.broadcast_to(apart["c"] + apart["m"], shape), apart["p"]], rows
+        return [total["acgt"], total["text"], total["partial"], total["valid"], m["acgt"] + p["acgt"], known], rows
 
 
 def best(keys: list[np.ndarray], ordinal: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

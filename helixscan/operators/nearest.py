@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from helixscan.sources.storage import written
+from helixscan.sources.storage import shared_path
 
 from . import filters, kernels
 from .filters import Parameters
@@ -33,33 +32,38 @@ def total_sites(queries: DataFrame) -> int:
     return queries.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0]
 
 
-def query_blocks(queries: DataFrame, resident: int = RESIDENT) -> Iterator[list]:
-    """The queries in blocks of about ``resident`` bytes, dealt by a hash of the ordinal and read one by one from a written table."""
-    table = written(queries.select("ordinal", "name", "seq"), "queries")
-    total = total_sites(table)
-    blocks = max(1, -(-total // resident))
-    for k in range(blocks):
-        own = table.where(F.pmod(F.xxhash64("ordinal"), F.lit(blocks)) == k) if blocks > 1 else table
-        if rows := own.orderBy("ordinal").collect():
-            yield rows
+def query_blocks(queries: DataFrame, resident: int | None = None) -> tuple[int, Callable[[int], list]]:
+    """How many blocks of about ``resident`` bytes the queries make, and what reads one.
+
+    They are dealt by a hash of the ordinal into a table with a folder for each block, so that each is read once."""
+    queries = queries.select("ordinal", "name", "seq")
+    blocks = max(1, -(-total_sites(queries) // (resident or RESIDENT)))
+    if blocks == 1:
+        return 1, lambda k: queries.orderBy("ordinal").collect()
+    path = shared_path(queries.sparkSession, "queries")
+    queries.withColumn("block", F.pmod(F.xxhash64("ordinal"), F.lit(blocks)).cast("int")).write.partitionBy("block").parquet(path)
+    table = queries.sparkSession.read.schema("ordinal long, name string, seq string, block int").parquet(path)
+    return blocks, lambda k: table.where(F.col("block") == k).drop("block").orderBy("ordinal").collect()
 
 
 def over_blocks(queries: DataFrame, scored: Callable[[list], tuple[DataFrame, Broadcast]], label: str, *kept: str) -> tuple[DataFrame | None, bool]:
-    """The union of what ``scored`` gives for each block of queries, and whether there are several.
-
-    The result of one block is left to be worked out; those of several are written (their columns ``kept``, all by default), each
-    before the next block is read, so that the driver and the tasks hold two blocks at most."""
-    blocks = query_blocks(queries)
-    first, second = next(blocks, None), next(blocks, None)
-    if second is None:
-        return (None if first is None else scored(first)[0]), False
-    out = None
-    for block in chain((first, second), blocks):
-        df, shared = scored(block)
-        part = written(df.select(*kept) if kept else df, label)
-        shared.unpersist()
-        out = part if out is None else out.union(part)
-    return out, True
+    """What ``scored`` gives for all blocks of queries, and whether there are several.
+
+    The result of one block is left to be worked out; those of several are written (their columns ``kept``, all by default) into one folder, each
+    before the next block is read, so that the driver and the tasks hold one block at a time."""
+    blocks, rows_of = query_blocks(queries)
+    if blocks == 1:
+        rows = rows_of(0)
+        return (scored(rows)[0] if rows else None), False
+    path, schema = shared_path(queries.sparkSession, label), None
+    for k in range(blocks):
+        if rows := rows_of(k):
+            df, shared = scored(rows)
+            df = df.select(*kept) if kept else df
+            df.write.option("compression", "zstd").parquet(f"{path}/block={k}")
+            schema = df.schema
+            shared.unpersist()
+    return queries.sparkSession.read.schema(schema).parquet(f"{path}/block=*"), True
 
 
 def profile_arrays(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +78,13 @@ def spread(refs: DataFrame) -> DataFrame:
     return refs.repartition(least) if refs.rdd.getNumPartitions() < least else refs
 
 
+def worst(held: list[np.ndarray], queries: int, n: int) -> np.ndarray:
+    """The first key of each query's last one of ``n`` best; below any key while there are fewer."""
+    count, least = np.bincount(held[0], minlength=queries), np.full(queries, np.iinfo(np.int32).max)
+    np.minimum.at(least, held[0], held[1].astype(np.int32))
+    return np.where(count < n, -1, least)
+
+
 def scored_block(refs: DataFrame, block: list, arrays: tuple[np.ndarray, np.ndarray], n: int, acgt: bool) -> tuple[DataFrame, Broadcast]:
     """The ``n`` best references of each query of a block within each partition, and what the tasks were sent."""
     names = score_columns(acgt)
@@ -87,10 +98,12 @@ def scored_block(refs: DataFrame, block: list, arrays: tuple[np.ndarray, np.ndar
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
-                keys = scorer.keys(kernels.matrix(batch.column("seq").cast(pa.binary()).to_pylist()))
-                ordinal = batch.column("ordinal").to_numpy()
+                keys, left = scorer.keys(kernels.matrix(batch.column("seq").cast(pa.binary()).to_pylist()), None if held is None else worst(held, len(q), n))
+                if not len(left):
+                    continue
+                ordinal = batch.column("ordinal").to_numpy()[left]
                 i, r = kernels.best(keys, ordinal, n)
-                new = [i, *[k[i, r] for k in keys], ordinal[r], np.array(batch.column("name").to_pylist(), object)[r]]
+                new = [i, *[k[i, r] for k in keys], ordinal[r], np.array(batch.column("name").to_pylist(), object)[left][r]]
                 if held is not None:
                     both = [np.concatenate(x) for x in zip(held, new, strict=True)]
                     order = np.lexsort((both[7], *[-k for k in both[6:0:-1]], both[0]))
@@ -118,26 +131,24 @@ def clear_queries(queries: DataFrame, p: Parameters) -> DataFrame:
     return queries.where(filters.query_is_clear(F.col("seq"), p.query_ambiguity))
 
 
-def prepared(refs: DataFrame, queries: DataFrame, options: Parameters) -> tuple[DataFrame, DataFrame, Parameters]:
+def prepared(refs: DataFrame, queries: DataFrame, options: Parameters, counters: Observation | None = None) -> tuple[DataFrame, DataFrame, Parameters]:
     """Filtered references and queries, and the clamped options.  References must be as long as the queries, also those that a filter drops."""
     length = filters.aligned_length(clear_queries(queries, options))
     p = options.clamped(length)
     queries = clear_queries(queries, p)
     if p.keep_resolved:
         queries = keep_resolved(queries, p.acgt, p.trim)
-    refs = filters.of_length(refs, length)
-    if p.exclude_self:
-        refs = filters.without_names(refs, queries)
-    return refs.where(filters.reference_is_clear(F.col("seq"), p.ref_ambiguity)), queries, p
+    refs = filters.kept_references(filters.of_length(refs, length), queries if p.exclude_self else None, p.ref_ambiguity, counters)
+    return refs, queries, p
 
 
-def nearest(refs: DataFrame, queries: DataFrame, **options) -> DataFrame:
+def nearest(refs: DataFrame, queries: DataFrame, counters: Observation | None = None, **options) -> DataFrame:
     """The ``n`` best references of every query (both ``ordinal, name, seq``).
 
     Output: ``query_ordinal, query, ref_ordinal, reference, rank`` and six scores.  Queries are sent to
     the tasks in blocks of bounded size; references stay where they are, and a task hands on at most
-    ``n`` rows for each query."""
-    refs, queries, p = prepared(refs, queries, Parameters(**options))
+    ``n`` rows for each query.  ``counters`` gets, from the same pass, how many references were read, left out and kept."""
+    refs, queries, p = prepared(refs, queries, Parameters(**options), counters)
     arrays = profile_arrays(site_profile(queries, p.acgt, p.trim))
     refs = spread(refs)
     out, _ = over_blocks(queries, lambda block: scored_block(refs, block, arrays, p.n, p.acgt), "scored")

@@ -51,6 +51,20 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark.read.parquet(f"{sf_dir}/supplier.parquet"), "s_suppkey", QUERY_OFFSET, "query")
 
 
+GENOME = 29_903
+
+
+def genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record of the length of a viral genome for every customer: one of twelve lineages with 20 SNPs each, three private SNPs and an end that is unknown."""
+    keys = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("ordinal")))
+    base = "".join("ACGT"[(i * i * 31 + i * 17 + i // 97) % 101 % 4] for i in range(GENOME))
+    places = "concat(transform(sequence(1, 20), j -> 1 + ((ordinal % 12) * 7919 + j * 1409) % 29903), transform(sequence(1, 3), j -> 1 + (ordinal * 104729 + j * 7877) % 29903))"
+    seq = F.expr(f"aggregate({places}, '{base}', (s, p) -> overlay(s PLACING translate(substring(s, CAST(p AS INT), 1), 'ACGT', 'CGTA') FROM CAST(p AS INT)))")
+    made = keys.select("ordinal", F.concat(F.lit("genome"), F.col("ordinal").cast("string")).alias("name"), seq.alias("seq"))
+    unknown = (F.col("ordinal") % 200).cast("int")
+    return written(made.withColumn("seq", F.concat(F.repeat(F.lit("N"), unknown), F.substring(F.col("seq"), unknown + 1, F.lit(GENOME)))), "genomes")
+
+
 def duck_sites(table: str, key: str, offset: int) -> str:
     """SELECT of ``id, site, c`` for every site of every row."""
     return (

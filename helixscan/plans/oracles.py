@@ -254,6 +254,11 @@ ORACLES |= {
     "cluster_table": f"{CLUSTERS} SELECT place, n_members, o.medoid, CAST(0 AS BIGINT) AS part, concat_ws(',', 'ref' || o.medoid, string_agg('ref' || member, ',' ORDER BY member) FILTER (WHERE member <> o.medoid)) AS line FROM ordered o JOIN a{CLUSTER_ROUNDS} a ON a.medoid = o.medoid GROUP BY place, n_members, o.medoid",
 }
 ORACLES["stream_nn"] = ORACLES["nn_full"]
+#: A reference enters with its own quarter, if it is among the best of those up to then.
+ENTRANTS = nearest_full().replace(f"WHERE rank <= {BEST}", "").replace("row_number() OVER (PARTITION BY qid ORDER BY", "row_number() OVER (PARTITION BY qid, batch ORDER BY")
+ENTRANTS = ENTRANTS.replace("FROM scored JOIN known ON known.id = scored.rid", "FROM scored JOIN known ON known.id = scored.rid JOIN (SELECT CAST(range AS BIGINT) AS batch FROM range(4)) b ON rid % 4 <= batch").replace("SELECT qid, rid,", "SELECT qid, rid, batch,")
+ORACLES["stream_entrants"] = f"{BASE}, {profile()}, {ENTRANTS} SELECT 'query' || qid AS query, 'ref' || rid AS reference, batch AS entered_at_batch FROM nn WHERE rank <= {BEST} AND rid % 4 = batch"
+ORACLES["observed_counters"] = ORACLES["run_counters"]
 ORACLES["stream_fasta_nn"] = ORACLES["nn_full"]
 ORACLES["stream_ball"] = ORACLES["ball_full"]
 ORACLES["stream_cluster"] = ORACLES["cluster_leader"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from helixscan.functions import chars, cigar, sql
@@ -135,6 +135,15 @@ def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.run_counters(renamed(reference_records(spark, sf_dir), 400), renamed(clear_queries(spark, sf_dir)))
 
 
+@query
+def observed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counts from the search itself, in its own pass over the references."""
+    counters = Observation()
+    found = nearest.nearest(renamed(reference_records(spark, sf_dir), 400), renamed(query_records(spark, sf_dir)), counters, n=BEST, exclude_self=True)
+    found.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([counters.get])
+
+
 # Site profile
 
 
@@ -309,8 +318,7 @@ def legacy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = reference_records(spark, sf_dir).where(filters.query_is_clear(F.col("seq"))).count()
-    return legacy.legacy_search(scores(spark, sf_dir), total=total)
+    return legacy.legacy_search(reference_records(spark, sf_dir), query_records(spark, sf_dir))
 
 
 @query
@@ -494,6 +502,18 @@ def stream_fasta_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(search.stream_nearest(fasta.stream_fasta(spark, path), query_records(spark, sf_dir), n=BEST)).drop("entered_at_batch")
 
 
+@query
+def stream_entrants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All references that were among the best of a query after some batch; a batch is a quarter of the references."""
+    path, refs = shared_path(spark, "quarters"), reference_records(spark, sf_dir)
+    for k in range(4):
+        refs.where(F.col("ordinal") % 4 == k).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(refs.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    folder = shared_path(spark, "entrants")
+    search.stream_nearest(stream, query_records(spark, sf_dir), entrants=folder, n=BEST)
+    return spark.read.parquet(folder).select("query", "reference", F.col("entered_at_batch").cast("long").alias("entered_at_batch"))
+
+
 @query
 def stream_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.stream_ball(reference_stream(spark, sf_dir), query_records(spark, sf_dir), distance=RADIUS).select("ordinal", "name", "distance")

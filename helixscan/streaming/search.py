@@ -6,7 +6,7 @@ ranked again.  Under a total order this gives what one search over all reference
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from helixscan.operators import ball as ball_search
@@ -22,9 +22,10 @@ def drained(refs: DataFrame, step, checkpoint: str | None = None) -> None:
     query.awaitTermination()
 
 
-def stream_nearest(refs: DataFrame, queries: DataFrame, **options) -> DataFrame:
+def stream_nearest(refs: DataFrame, queries: DataFrame, progress: list[dict] | None = None, entrants: str | None = None, **options) -> DataFrame:
     """``nearest`` over a stream of references (``ordinal, name, seq``), with ``entered_at_batch``: the batch in which a
-    reference came among the best and stayed."""
+    reference came among the best and stayed.  ``progress`` gets a row of counts for each batch, from the pass that scores it.
+    ``entrants``: a folder for all that ever came among the best, batch by batch, whether they stayed or not."""
     _, queries, p = nearest.prepared(queries, queries, Parameters(**options))
     profile = written(site_profile(queries, p.acgt, p.trim), "profile")
     queries = written(queries, "queries")
@@ -33,9 +34,8 @@ def stream_nearest(refs: DataFrame, queries: DataFrame, **options) -> DataFrame:
     best: list[DataFrame] = []
 
     def step(batch: DataFrame, number: int) -> None:
-        own = filters.of_length(batch, length)
-        own = filters.without_names(own, queries) if p.exclude_self else own
-        own = nearest.spread(own.where(filters.reference_is_clear(F.col("seq"), p.ref_ambiguity)))
+        counters = Observation() if progress is not None else None
+        own = nearest.spread(filters.kept_references(filters.of_length(batch, length), queries if p.exclude_self else None, p.ref_ambiguity, counters))
         new, _ = nearest.over_blocks(queries, lambda block: nearest.scored_block(own, block, arrays, p.n, p.acgt), "scored")
         if new is None:
             return
@@ -43,6 +43,10 @@ def stream_nearest(refs: DataFrame, queries: DataFrame, **options) -> DataFrame:
         # The table of a batch that is run again is written anew, from the same table before it.
         both = new if not best else best[-1].drop("rank").unionByName(new)
         best.append(written(nearest.ranked(both, p.n, p.acgt), "best"))
+        if entrants:  # a batch that is run again replaces its own
+            best[-1].where(F.col("entered_at_batch") == number).drop("entered_at_batch").write.mode("overwrite").parquet(f"{entrants}/entered_at_batch={number}")
+        if counters is not None:
+            progress.append({"batch": number, **counters.get})
 
     drained(refs, step)
     if not best:

@@ -93,6 +93,10 @@ def test_stream_of_several_files_is_the_batch(spark, tmp_path):
     want = sorted(map(tuple, nearest.nearest(r, q, n=5).collect()))
     r.repartition(4).write.parquet(str(tmp_path / "refs"))
     stream = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "refs"))
-    found = search.stream_nearest(stream, q, n=5)
+    progress: list[dict] = []
+    found = search.stream_nearest(stream, q, progress, str(tmp_path / "entrants"), n=5)
+    assert [p["batch"] for p in progress] == list(range(len(progress))) and sum(p["n_read"] for p in progress) == r.count() and len(progress) > 1
+    entered = spark.read.parquet(str(tmp_path / "entrants"))
+    assert found.join(entered, ["query_ordinal", "ref_ordinal", "entered_at_batch"], "left_anti").count() == 0 and entered.count() > found.count()
     assert found.agg({"entered_at_batch": "max"}).first()[0] > 0
     assert sorted(map(tuple, found.drop("entered_at_batch").collect())) == want

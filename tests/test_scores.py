@@ -171,14 +171,94 @@ def plain_lists(rows, n, total):
     return found
 
 
-@pytest.mark.parametrize(("total", "kinds", "few"), [(300, 3, 100_000), (300, 1, 0), (40, 50, 0), (20, 2, 100_000), (5, 2, 0)])
-def test_older_search_ranks_no_query_whole(spark, monkeypatch, total, kinds, few):
+@pytest.mark.parametrize(("total", "sites", "few", "resident"), [(300, 12, 100_000, 1 << 20), (300, 3, 0, 30), (40, 12, 0, 1 << 20), (20, 12, 100_000, 1 << 20), (5, 6, 0, 12)])
+def test_older_search_makes_no_table_of_pairs(spark, monkeypatch, total, sites, few, resident):
+    """Few sites make many ties, also at the ends of the eighths and sixteenths."""
     monkeypatch.setattr(legacy, "TIED", 8)
     monkeypatch.setattr(legacy, "FEW", few)
+    monkeypatch.setattr(nearest, "RESIDENT", resident)
     g = random.Random(total)
-    ordinals = g.sample(range(3000), total)
-    rows = [(q, f"q{q}", r, f"r{r}", 100, g.randrange(kinds), g.randrange(4) / 4, float(g.randrange(6))) for q in range(4) for r in ordinals]
-    columns = "query_ordinal long, query string, ref_ordinal long, reference string, valid_sites long, ACGT_matches long, prop_char_matches double, partial_matches double"
-    found = legacy.legacy_search(spark.createDataFrame(rows, columns), n=3).collect()
+    seq = lambda: "".join(g.choice("AAACGTMW") for _ in range(sites))
+    refs = spark.createDataFrame([(i, f"r{i}", seq()) for i in g.sample(range(3000), total)], "ordinal long, name string, seq string").repartition(3)
+    queries = spark.createDataFrame([(i, f"q{i}", seq()) for i in range(4)], "ordinal long, name string, seq string")
+    options = {"ref_ambiguity": 1.0, "query_ambiguity": 1.0}
+    rows = [tuple(r) for r in legacy.legacy_scores(refs, queries, **options).collect()]
+    found = legacy.legacy_search(refs, queries, n=3, **options).collect()
     pairs = [(r["query_ordinal"], r["ref_ordinal"]) for r in found]
     assert len(set(pairs)) == len(pairs) and set(pairs) == plain_lists(rows, 3, total)
+    assert {tuple(r) for r in found} <= set(rows)
+
+
+def test_pruned_references_change_nothing(spark):
+    """References that can't reach a query's worst best one are left out; the ones that are left have all their keys."""
+    g = np.random.default_rng(4)
+    base = g.choice(np.frombuffer(b"ACGT", np.uint8), 400)
+    q = np.repeat(base[None], 6, 0)
+    q[:, ::9] = g.choice(np.frombuffer(b"ACGTRN", np.uint8), q[:, ::9].shape)
+    r = np.repeat(base[None], 300, 0)
+    for k in range(300):  # from near to far
+        at = g.integers(0, 400, k // 2)
+        r[k, at] = g.choice(np.frombuffer(b"ACGTN", np.uint8), len(at))
+    rows = spark.createDataFrame([(i, f"q{i}", bytes(x).decode()) for i, x in enumerate(q)], "ordinal long, name string, seq string")
+    for acgt in (False, True):
+        arrays = nearest.profile_arrays(profile.site_profile(rows, acgt))
+        whole, _ = kernels.Scorer(q, *arrays, acgt).keys(r)
+        scorer = kernels.Scorer(q, *arrays, acgt)
+        least = np.sort(whole[0], axis=1)[:, -10]  # of the ten best of each query
+        keys, left = scorer.keys(r, least)
+        assert all((a == b[:, left]).all() for a, b in zip(keys, whole, strict=True))
+        assert (whole[0] >= least[:, None]).any(0)[left].sum() == (whole[0] >= least[:, None]).any(0).sum()
+        assert scorer.seen == 300 and scorer.scored < 150
+        nothing, none = kernels.Scorer(q, *arrays, acgt).keys(r, np.full(6, 401))
+        assert not len(none) and nothing[0].shape == (6, 0)
+    one = nearest.worst([np.array([0, 0, 2]), np.array([7, 5, 3])], 3, 2)
+    assert one.tolist() == [5, -1, -1]
+
+
+KERNEL = """
+import time
+import numpy as np
+from helixscan.operators import kernels
+g = np.random.default_rng(8)
+base = g.choice(np.frombuffer(b"ACGT", np.uint8), 20_000)
+q, r = np.repeat(base[None], 64, 0), np.repeat(base[None], 64, 0)
+for x in (*q, *r):
+    x[g.integers(0, 20_000, 30)] = ord("T")
+classes = np.where((q == q[:1]).all(0), ord("c"), ord("p")).astype(np.uint8)
+scorer = kernels.Scorer(q, classes, np.where(classes == ord("c"), base, ord("#")).astype(np.uint8), False)
+seconds = []
+for _ in range(5):
+    began = time.process_time()
+    scorer.keys(r)
+    seconds.append(time.process_time() - began)
+print(64 * 64 * 20_000 / min(seconds))
+"""
+
+
+def test_kernel_compares_many_sites_a_second():
+    """On one core, as in a task of Spark, which gives the matrix products one thread."""
+    import os
+    import subprocess
+    import sys
+
+    run = subprocess.run([sys.executable, "-c", KERNEL], env=os.environ | {"OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1"}, capture_output=True, text=True, check=True)
+    assert float(run.stdout) > 100e6  # site comparisons; about 4.7e9 on an idle core
+
+
+def test_consensus_scores_are_those_of_a_query():
+    g = np.random.default_rng(2)
+    c = g.choice(np.frombuffer(b"ACGTRYK", np.uint8), 80)
+    r = np.where(g.random((30, 80)) < 0.7, c, g.choice(np.frombuffer(b"ACGTRN-KZ", np.uint8), (30, 80))).astype(np.uint8)
+    for acgt in (False, True):
+        a, b = kernels.Consensus(c).scores(r, acgt), kernels.QueryMatrix(c[None]).scores(r, acgt)
+        assert a.keys() == b.keys() and all((a[k] == b[k]).all() for k in a)
+
+
+def test_counters_come_from_the_search_itself(spark):
+    from pyspark.sql import Observation
+
+    q, r = fixtures.queries(spark, SF), fixtures.references(spark, SF)
+    r = r.withColumn("name", F.when(F.col("ordinal") < 3, "query5").otherwise(F.col("name")))
+    counters = Observation()
+    nearest.nearest(r, q, counters, n=3, exclude_self=True).collect()
+    assert counters.get == filters.run_counters(r, q.where(filters.query_is_clear(F.col("seq")))).first().asDict() and counters.get["n_same_name"] == 3
