@@ -163,6 +163,12 @@ def snp_distance(table: DataFrame, acgt: bool = False) -> DataFrame:
     return table.withColumn("snp_distance", distance)
 
 
+def worst_of(table: DataFrame) -> DataFrame:
+    """The last row of each query's list: what a reference has to be better than."""
+    last = table.groupBy("query_ordinal").agg(F.max("rank").alias("rank"))
+    return table.join(last, ["query_ordinal", "rank"], "left_semi")
+
+
 def closest_names(table: DataFrame, most: int = 1) -> DataFrame:
     """Distinct references of rank ``most`` or better."""
     return table.where(F.col("rank") <= most).select(F.col("reference").alias("name")).distinct()

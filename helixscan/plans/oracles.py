@@ -261,6 +261,8 @@ ORACLES["stream_entrants"] = f"{BASE}, {profile()}, {ENTRANTS} SELECT 'query' ||
 ORACLES["observed_counters"] = ORACLES["run_counters"]
 ORACLES["stream_fasta_nn"] = ORACLES["nn_full"]
 ORACLES["stream_ball"] = ORACLES["ball_full"]
+ORACLES["stream_align"] = ORACLES["align_cost"]
+ORACLES["nn_worst"] = ORACLES["nn_full"] + " QUALIFY rank = max(rank) OVER (PARTITION BY qid)"
 ORACLES["stream_cluster"] = ORACLES["cluster_leader"]
 ORACLES["sql_functions"] = ORACLES["pair_score_full"]
 ORACLES["sql_resolution"] = ORACLES["resolution_order"]

@@ -54,11 +54,15 @@ def partners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unaligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References without gaps and Ns, with bases deleted and inserted, some of them cut."""
+    return edited(reference_records(spark, sf_dir))
+
+
+def edited(records: DataFrame) -> DataFrame:
+    """Without gaps and Ns, with bases deleted and inserted, some records cut."""
     e, letters = F.col("ordinal"), F.split("seq", "")
-    edited = F.transform(letters, lambda c, i: F.when(c.isin("N", "-") | ((e * 13 + i) % 97 == 0), "").when((e * 11 + i) % 101 == 0, F.concat(c, F.lit("T"))).otherwise(c))
-    whole = F.array_join(edited, "")
-    return reference_records(spark, sf_dir).withColumn("seq", F.when(e % 9 == 4, F.substring(whole, F.lit(31), F.length(whole))).when(e % 11 == 5, F.concat(whole, F.reverse(whole))).otherwise(whole))
+    bases = F.transform(letters, lambda c, i: F.when(c.isin("N", "-") | ((e * 13 + i) % 97 == 0), "").when((e * 11 + i) % 101 == 0, F.concat(c, F.lit("T"))).otherwise(c))
+    whole = F.array_join(bases, "")
+    return records.withColumn("seq", F.when(e % 9 == 4, F.substring(whole, F.lit(31), F.length(whole))).when(e % 11 == 5, F.concat(whole, F.reverse(whole))).otherwise(whole))
 
 
 def backbone(spark: SparkSession, sf_dir: str) -> str:
@@ -258,6 +262,12 @@ def snp_distance_acgt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.snp_distance(found(spark, sf_dir, acgt=True), acgt=True).select("query", "reference", "snp_distance")
 
 
+@query
+def nn_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last of the best references of every query."""
+    return table(nearest.worst_of(found(spark, sf_dir)))
+
+
 @query
 def closest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.closest_names(found(spark, sf_dir))
@@ -519,6 +529,12 @@ def stream_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.stream_ball(reference_stream(spark, sf_dir), query_records(spark, sf_dir), distance=RADIUS).select("ordinal", "name", "distance")
 
 
+@query
+def stream_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least costs of records that arrive as a stream."""
+    return search.stream_align(edited(reference_stream(spark, sf_dir)), backbone(spark, sf_dir)).select("ordinal", "cost")
+
+
 @query
 def stream_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leader clustering with the state of each queue kept from batch to batch."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from helixscan.operators import align as aligner
 from helixscan.operators import ball as ball_search
 from helixscan.operators import filters, nearest
 from helixscan.operators.filters import Parameters
@@ -64,3 +65,11 @@ def stream_ball(refs: DataFrame, queries: DataFrame, **options) -> DataFrame:
 
     drained(refs, step)
     return refs.sparkSession.read.schema("ordinal long, name string, seq string, distance long").parquet(f"{folder}/batch=*")
+
+
+def stream_align(unaligned: DataFrame, reference: str, **options) -> DataFrame:
+    """``align.align`` over a stream of records: each is aligned on its own, and a batch that is run again replaces its rows."""
+    folder = shared_path(unaligned.sparkSession, "aligned")
+    aligned = aligner.align(unaligned, reference, **options)
+    drained(aligned, lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/batch={number}"))
+    return unaligned.sparkSession.read.schema(aligned.schema).parquet(f"{folder}/batch=*")
