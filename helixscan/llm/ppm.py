@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, documents, slices, written
+from .common import as_bytes, documents, joined_by_key, slices, written
 
 ORDER = 4
 #: Contexts of 3 and of 4 bytes that all tasks get: so many of the most frequent of each.
@@ -344,7 +344,8 @@ def language_model_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     ``score`` is the log10 probability of the bytes of the text and its end; ``base_score`` that of
     its lower-cased words and its end, counted one by one.  A null text counts as empty (its end
     alone is scored); repeated rows repeat; other columns are ignored; an empty table gives an empty
-    table, and without training rows every byte has the same probability."""
+    table, and without training rows every byte has the same probability.  Of words that are equally frequent the first by their bytes are resolved in the tasks.  A task holds
+    about 40 bytes for each byte of the text that it is at."""
     docs = docs.select("doc_id", "text", held_out.alias("held_out"))
     training = docs.where("not held_out")
     words = written(word_counts(training), "words")
@@ -355,9 +356,12 @@ def language_model_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     model = train(training)
     table = written(scored(docs, model.trie, hot).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = table.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.k")
-    # A word outside the frequent ones counts at most as often as the last of them, unless it is long.
-    rest = words.where((F.col("c") <= least) | (F.octet_length("word") > HOT_BYTES)) if least else words.where(F.octet_length("word") > HOT_BYTES)
-    found = rare.join(rest, "word").select("row", "k", (F.col("k") * F.log10(F.col("c") + 1)).alias("t"), F.lit(0.0).alias("l"))
+    # A word outside the frequent ones counts at most as often as the last of them, unless it is long; a long one may be in any number of texts.
+    long = F.octet_length("word") > HOT_BYTES
+    known = joined_by_key(rare.where(long), words.where(long).withColumn("rows", F.col("c")), ["word"]).select("row", "k", "c")
+    if least:
+        known = known.union(rare.where(~long).join(words.where(~long & (F.col("c") <= least)), "word").select("row", "k", "c"))
+    found = known.select("row", "k", (F.col("k") * F.log10(F.col("c") + 1)).alias("t"), F.lit(0.0).alias("l"))
     outside = table.select("row", F.explode("outside").alias("x")).select("row", "x.gram", "x.k")
     resolved = outside.join(gram_logs(outside, model), "gram").select("row", F.lit(0).alias("k"), F.lit(0.0).alias("t"), (F.col("k") * F.col("log")).alias("l"))
     found = found.union(resolved).groupBy("row").agg(F.sum("k").alias("rare_known"), F.sum("t").alias("rare_total"), F.sum("l").alias("rest"))

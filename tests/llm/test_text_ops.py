@@ -286,6 +286,25 @@ def test_ppm_keeps_all_contexts(spark, docs, odd, monkeypatch):
     assert max(abs(r["score"] - score(texts[r["doc_id"]])) / (1 - r["score"]) for r in found) < 1e-5
 
 
+def test_long_word_of_all_documents_is_no_hot_key(spark, monkeypatch):
+    """It goes to the tasks; other long words are joined by shuffle."""
+    from pyspark.sql import functions as F
+
+    boiler, other = "b" * 100, "o" * 90
+    texts = [f"{boiler} word{i % 7} {boiler if i % 2 else other + str(i)}" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    counts = collections.Counter(w for i, t in enumerate(texts) if i % 5 for w in [*t.split(), ""])
+    n, v = sum(counts.values()), len(counts)
+    joins = []
+    joined = ppm.joined_by_key
+    monkeypatch.setattr(ppm, "joined_by_key", lambda left, right, keys: joins.append(right.count()) or joined(left, right, keys))
+    for r in ppm.language_model_scores(df, F.col("doc_id") % 5 == 0).collect():
+        words = [*texts[r["doc_id"]].split(), ""]
+        assert r["n_known"] == sum(counts[w] > 0 for w in words) and r["train_tokens"] == n
+        assert abs(r["base_score"] - sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words)) < 1e-6
+    assert joins == [sum(len(w) > ppm.HOT_BYTES for w in counts)] and joins[0] > 100
+
+
 def test_ppm_without_rows(docs):
     assert ppm.language_model_scores(docs.limit(0), held_out(docs)).count() == 0
 
