@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import as_texts, documents, slices
+from .common import documents, slices
 from .packing import CAPACITY
-from .tokens import PartTable, load_tokenizer, parts_of, segments
+from .tokens import ColumnTable, load_tokenizer
 
 #: Tails of a block; parts of texts whose ids a worker remembers (about 200 bytes each).
 BLOCK, PARTS = 1024, 1_400_000
@@ -117,28 +117,16 @@ def move(spare: list[tuple[int, int, int]], into: list[tuple[int, int, int]], n:
         n -= take
 
 
-_open: dict[str, PartTable] = {}
+_open: dict[str, ColumnTable] = {}
 
 
-def byte_table_of(path: str) -> PartTable:
+def byte_table_of(path: str) -> ColumnTable:
     """One per Python worker."""
     if path not in _open:
-        _open[path] = PartTable(load_tokenizer(path, special_as_text=False), keep=PARTS)
+        _open[path] = ColumnTable(load_tokenizer(path, special_as_text=False), keep=PARTS)
     return _open[path]
 
 
-def encoded(table: PartTable, texts: list[str]) -> Iterator[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers; long texts go piece by piece."""
-    for i in range(0, len(texts), 256):
-        part = texts[i : i + 256]
-        cut = [list(segments(t)) for t in part]
-        if all(len(x) == 1 for x in cut):
-            yield from table.ids([table.parts(t, parts_of) for t in part])
-        else:
-            for pieces in cut:
-                yield b"".join(table.ids([table.parts(x, parts_of)])[0] for x in pieces)
-
-
 class Packer:
     """Rows of pieces, and the tails of the block that is open."""
 
@@ -195,8 +183,8 @@ def pack_by_differencing(docs: DataFrame, tokenizer_path: str, capacity: int = C
 
         for whole in batches:
             kind = whole.schema.field("doc_id").type
-            for batch in slices(whole, "text"):
-                for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded(table, as_texts(batch.column("text"))), strict=True):
+            for batch in slices(whole, "text", 16 << 20):
+                for doc, ids in zip(batch.column("doc_id").to_pylist(), table.column(batch.column("text")), strict=True):
                     packer.add(doc, ids + end)
                     yield from given(10_000)
         packer.close()

@@ -19,9 +19,11 @@ import os
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import as_texts, documents, slices
@@ -150,6 +152,107 @@ def segments(text: str, size: int = LONG) -> Iterator[str]:
     yield text[start:] if start else text
 
 
+#: White space as Python sees it, and what ``LOOSE_SPACE`` finds, in Arrow's syntax.
+BLANK = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+LOOSE = rf"[{BLANK}][{BLANK}]| \z|\A "
+ID = attrgetter("id")
+
+
+class ColumnTable(PartTable):
+    """Ids of whole columns of texts: Arrow cuts them at spaces and numbers the different parts, each of which is
+    looked up once for a column.  A word is merged once, whatever marks follow it.  Texts that are long, have loose
+    spaces or may hold special tokens are cut one by one."""
+
+    def encode(self, parts: list[str], known: dict[str, bytes]) -> None:
+        match, merge, older, hard = SIMPLE.match, self.merge, self.older, []
+
+        def merged(word: str) -> bytes:
+            return array("I", map(ID, merge(word))).tobytes()
+
+        for p in parts:
+            m = match(p)
+            if m is None:
+                hard.append(p)
+                continue
+            word, marks = m.groups()
+            own = known.get(word) or older.get(word)
+            if own is None:
+                own = known[word] = merged((word.lower() if self.lower else word).translate(SPELLED))
+            if marks:
+                end = self.ends.get(marks)
+                if end is None:
+                    if len(self.ends) >= MARKS:
+                        self.ends.clear()
+                    end = self.ends[marks] = merged(marks)
+                known[p] = own + end
+            else:
+                known[p] = own
+        super().encode(hard, known)
+
+    def each(self, parts: list[str]) -> list[bytes]:
+        """The ids of every part."""
+        found = list(map(self.newer.get, parts))
+        new = {p for p, x in zip(parts, found, strict=True) if x is None}
+        if not new:
+            return found
+        if len(self.newer) + len(new) > self.keep // 2:
+            self.older, self.newer, new = self.newer, {}, set(parts)
+        newer, older = self.newer, self.older
+        newer.update((p, older[p]) for p in new if p in older)
+        self.encode([p for p in new if p not in newer], newer)
+        return [newer[p] if x is None else x for p, x in zip(parts, found, strict=True)]
+
+    def lined(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts that may hold single line ends."""
+        at = [i for i, p in enumerate(parts) if "\n" in p]
+        cut = [parts[i].split("\n") for i in at]
+        pieces = list({x for xs in cut for x in xs})
+        for i in at:
+            parts[i] = "\n"
+        found = self.each([*parts, "\n", *pieces])
+        end, of = found[len(parts)], dict(zip(pieces, found[len(parts) + 1 :], strict=True))
+        del found[len(parts) :]
+        for i, xs in zip(at, cut, strict=True):
+            found[i] = end.join([of[x] for x in xs])
+        return found
+
+    def column(self, texts: pa.Array) -> list[bytes]:
+        """The ids of every text; null counts as empty."""
+        if not len(texts):
+            return []
+        odd = pc.or_(pc.match_substring_regex(texts, LOOSE), pc.greater(pc.binary_length(texts), LONG))
+        if self.special is not None:
+            odd = pc.or_(odd, pc.match_substring(texts, self.mark))
+        odd = pc.fill_null(odd, True)
+        words = pc.split_pattern(pc.if_else(odd, "", texts).cast(pa.string()), " ")
+        bounds = words.offsets.to_numpy()
+        flat = words.values.dictionary_encode()
+        begins = flat.take(pa.array(bounds[:-1]))
+        which = flat.indices.to_numpy().copy()
+        # The first word of a text has no space before it.
+        firsts = begins.dictionary_decode().to_pylist()
+        own = {x: len(flat.dictionary) + i for i, x in enumerate(dict.fromkeys(firsts))}
+        which[bounds[:-1]] = [own[x] for x in firsts]
+        spaced = pc.binary_join_element_wise(" ", flat.dictionary, "").to_numpy(zero_copy_only=False).tolist()
+        ids = self.lined([*spaced, *own])
+        held = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        starts, lengths = (np.cumsum(sizes, dtype=np.int32) - sizes)[which], sizes[which]
+        ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(lengths, dtype=np.int32)])
+        place = np.repeat(starts - ends[:-1], lengths)
+        place += np.arange(len(place), dtype=np.int32)
+        out = held[place].tobytes()
+        at = (4 * ends[bounds].astype(np.int64)).tolist()
+        found = [out[a:b] for a, b in zip(at, at[1:], strict=False)]
+        left = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        for k in range(0, len(left), 256):
+            some = [list(segments(texts[i].as_py() or "")) for i in left[k : k + 256]]
+            short = iter(self.ids([self.parts(x[0], parts_of) for x in some if len(x) == 1]))
+            for i, xs in zip(left[k : k + 256], some, strict=True):
+                found[i] = next(short) if len(xs) == 1 else b"".join(self.ids([self.parts(x, parts_of)])[0] for x in xs)
+        return found
+
+
 class ByteBPE:
     """The vocabulary at ``json_path`` with the ids of the rank file at ``ranks_path``."""
 

@@ -5,6 +5,7 @@ import zlib
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from helixscan.llm import audit, differencing, packing, tokens
@@ -70,6 +71,27 @@ def test_long_texts_encode_in_pieces():
     assert np.frombuffer(got, "<u4").tolist() == plain("byte_bpe_50k.json").encode(text, add_special_tokens=False).ids
 
 
+def test_columns_encode_as_the_library_does_and_merge_a_word_once(monkeypatch):
+    g = random.Random(5)
+    gaps = [" "] * 9 + ["\n", "\n", "\t", "  ", " \n", "\x1c ", "\u00a0", "\u2003 ", "\u3000", "\x85 "]
+    bits = ["ab", "Ünd", "the", "x1", "don't", "東京", "ß", "e\u0301", "...", "a,b", "<|endoftext|>", "\x00", "<|", "end%%%", "end&&&", "\U0001f600"]
+    texts = [*ODD, "\nab", "ab\n", " ab", "ab ", "\n", "\t", "ab\n\ncd"]
+    texts += ["".join(g.choice(bits) + (g.choice(gaps[:11] if i % 2 else gaps)) for _ in range(g.randrange(1, 30))) for i in range(600)]
+    library = plain("byte_bpe_50k.json")
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(tokens, "LONG", 300)
+    for keep in (12, 1000):
+        table = tokens.ColumnTable(tokens.load_tokenizer(P.path("byte_bpe_50k.json"), special_as_text=False), keep=keep)
+        for column in (pa.array(texts), pa.array(["x", *texts])[1:], pa.array(texts, pa.large_string())):
+            assert [np.frombuffer(x, "<u4").tolist() for x in table.column(column)] == want
+        assert table.column(pa.array([], pa.string())) == []
+    table = tokens.ColumnTable(tokens.load_tokenizer(P.path("byte_bpe_50k.json"), special_as_text=False))
+    merged, merge = [], table.merge
+    table.merge = lambda w: merged.append(w) or merge(w)
+    table.column(pa.array(["on heute on heute, on heute. on\nheute heute,;"]))
+    assert sorted(merged) == sorted(["heute", "on", "Ġheute", "Ġon", ",", ".", ",;"])
+
+
 def plain_differencing(sizes, k):
     """Partial partitions as full vectors of k sums."""
     parts = [sorted([n] + [0] * (k - 1), reverse=True) for n in sizes]
