@@ -6,13 +6,14 @@ global or local palettes, interlacing, transparency and disposal, and gives the
 shown with a histogram of each colour channel.
 
 The code widths after a clear code depend on the position alone, so that codes are packed and
-unpacked with numpy; strings are looked up code by code.
+unpacked with numpy; the writer looks strings up sample by sample, the reader resolves all codes up to a clear code at once.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,51 +51,98 @@ def schedule(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _schedule[size]
 
 
+SHIFTED = [b << 8 for b in range(256)]
+
+
 def lzw_encode(data: bytes) -> bytes:
     """The code stream of 8-bit samples."""
     clear, end = 256, 257
     w, at = schedule(8)
-    codes, bits, base = [np.array([clear])], [np.array([0])], 9
-    table: dict[int, int] = {}
-    run: list[int] = []
-    free, held = end + 1, -1
-
-    def close(stop: int) -> None:
-        nonlocal base, run
-        run.append(stop)
-        codes.append(np.array(run))
+    # Codes are held eight bits to the left, so that a sample makes a key of them.
+    first, limit, literal = end + 1 << 8, FULL << 8, SHIFTED
+    runs, table, free = [array("i")], {}, first
+    add = runs[0].append
+    if data:
+        held = literal[data[0]]
+        for b in memoryview(data)[1:]:
+            key = held | b
+            if key in table:
+                held = table[key]
+                continue
+            add(held)
+            table[key] = free
+            held = literal[b]
+            free += 256
+            if free == limit:
+                add(clear << 8)
+                runs.append(array("i"))
+                add = runs[-1].append
+                table.clear()
+                free = first
+        add(held)
+    add(end << 8)
+    codes, bits, base = [np.array([clear])], [np.array([0])], int(w[0])
+    for run in runs:
+        codes.append(np.frombuffer(run, np.int32) >> 8)
         bits.append(base + at[: len(run)])
         base += int(at[len(run)])
-        run = []
-
-    for b in data:
-        if held < 0:
-            held = b
-            continue
-        key = held << 8 | b
-        code = table.get(key)
-        if code is not None:
-            held = code
-            continue
-        run.append(held)
-        table[key] = free
-        free += 1
-        held = b
-        if free == FULL:
-            close(clear)
-            table.clear()
-            free = end + 1
-    if held >= 0:
-        run.append(held)
-    close(end)
     code, bit = np.concatenate(codes), np.concatenate(bits)
-    shifted, first = code << (bit & 7), bit >> 3
+    shifted, place = code << (bit & 7), bit >> 3
     out = np.zeros((base + 7) // 8 + 3)
     for k in range(3):
-        out += np.bincount(first + k, weights=(shifted >> 8 * k) & 255, minlength=len(out))[: len(out)]
+        out += np.bincount(place + k, weights=(shifted >> 8 * k) & 255, minlength=len(out))[: len(out)]
     return out[: (base + 7) // 8].astype(np.uint8).tobytes()
 
 
+class Strings:
+    """The strings of a code stream since a clear code, all codes of a piece at once.
+
+    The entry that a code makes is what that code gave and one sample more, so that it lies in the samples given so
+    far: its code is resolved by following it to earlier and earlier samples, twice as far in each step."""
+
+    def __init__(self, clear: int):
+        self.clear, self.new = clear, clear + 2
+        self.given = self.starts = self.lengths = None
+
+    def first(self, code: np.ndarray) -> bytes:
+        """Samples of the codes that follow a clear code, at most ``FULL``."""
+        number = np.arange(len(code))
+        entry = code - self.new
+        bad = np.flatnonzero((entry >= number) | (code >= self.clear) & (code < self.new) | (number == 0) & (code >= self.clear))
+        if len(bad):
+            raise ValueError(f"code {code[bad[0]]} before it is known")
+        known = entry >= 0
+        before = np.where(known, entry, number)
+        lengths, doublings = known.astype(np.int64), 1
+        while (more := lengths[before]).any():
+            lengths += more
+            before = before[before]
+            doublings += 1
+        lengths += 1
+        starts = np.cumsum(lengths) - lengths
+        source = np.arange(int(lengths.sum())) + np.repeat(np.where(known, starts[np.maximum(entry, 0)] - starts, 0), lengths)
+        # A sample is at most twice as many steps from its literal as its string has samples.
+        for _ in range(doublings + 1):
+            source = source[source]
+        literal = np.zeros(len(source), np.uint8)
+        literal[starts[~known]] = code[~known]
+        self.given, self.starts, self.lengths = literal[source], starts, lengths
+        return self.given.tobytes()
+
+    def later(self, code: np.ndarray) -> bytes:
+        """Samples of codes that follow ``FULL`` others: no entry is new."""
+        entry = code - self.new
+        known = entry >= 0
+        if (~known & (code >= self.clear)).any():
+            raise ValueError("code before it is known")
+        lengths = np.where(known, self.lengths[np.maximum(entry, 0)] + 1, 1)
+        ends = np.cumsum(lengths)
+        source = np.arange(int(ends[-1])) + np.repeat(np.where(known, self.starts[np.maximum(entry, 0)], 0) - ends + lengths, lengths)
+        out = self.given[np.where(np.repeat(known, lengths), source, 0)]
+        out[(ends - lengths)[~known]] = code[~known]
+        return out.tobytes()
+
+
 def lzw_decode(stream: bytes, size: int) -> bytes:
     """Samples of a code stream; one that breaks off gives what came before, and an impossible code is an error."""
     if not 2 <= size <= 8:
@@ -103,39 +151,30 @@ def lzw_decode(stream: bytes, size: int) -> bytes:
     data = np.frombuffer(stream + bytes(4), np.uint8).astype(np.int64)
     total = 8 * len(stream)
     w, at = schedule(size)
-    literals = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table, out, prev = list(literals), [], None
+    strings, out = Strings(clear), []
     bit = used = 0  # used: codes since the last clear code
     while bit + size < total:
         if used < FULL:
-            width, offset = w[used:], at[used:-1] - at[used]
+            width, offset = w, at[:-1]
         else:  # a full table that is not cleared stays as it is
             width, offset = np.full(FULL, 12), np.arange(FULL) * 12
-        pos = bit + offset
-        n = int(np.searchsorted(pos + width, total, "right"))
+        n = int(np.searchsorted(offset + width, total - bit, "right"))
         if not n:
             break
-        pos = pos[:n]
+        pos, width = bit + offset[:n], width[:n]
         first = pos >> 3
-        code = ((data[first] | data[first + 1] << 8 | data[first + 2] << 16) >> (pos & 7)) & ((1 << width[:n]) - 1)
+        code = ((data[first] | data[first + 1] << 8 | data[first + 2] << 16) >> (pos & 7)) & ((1 << width) - 1)
         stops = np.flatnonzero((code == clear) | (code == end))
         k = int(stops[0]) if len(stops) else n
-        for c in code[:k].tolist():
-            if c > len(table) or prev is None and c >= clear:
-                raise ValueError(f"code {c} before it is known")
-            if prev is None:
-                entry = table[c]
-            else:
-                entry = table[c] if c < len(table) else prev + prev[:1]
-                if len(table) < FULL:
-                    table.append(prev + entry[:1])
-            out.append(entry)
-            prev = entry
+        if k:
+            out.append(strings.later(code[:k]) if used else strings.first(code[:k]))
         if k < n:
             bit = int(pos[k]) + int(width[k])
             if code[k] == end:
                 break
-            table, prev, used = list(literals), None, 0
+            used = 0
+        elif n < FULL:
+            break
         else:
             bit = int(pos[n - 1]) + int(width[n - 1])
             used += n
