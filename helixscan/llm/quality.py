@@ -33,7 +33,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
     Words are runs of characters other than ASCII white space.  A null text has no words."""
     text = F.coalesce("text", F.lit(""))
-    words = F.filter(F.split(text, SPACE), lambda w: w != "")
+    words = F.array_remove(F.split(text, SPACE), "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
     out = docs.withColumns({"_words": words, "_lines": lines})
     out = out.withColumns({
@@ -46,7 +46,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
         "_hashes": F.when(F.size("_words") >= 3, F.slice(F.transform("_words", lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2))), F.lit(1), F.size("_words") - 2)),
     })
     # Windows with equal hashes stand side by side once sorted; a start covers three words, or fewer up to the next start.
-    placed = F.array_sort(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    placed = F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     out = out.withColumn("_placed", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), placed))
 
     def repeats(x: Column, k: Column) -> Column:
@@ -55,7 +55,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
         same = [F.get("_words", x["i"] + j) == F.get("_words", y["i"] + j) for j in range(3)]
         return F.coalesce((x["h"] == y["h"]) & same[0] & same[1] & same[2], F.lit(False))
 
-    starts = F.array_sort(F.transform(F.filter("_placed", lambda x, k: repeats(x, k - 1) | repeats(x, k + 1)), lambda x: x["i"]))
+    starts = F.sort_array(F.transform(F.filter("_placed", lambda x, k: repeats(x, k - 1) | repeats(x, k + 1)), lambda x: x["i"]))
     out = out.withColumn("_starts", starts)
     covered = F.aggregate(
         "_starts",
@@ -96,12 +96,14 @@ def profiles(docs: DataFrame, words: list[str]) -> DataFrame:
     plain = F.col("word_chars") - F.length("_rest") + F.col("_c_small") + F.col("_c_digit")
     counts = [plain, F.col("_c_upper"), F.col("_n") - F.col("word_chars"), F.col("_c_stop"), F.col("_c_bar"), F.col("_c_symbol"), F.length("_rest") - known]
     out = out.withColumn("_chars", F.array(*[x.cast("double") for x in counts])).drop("_n", "_rest", *[f"_c_{k}" for k in classes])
-    out = out.withColumn("_list", F.filter(F.split(F.lower(text), APART), lambda w: w != ""))
-    out = out.withColumn("_common", F.filter("_list", lambda w: w.isin(words)))
+    out = out.withColumn("_list", F.array_remove(F.split(F.lower(text), APART), ""))
+    out = out.withColumn("_common", F.sort_array(F.filter("_list", lambda w: w.isin(words))))
     out = out.withColumn("_seen", F.array_distinct("_common"))
-    n = lambda w: F.size("_common") - F.size(F.array_remove("_common", w))
-    bins = F.transform("_seen", lambda w: F.struct(w.alias("w"), n(w).cast("double").alias("n")))
-    return out.withColumns({"_tokens": F.size("_list").cast("double"), "_bins": bins}).drop("_list", "_seen", "_common")
+    # Equal words stand side by side: one begins where it is found first and ends where the next begins.
+    out = out.withColumn("_firsts", F.transform("_seen", lambda w: F.array_position("_common", w)))
+    n = lambda i: F.coalesce(F.get("_firsts", i + 1), F.size("_common") + 1) - F.get("_firsts", i)
+    bins = F.transform("_seen", lambda w, i: F.struct(w.alias("w"), n(i).cast("double").alias("n")))
+    return out.withColumns({"_tokens": F.size("_list").cast("double"), "_bins": bins}).drop("_list", "_seen", "_common", "_firsts")
 
 
 def references(profiled: DataFrame) -> DataFrame:

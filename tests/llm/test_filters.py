@@ -192,6 +192,19 @@ def test_page_rows(spark):
     assert html.extract_text(df.limit(0)).count() == 0
 
 
+def test_frequent_words_are_counted_in_one_pass_of_sorted_words(spark):
+    g = random.Random(9)
+    words = ["the", "of", "and", "zu", "über", "x"]
+    texts = [" ".join(g.choices([*words, "The", "other", "1", ""], k=n)) for n in (0, 1, 2, 50, 400)] + [None, "the", " zu-zu "]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = quality.profiles(quality.base_rules(docs), words)
+    for r in found.collect():
+        want = collections.Counter(w for w in re.split(r"[\W\d_]+", (r["text"] or "").lower()) if w in words)
+        assert {b["w"]: b["n"] for b in r["_bins"]} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort(" not in plan and "array_remove(_common" not in plan
+
+
 # Urls
 
 
