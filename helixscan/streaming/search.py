@@ -37,7 +37,7 @@ def stream_nearest(refs: DataFrame, queries: DataFrame, progress: list[dict] | N
     def step(batch: DataFrame, number: int) -> None:
         counters = Observation() if progress is not None else None
         own = nearest.spread(filters.kept_references(filters.of_length(batch, length), queries if p.exclude_self else None, p.ref_ambiguity, counters))
-        new, _ = nearest.over_blocks(queries, lambda block: nearest.scored_block(own, block, arrays, p.n, p.acgt), "scored")
+        new, _ = nearest.over_blocks(queries, lambda block: nearest.scored_block(own, block, arrays, p.n, p.acgt), "scored", n=p.n)
         if new is None:
             return
         new = new.withColumn("entered_at_batch", F.lit(number).cast("long"))
