@@ -29,10 +29,26 @@ PAIR, CONSENSUS, AS_WRITTEN = "pair", "consensus", "as_written"
 RUNS = 8
 
 
-def mismatches(q: kernels.QueryMatrix, r: np.ndarray, acgt: bool) -> np.ndarray:
-    """Queries x references: ACGT pairs, or valid pairs, that differ."""
-    s = q.scores(r, acgt)
-    return s["acgt_valid"] - s["acgt"] if acgt else s["valid"] - s["text"]
+class Queries:
+    """Queries at a run of sites, as the (site, letter) columns that some query has; bits until they are needed."""
+
+    def __init__(self, q: np.ndarray, sites: np.ndarray, acgt: bool):
+        self.known = kernels.IS_ACGT if acgt else kernels.IS_VALID
+        own = q[:, sites]
+        letters = np.array([c for c in np.flatnonzero(np.bincount(own.ravel(), minlength=256)) if self.known[c]], np.uint8)
+        held = np.array([(own == c).any(0) for c in letters]).reshape(len(letters), len(sites))
+        site, which = np.nonzero(held.T)
+        self.site, self.letter = sites[site], letters[which]
+        self.one_hot = own[:, site] == self.letter
+
+    def other(self, r: np.ndarray) -> np.ndarray:
+        """Where each reference has a letter that differs from a column's."""
+        at = r[:, self.site]
+        return (self.known[at] & (at != self.letter)).astype(np.float32)
+
+    def mismatches(self, lo: int, hi: int, other: np.ndarray) -> np.ndarray:
+        """Queries from ``lo`` to ``hi`` x references: pairs of letters that differ."""
+        return self.one_hot[lo:hi].astype(np.float32) @ other.T
 
 
 class Sites:
@@ -50,17 +66,33 @@ class Sites:
         return ((r != c) & known[r] & known[c]).sum(1)
 
 
-def within(matrices: list[tuple[np.ndarray, kernels.QueryMatrix]], r: np.ndarray, outer: np.ndarray, p: Parameters, mode: str) -> tuple[np.ndarray, np.ndarray]:
-    """References that may be within the distance, and the least mismatches of each with a query."""
+def within(runs: list[Queries], r: np.ndarray, outer: np.ndarray, p: Parameters, mode: str) -> tuple[np.ndarray, np.ndarray]:
+    """References that may be within the distance, and the least mismatches of each with a query.
+
+    Pairs are counted in tiles of bounded size, whatever the number of queries; a reference that some query equals needs no further one."""
     free = 2 * outer <= p.distance if mode == AS_WRITTEN else np.zeros(len(r), bool)  # accepted whatever the other sites are
-    left = np.flatnonzero(outer <= p.distance)
-    total = None
-    for sites, q in matrices:
-        new = mismatches(q, r[np.ix_(left, sites)], p.acgt)
-        total = new if total is None else total + new
-        near = (total.min(0) + outer[left] <= p.distance) | free[left]
-        left, total = left[near], total[:, near]
-    return left, np.zeros(len(left), np.int64) if total is None else total.min(0)
+    may = outer <= p.distance
+    if not runs:
+        return np.flatnonzero(may), np.zeros(int(may.sum()), np.int64)
+    queries, none = len(runs[0].one_hot), np.iinfo(np.int64).max
+    inner = np.full(len(r), none)
+    step = min(max(16, kernels.PAIRS // max(1, min(queries, kernels.QUERIES))), max(16, 4 * kernels.PAIRS // max(1, max(len(q.site) for q in runs))))
+    may = np.flatnonzero(may)
+    for at in range(0, len(may), step):
+        part = may[at : at + step]
+        others = [q.other(r[part]) for q in runs]
+        for lo in range(0, queries, kernels.QUERIES):
+            hi = min(lo + kernels.QUERIES, queries)
+            left, total = np.flatnonzero(inner[part] > 0), None
+            for q, other in zip(runs, others, strict=True):
+                new = q.mismatches(lo, hi, other if len(left) == len(part) else other[left])
+                total = new if total is None else total + new
+                near = (total.min(0) + outer[part[left]] <= p.distance) | free[part[left]]
+                if not near.all():
+                    left, total = left[near], total[:, near]
+            inner[part[left]] = np.minimum(inner[part[left]], total.min(0).astype(np.int64))
+    left = np.flatnonzero(inner < none)
+    return left, inner[left]
 
 
 def distances(refs: DataFrame, queries: DataFrame, p: Parameters, mode: str) -> DataFrame:
@@ -72,20 +104,22 @@ def distances(refs: DataFrame, queries: DataFrame, p: Parameters, mode: str) ->
         return refs.join(joined(refs, queries, sites, p), "ordinal").select("ordinal", "name", "seq", "outer", "inner")
 
     def scored(block: list) -> tuple[DataFrame, Broadcast]:
-        shared = refs.sparkSession.sparkContext.broadcast(kernels.matrix([r["seq"].encode() for r in block]))
+        own = kernels.matrix([r["seq"].encode() for r in block])[:, sites.own]
+        shared = refs.sparkSession.sparkContext.broadcast(kernels.matrix(list(dict.fromkeys(bytes(x) for x in own))))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q = shared.value
-            matrices = [(run, kernels.QueryMatrix(q[:, run])) for run in np.array_split(sites.own, RUNS) if len(run)]
-            step = max(16, sparse.BYTES // max(1, q.shape[1]))
-            for whole in batches:
-                for at in range(0, whole.num_rows, step):
-                    batch = whole.slice(at, step)
-                    r = kernels.matrix(batch.column("seq").cast(pa.binary()).to_pylist())
-                    outer = sites.outer(r, p.acgt)
-                    left, inner = within(matrices, r, outer, p, mode)
-                    take = pa.array(left)
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("ordinal", "name", "seq")), *(pa.array(x.astype(np.int64)) for x in (outer[left], inner))], names=["ordinal", "name", "seq", "outer", "inner"])
+            runs = [Queries(q, run, p.acgt) for run in np.array_split(np.arange(q.shape[1]), RUNS) if len(run)]
+            for r, group, ordinal, name in kernels.chunks(batches, nearest.CHUNK):  # equal sequences are compared once
+                outer = sites.outer(r, p.acgt)
+                left, inner = within(runs, r[:, sites.own], outer, p, mode)
+                place = np.full(len(r), -1)
+                place[left] = np.arange(len(left))
+                record = np.flatnonzero(place[group] >= 0)
+                found, seqs = place[group[record]], kernels.texts(r[left])
+                for at in range(0, len(record), 10_000):
+                    i, k = record[at : at + 10_000], found[at : at + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(ordinal[i]), name.take(pa.array(i)).combine_chunks(), seqs.take(pa.array(k)), pa.array(outer[left][k].astype(np.int64)), pa.array(inner[k])], names=["ordinal", "name", "seq", "outer", "inner"])
 
         return refs.select("ordinal", "name", "seq").mapInArrow(run, "ordinal long, name string, seq string, outer long, inner long"), shared
 

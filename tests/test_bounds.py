@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from helixscan.operators import kernels, nearest, profile
+from helixscan.operators import ball, kernels, nearest, profile
 
 SITES = 24
 
@@ -75,6 +75,17 @@ def test_nearest_holds_no_matrix_of_all_pairs(acgt):
     assert peak(lambda: [b.num_rows for b in task.run(iter([own]))]) < 250e6
 
 
+@pytest.mark.parametrize("mode", [ball.PAIR, ball.CONSENSUS, ball.AS_WRITTEN])
+def test_ball_holds_no_matrix_of_all_pairs(spark, monkeypatch, mode):
+    g = np.random.default_rng(2)
+    base = g.choice(np.frombuffer(b"ACGT", np.uint8), SITES)
+    q, r = letters(g, base, 2000, 0.3), letters(g, base, 10_000, 0.3)
+    task, own = Task(), batch(np.arange(10_000), r)
+    monkeypatch.setattr(ball, "spread", lambda refs: refs)
+    ball.distances(task, records(spark, q), nearest.Parameters(distance=2), mode)
+    assert peak(lambda: [b.num_rows for b in task.run(iter([own]))]) < 150e6
+
+
 @pytest.mark.parametrize("acgt", [False, True])
 @pytest.mark.parametrize(("pairs", "queries", "waiting", "n"), [(1 << 21, 2048, 1 << 19, 4), (64, 3, 7, 1), (1 << 10, 5, 100, 10)])
 def test_lists_of_tiles_are_the_best_of_all_pairs(spark, monkeypatch, acgt, pairs, queries, waiting, n):
@@ -96,3 +107,20 @@ def test_lists_of_tiles_are_the_best_of_all_pairs(spark, monkeypatch, acgt, pair
     task, block = Task(), [{"ordinal": i, "name": f"q{i}", "seq": bytes(x).decode()} for i, x in enumerate(q)]
     nearest.scored_block(task, block, arrays, n, acgt)
     assert task.rows([batch(ordinal[at : at + 50], r[at : at + 50]) for at in range(0, 400, 50)]) == want
+
+
+@pytest.mark.parametrize("acgt", [False, True])
+@pytest.mark.parametrize(("pairs", "queries"), [(1 << 21, 2048), (64, 3), (1 << 10, 5)])
+def test_ball_of_tiles_is_the_least_of_all_pairs(monkeypatch, acgt, pairs, queries):
+    monkeypatch.setattr(kernels, "PAIRS", pairs)
+    monkeypatch.setattr(kernels, "QUERIES", queries)
+    g = np.random.default_rng(4)
+    base = g.choice(np.frombuffer(b"ACGT", np.uint8), 40)
+    q, r, outer = letters(g, base, 13, 0.15), letters(g, base, 300, 0.1), g.integers(0, 4, 300)
+    known = kernels.IS_ACGT if acgt else kernels.IS_VALID
+    least = np.array([((q != x) & known[q] & known[x]).sum(1).min() for x in r])
+    runs = [ball.Queries(q, x, acgt) for x in np.array_split(np.arange(40), 8)]
+    for mode in (ball.PAIR, ball.AS_WRITTEN):
+        left, inner = ball.within(runs, r, outer, nearest.Parameters(distance=3, acgt=acgt), mode)
+        want = (outer <= 3) & ((least + outer <= 3) | ((2 * outer <= 3) & (mode == ball.AS_WRITTEN)))
+        assert left.tolist() == np.flatnonzero(want).tolist() and (inner == least[left]).all() and 0 < len(left) < 300
