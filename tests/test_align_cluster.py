@@ -141,6 +141,21 @@ def test_merge_in_small_units_is_the_same(spark, monkeypatch):
     assert sorted(map(tuple, cluster.cluster(records, base, queues=4).collect())) == want
 
 
+def test_rounds_in_tasks_are_those_of_joins(spark, monkeypatch):
+    """All rounds in one task, some of them, and none."""
+    records = fixtures.references(spark, SF)
+    base = reference.backbone(records)
+    jobs, found = [], []
+    for most in (1 << 15, 60, 0):
+        monkeypatch.setattr(cluster, "TOGETHER", most)
+        spark.sparkContext.setJobGroup(f"together {most}", "")
+        found.append(sorted(map(tuple, cluster.cluster(records, base, queues=7).collect())))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"together {most}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0] == found[1] == found[2] and len({r[0] for r in found[0]}) > 1
+    assert jobs[0] < jobs[1] < jobs[2] and jobs[0] < 25
+
+
 def test_lines_of_the_table_hold_all_members(spark):
     rows = [(i, f"s{i}", "ACGTACGTAC" if i % 3 else "TTTTTTTTTT") for i in range(40)]
     found = cluster.cluster(spark.createDataFrame(rows, "ordinal long, name string, seq string"), "ACGTACGTAC", distance=1, queues=3)
